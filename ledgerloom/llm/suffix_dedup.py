@@ -238,11 +238,14 @@ def _frame(columns: dict) -> pa.RecordBatch:
 
 
 def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, long_anchor: int = 80, hot: int = 20_000) -> DataFrame:
-    """``docs`` rows as ``(doc_id, rest, n_bytes, n_removed, n_spans, kept)``; ``rest`` holds the other columns of ``docs``."""
+    """``docs`` rows as ``(doc_id, rest, n_bytes, n_removed, n_spans, kept)``; ``rest`` holds the other columns of ``docs``.
+
+    The three readers of ``base`` take all its columns, so that Spark plans its exchange once.
+    """
     ship(docs.sparkSession)
     parts = tasks(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(True).alias("none"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.col("doc_id"))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body"), rest.alias("rest")).repartition(parts, "row")
 
     def runs(batches):
