@@ -38,7 +38,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {"": b""}
 
     def _parts(self, word: str) -> tuple[str, str]:
         word = word.lower() if word.isascii() else word.translate(_LOWER)
@@ -55,6 +55,9 @@ class WordEncoder:
         if missing:
             if len(memory) > _MEMORY_WORDS:
                 memory.clear()
+                memory[""] = b""
+                out = [memory.get(w) for w in words]
+                missing = [i for i, x in enumerate(out) if x is None]
             parts = [self._parts(words[i]) for i in missing]
             fresh = list({p for pair in parts for p in pair if p and p not in memory})
             for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
