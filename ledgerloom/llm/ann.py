@@ -4,7 +4,8 @@
 its nearest centroid. Vectors are rotated by one random orthogonal matrix, so that any leading columns give an unbiased estimate
 of a distance.
 
-**Search.** A query probes the ``probes`` lists whose centroids are nearest, and more until they hold ``k`` candidates. Inside a list the
+**Search.** A query probes the ``probes`` lists whose centroids are nearest (by default as many as hold ``target`` of the
+neighbours within the sample), and more until they hold ``k`` candidates. Inside a list the
 rotated columns are read in blocks of ``columns``: after ``d`` of ``D`` columns a candidate whose partial squared distance exceeds
 ``d / D * (1 + epsilon / sqrt(d))**2`` times the squared distance of the k-th best is abandoned: under the hypothesis that it is nearer,
 so large a partial distance is very unlikely. Survivors get their exact distance from the original vectors, in double precision.
@@ -45,6 +46,22 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return _squared(x, centres).argmin(axis=1)
 
 
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int, target: float, queries: int = 200, seed: int = 5) -> int:
+    """How many lists hold ``target`` of the ``k`` nearest of the sample's own rows. Neighbours in a sample are farther away than in
+    all rows, so this errs towards more lists."""
+    if len(sample) < 2:
+        return 1
+    chosen = np.random.default_rng(seed).permutation(len(sample))[:queries]
+    far = _squared(sample[chosen], sample)
+    far[np.arange(len(chosen)), chosen] = np.inf
+    near = np.argpartition(far, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+    order = np.argsort(_squared(sample[chosen], centres), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), axis=1)
+    needed = np.sort(np.take_along_axis(place, _nearest(sample, centres)[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) + 1
+
+
 def rotation(size: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
@@ -54,8 +71,9 @@ def scan(query: np.ndarray, turned_query: np.ndarray, own: int, ids: np.ndarray,
     """The ``k`` nearest of one list found for one query: ids and exact distances, nearest first."""
     size = len(query)
     best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-    for begin in range(0, len(ids), chunk):
-        alive = np.arange(begin, min(begin + chunk, len(ids)))
+    cuts = [0, *range(min(8 * k, len(ids)), len(ids), chunk), len(ids)] if len(ids) else [0]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        alive = np.arange(begin, end)
         alive = alive[ids[alive] != own]
         limit = best[-1] ** 2 if len(best) == k else np.inf
         partial = np.zeros(len(alive))
@@ -74,7 +92,7 @@ def scan(query: np.ndarray, turned_query: np.ndarray, own: int, ids: np.ndarray,
     return best_ids, best
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = 20_000, columns: int = 16, epsilon: float = 2.1, deal: int = 4000) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None, target: float = 0.97, sample: int = 20_000, columns: int = 16, epsilon: float = 2.1, deal: int = 4000) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows whose vec_id is divisible by ``every``, searched among all other rows."""
     spark = vectors.sparkSession
     ship(spark)
@@ -89,8 +107,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None
     good = good.where(F.size(v) == size)
     drawn = np.array([r["vector"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()], np.float64)
     lists = lists or max(1, min(4096, len(drawn), round(n**0.5 / 2)))
-    probes = probes or max(8, lists // 8)
-    model = spark.sparkContext.broadcast((_train(drawn, lists), rotation(size)))  # at most 4096 centroids
+    trained = _train(drawn, lists)
+    probes = probes or _probes(drawn, trained, k, target)
+    model = spark.sparkContext.broadcast((trained, rotation(size)))  # at most 4096 centroids
 
     def to_list(batches):
         centres, turn = model.value

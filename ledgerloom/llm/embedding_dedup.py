@@ -58,14 +58,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 100
     wanted = groups.select("label", "size", F.least(F.lit(max_pivots), F.greatest(F.lit(1), F.ceil(F.col("n") / cell))).cast("int").alias("wanted"), F.greatest(F.lit(1), F.ceil(F.col("n") / 4000)).cast("int").alias("deals"))
     order = Window.partitionBy("label", "size").orderBy(F.xxhash64("cid"), "cid", "vector")
     pivot = classes.select("label", "size", "cid", "vector", F.row_number().over(order).alias("place")).where(F.col("place") <= max_pivots).join(wanted, ["label", "size"]).where(F.col("place") <= F.col("wanted"))
-    pivot = pivot.select("label", "size", "place", "vector", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    pivot = pivot.select(F.col("label").alias("pivot_label"), F.col("size").alias("pivot_size"), "place", F.col("vector").alias("mark"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("pivot_deal"))
     dealt = classes.join(wanted, ["label", "size"]).withColumn("deal", F.pmod(F.xxhash64("vector"), F.col("deals")).cast("int")).drop("wanted", "deals", "n")
 
     def assign(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(marks):
             return pd.DataFrame({"label": pd.Series(dtype="object"), "size": [], "cell": [], "own": [], "cid": [], "members": [], "vector": []})
         marks = marks.sort_values("place")
-        x, p = _unit(_stack(rows["vector"])), _unit(_stack(marks["vector"]))
+        x, p = _unit(_stack(rows["vector"])), _unit(_stack(marks["mark"]))
         far = np.sqrt(np.maximum(0, 2 - 2 * (x @ p.T)))
         nearest = far.argmin(axis=1)
         # rounding near zero distance is far below the slack
@@ -75,7 +75,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 100
 
     kind = classes.schema["label"].dataType.simpleString()
     schema = f"label {kind}, size int, cell int, own boolean, cid long, members long, vector array<double>"
-    placed = materialise(dealt.groupBy("label", "size", "deal").cogroup(pivot.groupBy("label", "size", "deal")).applyInPandas(assign, schema), "vector-cells")
+    placed = materialise(dealt.groupBy("label", "size", "deal").cogroup(pivot.groupBy("pivot_label", "pivot_size", "pivot_deal")).applyInPandas(assign, schema), "vector-cells")
     extent = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count_if("own") / block).cast("int").alias("own_blocks"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("own_blocks > 0")
     spread = placed.join(extent, ["label", "size", "cell"])
     number = lambda n, salt: F.pmod(F.xxhash64("vector", F.lit(salt)), F.col(n)).cast("int")

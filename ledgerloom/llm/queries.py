@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, embedding_dedup, langid, packing, simhash, suffix_dedup, token_store
+from ledgerloom.llm import ann, chat, embedding_dedup, langid, packing, pieces, simhash, suffix_dedup, token_store, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,18 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_table(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(_table(spark, sf_dir, "documents"))
 
@@ -51,10 +63,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_nearest_neighbours,
             op5_best_fit_packing,
             op6_simhash_near_dedup,
+            op7_chat_quotes,
+            op8_url_filter,
+            op9_sentencepiece,
             op10_language_id,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": url_filter.oracle()}
