@@ -1,23 +1,22 @@
 """Token ids of whole texts, encoded word by word with a worker-wide memory.
 
 The vocabulary's rules never join across ASCII white space, so the ids of a text are those of its words in order. A batch
-is split and its distinct words are found by Arrow; only words that the worker has not met are sent to the tokenizer. Two
-further rules save calls without changing ids: A-Z may be lower-cased first, and punctuation after a letter or digit is
-encoded on its own. Texts that hold the opening of a special token (``<|``) are encoded whole.
+is lower-cased (A-Z, which the vocabulary's own normaliser does as well) and split, and its distinct words are found, by Arrow;
+only words that the worker has not met are sent to the tokenizer. Punctuation after a letter or digit is encoded on its own. Texts that hold the opening of a special token (``<|``) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _TAIL = ".,;:!?"
-_LOWER = {i: i + 32 for i in range(65, 91)}
 _SLICE_BYTES = 4 << 20
-_MEMORY_WORDS = 500_000
+_MEMORY_WORDS = 300_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -38,32 +37,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {"": b""}
-
-    def _parts(self, word: str) -> tuple[str, str]:
-        word = word.lower() if word.isascii() else word.translate(_LOWER)
-        stem = word.rstrip(_TAIL)
-        if stem and len(stem) < len(word) and ord(stem[-1]) < 0x250 and (stem[-1].isalpha() or stem[-1] in "0123456789"):
-            return stem, word[len(stem) :]
-        return word, ""
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
-        memory = self.memory
-        out = [memory.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if missing:
-            if len(memory) > _MEMORY_WORDS:
-                memory.clear()
-                memory[""] = b""
-                out = [memory.get(w) for w in words]
-                missing = [i for i, x in enumerate(out) if x is None]
-            parts = [self._parts(words[i]) for i in missing]
-            fresh = list({p for pair in parts for p in pair if p and p not in memory})
-            for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                memory[p] = np.array(e.ids, "<u4").tobytes()
-            for i, (stem, tail) in zip(missing, parts, strict=True):
-                out[i] = memory[words[i]] = memory[stem] + memory[tail] if tail else memory[stem]
+        """The ids of each word (without A-Z) as unsigned 32-bit integers. Of the words met, those used since the last turnover are kept."""
+        if len(self.memory) > _MEMORY_WORDS:
+            self.older, self.memory = self.memory, {}
+        memory, older = self.memory, self.older
+        memory[""] = b""
+        out = list(map(memory.get, words))
+        missing, fresh = [], {}
+        for i, known in enumerate(out):
+            if known is None:
+                word = words[i]
+                known = older.get(word)
+                if known is not None:
+                    out[i] = memory[word] = known
+                    continue
+                stem = word.rstrip(_TAIL)
+                tail = word[len(stem) :]
+                if not (tail and stem and ord(stem[-1]) < 0x250 and (stem[-1].isalpha() or stem[-1] in "0123456789")):
+                    stem, tail = word, ""
+                missing.append((i, stem, tail))
+                for part in (stem, tail):
+                    if part not in memory:
+                        known = older.get(part)
+                        if known is None:
+                            fresh[part] = None
+                        else:
+                            memory[part] = known
+        if fresh:
+            for part, found in zip(fresh, self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False), strict=True):
+                memory[part] = array("I", found.ids).tobytes()
+        for i, stem, tail in missing:
+            out[i] = memory[words[i]] = memory[stem] + memory[tail] if tail else memory[stem]
         return out
 
     def batches(self, texts: pa.Array):
@@ -82,17 +90,20 @@ class WordEncoder:
             mask = np.zeros(len(texts), bool)
             mask[odd] = True
             texts = pc.if_else(pa.array(mask), "", texts)
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = pc.dictionary_encode(lists.flatten())
         kinds = self.words(coded.dictionary.to_pylist())
-        length = np.array([len(x) for x in kinds], np.int64) // 4
+        # a slice holds far fewer than 2**31 ids, unless one text is that long
+        width = np.int32 if len(coded.indices) < 1 << 26 else np.int64
+        length = np.fromiter(map(len, kinds), width, len(kinds)) // 4
         pool = np.frombuffer(b"".join(kinds), "<u4")
         index = coded.indices.to_numpy()
         each = length[index]
-        total = np.concatenate(([0], np.cumsum(each)))
+        total = np.zeros(len(each) + 1, width)
+        np.cumsum(each, out=total[1:])
         edges = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        ids = pool[np.repeat((np.cumsum(length) - length)[index] - total[:-1], each) + np.arange(total[-1])] if total[-1] else np.zeros(0, "<u4")
-        counts = np.diff(edges)
+        ids = pool[np.repeat((np.cumsum(length, dtype=width) - length)[index] - total[:-1], each) + np.arange(total[-1], dtype=width)] if total[-1] else np.zeros(0, "<u4")
+        counts = np.diff(edges).astype(np.int64)
         if whole:
             pieces = [whole.get(i, ids[edges[i] : edges[i + 1]]) for i in range(len(counts))]
             ids, counts = np.concatenate(pieces), np.array([len(x) for x in pieces])
