@@ -153,7 +153,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with all its columns, and ``lang_pred`` and ``score`` added (columns of those names are replaced)."""
     own = docs.drop("lang_pred", "score")
-    return _with_scores(own.withColumn("_scored_text", F.col("text").cast("string")), model, list(range(len(own.columns))))
+    return _with_scores(own.select("*", F.col("text").cast("string").alias(_free_name(own))), model, list(range(len(own.columns))))
+
+
+def _free_name(docs: DataFrame) -> str:
+    return "_" * (1 + max(map(len, docs.columns)))
 
 
 def _with_scores(docs: DataFrame, model: Model, keep: list[int]) -> DataFrame:

@@ -402,9 +402,10 @@ def without_repeats(docs: DataFrame, min_length: int = 100) -> DataFrame:
             yield batch.set_column(batch.num_columns - 1, "text", pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string()))
 
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    source = docs.withColumn("_was_null", F.col("text").isNull())
+    null = "_" * (1 + max(map(len, docs.columns)))
+    source = docs.select("*", F.col("text").isNull().alias(null))
     cut = cut_repeats(source, min_length)
-    flat = cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in others], F.when(~F.col("rest._was_null"), F.col("kept")).alias("text"))
+    flat = cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in others], F.when(~F.col("rest").getField(null), F.col("kept")).alias("text"))
     schema = T.StructType([*flat.schema.fields[:-1], T.StructField("text", T.StringType())])
     out = flat.mapInArrow(decode, schema)
     if "n_chars" in others:
