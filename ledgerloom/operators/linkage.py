@@ -19,27 +19,29 @@ def star_edges(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
     return keyed.join(centre, "_key").where("src <> dst").select("src", "dst")
 
 
-def similar_names(names: DataFrame, name: str, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of different names, ``a < b``, with ``1 - edit distance / longer length >= threshold``.
+def similar_names(names: DataFrame, name: str, threshold: float, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs ``(a, b)`` of different names, ``a < b``, with ``1 - edit distance / longer length >= threshold``; with ``within``, only
+    inside equal keys, which are returned as well.
 
     Blocking loses nothing: with d edits allowed on the longer name, one of its d + 1 equal parts survives and occurs in the other
-    within d places of where it was. Names meet on (part, length of the longer, place), then the distance is checked.
+    within d places of where it was. Names meet on (keys, part, length of the longer, place), then the distance is checked.
     """
-    distinct = names.select(F.col(name).alias("n")).where(F.length("n") > 0).distinct()
+    keys = list(within)
+    distinct = names.select(*keys, F.col(name).alias("n")).where(F.length("n") > 0).distinct()
     edits = lambda size: F.floor(size * (1 - threshold) + 1e-9).cast("int")
     size = F.length("n")
     cut = lambda i: F.floor(i * size / (edits(size) + 1)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), edits(size)), lambda i: F.struct(size.alias("size"), cut(i).alias("place"), F.substring("n", cut(i) + 1, cut(i + 1) - cut(i)).alias("part")))
-    longer = distinct.select(F.col("n").alias("long"), F.inline(parts))
+    longer = distinct.select(*keys, F.col("n").alias("long"), F.inline(parts))
     # every substring of the other name that may be such a part, for each longer length that is possible
     sizes = F.sequence(size, F.floor(size / F.lit(threshold) + 1e-9).cast("int"))
-    wanted = distinct.select("n", F.explode(sizes).alias("size")).withColumn("d", edits(F.col("size")))
-    wanted = wanted.select("n", "size", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
+    wanted = distinct.select(*keys, "n", F.explode(sizes).alias("size")).withColumn("d", edits(F.col("size")))
+    wanted = wanted.select(*keys, "n", "size", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     at = F.floor(F.col("i") * F.col("size") / (F.col("d") + 1)).cast("int")
     width = F.floor((F.col("i") + 1) * F.col("size") / (F.col("d") + 1)).cast("int") - at
     shifts = F.transform(F.sequence(-F.col("d"), F.col("d")), lambda s: F.struct(F.col("size").alias("size"), at.alias("place"), F.when(at + s >= 0, F.substring("n", at + s + 1, width)).alias("part")))
-    shorter = wanted.select("n", F.inline(shifts)).where((F.col("part") != "") & (F.length("part") > 0)).distinct()
-    met = longer.join(shorter, ["size", "place", "part"]).where("long <> n").select(F.least("long", "n").alias("a"), F.greatest("long", "n").alias("b")).distinct()
+    shorter = wanted.select(*keys, "n", F.inline(shifts)).where(F.length("part") > 0).distinct()
+    met = longer.join(shorter, [*keys, "size", "place", "part"]).where("long <> n").select(*keys, F.least("long", "n").alias("a"), F.greatest("long", "n").alias("b")).distinct()
     return met.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
 
 
@@ -65,6 +67,37 @@ def link_score(number: Column, name_similarity: Column, customer: Column, date:
     return F.least(F.lit(1.0), weigh(number, 0.45) + name + weigh(customer, 0.20) + weigh(date, 0.05))
 
 
+def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90) -> DataFrame:
+    """Pairs ``(a, b, score)``, ``a < b``, of records (id, name, customer, numbers, day) that score ``threshold`` or more.
+
+    At the default weights and threshold a pair needs a shared number, or an equal customer and names at least 0.78 alike, or names at
+    least 0.92 alike with a contained customer (0.12 instead of 0.20) and near dates; each is a block with an equi-join, so nothing is lost.
+    A lower threshold than 0.61 would need other blocks and is refused.
+    """
+    if threshold < 0.61:
+        raise ValueError("below 0.61 the blocks no longer hold every match")
+    side = lambda s: records.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "customer", "numbers", "day")])
+    numbered = records.select("id", F.explode(F.array_distinct("numbers")).alias("k"))
+    by_number = numbered.select("k", F.col("id").alias("a")).join(numbered.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b")
+    slack = 1e-6
+    inside = similar_names(records, "name", (threshold - 0.25) / 0.55 - slack, ["customer"]).select("customer", "a", "b")
+    same = records.where(F.length("name") > 0).select("customer", F.col("name").alias("a"), F.col("name").alias("b")).distinct()
+    ids = lambda n, i: records.select("customer", F.col("name").alias(n), F.col("id").alias(i))
+    ordered = lambda df: df.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    by_customer = ordered(inside.unionByName(same).join(ids("a", "x"), ["customer", "a"]).join(ids("b", "y"), ["customer", "b"]))
+    alike = similar_names(records, "name", (threshold - 0.17) / 0.55 - slack).select("a", "b").unionByName(same.select("a", "b").distinct())
+    owner = lambda n, i, c: records.select(F.col("name").alias(n), F.col("id").alias(i), F.col("customer").alias(c))
+    contains = (F.contains("c", F.col("d")) | F.contains("d", F.col("c"))) & (F.col("c") != F.col("d"))
+    by_name = ordered(alike.join(owner("a", "x", "c"), "a").join(owner("b", "y", "d"), "b").where(contains))
+    pairs = by_number.unionByName(by_customer).unionByName(by_name).distinct()
+    joined = pairs.join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), F.col("b") == F.col("r_id"))
+    number = F.coalesce(F.arrays_overlap("l_numbers", "r_numbers"), F.lit(False))
+    customer = F.when(F.col("l_customer") == F.col("r_customer"), 0.20).when(F.contains("l_customer", F.col("r_customer")) | F.contains("r_customer", F.col("l_customer")), 0.12).otherwise(0.0)
+    near = F.coalesce(F.abs(F.date_diff("l_day", "r_day")) <= days, F.lit(False))
+    score = link_score(number, F.coalesce(similarity(F.col("l_name"), F.col("r_name")), F.lit(0.0)), F.lit(False), near)
+    return joined.select("a", "b", F.least(F.lit(1.0), score + customer).alias("score")).where(F.col("score") >= threshold)
+
+
 def top_k(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each key."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)

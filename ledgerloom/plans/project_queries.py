@@ -28,20 +28,20 @@ LINKS_SQL = f"links AS (SELECT l_orderkey AS project_id, {DOC_ID} AS document_id
 
 @query("""WITH h AS (SELECT o_orderkey AS project_id, c_name, CASE WHEN c_name = 'Customer#000000015' THEN 0 WHEN starts_with(c_name, 'Customer#000000015') THEN 1 ELSE 2 END AS rank, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey
   WHERE contains(lower(c_name), lower('Customer#000000015')) OR contains(lower(o_orderpriority), lower('Customer#000000015')))
-SELECT project_id, c_name, rank, (SELECT count(*) FROM lineitem WHERE l_orderkey = project_id) AS n_links FROM h ORDER BY rank, o_orderdate DESC, project_id LIMIT 200""")
+SELECT project_id, c_name, rank, (SELECT count(*) FROM lineitem WHERE l_orderkey = project_id) AS n_links FROM h""")
 def t1_search_projects(t):
-    return search_projects(t, "Customer#000000015", 200)
+    return search_projects(t, "Customer#000000015")
 
 
-def search_projects(t, keyword, most):
+def search_projects(t, keyword):
     """Exact before prefix before contained, then the newest, with link counts; only the hits' links are counted."""
     word = X.search_text(F.lit(keyword))
     rank = lambda c: F.when(c == word, 0).when(F.startswith(c, word), 1).when(F.contains(c, word), 2)
     projects = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     scored = projects.withColumn("rank", F.least(rank(X.search_text(F.col("c_name"))), rank(X.search_text(F.col("o_orderpriority"))))).where("rank IS NOT NULL")
-    top = scored.orderBy("rank", F.desc("o_orderdate"), "o_orderkey").limit(most)
-    counts = t.lineitem.join(top.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    return top.join(counts, "o_orderkey", "left").select(F.col("o_orderkey").alias("project_id"), "c_name", "rank", F.coalesce("n", F.lit(0)).alias("n_links"))
+    counts = t.lineitem.join(scored.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    counted = scored.join(counts, "o_orderkey", "left").orderBy("rank", F.desc("o_orderdate"), "o_orderkey")
+    return counted.select(F.col("o_orderkey").alias("project_id"), "c_name", "rank", F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
 @query("SELECT o_orderkey, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE c_mktsegment END), ''), nullif(c_name, ''), o_orderpriority) AS label, coalesce(nullif(c_name, ''), '-') AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -107,9 +107,9 @@ def w8_timeline(t):
     return links(t).select("project_id", "document_id", F.row_number().over(w).alias("place"), F.date_diff("created", F.lag("created").over(w)).alias("gap_days"))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
 def t2_newest_first(t):
-    return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus")
+    return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT p_brand, p_partkey, place FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place <= 5")
@@ -223,13 +223,13 @@ def d13_ledger_upsert(t):
     ledger = t.customer.select(F.col("c_custkey").alias("id"), F.lit(True).alias("stored"), F.when(F.col("c_custkey") % 100 != 0, F.col("c_mktsegment")).alias("own"))
     joined = incoming.join(ledger, "id", "left")
     kept = joined.where("stored").select("id", F.coalesce("own", "o_orderpriority").alias("segment"), F.col("id").alias("serial"))
-    last = t.customer.agg(F.max("c_custkey").alias("last"))
+    last = t.customer.agg(F.max("c_custkey")).scalar()
     inserts = joined.where("stored IS NULL").withColumn("block", F.floor(F.col("id") / 100_000))
     sizes = inserts.groupBy("block").agg(F.count("*").alias("n"))
     before = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     number = F.row_number().over(Window.partitionBy("block").orderBy("id"))
-    numbered = inserts.join(before, "block").withColumn("place", F.col("before") + number).withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one")
-    return kept.unionByName(numbered.select("id", F.col("o_orderpriority").alias("segment"), (F.col("last") + F.col("place")).alias("serial")))
+    numbered = inserts.join(before, "block").withColumn("place", F.col("before") + number)
+    return kept.unionByName(numbered.select("id", F.col("o_orderpriority").alias("segment"), (last + F.col("place")).alias("serial")))
 
 
 @query("SELECT o_orderkey AS id FROM orders UNION SELECT c_custkey FROM customer")

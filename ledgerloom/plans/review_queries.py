@@ -86,10 +86,9 @@ def j6_review_queue(t):
     return joined.select("id", "event_id", "quality", priority(F.col("event_type"), F.col("value")).alias("priority"))
 
 
-@query(f"SELECT event_id, row_number() OVER (ORDER BY {PRIORITY}, value DESC, event_id) AS place FROM events ORDER BY place LIMIT 100")
+@query(f"SELECT event_id, {PRIORITY} AS priority, value FROM events")
 def t3_queue_order(t):
-    top = t.events.select("event_id", priority(F.col("event_type"), F.col("value")).alias("p"), "value").orderBy("p", F.desc("value"), "event_id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("p", F.desc("value"), "event_id"))).select("event_id", F.col("place").cast("long").alias("place"))
+    return t.events.select("event_id", priority(F.col("event_type"), F.col("value")).alias("priority"), "value").orderBy("priority", F.desc("value"), "event_id")
 
 
 READY = "CASE WHEN event_type = 'error' THEN 'skipped' WHEN quality IS NULL OR value < 20 THEN 'blocked' ELSE 'ready' END"

@@ -13,14 +13,14 @@ from ledgerloom.plans.registry import query
 PUNCT = "[^a-zA-Z0-9]+"
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))[1:60] AS key FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents")
 def f1_search_text(t):
-    return t.documents.select("doc_id", F.left(X.search_text(F.col("text")), F.lit(60)).alias("key"))
+    return t.documents.select("doc_id", X.search_text(F.col("text")).alias("key"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(text[1:80]), '[^\\p{L}\\p{N}_]+', '', 'g') AS key FROM documents")
+@query("SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS key FROM documents")
 def f2_title_key(t):
-    return t.documents.select("doc_id", X.title_key(F.left(F.col("text"), F.lit(80))).alias("key"))
+    return t.documents.select("doc_id", X.title_key(F.col("text")).alias("key"))
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', '') AS key FROM part")
@@ -228,10 +228,9 @@ def f32_text_span(t):
     return t.documents.select("doc_id", X.text_span(F.col("text"), F.lit("Nation"))["start"].cast("long").alias("span_start"))
 
 
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text[1:40]) WHERE len(b.text) >= 40")
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(b.text) >= 12")
 def f33_quote_in_section(t):
-    quotes = t.benchmark.where(F.length("text") >= 40).select("item_id", F.left("text", F.lit(40)).alias("quote"))
-    return K.contained(t.documents, "doc_id", "text", quotes, "item_id", "quote", 12).select("item_id", "doc_id")
+    return K.contained(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 12).select("item_id", "doc_id")
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS local_time FROM events")
@@ -382,15 +381,17 @@ def a1_dedup_summary(t):
     return sizes.agg(F.count("*").alias("groups_out"), F.sum("n").alias("rows_in"), (F.sum("n") - F.count("*")).alias("removed"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.count_if(F.col("n") == 1).alias("unique_groups"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, o_orderdate AS da, lead(o_orderdate) OVER w AS db, o_orderpriority AS pa, lead(o_orderpriority) OVER w AS pb FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-k AS (SELECT *, 1 - levenshtein(pa, pb) / greatest(len(pa), len(pb))::DOUBLE AS sim FROM s WHERE b IS NOT NULL)
-SELECT a, b, least(1.0, 0.45 + (CASE WHEN sim >= 0.55 THEN 0.55 * sim ELSE 0 END) + 0.20 + (CASE WHEN abs(date_diff('day', da, db)) <= 90 THEN 0.05 ELSE 0 END)) AS score FROM k""")
+RECORDS = "r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS customer, p_type || '-' || p_size AS number, p_partkey * 7919 % 1000 AS day FROM part)"
+
+
+@query(f"""WITH {RECORDS}, p AS (SELECT a.id AS a, b.id AS b, a.number = b.number AS num, 1 - levenshtein(a.name, b.name) / greatest(len(a.name), len(b.name))::DOUBLE AS sim, a.customer AS ca, b.customer AS cb, abs(a.day - b.day) <= 90 AS near FROM r a JOIN r b ON a.id < b.id),
+s AS (SELECT a, b, least(1.0, least(1.0, (CASE WHEN num THEN 0.45 ELSE 0 END) + (CASE WHEN sim >= 0.55 THEN 0.55 * sim ELSE 0 END) + 0 + (CASE WHEN near THEN 0.05 ELSE 0 END)) + CASE WHEN ca = cb THEN 0.20 WHEN contains(ca, cb) OR contains(cb, ca) THEN 0.12 ELSE 0 END) AS score FROM p)
+SELECT a, b, score FROM s WHERE score >= 0.68""")
 def j7_record_linkage(t):
-    """Neighbouring records of a number block, scored."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    pairs = t.orders.select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.col("o_orderdate").alias("da"), F.lead("o_orderdate").over(w).alias("db"), F.col("o_orderpriority").alias("pa"), F.lead("o_orderpriority").over(w).alias("pb")).where("b IS NOT NULL")
-    near = F.abs(F.date_diff("da", "db")) <= 90
-    return pairs.select("a", "b", K.link_score(F.lit(True), X.similarity(F.col("pa"), F.col("pb")), F.lit(True), near).alias("score"))
+    """Parts as records: the brand is the customer, type and size the number."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") * 7919 % 1000).cast("int"))
+    records = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("customer"), F.array(F.concat_ws("-", "p_type", F.col("p_size").cast("string"))).alias("numbers"), day.alias("day"))
+    return K.match_records(records)
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part), e AS (SELECT a.p_name AS a, b.p_name AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE AS score FROM n a JOIN n b ON a.p_name <> b.p_name)
@@ -457,11 +458,9 @@ def d4_override_apply(t):
     return joined.select("doc_id", F.coalesce("new", "lang").alias("lang"), F.when(F.col("new").isNotNull(), F.col("lang")).alias("was"))
 
 
-@query(f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, lang, doc_id) AS place FROM (SELECT d.doc_id, lang, {SCORE} AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) ORDER BY place LIMIT 50")
+@query(f"SELECT d.doc_id, lang, {SCORE} AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def t4_completeness_queue(t):
-    order = [F.desc("score"), F.col("lang"), F.col("doc_id")]
-    top = completeness(t).select("doc_id", "lang", "score").orderBy(*order).limit(50)
-    return top.select("doc_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return completeness(t).select("doc_id", "lang", "score").orderBy(F.desc("score"), "lang", "doc_id")
 
 
 @query("SELECT count(*) AS n, count(quality) AS filled, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(100.0 * count(quality) / count(*), 1) END AS completeness FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -511,9 +510,9 @@ def j17_match_strength(t):
 
 
 @query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title FROM pages), d AS (SELECT lower(title) AS key, min(page_id) AS page_id, count(*) AS n FROM a GROUP BY 1)
-SELECT key, page_id, n FROM d ORDER BY n DESC, key LIMIT 40""")
+SELECT key, page_id, n FROM d""")
 def t5_candidate_order(t):
-    return anchors(t).groupBy(F.lower("title").alias("key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(40)
+    return anchors(t).groupBy(F.lower("title").alias("key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).orderBy(F.desc("n"), "key")
 
 
 @query("""WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations)
