@@ -216,7 +216,7 @@ def j19_sync_plan(t):
 
 @query("""WITH n AS (SELECT o_orderkey AS id, o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0), l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 100 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer),
 x AS (SELECT n.id, l.id IS NOT NULL AS stored, coalesce(segment, o_orderpriority) AS segment FROM n LEFT JOIN l ON l.id = n.id)
-SELECT id, segment, CASE WHEN stored THEN id ELSE 1499 + row_number() OVER (PARTITION BY stored ORDER BY id) END AS serial FROM x""")
+SELECT id, segment, CASE WHEN stored THEN id ELSE (SELECT max(c_custkey) FROM customer) + row_number() OVER (PARTITION BY stored ORDER BY id) END AS serial FROM x""")
 def d13_ledger_upsert(t):
     """Stored rows keep their serial; inserts are numbered after the largest one, through counts of id ranges rather than one window."""
     incoming = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
