@@ -15,7 +15,7 @@ def header_rows(cells: DataFrame, sheet: Sequence[str], aliases: DataFrame, leas
 
     ``cells`` has the sheet's columns, row, col, value; ``aliases`` (value, field) is a rule table.
     """
-    known = cells.where(F.col("row") < HEADER_ROWS).join(F.broadcast(aliases.limit(10_000)), "value")
+    known = cells.where(F.col("row") < HEADER_ROWS).join(aliases, "value")
     rows = known.groupBy(*sheet, "row").agg(F.count_distinct("field").alias("fields"), F.count("*").alias("hits"))
     return rows.where((F.col("fields") >= least) & (F.col("hits") == F.col("fields"))).groupBy(*sheet).agg(F.min("row").alias("row"))
 
@@ -23,6 +23,6 @@ def header_rows(cells: DataFrame, sheet: Sequence[str], aliases: DataFrame, leas
 def sheet_records(cells: DataFrame, sheet: Sequence[str], aliases: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Rows below each header as columns named by field."""
     header = header_rows(cells, sheet, aliases).withColumnRenamed("row", "header")
-    named = cells.join(header, [*sheet]).where("row = header").join(F.broadcast(aliases.limit(10_000)), "value").select(*sheet, "col", "field")
+    named = cells.join(header, [*sheet]).where("row = header").join(aliases, "value").select(*sheet, "col", "field")
     body = cells.join(header, [*sheet]).where("row > header").join(named, [*sheet, "col"])
     return body.groupBy(*sheet, "row").pivot("field", list(fields)).agg(F.first("value", ignorenulls=True))
