@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ledgerloom.llm.memory import task
 from ledgerloom.session import ship
 
 _BATCH = 64
@@ -110,21 +111,24 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int32())), batch.column(2).take(pa.array(kept, pa.int32())), batch.column(3).take(pa.array(kept, pa.int32())), pa.array([np.packbits(x).tobytes() for _, x in rows if x is not None], pa.binary())], ["doc_id", "lang", "place", "bits"])
 
     # at most per_language rows for each language, each of a fixed size
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang", "place").mapInArrow(bits, "doc_id long, lang string, place int, bits binary").collect()
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang", "place").mapInArrow(task(bits), "doc_id long, lang string, place int, bits binary").collect()
     sample.sort(key=lambda r: (r["place"], r["lang"], r["doc_id"], bytes(r["bits"])))
     languages = tuple(sorted({r["lang"] for r in sample}))
     slots = 1 << settings.bits
     if not languages:
         return Model((), np.zeros((len(settings.orders), slots, 0), np.float32), settings)
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).reshape(len(settings.orders), slots) for r in sample]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=2, keepdims=True), 1)) * np.sqrt(len(settings.orders))
-    flat = x.reshape(len(sample), -1)
-    marks = flat[[i for i, r in enumerate(sample) if r["place"] <= settings.landmarks]]
+
+    def normed(rows: list) -> np.ndarray:
+        x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).reshape(len(settings.orders), slots) for r in rows]).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(axis=2, keepdims=True), 1)) * np.sqrt(len(settings.orders))
+        return x.reshape(len(rows), -1)
+
+    marks = normed([r for r in sample if r["place"] <= settings.landmarks])
     inner = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(inner)
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (flat @ marks.T).astype(np.float64) @ root
+    features = np.concatenate([normed(sample[i : i + _BATCH]) @ marks.T for i in range(0, len(sample), _BATCH)]).astype(np.float64) @ root
     features = np.hstack([features, np.ones((len(features), 1))])
     target = np.array([[r["lang"] == c for c in languages] for r in sample], float)
     share = 1 / (target.sum(axis=0)[[languages.index(r["lang"]) for r in sample]])  # each language weighs the same
@@ -183,7 +187,7 @@ def _with_scores(docs: DataFrame, model: Model, keep: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(labels, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[i] for i in keep]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task(run), schema)
 
 
 def language_table(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.memory import task
 from ledgerloom.session import ship, tasks
 
 _CHUNK_BITS = 20
@@ -363,13 +364,13 @@ def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, long_a
                     out[n].append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], ["doc_id", "rest", *out])
 
-    found = base.mapInArrow(runs, "key long, content long, doc_id long, row long, place long").repartition(parts, "key").mapInArrow(match, "row long, place long, key long, role byte")
+    found = base.mapInArrow(task(runs), "key long, content long, doc_id long, row long, place long").repartition(parts, "key").mapInArrow(task(match), "row long, place long, key long, role byte")
     by_row = found.groupBy("row").agg(F.collect_list(F.struct("place", "key", "role")).alias("found"))
-    cut = base.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "body", "rest", "found").mapInArrow(passages, "key long, doc_id long, row long, begin long, end long, passage binary")
-    marks = cut.repartition(parts, "key").mapInArrow(expand, "row long, begin long, end long")
+    cut = base.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "body", "rest", "found").mapInArrow(task(passages), "key long, doc_id long, row long, begin long, end long, passage binary")
+    marks = cut.repartition(parts, "key").mapInArrow(task(expand), "row long, begin long, end long")
     spans = marks.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     schema = T.StructType([base.schema["doc_id"], base.schema["rest"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return base.join(spans.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "body", "rest", "spans").mapInArrow(finish, schema)
+    return base.join(spans.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "body", "rest", "spans").mapInArrow(task(finish), schema)
 
 
 def _by_cell(key: np.ndarray, cost: np.ndarray):
@@ -407,7 +408,7 @@ def without_repeats(docs: DataFrame, min_length: int = 100) -> DataFrame:
     cut = cut_repeats(source, min_length)
     flat = cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in others], F.when(~F.col("rest").getField(null), F.col("kept")).alias("text"))
     schema = T.StructType([*flat.schema.fields[:-1], T.StructField("text", T.StringType())])
-    out = flat.mapInArrow(decode, schema)
+    out = flat.mapInArrow(task(decode), schema)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

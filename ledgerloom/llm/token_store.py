@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.memory import task
 from ledgerloom.llm.tokens import with_end, word_encoder
 from ledgerloom.session import scratch_path, ship, tasks
 
@@ -127,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
         if held:
             yield segment()
 
-    ordered.mapInArrow(run, _SCHEMA).write.parquet(path)
+    ordered.mapInArrow(task(run), _SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +164,7 @@ def _read(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
                 kind = pa.int64() if name == "ids_crc32" else pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column("doc_ids")[i].as_py(), "<i8"), mask=null), pa.array(begin + batch.column("base")[i].as_py() + batch.column("start_in_part")[i].as_py()), pa.array(counts), pa.array(values, kind)], ["doc_id", "start", "n_tokens", name])
 
-    return stored.join(F.broadcast(table), "part").select("base", "start_in_part", "doc_ids", "doc_counts", "doc_nulls", "body").mapInArrow(run, schema)
+    return stored.join(F.broadcast(table), "part").select("base", "start_in_part", "doc_ids", "doc_counts", "doc_nulls", "body").mapInArrow(task(run), schema)
 
 
 def token_table(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:

@@ -161,6 +161,17 @@ def test_token_store_round_trip(spark, docs, rows):
     assert token_store.token_table(nothing(docs)).count() == 0
 
 
+@pytest.mark.parametrize("begin", [0, 1, 5, 17])
+def test_sliced_columns_encode_alike(begin):
+    import pyarrow as pa
+
+    texts = pa.array(TEXTS, pa.string()).slice(begin, 6)
+    ids = [x for _, i, c in tokens.word_encoder(None).batches(texts) for x in np.split(i, np.cumsum(c)[:-1])]
+    assert [x.tolist() for x in ids] == [encoded(t) for t in TEXTS[begin : begin + 6]]
+    found = list(pieces.piece_codec(None).encode_column(texts))
+    assert [x.tolist() for x in found] == [pieces.piece_codec(None).model.encode(t) if t else [] for t in TEXTS[begin : begin + 6]]
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_token_blocks_round_trip(n):
     r = np.random.default_rng(n)
