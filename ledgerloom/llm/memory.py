@@ -12,6 +12,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 SLICE_ROWS = 1024
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str, clear: Callable[[], None]) -> None:
+    """Announce what a worker keeps between tasks under a name, and how to drop it."""
+    _kept[name] = clear
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -30,11 +36,17 @@ def release() -> None:
         pass
 
 
-def task(run: Callable) -> Callable:
-    """A ``mapInArrow`` function over small slices that gives memory back at its end."""
+def task(run: Callable, uses: str | None = None) -> Callable:
+    """A ``mapInArrow`` function over small slices that gives memory back at its end.
+
+    Of what earlier tasks kept in this worker only ``uses`` stays: one operator's memory does not burden the next one's tasks.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        for name, clear in _kept.items():
+            if name != uses:
+                clear()
         try:
             yield from run(slices(batches))
         finally:

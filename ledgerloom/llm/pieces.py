@@ -28,13 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.memory import task
+from ledgerloom.llm.memory import keep, task
 from ledgerloom.session import ship
 
 _SPACE = "▁"
 _CHECK_EVERY = 256
 _MEMORY_CHUNKS = 400_000
 _codecs: dict[str, PieceCodec] = {}
+keep("pieces", _codecs.clear)
 _SCORES, _MERGES = 1, 2  # the model kinds in the file format
 
 
@@ -230,7 +231,7 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else codec.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(task(run), "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(task(run, "pieces"), "doc_id long, text string")
 
 
 def piece_table(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -252,4 +253,4 @@ def _encode(docs: DataFrame, model: str | None, schema: str, names: list[str], v
                 some = batch.slice(begin, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), *value(codec, list(codec.encode_column(some.column(1))))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task(run), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task(run, "pieces"), schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, chat, embedding_dedup, langid, packing, pieces, simhash, suffix_dedup, token_store, url_filter
+from ledgerloom.llm import ann, chat, embedding_dedup, langid, oracles, packing, pieces, simhash, suffix_dedup, token_store, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle()}
+    return oracles.oracle_sql()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.memory import task
+from ledgerloom.llm.memory import keep, task
 from ledgerloom.session import ship, tasks
 
 _CHUNK_BITS = 20
@@ -38,6 +38,7 @@ _CELL_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _FULL, _CUT, _RECUT = 0, 1, 2
 _tables: dict[str, np.ndarray] = {}
+keep("powers", _tables.clear)
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -364,9 +365,9 @@ def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, long_a
                     out[n].append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], ["doc_id", "rest", *out])
 
-    found = base.mapInArrow(task(runs), "key long, content long, doc_id long, row long, place long").repartition(parts, "key").mapInArrow(task(match), "row long, place long, key long, role byte")
+    found = base.mapInArrow(task(runs, "powers"), "key long, content long, doc_id long, row long, place long").repartition(parts, "key").mapInArrow(task(match), "row long, place long, key long, role byte")
     by_row = found.groupBy("row").agg(F.collect_list(F.struct("place", "key", "role")).alias("found"))
-    cut = base.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "body", "rest", "found").mapInArrow(task(passages), "key long, doc_id long, row long, begin long, end long, passage binary")
+    cut = base.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "body", "rest", "found").mapInArrow(task(passages, "powers"), "key long, doc_id long, row long, begin long, end long, passage binary")
     marks = cut.repartition(parts, "key").mapInArrow(task(expand), "row long, begin long, end long")
     spans = marks.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     schema = T.StructType([base.schema["doc_id"], base.schema["rest"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")

@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
         if held:
             yield segment()
 
-    ordered.mapInArrow(task(run), _SCHEMA).write.parquet(path)
+    ordered.mapInArrow(task(run, "words"), _SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

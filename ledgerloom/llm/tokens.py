@@ -14,10 +14,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerloom.llm.memory import keep
+
 _TAIL = ".,;:!?"
 _SLICE_BYTES = 4 << 20
 _MEMORY_WORDS = 200_000
 _encoders: dict[str, WordEncoder] = {}
+keep("words", _encoders.clear)
 
 
 def word_encoder(path: str | None) -> WordEncoder:
