@@ -72,7 +72,7 @@ def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90) -
 
     At the default weights and threshold a pair needs a shared number, or an equal customer and names at least 0.78 alike, or names at
     least 0.92 alike with a contained customer (0.12 instead of 0.20) and near dates; each is a block with an equi-join, so nothing is lost.
-    A lower threshold than 0.61 would need other blocks and is refused.
+    Blank names are alike to nothing. A lower threshold than 0.61 would need other blocks and is refused.
     """
     if threshold < 0.61:
         raise ValueError("below 0.61 the blocks no longer hold every match")
@@ -94,7 +94,8 @@ def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90) -
     number = F.coalesce(F.arrays_overlap("l_numbers", "r_numbers"), F.lit(False))
     customer = F.when(F.col("l_customer") == F.col("r_customer"), 0.20).when(F.contains("l_customer", F.col("r_customer")) | F.contains("r_customer", F.col("l_customer")), 0.12).otherwise(0.0)
     near = F.coalesce(F.abs(F.date_diff("l_day", "r_day")) <= days, F.lit(False))
-    score = link_score(number, F.coalesce(similarity(F.col("l_name"), F.col("r_name")), F.lit(0.0)), F.lit(False), near)
+    named = (F.length("l_name") > 0) & (F.length("r_name") > 0)
+    score = link_score(number, F.when(named, similarity(F.col("l_name"), F.col("r_name"))).otherwise(0.0), F.lit(False), near)
     return joined.select("a", "b", F.least(F.lit(1.0), score + customer).alias("score")).where(F.col("score") >= threshold)
 
 

@@ -142,6 +142,15 @@ def test_link_score_thresholds(spark):
     assert score(True, 1.0, True, True) == 1.0
 
 
+def test_record_linkage_edges(spark):
+    rows = [(1, "north road", "city", ["N-1"], "2024-01-01"), (2, "completely different", "city", ["N-1"], "2024-02-01"), (3, "other", "town", ["N-1"], "2024-02-01"), (4, "", "city", [], "2024-01-01"), (5, "", "city", None, "2024-01-01"), (6, "north road", "old city", None, "2024-01-02"), (7, "north road", "old city", None, "2022-01-02"), (8, "north road", None, None, None), (9, None, "city", ["N-1"], None)]
+    records = spark.createDataFrame(rows, "id long, name string, customer string, numbers array<string>, day string").withColumn("day", F.to_date("day"))
+    got = {(r["a"], r["b"]): round(r["score"], 2) for r in K.match_records(records).collect()}
+    assert got == {(1, 2): 0.70, (1, 6): 0.72, (6, 7): 0.75}
+    with pytest.raises(ValueError):
+        K.match_records(records, 0.5)
+
+
 def test_allow_list_knows_look_alikes(spark):
     hosts = spark.createDataFrame([("a.example.org",), ("example.org",), ("notexample.org",), (None,)], "host string")
     allowed = spark.createDataFrame([("example.org",)], "domain string")
