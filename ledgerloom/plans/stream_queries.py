@@ -37,9 +37,15 @@ def x3_last_states(t):
 @query()
 def x2_stream_attempts(t):
     ship(t.spark)
-    out, state = scratch_path(t.spark, "attempts"), scratch_path(t.spark, "stream")
-    attempts = _stream(t, "events").withColumn("kind", F.when(F.col("event_type") == "click", "claim").otherwise("finish"))
-    intake.attempt_outcomes(attempts, "user_id", "ts", "kind").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    out, state, end = scratch_path(t.spark, "attempts"), scratch_path(t.spark, "stream"), scratch_path(t.spark, "end")
+    kinds = lambda events: events.select("user_id", "ts", F.when(F.col("event_type") == "click", "claim").otherwise("finish").alias("kind"))
+    closing = intake.closing_row(kinds(t.events), "user_id", "ts", "kind")
+    closing.where("false").write.parquet(end)
+    attempts = kinds(_stream(t, "events")).unionByName(t.spark.readStream.schema(closing.schema).parquet(end))
+    writer = intake.attempt_outcomes(attempts, "user_id", "ts", "kind").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    closing.write.mode("append").parquet(end)  # the table is whole: what still waits is settled
+    writer.start().awaitTermination()
     return t.spark.read.schema("user_id string, opened double, outcome string").parquet(out)
 
 

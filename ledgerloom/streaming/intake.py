@@ -5,6 +5,7 @@ Each takes a streaming DataFrame with an event time; run with ``availableNow`` o
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import url_key
 
-LEASE_SECONDS = 300
+LEASE_SECONDS, LATE_SECONDS = 300, 600
 
 
 def first_sightings(pages: DataFrame, url: str, time: str, horizon: str = "7 days") -> DataFrame:
@@ -46,39 +47,59 @@ def status_counts(events: DataFrame, time: str, status: str, late: str = "1 day"
 
 
 def attempt_outcomes(attempts: DataFrame, key: str, time: str, kind: str) -> DataFrame:
-    """State machine of attempts: ``claim`` opens a lease, ``finish`` within ``LEASE_SECONDS`` commits, later ones are ``late``; a lease that
-    event time overtakes is ``expired``. ``key`` is text; ``kind`` holds claim or finish."""
+    """State machine of attempts: ``claim`` opens a lease, ``finish`` within ``LEASE_SECONDS`` commits it, and a lease that event time overtakes is
+    ``expired``. A claim while a lease is open is refused, and a finish without an open lease (a late one has lost it) changes nothing; at one
+    moment finishes come first. ``key`` is text; ``kind`` holds claim or finish, other rows only move event time.
+
+    A row counts once no earlier one of its key can come (``LATE_SECONDS``), and until then waits in the state, so the outcomes do not depend on
+    how the input is cut into batches. ``closing_row`` settles what waits at the end of a finished input.
+    """
+    lease, late = LEASE_SECONDS * 1_000_000, LATE_SECONDS * 1000
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
-        if state.hasTimedOut:
-            out.append((name[0], state.get[0], "expired"))
+        opened, waiting = state.get if state.exists else (None, [])
+        watermark = state.getCurrentWatermarkMs()
+        horizon, waiting = watermark * 1000, list(waiting)
+        if not state.hasTimedOut:
+            for rows in frames:
+                rows = rows[(rows["_micros"] > watermark * 1000) & rows[kind].isin(["claim", "finish"])]
+                waiting += (rows["_micros"].astype("int64") * 2 + (rows[kind] == "claim")).tolist()
+        waiting.sort()  # by time, finishes first
+        if waiting:
+            horizon = max(horizon, (waiting[-1] // 2000 - late) * 1000)  # what the watermark will be at least
+        due = bisect_right(waiting, horizon * 2 + 1)
+        for code in waiting[:due]:
+            micros, claim = divmod(code, 2)
+            if opened is not None and micros > opened + lease:
+                out.append((name[0], opened / 1e6, "expired"))
+                opened = None
+            if claim:
+                opened = micros if opened is None else opened
+            elif opened is not None:
+                out.append((name[0], opened / 1e6, "committed"))
+                opened = None
+        waiting = waiting[due:]
+        if opened is not None and opened + lease < horizon:
+            out.append((name[0], opened / 1e6, "expired"))
+            opened = None
+        nearest = [code // 2 for code in waiting[:1]] + ([opened + lease] if opened is not None else [])
+        if nearest:
+            state.update((opened, waiting))
+            state.setTimeoutTimestamp(max(min(nearest) // 1000, watermark + 1))
+        elif state.exists:
             state.remove()
-        else:
-            opened = state.get[0] if state.exists else None
-            rows = pd.concat(list(frames)).sort_values(time)
-            for moment, what in zip(rows[time], rows[kind], strict=True):
-                seconds = moment.timestamp()
-                if what == "claim":
-                    opened = seconds
-                elif opened is not None:
-                    out.append((name[0], opened, "committed" if seconds - opened <= LEASE_SECONDS else "late"))
-                    opened = None
-            if opened is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((opened,))
-                limit = int((opened + LEASE_SECONDS) * 1000)
-                if limit > state.getCurrentWatermarkMs():
-                    state.setTimeoutTimestamp(limit)
-                else:
-                    out.append((name[0], opened, "expired"))
-                    state.remove()
         yield pd.DataFrame(out, columns=[key, "opened", "outcome"])
 
-    marked = attempts.select(F.col(key).cast("string").alias(key), F.col(time).cast("timestamp").alias(time), kind).withWatermark(time, "10 minutes")
-    return marked.groupBy(key).applyInPandasWithState(step, f"{key} string, opened double, outcome string", "opened double", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = attempts.select(F.col(key).cast("string").alias(key), F.col(time).cast("timestamp").alias(time), kind).withWatermark(time, f"{LATE_SECONDS} seconds")
+    marked = marked.withColumn("_micros", F.unix_micros(time))
+    return marked.groupBy(key).applyInPandasWithState(step, f"{key} string, opened double, outcome string", "opened long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def closing_row(attempts: DataFrame, key: str, time: str, kind: str) -> DataFrame:
+    """The row that ends a finished input of ``attempt_outcomes``: it moves event time just past the last attempt and is none itself."""
+    shift = F.make_dt_interval(secs=F.lit(LATE_SECONDS + 0.001))
+    return attempts.agg((F.max(time) + shift).alias(time)).select(F.lit(None).cast(attempts.schema[key].dataType).alias(key), time, F.lit(None).cast("string").alias(kind))
 
 
 def write_last_states(events: DataFrame, key: str, status: str, ordinal: str, path: str, checkpoint: str):
