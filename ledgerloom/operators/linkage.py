@@ -116,6 +116,21 @@ def contained(texts: DataFrame, id_col: str, text: str, contexts: DataFrame, con
     return met.join(texts.select(id_col, F.col(text).alias("_text")), id_col).where(F.contains("_text", F.col("_context"))).select(id_col, context_id).distinct()
 
 
+def existing_matches(texts: DataFrame, id_col: str, text: str, contexts: DataFrame, context_id: str, context: str, least: int = 12) -> DataFrame:
+    """Pairs of a text and a context that are equal, whatever their length, or of which one with ``least`` characters or more occurs in the other.
+
+    Blank ones match nothing. Only texts no longer than the longest context are looked for in contexts.
+    """
+    left, right = texts.select(id_col, F.col(text).alias("_left")), contexts.select(context_id, F.col(context).alias("_right"))
+    inside = contained(left, id_col, "_left", right, context_id, "_right", least)
+    longest = right.agg(F.max(F.length("_right"))).scalar()
+    around = contained(right, context_id, "_right", left.where(F.length("_left") <= longest), id_col, "_left", least).select(id_col, context_id)
+    # longer equal texts contain each other
+    short = lambda df, c: df.where((F.length(c) < least) & (F.length(F.trim(c)) > 0))
+    same = short(left, "_left").join(short(right, "_right"), F.col("_left") == F.col("_right")).select(id_col, context_id)
+    return inside.unionByName(around).unionByName(same).distinct()
+
+
 def keyword_matches(text: Column, words: Sequence[str], mode: str = "any") -> Column:
     """Whether a text holds any, or all, of the words."""
     hits = [F.contains(F.lower(text), F.lit(w.lower())) for w in words]

@@ -412,7 +412,7 @@ def j11_similar_hint(t):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(b.text) >= 12")
 def j12_containment(t):
-    return K.contained(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 12)
+    return K.existing_matches(t.documents, "doc_id", "text", t.benchmark, "item_id", "text", 12)
 
 
 @query("SELECT doc_id, contains(lower(text), 'with') OR contains(lower(text), 'pour') AS any_match, contains(lower(text), 'with') AND contains(lower(text), 'this') AND NOT contains(lower(text), 'license') AS all_match FROM documents")

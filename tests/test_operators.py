@@ -9,7 +9,7 @@ from ledgerloom.operators import linkage as K
 from ledgerloom.operators import tables as T
 from ledgerloom.operators.components import connected_components
 from ledgerloom.plans.project_queries import resolve
-from ledgerloom.plans.text_queries import allow_list
+from ledgerloom.plans.text_queries import allow_list, j12_containment
 
 
 def values(df, *order):
@@ -133,6 +133,20 @@ def test_containment_needs_twelve_characters(spark):
     assert values(K.contained(texts, "id", "t", contexts, "cid", "c")) == [(1, 7)]
 
 
+def test_existing_matches_equal_or_contained_either_way(spark):
+    names = ["road", "road works", "north road works phase two", "the north road works phase two contract", "roadworks 12", "x roadworks 12 x", "", " ", None, "Road", "a.b"]
+    texts = spark.createDataFrame(list(enumerate(names)), "id int, t string")
+    contexts = spark.createDataFrame([(100 + i, n) for i, n in enumerate(names)], "cid int, c string")
+    full = [(i, n) for i, n in enumerate(names) if n and n.strip()]
+    want = sorted((i, 100 + j) for i, a in full for j, b in full if a == b or (len(b) >= 12 and b in a) or (len(a) >= 12 and a in b))
+    assert {(0, 100), (2, 103), (3, 102), (5, 104)} <= set(want)
+    assert values(K.existing_matches(texts, "id", "t", contexts, "cid", "c")) == want
+    planted = spark.createDataFrame([(1, "passage of the long text"), (2, "short"), (3, "a passage of the long text here")], "doc_id long, text string")
+    stored = spark.createDataFrame([(7, "a passage of the long text here"), (8, "short")], "item_id long, text string")
+    tables = type("Tables", (), {"documents": planted, "benchmark": stored})
+    assert values(j12_containment(tables)) == [(1, 7), (2, 8), (3, 7)]
+
+
 def test_link_score_thresholds(spark):
     score = lambda number, sim, customer, date: one(spark, K.link_score(F.lit(number), F.lit(sim), F.lit(customer), F.lit(date)))
     assert score(True, 0.0, False, False) == pytest.approx(0.45)
