@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators import candidates as C
 from ledgerloom.operators import latest as L
 from ledgerloom.operators import linkage as K
 from ledgerloom.plans.registry import query
@@ -402,6 +403,15 @@ def j8_best_match(t):
     return L.one_per_key(both, ["a"], F.desc("score"), F.col("b"))
 
 
+@query(r"""WITH c AS (SELECT p_partkey AS candidate_id, regexp_replace(lower(p_name), '[^\p{L}\p{N}_]+', '', 'g') AS a FROM part), s AS (SELECT s_suppkey, regexp_replace(lower(s_name), '[^\p{L}\p{N}_]+', '', 'g') AS b FROM supplier),
+e AS (SELECT a, s_suppkey, 1 - levenshtein(a, b) / greatest(len(a), len(b))::DOUBLE AS score FROM (SELECT DISTINCT a FROM c), s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, s_suppkey) = 1)
+SELECT candidate_id, CASE WHEN score >= 0.68 THEN s_suppkey END AS matched_project_id, score FROM c JOIN e USING (a)""")
+def j8_best_scores(t):
+    """Every candidate with its best score, weak ones too; ``j8_best_match`` has the matches only."""
+    candidates = t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_name").alias("title"))
+    return C.best_project_scores(candidates, t.supplier.select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("project_name"), F.col("s_suppkey").alias("ordinal")))
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part), e AS (SELECT a.p_name AS a, b.p_name AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE AS score FROM n a JOIN n b ON a.p_name <> b.p_name)
 SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM e WHERE score >= 0.6 QUALIFY place <= 5""")
 def j11_similar_hint(t):

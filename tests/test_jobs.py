@@ -61,6 +61,17 @@ def test_project_match(spark, candidates):
     assert hints == [("P0", 1), ("P1", 2), ("P2", 3)]
 
 
+def test_weak_matches_keep_their_score(spark, candidates):
+    names = {"P1": "road works north", "P0": "Road Works North", "P2": "road works south", "P3": "", "P4": "fourteen"}
+    projects = spark.createDataFrame([(p, n, i) for i, (p, n) in enumerate(names.items())], "project_id string, project_name string, ordinal long")
+    got = by(C.best_project_scores(candidates, projects), "candidate_id", "matched_project_id", "score")
+    assert got["a"] == got["e"] == ("P1", 1.0) and got["g"] == got["h"] == (None, 0.0)
+    # fourth -> fourteen: h to e, and two letters more, of eight
+    assert got["d"] == (None, pytest.approx(0.625)) and 0 < got["b"][1] < 0.68 and got["b"][0] is None and got["c"][1] > 0
+    assert set(got) == set(by(candidates, "candidate_id", "title"))
+    assert {r["score"] for r in C.best_project_scores(candidates, projects.where("false")).collect()} == {0.0}
+
+
 def test_promotion_gate(deduped):
     promoted = C.promote(deduped)
     assert by(promoted, "candidate_id", "promotion_type")["h"] == C.DOCUMENT
