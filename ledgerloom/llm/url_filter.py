@@ -77,9 +77,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     parsed = parsed.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parsed = materialise(parsed.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("row", "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled")), "urls")
     kept_out = F.coalesce(F.col("page_id") % 5 == 0, F.lit(False))
+    sides = parsed.where("ruled IS NOT NULL").groupBy("ruled").agg(F.count_if(kept_out).alias("out"), F.count_if(~kept_out).alias("used")).collect()  # two rows
+    # page ids may leave a kind without examples on one side of the split: then all ruled rows are counted, and all calibrate
+    split = all(r["out"] and r["used"] for r in sides)
+    counted, calibrating = (~kept_out, kept_out) if split else (F.lit(True), F.lit(True))
     grams = parsed.select("row", "page_id", "host", "path", "rule", "ruled", F.explode(F.regexp_extract_all(letters(F.col("host"), F.col("path")), F.lit("(?=(...))"), F.lit(1))).alias("gram"))
 
-    learned = grams.groupBy("gram").agg(*[F.count_if((F.col("ruled") == k) & ~kept_out).alias(f"{k}_n3") for k in kinds])
+    learned = grams.groupBy("gram").agg(*[F.count_if((F.col("ruled") == k) & counted).alias(f"{k}_n3") for k in kinds])
     n3 = materialise(learned, "url-grams")
     total = lambda table, key, old, new: table.groupBy(key).agg(*[F.sum(f"{k}_{old}").alias(f"{k}_{new}") for k in kinds])
     contexts = lambda table, key, old, c, k_: table.groupBy(key).agg(*[e for k in kinds for e in (F.sum(f"{k}_{old}").alias(f"{k}_{c}"), F.count_if(F.col(f"{k}_{old}") > 0).alias(f"{k}_{k_}"))])
@@ -94,7 +98,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     scored = grams.join(F.broadcast(model), "gram").groupBy("row", "page_id", "host", "path", "rule", "ruled").agg((F.sum("weight") / F.count("*") / 1e6).alias("score"))
     scored = materialise(scored, "url-scores")
-    stats = {r["ruled"]: r for r in scored.where(F.col("ruled").isNotNull() & kept_out).groupBy("ruled").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread")).collect()}  # two rows
+    stats = {r["ruled"]: r for r in scored.where(F.col("ruled").isNotNull() & calibrating).groupBy("ruled").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread")).collect()}  # two rows
     if sizes["allow_n"] and sizes["block_n"]:
         if len(stats) == 2:
             a, b = stats["allow"], stats["block"]

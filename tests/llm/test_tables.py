@@ -133,6 +133,14 @@ def test_url_model(spark):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda i: 10 * i, lambda i: 5 * i + 1])
+def test_url_filter_learns_whatever_the_ids(spark, ids):
+    urls = [f"https://example.org/en/2{i:03d}/good" for i in range(40)] + [f"https://example.org/es/{i:03d}/malo" for i in range(40)] + ["https://unknown.net/es/777/malo", "https://unknown.net/en/2777/good"]
+    pages = spark.createDataFrame([(ids(i), u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["score"]) for r in url_filter.judge(pages).where("rule IS NULL").collect()}
+    assert got[ids(80)][0] == "block" and got[ids(81)][0] == "allow" and got[ids(80)][1] < got[ids(81)][1]
+
+
 def test_url_filter_is_native(spark):
     plan = url_filter.judge(spark.read.parquet(f"{SMALL}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
