@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,6 +41,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of the shared folder that are read only until ``clear``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def materialise(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that is no longer read."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,8 +65,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that tasks can import it."""
+    """Send this package to the executors once per context, so that tasks can import it.
+
+    Where the session leaves the size of Arrow batches at Spark's default of 64 MB, they are set to 8 MB: what a Python task and
+    its executor hold at a time is then bounded in bytes, however long the rows are.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES, None) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "8m")
     if getattr(ship, "sent_to", None) == context.applicationId:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-code-"), "ledgerloom_code.zip")
