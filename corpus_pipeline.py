@@ -1,7 +1,8 @@
 """The corpus pipeline: language identification, SimHash near-duplicates, repeated passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last keep the columns of ``documents``. ``run`` writes
-each stage's result to the shared scratch folder and reads it back for the next, so a lost executor never costs an earlier stage.
+each stage's result to the shared scratch folder, reads it back for the next and then drops the one before, so a lost executor never
+costs an earlier stage.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, packing, simhash, suffix_dedup
-from ledgerloom.session import materialise
+from ledgerloom.session import Scratch
 
-#: A document goes when no language gets this membership value; ordinary text, even of one or two words, scores above 0.3.
-MIN_SCORE = 0.2
+#: The membership values of a text sum to about 1. A document goes when no language gets this part of an equal share.
+MIN_SHARE = 0.8
 
 #: SQL cannot express string-kernel regression or best-fit packing; tests/llm holds brute-force versions.
 ORACLE_SQL = None
@@ -24,18 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    longest = 1 + max(map(len, docs.columns))
+    label, score = "_" * longest, "_" * (longest + 1)  # names that no column has
+    found = langid.identify(docs, model, label, score)
+    return found.where((F.col(label) != "und") & (F.col(score) >= MIN_SHARE / len(model.languages))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays. Rows without a doc_id stay; of rows that repeat one, one stays."""
-    groups = simhash.simhash_groups(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept
+    """One row of each group stays, the smallest doc_id; rows are told apart, so one doc_id may have several texts."""
+    return simhash.first_of_groups(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +50,10 @@ STAGES = [("language_id", language_id), ("simhash_near_dedup", near_duplicates),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        own = Scratch(spark)
+        docs = own.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before.clear()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)
