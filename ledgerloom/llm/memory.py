@@ -36,8 +36,8 @@ def release() -> None:
         pass
 
 
-def task(run: Callable, uses: str | None = None) -> Callable:
-    """A ``mapInArrow`` function over small slices that gives memory back at its end.
+def task(run: Callable, uses: str | None = None, rows: int = SLICE_ROWS) -> Callable:
+    """A ``mapInArrow`` function over slices of at most ``rows`` that gives memory back at its end.
 
     Of what earlier tasks kept in this worker only ``uses`` stays: one operator's memory does not burden the next one's tasks.
     """
@@ -48,7 +48,7 @@ def task(run: Callable, uses: str | None = None) -> Callable:
             if name != uses:
                 clear()
         try:
-            yield from run(slices(batches))
+            yield from run(slices(batches, rows))
         finally:
             release()
 

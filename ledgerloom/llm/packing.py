@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.llm.memory import task as bounded
-from ledgerloom.llm.tokens import with_end, word_encoder
+from ledgerloom.llm.tokens import SLICE_ROWS, with_end, word_encoder
 from ledgerloom.session import materialise, ship
 
 _RANK_BITS = 44
@@ -124,7 +124,7 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str | N
                 seen[length[order][heads]] += size
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(first + doc)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task), pa.int32()), pa.array(place)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(bounded(run, "words"), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(bounded(run, "words", SLICE_ROWS), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
 def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.memory import task
-from ledgerloom.llm.tokens import with_end, word_encoder
+from ledgerloom.llm.tokens import SLICE_ROWS, with_end, word_encoder
 from ledgerloom.session import scratch_path, ship, tasks
 
 BLOCK = 128
@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
         if held:
             yield segment()
 
-    ordered.mapInArrow(task(run, "words"), _SCHEMA).write.parquet(path)
+    ordered.mapInArrow(task(run, "words", SLICE_ROWS), _SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

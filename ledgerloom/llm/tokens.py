@@ -1,12 +1,15 @@
-"""Token ids of whole texts, encoded word by word with a worker-wide memory.
+"""Token ids of whole texts, encoded part by part with a worker-wide memory.
 
-The vocabulary's rules never join across ASCII white space, so the ids of a text are those of its words in order. A batch
-is lower-cased (A-Z, which the vocabulary's own normaliser does as well) and split, and its distinct words are found, by Arrow;
-only words that the worker has not met are sent to the tokenizer. Punctuation after a letter or digit is encoded on its own. Texts that hold the opening of a special token (``<|``) are encoded whole.
+The given vocabulary's rules never join across white space, nor a letter or digit with the ASCII sign after it (apostrophes
+apart), so the ids of a text are those of its parts in order. A slice of texts is lower-cased (A-Z, which the vocabulary's own
+normaliser does as well) and cut as one byte array, its distinct parts are found by Arrow, and only parts that the worker has not
+met are sent to the tokenizer. Texts that hold the opening of a special token (``<|``) are encoded whole, and so is every text
+with a tokenizer file of other rules.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -16,12 +19,20 @@ import pyarrow.compute as pc
 
 from ledgerloom.llm.memory import keep
 
-_TAIL = ".,;:!?"
-_SLICE_BYTES = 4 << 20
-_MEMORY_WORDS = 200_000
+SLICE_ROWS = 4096
+_SLICE_BYTES = 8 << 20
+_MEMORY_PARTS = 250_000
 _encoders: dict[str, WordEncoder] = {}
 keep("words", _encoders.clear)
 
+# The rules, as the tokenizer file states them, under which parts can be encoded on their own.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_WORD = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+_SIGN = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
+
 
 def word_encoder(path: str | None) -> WordEncoder:
     """The encoder of this process for a tokenizer file; by default the public lower-case word vocabulary."""
@@ -34,47 +45,40 @@ def word_encoder(path: str | None) -> WordEncoder:
     return _encoders[path]
 
 
+def _cuttable(rules: dict) -> bool:
+    """Whether the ids of a text are those of its parts under the rules of a tokenizer file."""
+    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return rules.get("normalizer") == _NORMALIZER and split and not rules.get("truncation") and not rules.get("padding")
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_part = _cuttable(json.loads(self.tokenizer.to_str()))
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word (without A-Z) as unsigned 32-bit integers. Of the words met, those used since the last turnover are kept."""
-        if len(self.memory) > _MEMORY_WORDS:
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of these distinct parts (without A-Z) as unsigned 32-bit integers. Of the parts met, those used since
+        the last turnover are kept."""
+        if len(self.memory) > _MEMORY_PARTS:
             self.older, self.memory = self.memory, {}
         memory, older = self.memory, self.older
-        memory[""] = b""
-        out = list(map(memory.get, words))
-        missing, fresh = [], {}
-        for i, known in enumerate(out):
+        out = list(map(memory.get, parts))
+        fresh = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            known = older.get(parts[i])
             if known is None:
-                word = words[i]
-                known = older.get(word)
-                if known is not None:
-                    out[i] = memory[word] = known
-                    continue
-                stem = word.rstrip(_TAIL)
-                tail = word[len(stem) :]
-                if not (tail and stem and ord(stem[-1]) < 0x250 and (stem[-1].isalpha() or stem[-1] in "0123456789")):
-                    stem, tail = word, ""
-                missing.append((i, stem, tail))
-                for part in (stem, tail):
-                    if part not in memory:
-                        known = older.get(part)
-                        if known is None:
-                            fresh[part] = None
-                        else:
-                            memory[part] = known
+                fresh.append(i)
+            else:
+                out[i] = memory[parts[i]] = known
         if fresh:
-            for part, found in zip(fresh, self.tokenizer.encode_batch_fast(list(fresh), add_special_tokens=False), strict=True):
-                memory[part] = array("I", found.ids).tobytes()
-        for i, stem, tail in missing:
-            out[i] = memory[words[i]] = memory[stem] + memory[tail] if tail else memory[stem]
+            for i, found in zip(fresh, self.tokenizer.encode_batch_fast([parts[i] for i in fresh], add_special_tokens=False), strict=True):
+                out[i] = memory[parts[i]] = array("I", found.ids).tobytes()
         return out
 
     def batches(self, texts: pa.Array):
@@ -86,42 +90,74 @@ class WordEncoder:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield (int(a), *self._encode(texts.slice(a, b - a)))
 
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_part:
+            pieces = self._whole(texts.to_pylist())
+            return np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
-        whole = {int(i): np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, "<u4") for i in odd}
+        whole = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist()), strict=True)) if len(odd) else {}
         if whole:
             mask = np.zeros(len(texts), bool)
             mask[odd] = True
             texts = pc.if_else(pa.array(mask), "", texts)
-        lists = pc.ascii_split_whitespace(_lower(texts))
-        coded = pc.dictionary_encode(lists.flatten())
-        kinds = self.words(coded.dictionary.to_pylist())
-        # a slice holds far fewer than 2**31 ids, unless one text is that long
-        width = np.int32 if len(coded.indices) < 1 << 26 else np.int64
-        length = np.fromiter(map(len, kinds), width, len(kinds)) // 4
-        pool = np.frombuffer(b"".join(kinds), "<u4")
-        index = coded.indices.to_numpy()
-        each = length[index]
-        total = np.zeros(len(each) + 1, width)
-        np.cumsum(each, out=total[1:])
-        edges = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        ids = pool[np.repeat((np.cumsum(length, dtype=width) - length)[index] - total[:-1], each) + np.arange(total[-1], dtype=width)] if total[-1] else np.zeros(0, "<u4")
-        counts = np.diff(edges).astype(np.int64)
+        letters, edges = cut(texts)
+        coded = pa.LargeStringArray.from_buffers(len(edges[0]) - 1, pa.py_buffer(edges[0]), pa.py_buffer(letters)).dictionary_encode()
+        kinds = self.parts(coded.dictionary.to_pylist())
+        ids, ends = gather(kinds, coded.indices.to_numpy(), 4)
+        at = ends[edges[1]]
+        counts = np.diff(at)
         if whole:
-            pieces = [whole.get(i, ids[edges[i] : edges[i + 1]]) for i in range(len(counts))]
-            ids, counts = np.concatenate(pieces), np.array([len(x) for x in pieces])
+            pieces = [whole.get(i, ids[at[i] : at[i + 1]]) for i in range(len(counts))]
+            ids, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
         return ids, counts
 
 
-def _lower(texts: pa.LargeStringArray) -> pa.LargeStringArray:
-    """A copy with A-Z lower-cased that begins at offset 0. Arrow's own function goes astray on the arrays that a cast of a slice makes."""
+def gather(kinds: list[bytes], index: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items of ``kinds`` (each of whole units of ``width`` bytes) in the order of ``index``, joined, and where each begins and ends."""
+    length = np.fromiter(map(len, kinds), np.int64, len(kinds)) // width
+    pool = np.frombuffer(b"".join(kinds), "<u4" if width == 4 else np.uint8)
+    each = length[index]
+    ends = np.zeros(len(each) + 1, np.int64)
+    np.cumsum(each, out=ends[1:])
+    # positions fit 32 bits unless one text alone is that long
+    kind = np.int32 if ends[-1] < 1 << 30 and len(pool) < 1 << 30 else np.int64
+    shift = ((np.cumsum(length) - length)[index] - ends[:-1]).astype(kind)
+    return pool[np.repeat(shift, each) + np.arange(ends[-1], dtype=kind)], ends
+
+
+def buffers(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and the offsets of each in them."""
     if not len(texts):
-        return texts
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    letters = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if data else np.zeros(0, np.uint8)
-    letters |= ((letters - np.uint8(65)) < 26).astype(np.uint8) << 5
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(letters))
+    return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)), offsets - offsets[0]
+
+
+def cut(texts: pa.LargeStringArray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The lower-cased bytes that are no white space, the offsets of the parts in them, and how many parts come before each text."""
+    data, offsets = buffers(texts)
+    data = data | ((data - np.uint8(65)) < 26).astype(np.uint8) << 5
+    inside = ~_SPACE[data]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    begins = begins[:-1]
+    begins[1:] |= ~inside[:-1]
+    sign = np.flatnonzero(_SIGN[data[1:]]) + 1
+    before = data[sign - 1]
+    begins[sign[_WORD[before]]] = True
+    # a letter of two bytes, U+00C0 to U+027F, but not U+00D7 and U+00F7 (signs) nor U+0130 (its lower case ends in a mark)
+    sign = sign[(before >= 0x80) & (sign > 1)]
+    lead, last = data[sign - 2], data[sign - 1]
+    begins[sign[(lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC4) & (last == 0xB0))]] = True
+    begins &= inside
+    letters = data[inside]
+    parts = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int64)
+    before_text = np.searchsorted(np.flatnonzero(begins), offsets)
+    return letters, (parts, before_text)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
