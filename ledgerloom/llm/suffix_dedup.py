@@ -6,15 +6,21 @@ an earlier start). Strings are judged on the input and never cross documents.
 1. **Runs.** Every start of a ``min_length`` string is keyed by the smallest ``anchor``-byte hash inside the string. Neighbouring
    starts with the same anchor form a run; equal strings always have equal keys, so they meet in one cell.
 2. **Cells.** Runs whose whole content repeats keep one representative, the earliest; the others are removed as a whole. Within
-   a task this happens before the shuffle, so a passage that a third of all documents share crosses it once per task.
-   Keys that only one content has need nothing more. Keys with more than ``hot`` different contents are cut again by longer anchors.
+   a slice of a task this happens before the shuffle, so a passage that a third of all documents share crosses it once per slice.
+   Keys that only one content has need nothing more. The runs of a key that has more than ``hot`` different contents are cut into
+   their single strings, each keyed by its own hash; equal ones again cross once per slice.
 3. **Threshold-bounded interval expansion.** The representatives of a cell are suffix-sorted to ``min_length``; from the
    Burrows-Wheeler transform, intervals of equal prefixes are extended backwards breadth-first, level by level, which yields the
    common prefixes between neighbouring suffixes in increasing order. The expansion stops at ``min_length``: boundaries that were
    never reached lie between suffixes that share that much, and all but the earliest suffix of such a class are marked.
 4. **Documents.** The marked byte ranges of each document are merged and cut out.
 
-Texts cross one shuffle, by row, which steps 1, 3 and 4 read; the others move hashes, or the passages that can repeat.
+Texts cross one shuffle, by row, which steps 1, 3 and 4 read; the others move hashes, or the passages that can repeat. Both sides of a
+cell are sorted by Spark, which spills, and streamed: a task holds some slices, at most ``hot`` hashes of one key, and one cell.
+
+**What decides.** Step 2 takes two runs for equal when their anchors agree and the 64-bit hashes of their whole contents do; of the
+representatives, step 3 compares the bytes themselves. Of the bytes removed from the given documents (sf0.1), ``share_by_expansion``
+gives the share that only step 3 finds.
 
 **Edge cases.** Null texts are empty. Texts shorter than ``min_length`` bytes are kept whole. A null doc_id counts as smaller than
 any other. Rows that share a doc_id are separate documents, in the order in which they are read. An empty table gives an empty result.
@@ -33,8 +39,11 @@ from pyspark.sql import types as T
 from ledgerloom.llm.memory import keep, task
 from ledgerloom.session import ship, tasks
 
-_CHUNK_BITS = 20
+_CHUNK_BITS = 18
 _CELL_BYTES = 1 << 20
+_EMIT = 1 << 16
+_LENGTH_BITS = 20
+_MAX_LENGTH = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _FULL, _CUT, _RECUT = 0, 1, 2
 _tables: dict[str, np.ndarray] = {}
@@ -239,11 +248,55 @@ def _frame(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
-def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, long_anchor: int = 80, hot: int = 20_000) -> DataFrame:
+class _Kinds:
+    """What a key sorted before others has, in bounded memory: rows come sorted by key, content and age, slice by slice.
+
+    Rows whose content came before are emitted as repeats at once. The first of each content waits until its key's number of
+    contents is known: more than ``hot`` of them need not wait any longer.
+    """
+
+    def __init__(self, hot: int):
+        self.hot = hot
+        self.waiting = tuple(np.zeros(0, np.int64) for _ in range(4))
+        self.last, self.gone = None, 0  # the last row's key and content; contents of its key that were emitted already
+
+    def add(self, key: np.ndarray, content: np.ndarray, row: np.ndarray, place: np.ndarray):
+        """``(row, place, key, role)`` arrays of what is known after these rows."""
+        waited = len(self.waiting[0])
+        key, content, row, place = (np.concatenate(x) for x in zip(self.waiting, (key, content, row, place), strict=True))
+        new_key = np.append(True, key[1:] != key[:-1])
+        new = new_key.copy()
+        new[1:] |= content[1:] != content[:-1]
+        if not waited and self.last:
+            new[0] = self.last != (key[0], content[0])
+        group = np.cumsum(new_key) - 1
+        kinds = np.bincount(group, weights=new).astype(np.int64)
+        if self.last and self.last[0] == key[0]:
+            kinds[0] += self.gone
+        ends = group == group[-1]
+        over = kinds > self.hot
+        known = new & np.where(ends, over[-1], kinds[group] > 1)
+        wait = new & ends & ~over[-1]
+        self.gone = int(kinds[-1]) if over[-1] else 0
+        self.last = key[-1], content[-1]
+        self.waiting = key[wait], content[wait], row[wait], place[wait]
+        out = known | ~new
+        return row[out], place[out], key[out], np.where(~new, _FULL, np.where(over[group], _RECUT, _CUT))[out]
+
+    def finish(self):
+        key, _, row, place = self.waiting
+        some = len(key) > 1
+        return (row, place, key, np.full(len(key), _CUT)) if some else tuple(x[:0] for x in (row, place, key, key))
+
+
+def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, hot: int = 20_000, as_text: bool = False) -> DataFrame:
     """``docs`` rows as ``(doc_id, rest, n_bytes, n_removed, n_spans, kept)``; ``rest`` holds the other columns of ``docs``.
 
-    The three readers of ``base`` take all its columns, so that Spark plans its exchange once.
+    ``kept`` is binary; ``as_text`` makes it a string, without the bytes that are left of a character which a cut halves.
+    The three readers of ``base`` take all its columns, so that Spark plans its exchange once. ``min_length`` may be ``anchor`` to 65,536.
     """
+    if not anchor <= min_length <= _MAX_LENGTH:
+        raise ValueError(f"min_length must be between anchor and {_MAX_LENGTH}")
     ship(docs.sparkSession)
     parts = tasks(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -251,92 +304,106 @@ def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, long_a
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("body"), rest.alias("rest")).repartition(parts, "row")
 
     def runs(batches):
-        held = []
         for batch in batches:
             data, offsets = _binary(batch.column("body"))
             which, start, length, key, content = find_runs(data, offsets, min_length, anchor)
-            held.append((key, content, _ids(batch.column("doc_id"))[which], batch.column("row").to_numpy()[which], start, length))
-        if not held:
-            return
-        key, content, doc, row, start, length = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, row, doc, content, key))
-        repeat = np.zeros(len(order), bool)
-        repeat[1:] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-        again = np.zeros(len(order), bool)
-        again[order] = repeat
-        key = np.where(again, row * 0x5851F42D + 7, key)  # these only travel back to their document
-        place = (start << 11) | (length << 1) | again
-        for i in range(0, len(key), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield _frame({"key": key[s], "content": content[s], "doc_id": doc[s], "row": row[s], "place": place[s]})
+            doc, row = _ids(batch.column("doc_id"))[which], batch.column("row").to_numpy()[which]
+            order = np.lexsort((start, row, doc, content, key))
+            repeat = np.zeros(len(order), bool)
+            repeat[1:] = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+            again = np.zeros(len(order), bool)
+            again[order] = repeat
+            key = np.where(again, _own_key(row), key)  # these only travel back to their document
+            place = (start << (_LENGTH_BITS + 1)) | (length << 1) | again
+            for i in range(0, len(key), _EMIT):
+                s = slice(i, i + _EMIT)
+                yield _frame({"key": key[s], "content": content[s], "doc_id": doc[s], "row": row[s], "place": place[s]})
 
     def match(batches):
-        held = [[_ids(c) for c in batch.columns] for batch in batches]
-        if not held:
-            return
-        key, content, doc, row, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        again = (place & 1).astype(bool)
-        out = [(row[again], place[again] >> 1, np.zeros(again.sum(), np.int64), np.full(again.sum(), _FULL))]
-        key, content, doc, row, place = (x[~again] for x in (key, content, doc, row, place))
-        order = np.lexsort((place, row, doc, content, key))
-        key, content, row, place = key[order], content[order], row[order], place[order]
-        new_key = np.ones(len(key), bool)
-        new_key[1:] = key[1:] != key[:-1]
-        new = new_key.copy()
-        new[1:] |= content[1:] != content[:-1]
-        group = np.cumsum(new_key) - 1
-        kinds = np.bincount(group[new], minlength=1)[group] if len(key) else np.zeros(0, int)
-        full = ~new
-        cut = new & (kinds > 1)
-        out.append((row[full], place[full] >> 1, key[full], np.full(full.sum(), _FULL)))
-        out.append((row[cut], place[cut] >> 1, key[cut], np.where(kinds[cut] > hot, _RECUT, _CUT)))
-        row, place, key, role = (np.concatenate(x) for x in zip(*out, strict=True))
-        for i in range(0, len(key), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            yield _frame({"row": row[s], "place": place[s], "key": key[s], "role": role[s].astype(np.int8)})
+        kinds = _Kinds(hot)
+
+        def frames(row, place, key, role):
+            for i in range(0, len(key), _EMIT):
+                s = slice(i, i + _EMIT)
+                yield _frame({"row": row[s], "place": place[s] >> 1, "key": key[s], "role": role[s].astype(np.int8)})
+
+        for batch in batches:
+            key, content, row, place = (batch.column(n).to_numpy() for n in ("key", "content", "row", "place"))
+            again = (place & 1).astype(bool)
+            yield from frames(row[again], place[again], key[again], np.full(again.sum(), _FULL))
+            if not again.all():
+                yield from frames(*kinds.add(*(x[~again] for x in (key, content, row, place))))
+        yield from frames(*kinds.finish())
 
     def passages(batches):
         for batch in batches:
-            rows, docs_, bodies, found = batch.column("row").to_numpy(), batch.column("doc_id"), batch.column("body"), batch.column("found")
+            rows, docs_, bodies, found = batch.column("row").to_numpy(), _ids(batch.column("doc_id")), batch.column("body"), batch.column("found")
+            known: list[tuple[np.ndarray, ...]] = []
             out: dict[str, list] = {n: [] for n in ("key", "doc_id", "row", "begin", "end", "passage")}
+            first: dict[bytes, int] = {}  # single strings of this slice, and where the earliest is in ``out``
             for i in range(batch.num_rows):
                 runs_ = found[i].values
                 place, key, role = (runs_.field(n).to_numpy() for n in ("place", "key", "role"))
-                start, length = place >> 10, place & 1023
+                start, length = place >> _LENGTH_BITS, place & ((1 << _LENGTH_BITS) - 1)
                 whole = role == _FULL
                 if whole.any():
-                    for a, b in zip(*_merge(start[whole], (start + length + min_length - 1)[whole]), strict=True):
-                        for n, x in zip(out, (int(rows[i]) * 0x5851F42D + 7, None, rows[i], a, b, None), strict=True):
-                            out[n].append(x)
-                if not whole.all():
-                    body = bodies[i].as_py()
-                    for a, m, k, r in zip(start[~whole].tolist(), length[~whole].tolist(), key[~whole].tolist(), role[~whole].tolist(), strict=True):
-                        parts_ = [(a, m, k)]
-                        if r == _RECUT:
-                            own = np.frombuffer(body[a : a + m + min_length - 1], np.uint8)
-                            _, s, t, k2, _ = find_runs(own, np.array([0, len(own)]), min_length, long_anchor, 0x2545F491)
-                            parts_ = [(a + x, y, z) for x, y, z in zip(s.tolist(), t.tolist(), k2.tolist(), strict=True)]
-                        for x, y, z in parts_:
-                            for n, v in zip(out, (z, docs_[i].as_py(), rows[i], x, x + y, body[x : x + y + min_length - 1]), strict=True):
+                    a, b = _merge(start[whole], (start + length + min_length - 1)[whole])
+                    known.append((np.full(len(a), rows[i]), a, b))
+                if whole.all():
+                    continue
+                body = bodies[i].as_py()
+                for a, m, k, r in zip(start[~whole].tolist(), length[~whole].tolist(), key[~whole].tolist(), role[~whole].tolist(), strict=True):
+                    if r == _CUT:
+                        for n, v in zip(out, (k, docs_[i], rows[i], a, a + m, body[a : a + m + min_length - 1]), strict=True):
+                            out[n].append(v)
+                        continue
+                    own = np.frombuffer(body[a : a + m + min_length - 1], np.uint8)
+                    _, at, _, keys, _ = find_runs(own, np.array([0, len(own)]), min_length, min_length, 0x2545F491)
+                    for x, k2 in zip((at + a).tolist(), keys.tolist(), strict=True):
+                        string = body[x : x + min_length]
+                        other = first.setdefault(string, len(out["key"]))
+                        if other == len(out["key"]):
+                            for n, v in zip(out, (k2, docs_[i], rows[i], x, x + 1, string), strict=True):
                                 out[n].append(v)
-            wrapped = [v - (1 << 64) if v >> 63 & 1 and v > 0 else v for v in (x & ((1 << 64) - 1) for x in map(int, out["key"]))]
-            yield _frame({"key": pa.array(wrapped, pa.int64()), "doc_id": pa.array(out["doc_id"], pa.int64()), "row": pa.array(out["row"], pa.int64()), "begin": pa.array(out["begin"], pa.int64()), "end": pa.array(out["end"], pa.int64()), "passage": pa.array(out["passage"], pa.binary())})
+                            continue
+                        later, earlier = (docs_[i], rows[i], x), (out["doc_id"][other], out["row"][other], out["begin"][other])
+                        if later < earlier:
+                            later, earlier = earlier, later
+                            out["doc_id"][other], out["row"][other], out["begin"][other], out["end"][other] = *earlier, earlier[2] + 1
+                        known.append((np.array([later[1]]), np.array([later[2]]), np.array([later[2] + min_length])))
+            if known:
+                row, begin, end = (np.concatenate(x) for x in zip(*known, strict=True))
+                yield _frame({"key": _own_key(row), "doc_id": row, "row": row, "begin": begin, "end": end, "passage": pa.nulls(len(row), pa.binary())})
+            if out["key"]:
+                yield _frame({n: pa.array(x, pa.binary() if n == "passage" else pa.int64()) for n, x in out.items()})
 
     def expand(batches):
-        held = []
+        held, size = [], 0
         for batch in batches:
             known = batch.column("passage").is_null().to_numpy(zero_copy_only=False)
             if known.any():
                 yield batch.filter(pa.array(known)).select(["row", "begin", "end"])
-            held.append(batch.filter(pa.array(~known)))
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        key, doc, row, begin, end = (_ids(table.column(n).combine_chunks()) for n in ("key", "doc_id", "row", "begin", "end"))
+                batch = batch.filter(pa.array(~known))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < _CELL_BYTES:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            at = int(np.flatnonzero(key == key[-1])[0])  # the last key may go on
+            if at:
+                yield from cells(table.slice(0, at))
+            held = table.slice(at).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held) if at else 0  # a long cell is joined up again only after as much more has come
+        if held:
+            yield from cells(pa.Table.from_batches(held))
+
+    def cells(table):
+        key, row, begin, end = (table.column(n).to_numpy() for n in ("key", "row", "begin", "end"))
         passage = table.column("passage").combine_chunks()
-        cells = _by_cell(key, (end - begin) + min_length)
-        for some in cells:
-            some = some[np.lexsort((begin[some], row[some], doc[some]))]
+        for some in _by_cell(key, (end - begin) + min_length):
             length = end[some] - begin[some]
             marked = repeated_starts(passage.take(pa.array(some)).to_pylist(), length, min_length)
             base_of = np.cumsum(length) - length
@@ -361,19 +428,25 @@ def cut_repeats(docs: DataFrame, min_length: int = 100, anchor: int = 32, long_a
                     begin, end = _merge(own.field("begin").to_numpy(), own.field("end").to_numpy())
                     removed, count = int((end - begin).sum()), len(begin)
                     kept = b"".join(body[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(body)], strict=True))
+                if as_text:
+                    kept = kept.decode("utf-8", "ignore")
                 for n, x in zip(out, (len(body), removed, count, kept), strict=True):
                     out[n].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], ["doc_id", "rest", *out])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.string() if as_text else pa.binary())], ["doc_id", "rest", *out])
 
-    found = base.mapInArrow(task(runs, "powers"), "key long, content long, doc_id long, row long, place long").repartition(parts, "key").mapInArrow(task(match), "row long, place long, key long, role byte")
+    found = base.mapInArrow(task(runs, "powers"), "key long, content long, doc_id long, row long, place long").repartition(parts, "key").sortWithinPartitions("key", "content", "doc_id", "row", "place").select("key", "content", "row", "place").mapInArrow(task(match, rows=_EMIT), "row long, place long, key long, role byte")
     by_row = found.groupBy("row").agg(F.collect_list(F.struct("place", "key", "role")).alias("found"))
     cut = base.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "body", "rest", "found").mapInArrow(task(passages, "powers"), "key long, doc_id long, row long, begin long, end long, passage binary")
-    marks = cut.repartition(parts, "key").mapInArrow(task(expand), "row long, begin long, end long")
+    marks = cut.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "row", "begin").mapInArrow(task(expand), "row long, begin long, end long")
     spans = marks.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    schema = T.StructType([base.schema["doc_id"], base.schema["rest"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    schema = T.StructType([base.schema["doc_id"], base.schema["rest"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
     return base.join(spans.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "body", "rest", "spans").mapInArrow(task(finish), schema)
 
 
+def _own_key(row: np.ndarray) -> np.ndarray:
+    return row * 0x5851F42D + 7
+
+
 def _by_cell(key: np.ndarray, cost: np.ndarray):
     """Index arrays of whole keys with about ``_CELL_BYTES`` each."""
     order = np.argsort(key, kind="stable")
@@ -398,18 +471,10 @@ def without_repeats(docs: DataFrame, min_length: int = 100) -> DataFrame:
 
     A cut may fall inside a character; the bytes that are left of it are dropped.
     """
-
-    def decode(batches):
-        for batch in batches:
-            yield batch.set_column(batch.num_columns - 1, "text", pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.column(batch.num_columns - 1).to_pylist()], pa.string()))
-
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     null = "_" * (1 + max(map(len, docs.columns)))
-    source = docs.select("*", F.col("text").isNull().alias(null))
-    cut = cut_repeats(source, min_length)
-    flat = cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in others], F.when(~F.col("rest").getField(null), F.col("kept")).alias("text"))
-    schema = T.StructType([*flat.schema.fields[:-1], T.StructField("text", T.StringType())])
-    out = flat.mapInArrow(task(decode), schema)
+    cut = cut_repeats(docs.select("*", F.col("text").isNull().alias(null)), min_length, as_text=True)
+    out = cut.select("doc_id", *[F.col("rest").getField(c).alias(c) for c in others], F.when(~F.col("rest").getField(null), F.col("kept")).alias("text"))
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
