@@ -154,17 +154,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return _with_scores(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), model, [0])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns, and ``lang_pred`` and ``score`` added (columns of those names are replaced)."""
-    own = docs.drop("lang_pred", "score")
-    return _with_scores(own.select("*", F.col("text").cast("string").alias(_free_name(own))), model, list(range(len(own.columns))))
+def identify(docs: DataFrame, model: Model, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with all its columns, and the prediction and its score added under two names (columns of those names are replaced)."""
+    own = docs.drop(label, score)
+    return _with_scores(own.select("*", F.col("text").cast("string").alias(_free_name(own))), model, list(range(len(own.columns))), label, score)
 
 
 def _free_name(docs: DataFrame) -> str:
     return "_" * (1 + max(map(len, docs.columns)))
 
 
-def _with_scores(docs: DataFrame, model: Model, keep: list[int]) -> DataFrame:
+def _with_scores(docs: DataFrame, model: Model, keep: list[int], label: str = "lang_pred", score_name: str = "score") -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -184,9 +184,9 @@ def _with_scores(docs: DataFrame, model: Model, keep: list[int]) -> DataFrame:
                     best[at] = value.argmax(axis=1)
                     score[at] = np.clip(value.max(axis=1).astype(float), 0, 1)
             labels = [learned.languages[i] if i >= 0 else "und" for i in best]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(labels, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(labels, pa.string()), pa.array(score)], [*names, label, score_name])
 
-    schema = T.StructType([docs.schema[i] for i in keep]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([docs.schema[i] for i in keep]).add(label, "string").add(score_name, "double")
     return docs.mapInArrow(task(run), schema)
 
 
