@@ -321,3 +321,109 @@ def test_pipeline(spark, tmp_path):
     final = P.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in final.collect()} == set(cut)
     assert [n for n, _ in P.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"]
+
+
+def test_pipeline_decides_by_row_and_keeps_columns(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(4)
+    text = lambda: " ".join("".join(r.choice(["ka", "lo", "mi", "nu", "tre"]) for _ in range(r.randrange(1, 4))) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (None, e), (None, e), (None, a), (9, e)]
+    docs = spark.createDataFrame([(*x, "aa", 0.5, f"p{i}", i) for i, x in enumerate(rows)], "doc_id long, text string, lang string, score double, lang_pred string, _ int")
+    kept = P.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((x["doc_id"], x["text"], x["score"]) for x in kept.collect()) == sorted([(1, a, 0.5), (5, b, 0.5), (7, c, 0.5), (7, d, 0.5), (9, e, 0.5)])
+    one = P.language_id(spark, docs, "")
+    assert one.columns == docs.columns and sorted(map(str, one.collect())) == sorted(map(str, docs.collect()))
+    three = P.repeated_passages(spark, kept, "")
+    assert three.columns == docs.columns and three.count() == 5 and P.pack_sequences(spark, three, "").count() == 5
+
+
+def test_language_stage_keeps_mixed_texts_of_many_languages(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(5)
+    tongues = {f"l{i}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 4))) for _ in range(9)] for i in range(8)}
+    text = lambda k, n: " ".join("".join(r.choice(tongues[k]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(f"l{i % 8}", 40), f"l{i % 8}") for i in range(400)] + [(1000, " ".join(text(k, 6) for k in tongues), None), (1001, "12 !!", None)]
+    kept = {x["doc_id"] for x in P.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert kept == {x[0] for x in rows} - {1001}
+
+
+@pytest.mark.parametrize("hot", [1, 3, 20_000])
+def test_repeats_over_many_slices(spark, docs, rows, hot):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        cut = suffix_dedup.cut_repeats(docs.select("doc_id", "text"), hot=hot)
+        got = cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows)
+
+
+def test_long_repeats(spark):
+    r = random.Random(3)
+    copy = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    rows = [(1, copy), (2, copy), (3, copy[:1499]), (4, "x" + copy[200:2500])]
+    got = suffix_dedup.repeats_table(spark.createDataFrame(rows, "doc_id long, text string"), 1500).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 1500)
+    with pytest.raises(ValueError):
+        suffix_dedup.repeats_table(spark.createDataFrame(rows, "doc_id long, text string"), 1 << 17)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 50])
+def test_kinds_are_those_of_whole_keys(hot):
+    r = random.Random(hot)
+    rows = sorted((k, c, i, i) for i, (k, c) in enumerate((r.randrange(9), r.randrange(r.choice([1, 2, 9]))) for _ in range(300)))
+    kinds, got, at = suffix_dedup._Kinds(hot), [], 0
+    while at < len(rows):
+        n = r.randrange(1, 12)
+        got.append(kinds.add(*(np.array(x, np.int64) for x in zip(*rows[at : at + n], strict=True))))
+        at += n
+    got.append(kinds.finish())
+    got = sorted((int(a), int(k), int(x)) for row, _, key, role in got for a, k, x in zip(row, key, role, strict=True))
+    want, seen = [], set()
+    for k, c, i, _ in rows:
+        many = len({x[1] for x in rows if x[0] == k})
+        if (k, c) in seen:
+            want.append((i, k, suffix_dedup._FULL))
+        elif many > 1:
+            want.append((i, k, suffix_dedup._RECUT if many > hot else suffix_dedup._CUT))
+        seen.add((k, c))
+    assert got == sorted(want)
+
+
+def test_pieces_window_is_bounded(monkeypatch):
+    codec = pieces.piece_codec(None)
+    text = "".join(random.Random(6).choice("etaoinshrdlu") for _ in range(4000))
+    assert codec.search("▁" + text) == codec.model.encode(text)
+    short = [codec.search(text[i : i + 5]) for i in range(50)]
+    assert all("".join(codec.names[p] for p in x) == text[i : i + 5] for i, x in enumerate(short))
+
+
+def test_other_tokenizer_rules_encode_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    other = tokens.word_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens.word_encoder(None).by_part and not other.by_part
+    texts = [t or "" for t in TEXTS]
+    got = [x for _, ids, counts in other.batches(pa.array(texts)) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [x.tolist() for x in got] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_crowded_prefixes_link_as_all_pairs_do(spark):
+    r = random.Random(12)
+    base = r.getrandbits(64)
+    values = sorted({base ^ sum(1 << b for b in r.sample(range(20, 64), r.randrange(4))) for _ in range(500)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    for hot in (4, 60):
+        pairs = {(x["src"], x["dst"]) for x in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, hot=hot).collect()}
+        at = {v: i for i, v in enumerate(signed)}
+        near = lambda a, b: bin(values[a] ^ values[b]).count("1") <= 2
+        linked = {frozenset((at[a], at[b])) for a, b in pairs}
+        assert all(near(*p) for p in linked)
+        assert closure(len(values), lambda a, b: frozenset((a, b)) in linked) == closure(len(values), near)
