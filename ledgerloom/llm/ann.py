@@ -5,15 +5,17 @@ its nearest centroid. Vectors are rotated by one random orthogonal matrix, so th
 of a distance.
 
 **Search.** A query probes the ``probes`` lists whose centroids are nearest (by default as many as hold ``target`` of the
-neighbours within the sample), and more until they hold ``k`` candidates. Inside a list the
+neighbours within the sample), and more until they hold ``k`` candidates. Its nearest list is searched first; the distance of the k-th
+best there bounds the search of the other lists. Inside a list the
 rotated columns are read in blocks of ``columns``: after ``d`` of ``D`` columns a candidate whose partial squared distance exceeds
 ``d / D * (1 + epsilon / sqrt(d))**2`` times the squared distance of the k-th best is abandoned: under the hypothesis that it is nearer,
 so large a partial distance is very unlikely. Survivors get their exact distance from the original vectors, in double precision.
-Lists with more than ``deal`` rows are dealt to several tasks; each returns at most ``k`` rows for a query.
+Lists with more than ``deal`` rows or ``ask`` queries are dealt to several tasks; each returns at most ``k`` rows for a query.
 
 **Edge cases.** Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose length is not
 the most frequent one (the greater, in a tie), or whose vec_id is null. With fewer than ``k`` candidates all are returned. Equal distances go to
-the smaller vec_id. Rows that repeat a vec_id are candidates of each other only under different ids. An empty table gives an empty result.
+the smaller vec_id. Rows are told apart by number (``query_row``): query rows that repeat a vec_id are separate queries, each ranked from 1, and
+a row that repeats the query's vec_id or vector is a candidate like any other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,42 +69,45 @@ def rotation(size: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, turned_query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, k: int, columns: int, epsilon: float, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` nearest of one list found for one query: ids and exact distances, nearest first."""
-    size = len(query)
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-    cuts = [0, *range(min(8 * k, len(ids)), len(ids), chunk), len(ids)] if len(ids) else [0]
+def scan(query: np.ndarray, turned_query: np.ndarray, own: int, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turned: np.ndarray, k: int, columns: int, epsilon: float, bound: float = np.inf, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ``k`` nearest of one list found for one query, nearest first: their places and exact distances, and how many components
+    were read. ``bound`` is a distance within which ``k`` others are known."""
+    size, read = len(query), 0
+    best_at, best = np.zeros(0, np.int64), np.zeros(0)
+    first = 8 * k if np.isinf(bound) else chunk
+    cuts = [0, *range(min(first, len(ids)), len(ids), chunk), len(ids)] if len(ids) else [0]
     for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
         alive = np.arange(begin, end)
-        alive = alive[ids[alive] != own]
-        limit = best[-1] ** 2 if len(best) == k else np.inf
+        alive = alive[rows[alive] != own]
+        limit = min(bound, best[-1] if len(best) == k else np.inf) ** 2
         partial = np.zeros(len(alive))
         for at in range(0, size, columns) if np.isfinite(limit) else ():
             d = min(at + columns, size)
             difference = turned[alive, at:d] - turned_query[at:d]
+            read += difference.size
             partial = partial + (difference * difference).sum(axis=1)
             if d < size:
                 keep = partial <= limit * d / size * (1 + epsilon / np.sqrt(d)) ** 2 + 1e-12
                 alive, partial = alive[keep], partial[keep]
         difference = vectors[alive] - query
+        read += difference.size
         exact = np.sqrt((difference * difference).sum(axis=1))
-        best_ids, best = np.concatenate([best_ids, ids[alive]]), np.concatenate([best, exact])
-        order = np.lexsort((best_ids, best))[:k]
-        best_ids, best = best_ids[order], best[order]
-    return best_ids, best
+        best_at, best = np.concatenate([best_at, alive]), np.concatenate([best, exact])
+        order = np.lexsort((rows[best_at], ids[best_at], best))[:k]
+        best_at, best = best_at[order], best[order]
+    return best_at, best, read
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None, target: float = 0.97, sample: int = 20_000, columns: int = 16, epsilon: float = 2.1, deal: int = 4000) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` for the rows whose vec_id is divisible by ``every``, searched among all other rows."""
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None, target: float = 0.97, sample: int = 20_000, columns: int = 16, epsilon: float = 2.1, deal: int = 4000, ask: int = 8000) -> DataFrame:
+    """``(query_id, rank, vec_id, score, query_row)`` for the rows whose vec_id is divisible by ``every``, searched among all other rows."""
     spark = vectors.sparkSession
     ship(spark)
     v = F.col("vector")
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     good = own.where(F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    schema = "query_id long, rank int, vec_id long, score double"
     common = good.groupBy(F.size(v).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
     if common is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
     size, n = common["size"], common["n"]
     good = good.where(F.size(v) == size)
     drawn = np.array([r["vector"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()], np.float64)
@@ -112,44 +117,62 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None
     model = spark.sparkContext.broadcast((trained, rotation(size)))  # at most 4096 centroids
 
     def to_list(batches):
-        centres, turn = model.value
+        centres, _ = model.value
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                turned = pa.FixedSizeListArray.from_arrays(pa.array((x @ turn).reshape(-1)), size).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), turned, pa.array(_nearest(x, centres).astype(np.int32))], ["vec_id", "vector", "turned", "list"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(x, centres).astype(np.int32))], ["vec_id", "vector", "list"])
 
-    index = materialise(good.select("vec_id", "vector").mapInArrow(to_list, "vec_id long, vector array<double>, turned array<double>, list int"), "ann-index")
+    index = good.select("vec_id", "vector").mapInArrow(to_list, "vec_id long, vector array<double>, list int")
+    index = materialise(index.withColumn("row", F.monotonically_increasing_id()), "ann-index")
     held = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # one row for each list
     extent = np.array([held.get(i, 0) for i in range(lists)])
-    deals = spark.createDataFrame([(i, int(-(-x // deal))) for i, x in enumerate(extent) if x], "list int, deals int")
 
     def probe(batches):
         centres, _ = model.value
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
                 order = np.argsort(_squared(x, centres), axis=1, kind="stable")
                 order = [[int(i) for i in row if extent[i]] for row in order]
                 chosen = [row[: max(probes, 1 + int(np.searchsorted(np.cumsum(extent[row]), k + 1)))] for row in order]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(chosen, pa.list_(pa.int32()))], ["vec_id", "vector", "turned", "lists"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], ["row", "vec_id", "vector", "lists"])
 
-    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector", "turned").mapInArrow(probe, "vec_id long, vector array<double>, turned array<double>, lists array<int>")
-    asked = asked.withColumn("list", F.explode("lists")).drop("lists").join(F.broadcast(deals), "list").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
-    rows = index.join(F.broadcast(deals), "list").withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.col("deals")).cast("int")).drop("deals")
+    asked = materialise(index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "vector").mapInArrow(probe, "row long, vec_id long, vector array<double>, lists array<int>"), "ann-queries")
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(rows):
-            rows = rows.sort_values("vec_id")
-            ids, x, turned = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy()), np.stack(rows["turned"].to_numpy())
-            for q, vector, t in zip(queries["vec_id"], queries["vector"], queries["turned"], strict=True):
-                near, far = scan(np.asarray(vector), np.asarray(t), q, ids, x, turned, k, columns, epsilon)
-                out["query_id"] += [q] * len(near)
-                out["vec_id"] += near.tolist()
+        out = {"query_row": [], "query_id": [], "vec_id": [], "row": [], "score": []}
+        if len(rows) and len(queries):
+            turn = model.value[1]
+            rows = rows.sort_values("row")
+            number, ids, x = rows["row"].to_numpy(), rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy())
+            asking = np.stack(queries["vector"].to_numpy())
+            turned, turned_asking = x @ turn, asking @ turn
+            for i, (q, name, bound) in enumerate(zip(queries["row"], queries["vec_id"], queries["bound"], strict=True)):
+                near, far, _ = scan(asking[i], turned_asking[i], q, number, ids, x, turned, k, columns, epsilon, bound)
+                out["query_row"] += [q] * len(near)
+                out["query_id"] += [name] * len(near)
+                out["vec_id"] += ids[near].tolist()
+                out["row"] += number[near].tolist()
                 out["score"] += far.tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = asked.groupBy("list", "deal").cogroup(rows.groupBy("list", "deal")).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return pd.DataFrame(out).astype({n: "float64" if n == "score" else "int64" for n in out})
+
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
+
+    def searched(queries: DataFrame) -> DataFrame:
+        """The best of what each (list, deal, ask) finds; ``queries`` has row, vec_id, vector, bound and list."""
+        wanted = {r["list"]: r["count"] for r in queries.groupBy("list").count().collect()}  # one row for each list
+        sizes = spark.createDataFrame([(i, int(-(-extent[i] // deal)), int(-(-x // ask))) for i, x in wanted.items()], "list int, deals int, asks int")
+        q = queries.join(F.broadcast(sizes), "list").withColumn("ask", F.pmod(F.xxhash64("row"), F.col("asks")).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+        r = index.join(F.broadcast(sizes), "list").withColumn("deal", F.pmod(F.xxhash64("row"), F.col("deals")).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+        key = ["list", "deal", "ask"]
+        found = q.select(*key, "row", "vec_id", "vector", "bound").groupBy(*key).cogroup(r.select(*key, "row", "vec_id", "vector").groupBy(*key)).applyInPandas(search, "query_row long, query_id long, vec_id long, row long, score double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if asked.limit(1).count() == 0:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_row long")
+    nearby = materialise(searched(asked.select("row", "vec_id", "vector", F.lit(float("inf")).alias("bound"), F.col("lists")[0].alias("list"))), "ann-nearby")
+    bounds = nearby.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("bound"))
+    others = asked.where(F.size("lists") > 1).join(bounds, "row", "left").select("row", "vec_id", "vector", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), F.explode(F.slice("lists", 2, lists)).alias("list"))
+    both = nearby.drop("rank").unionByName(searched(others).drop("rank")) if lists > 1 else nearby.drop("rank")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")

@@ -203,3 +203,21 @@ def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = list(entry.queries())
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+
+
+def test_nearest_neighbours_of_repeated_rows(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in r.standard_normal(8)]) for i in range(1, 90)]
+    rows += [(100, rows[3][1]), (100, [float(v) for v in r.standard_normal(8)]), (200, rows[5][1]), (200, rows[5][1]), (21, rows[5][1]), (21, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    want = []
+    for at in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((x - x[at]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((ids, far)) if j != at][:10]
+        want.append([(int(ids[at]), n + 1, int(ids[j]), round(float(far[j]), 9)) for n, j in enumerate(order)])
+    for probes, deal, ask in ((None, 4000, 8000), (99, 7, 2)):
+        got = {}
+        for y in ann.nearest(df, lists=5, probes=probes or 5, deal=deal, ask=ask).orderBy("query_row", "rank").collect():
+            got.setdefault(y["query_row"], []).append((y["query_id"], y["rank"], y["vec_id"], round(y["score"], 9)))
+        assert sorted(got.values()) == sorted(want)
