@@ -26,13 +26,6 @@ def links(t):
 LINKS_SQL = f"links AS (SELECT l_orderkey AS project_id, {DOC_ID} AS document_id, {TYPES} AS relation_type, l_shipdate AS created, {LINE_SQL} FROM lineitem)"
 
 
-@query("""WITH h AS (SELECT o_orderkey AS project_id, c_name, CASE WHEN c_name = 'Customer#000000015' THEN 0 WHEN starts_with(c_name, 'Customer#000000015') THEN 1 ELSE 2 END AS rank, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey
-  WHERE contains(lower(c_name), lower('Customer#000000015')) OR contains(lower(o_orderpriority), lower('Customer#000000015')))
-SELECT project_id, c_name, rank, (SELECT count(*) FROM lineitem WHERE l_orderkey = project_id) AS n_links FROM h""")
-def t1_search_projects(t):
-    return search_projects(t, "Customer#000000015")
-
-
 def search_projects(t, keyword):
     """Exact before prefix before contained, then the newest, with link counts; only the hits' links are counted."""
     word = X.search_text(F.lit(keyword))
@@ -58,16 +51,6 @@ def p2_award_override(t):
     return t.orders.join(joined, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("winners", "o_orderstatus").alias("winner"))
 
 
-@query(f"WITH {LINKS_SQL} SELECT o_orderkey AS project_id, document_id, relation_type, p_name FROM orders JOIN links ON project_id = o_orderkey JOIN part ON p_partkey = l_partkey")
-def j1_project_documents(t):
-    return t.orders.select(F.col("o_orderkey").alias("project_id")).join(links(t), "project_id").join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("project_id", "document_id", "relation_type", "p_name")
-
-
-@query(f"WITH {LINKS_SQL} SELECT document_id, o_orderkey AS project_id, o_orderstatus FROM links JOIN orders ON project_id = o_orderkey")
-def j2_document_projects(t):
-    return links(t).join(t.orders, F.col("project_id") == F.col("o_orderkey")).select("document_id", "project_id", "o_orderstatus")
-
-
 @query("SELECT coalesce(c_custkey, o_custkey, s_suppkey) AS asset_id, c_name, n_orders, s_name FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) ON o_custkey = c_custkey FULL JOIN supplier ON s_suppkey = coalesce(c_custkey, o_custkey)")
 def j3_full_view(t):
     a = t.customer.select(F.col("c_custkey").alias("asset_id"), "c_name")
@@ -88,14 +71,6 @@ def j22_first_link(t):
     return first.join(t.orders, F.col("o_orderkey") == F.col("project_id")).select("document_id", "project_id", "o_orderstatus")
 
 
-@query(f"WITH {LINKS_SQL}, r AS (SELECT DISTINCT project_id, document_id, relation_type, l_partkey FROM links WHERE project_id % 5 <> 0), n AS (SELECT project_id, document_id, relation_type, bool_and(p_partkey IS NULL) AS dangling FROM r LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL) SELECT project_id, document_id, relation_type, CASE WHEN o_orderkey IS NULL THEN 'project' WHEN dangling THEN 'document' END AS reason FROM n LEFT JOIN orders ON o_orderkey = project_id")
-def j23_create_links(t):
-    wanted = links(t).where("project_id % 5 <> 0").select("project_id", "document_id", "relation_type", "l_partkey").distinct()
-    known_part, known_project = t.part.select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("has_part")), t.orders.select(F.col("o_orderkey").alias("project_id"), F.lit(True).alias("has_project"))
-    natural = wanted.join(known_part, "l_partkey", "left").groupBy("project_id", "document_id", "relation_type").agg(F.bool_and(F.col("has_part").isNull()).alias("dangling"))
-    return natural.join(known_project, "project_id", "left").select("project_id", "document_id", "relation_type", F.when(F.col("has_project").isNull(), "project").when(F.col("dangling"), "document").alias("reason"))
-
-
 @query(f"WITH {LINKS_SQL} SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY relation_type, document_id, {LINE_SQL}) AS place, document_id, relation_type FROM links")
 def j24_ordered_documents(t):
     return L.history(links(t), "project_id", ["document_id", "relation_type"], "relation_type", "document_id", *LINE).withColumn("place", F.col("place").cast("long"))
@@ -183,12 +158,6 @@ def a8_input_merge(t):
     return L.merge_fields(rows, "k", "ordinal", ["prio", "status"], "note")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS row_id, o_custkey AS cust FROM orders WHERE o_orderstatus = 'P'), u AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 2 = 0)
-SELECT id, CASE WHEN row_id IS NOT NULL AND r.c_custkey IS NOT NULL THEN 'row' WHEN k.c_custkey IS NOT NULL THEN 'key' ELSE 'insert' END AS method, coalesce(r.c_custkey, k.c_custkey) AS target FROM i LEFT JOIN u r ON r.c_custkey = row_id LEFT JOIN u k ON k.c_custkey = cust""")
-def j18_ledger_match(t):
-    return ledger_match(t)
-
-
 def ledger_match(t):
     """Explicit row first, then key, else a new row."""
     incoming = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("row_id"), F.col("o_custkey").alias("cust"))
@@ -197,41 +166,6 @@ def ledger_match(t):
     return joined.select("id", F.when(F.col("by_row").isNotNull(), "row").when(F.col("by_key").isNotNull(), "key").otherwise("insert").alias("method"), F.coalesce("by_row", "by_key").alias("target"))
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS row_id, o_custkey AS cust FROM orders WHERE o_orderstatus = 'P'), u AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0),
-m AS (SELECT id, CASE WHEN r.c_custkey IS NOT NULL THEN 'row' WHEN k.c_custkey IS NOT NULL THEN 'key' ELSE 'insert' END AS method, coalesce(r.c_custkey, k.c_custkey) AS target FROM i LEFT JOIN u r ON r.c_custkey = row_id LEFT JOIN u k ON k.c_custkey = cust)
-SELECT method, count(*) AS n, count(target) - count(DISTINCT target) AS duplicate_targets FROM m GROUP BY method""")
-def a9_ledger_summary(t):
-    return ledger_match(t).groupBy("method").agg(F.count("*").alias("n"), (F.count("target") - F.count_distinct("target")).alias("duplicate_targets"))
-
-
-@query("""SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'insert' WHEN c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT' THEN 'conflict' WHEN c_mktsegment = 'BUILDING' THEN 'update' ELSE 'unchanged' END AS action,
-CASE WHEN c_custkey IS NOT NULL AND c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT' THEN 'priority' END AS conflict_field FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 20""")
-def j19_sync_plan(t):
-    ledger = t.customer.where("c_nationkey < 20").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    joined = t.orders.join(ledger, "o_custkey", "left")
-    differs, urgent = F.col("c_mktsegment") == "BUILDING", F.col("o_orderpriority") == "1-URGENT"
-    action = F.when(F.col("c_mktsegment").isNull(), "insert").when(differs & urgent, "conflict").when(differs, "update").otherwise("unchanged")
-    return joined.select(F.col("o_orderkey").alias("id"), action.alias("action"), F.when(action == "conflict", "priority").alias("conflict_field"))
-
-
-@query("""WITH n AS (SELECT o_orderkey AS id, o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 50 = 0), l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 100 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer),
-x AS (SELECT n.id, l.id IS NOT NULL AS stored, coalesce(segment, o_orderpriority) AS segment FROM n LEFT JOIN l ON l.id = n.id)
-SELECT id, segment, CASE WHEN stored THEN id ELSE (SELECT max(c_custkey) FROM customer) + row_number() OVER (PARTITION BY stored ORDER BY id) END AS serial FROM x""")
-def d13_ledger_upsert(t):
-    """Stored rows keep their serial; inserts are numbered after the largest one, through counts of id ranges rather than one window."""
-    incoming = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    ledger = t.customer.select(F.col("c_custkey").alias("id"), F.lit(True).alias("stored"), F.when(F.col("c_custkey") % 100 != 0, F.col("c_mktsegment")).alias("own"))
-    joined = incoming.join(ledger, "id", "left")
-    kept = joined.where("stored").select("id", F.coalesce("own", "o_orderpriority").alias("segment"), F.col("id").alias("serial"))
-    last = t.customer.agg(F.max("c_custkey")).scalar()
-    inserts = joined.where("stored IS NULL").withColumn("block", F.floor(F.col("id") / 100_000))
-    sizes = inserts.groupBy("block").agg(F.count("*").alias("n"))
-    before = sizes.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("block").orderBy("id"))
-    numbered = inserts.join(before, "block").withColumn("place", F.col("before") + number)
-    return kept.unionByName(numbered.select("id", F.col("o_orderpriority").alias("segment"), (last + F.col("place")).alias("serial")))
-
-
 @query("SELECT o_orderkey AS id FROM orders UNION SELECT c_custkey FROM customer")
 def s9_append_unique(t):
     merged, _ = T.append_unique(t.orders.select(F.col("o_orderkey").alias("id")), t.customer.select(F.col("c_custkey").alias("id")), "id", "id")
@@ -271,15 +205,6 @@ def a12_workbook_summary(t):
     return a12_groups(t).agg(F.count("*").alias("projects"), F.count_if("multi").alias("multi_groups"), F.max("n").alias("largest"))
 
 
-@query("""SELECT o_orderkey, 40.0 * least(count(l_orderkey), 3) / 3 + 30.0 * least(count(DISTINCT l_suppkey), 3) / 3 + 30.0 * (CASE WHEN min(l_shipdate) IS NULL THEN 0 ELSE 1 END) AS score,
-concat_ws(',', CASE WHEN NOT coalesce(bool_or(l_returnflag = 'R'), false) THEN 'bid' END, CASE WHEN NOT coalesce(bool_or(l_returnflag = 'A'), false) THEN 'award' END) AS missing FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-def a13_asset_score(t):
-    joined = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    has = lambda v: F.coalesce(F.bool_or(F.col("l_returnflag") == v), F.lit(False))
-    score = 40.0 * F.least(F.count("l_orderkey"), F.lit(3)) / 3 + 30.0 * F.least(F.count_distinct("l_suppkey"), F.lit(3)) / 3 + 30.0 * F.when(F.min("l_shipdate").isNull(), 0).otherwise(1)
-    return joined.groupBy("o_orderkey").agg(score.alias("score"), F.concat_ws(",", F.when(~has("R"), "bid"), F.when(~has("A"), "award")).alias("missing"))
-
-
 @query(f"""SELECT l_orderkey, count(*) AS n_documents, strftime(arg_min(l_shipdate, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey) FILTER (l_returnflag = 'R'), '%Y-%m-%d') AS bid_date, strftime(min(l_shipdate) FILTER (l_returnflag = 'A'), '%Y-%m-%d') AS award_date FROM lineitem GROUP BY l_orderkey""")
 def a14_project_rollup(t):
     place = F.col("l_linenumber") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
@@ -341,14 +266,6 @@ def u3_overlap(t):
     return T.overlap(t.nation.select(F.col("n_nationkey").alias("id")), t.region.select(F.col("r_regionkey").alias("id")))
 
 
-@query(f"""WITH base AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3), extra AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY ALL)
-SELECT l_orderkey, l_suppkey, 'base' AS origin FROM base UNION ALL SELECT l_orderkey, l_suppkey, 'attachment' FROM extra WHERE (l_orderkey, l_suppkey) NOT IN (SELECT l_orderkey, l_suppkey FROM base)""")
-def u6_award_merge(t):
-    base = t.lineitem.where("l_linenumber <= 3").select("l_orderkey", "l_suppkey").distinct()
-    extra = t.lineitem.where("l_linenumber > 3").select("l_orderkey", "l_suppkey").distinct().join(base, ["l_orderkey", "l_suppkey"], "left_anti")
-    return T.union_tagged(base=base, attachment=extra).withColumnRenamed("source", "origin")
-
-
 @query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, c_mktsegment) AS label, CASE WHEN o_orderkey % 2 <> 0 AND c_mktsegment IS NOT NULL THEN 'label' ELSE '' END AS filled FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 def u8_fill_blanks(t):
     target = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("label"))
@@ -370,13 +287,6 @@ def d23_nested_overlay(t):
     return fixed.where("trace.fields.status <> after.fields.status").select("o_orderkey", F.col("trace.fields.status").alias("old"), F.col("after.fields.status").alias("new"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'confirmed' ELSE 'candidate' END AS status, CASE WHEN o_orderstatus = 'P' THEN 'changed' WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'same' END AS outcome FROM orders")
-def d19_status_transition(t):
-    wanted = F.when(F.col("o_orderstatus") == "P", "confirmed").when(F.col("o_orderstatus") == "F", "unheard-of").otherwise("candidate")
-    known = wanted.isin("candidate", "confirmed")
-    return t.orders.select("o_orderkey", F.when(known, wanted).otherwise("candidate").alias("status"), F.when(~known, "rejected").when(wanted != "candidate", "changed").otherwise("same").alias("outcome"))
-
-
 @query("""WITH old AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY ALL), new AS (SELECT l_orderkey, l_linenumber, max(l_linestatus) AS status FROM lineitem WHERE l_orderkey % 3 <> 1 GROUP BY ALL)
 SELECT coalesce(old.l_orderkey, new.l_orderkey) AS l_orderkey, coalesce(old.l_linenumber, new.l_linenumber) AS l_linenumber, CASE WHEN new.status IS NULL THEN 'kept' WHEN old.flag IS NULL THEN 'added' WHEN old.flag = 'R' THEN 'retried' ELSE 'completed' END AS action
 FROM old FULL JOIN new ON old.l_orderkey = new.l_orderkey AND old.l_linenumber = new.l_linenumber""")
@@ -433,17 +343,6 @@ def d3_batch_confirm(t):
     return out.select("o_orderkey", outcome.alias("outcome"), F.coalesce("stored", F.col("creator") + 1000000).alias("project_id"))
 
 
-@query("""WITH b AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'O'), l AS (SELECT c_custkey FROM customer WHERE c_nationkey < 12), f AS (SELECT o_custkey, min(id) AS first_id FROM b WHERE o_custkey NOT IN (SELECT c_custkey FROM l) GROUP BY 1)
-SELECT id, CASE WHEN c_custkey IS NOT NULL THEN 'update' WHEN id = first_id THEN 'insert' ELSE 'update-planned' END AS action FROM b LEFT JOIN l ON c_custkey = b.o_custkey LEFT JOIN f ON f.o_custkey = b.o_custkey""")
-def d25_batch_sync(t):
-    """Planned inserts are visible to later rows of the batch."""
-    batch = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), "o_custkey")
-    stored = t.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("stored"))
-    joined = batch.join(stored, "o_custkey", "left")
-    first = joined.where("stored IS NULL").groupBy("o_custkey").agg(F.min("id").alias("first_id"))
-    return joined.join(first, "o_custkey", "left").select("id", F.when(F.col("stored"), "update").when(F.col("id") == F.col("first_id"), "insert").otherwise("update-planned").alias("action"))
-
-
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS winner FROM orders), d AS (SELECT o_custkey, arg_min(winner, o_orderkey) AS w FROM r WHERE winner IS NOT NULL GROUP BY 1)
 SELECT o_orderkey, coalesce(winner, w) AS winner, CASE WHEN winner IS NULL AND w IS NOT NULL THEN 'local' END AS method FROM r LEFT JOIN d ON d.o_custkey = r.o_custkey""")
 def j16_self_enrichment(t):

@@ -54,38 +54,16 @@ def w9_last_write_first_place(t):
     return L.last_write_first_place(rows, "k", "event_id").drop("k")
 
 
-@query(f"""WITH {D_SQL}, l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY review_time DESC, ordinal DESC) = 1)
-SELECT decision, count(*) AS n_assets, count(*) FILTER (value >= 80) AS n_p1, min(asset_id) AS first_asset, max(asset_id) AS last_asset FROM l GROUP BY decision""")
-def a4_decision_summary(t):
-    last = L.latest(decisions(t), ["asset_id"], "review_time", "ordinal")
-    return last.groupBy("decision").agg(F.count("*").alias("n_assets"), F.count_if(F.col("value") >= 80).alias("n_p1"), F.min("asset_id").alias("first_asset"), F.max("asset_id").alias("last_asset"))
-
-
 @query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def j20_never_decided(t):
     return T.difference(t.customer, t.events.select(F.col("user_id").alias("c_custkey")), "c_custkey")
 
 
-@query(f"SELECT event_id, {PRIORITY} AS priority FROM events")
-def p8_priority(t):
-    return t.events.select("event_id", priority(F.col("event_type"), F.col("value")).alias("priority"))
-
-
 def priority(status, score, high=80, middle=60):
     """P1 for promoted rows with a high score, P2 for promoted or middling ones, else P3."""
     return F.when((status == "purchase") & (score >= high), "P1").when(status.isin("purchase", "signup") | (score >= middle), "P2").otherwise("P3")
 
 
-@query(f"""WITH ids AS (SELECT user_id AS id FROM events UNION SELECT doc_id FROM labels),
-l AS (SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
-SELECT id, l.event_id, quality, {PRIORITY} AS priority FROM ids LEFT JOIN l ON l.user_id = id LEFT JOIN labels ON doc_id = id""")
-def j6_review_queue(t):
-    ids = t.events.select(F.col("user_id").alias("id")).union(t.labels.select("doc_id")).distinct()
-    last = L.latest(t.events, ["user_id"], "ts", "event_id").select(F.col("user_id").alias("id"), "event_id", "event_type", "value")
-    joined = ids.join(last, "id", "left").join(t.labels.select(F.col("doc_id").alias("id"), "quality"), "id", "left")
-    return joined.select("id", "event_id", "quality", priority(F.col("event_type"), F.col("value")).alias("priority"))
-
-
 @query(f"SELECT event_id, {PRIORITY} AS priority, value FROM events")
 def t3_queue_order(t):
     return t.events.select("event_id", priority(F.col("event_type"), F.col("value")).alias("priority"), "value").orderBy("priority", F.desc("value"), "event_id")
@@ -95,11 +73,6 @@ READY = "CASE WHEN event_type = 'error' THEN 'skipped' WHEN quality IS NULL OR v
 REASONS = "concat_ws('; ', CASE WHEN event_type = 'error' THEN 'rejected' END, CASE WHEN quality IS NULL THEN 'no label' END, CASE WHEN value < 20 THEN 'low value' END)"
 
 
-@query(f"SELECT event_id, {READY} AS outcome, {REASONS} AS reasons FROM events LEFT JOIN labels ON doc_id = event_id")
-def p7_dry_run(t):
-    return dry_run(t).select("event_id", "outcome", "reasons")
-
-
 def dry_run(t):
     """Ready, blocked or skipped, with every reason."""
     joined = t.events.join(t.labels.withColumnRenamed("doc_id", "event_id"), "event_id", "left")
@@ -150,12 +123,6 @@ def a21_flow_summary(t):
     return d.agg(F.count("*").alias("decisions"), F.count_if(accepted).alias("accepted"), F.count_distinct(F.when(accepted, F.col("asset_id"))).alias("accepted_assets"), F.count_if(F.col("decision") == "REJECT").alias("failures"))
 
 
-@query(f"""WITH {D_SQL} SELECT decision_id, CASE WHEN c_custkey IS NULL THEN 'not queued' WHEN decision = 'DEFER' THEN 'unknown decision' END AS error FROM d LEFT JOIN customer ON c_custkey = asset_id * 20""")
-def d20_record_decisions(t):
-    recorded, errors = record_decisions(decisions(t).withColumn("asset_id", F.col("asset_id") * 20), t.customer.select(F.col("c_custkey").alias("asset_id"), "c_name"), ["ACCEPT", "REJECT", "NEEDS_MORE_INFO"])
-    return recorded.select("decision_id", F.lit(None).cast("string").alias("error")).unionByName(errors.select("decision_id", "error"))
-
-
 def record_decisions(requests, queue, allowed):
     """``(recorded, errors)``: requests with a known decision for a queued asset get the queue row; the others say why not."""
     joined = requests.join(queue.withColumn("_queued", F.lit(True)), "asset_id", "left")
@@ -240,13 +207,6 @@ def p4_vendor_candidates(t):
 GATE = "CASE WHEN event_type = 'purchase' AND value >= 80 AND user_id > 5 THEN 'document' WHEN event_type = 'signup' THEN 'project' ELSE 'skipped' END"
 
 
-@query(f"SELECT event_id, {GATE} AS outcome, CASE WHEN {GATE} <> 'skipped' THEN NULL WHEN event_type <> 'purchase' THEN 'kind' WHEN value < 80 THEN 'confidence' ELSE 'no project' END AS reason FROM events")
-def p6_apply_gate(t):
-    document = (F.col("event_type") == "purchase") & (F.col("value") >= 80) & (F.col("user_id") > 5)
-    outcome = F.when(document, "document").when(F.col("event_type") == "signup", "project").otherwise("skipped")
-    return t.events.select("event_id", outcome.alias("outcome"), F.when(outcome != "skipped", F.lit(None)).when(F.col("event_type") != "purchase", "kind").when(F.col("value") < 80, "confidence").otherwise("no project").alias("reason"))
-
-
 @query("""SELECT event_id, CASE WHEN event_type = 'signup' THEN 'manual' WHEN event_type = 'error' THEN 'technical' WHEN value < 50 THEN 'field' ELSE 'auto' END AS route,
 CASE WHEN event_type = 'signup' THEN true WHEN event_type = 'error' THEN false WHEN value < 50 THEN user_id % 2 = 0 ELSE true END AS eligible FROM events""")
 def p18_eligibility_route(t):
@@ -270,12 +230,6 @@ def j5_candidate_overlay(t):
     return L.overlay(rows, "id", "prec", ["kind", "note"])
 
 
-@query("SELECT user_id AS grp, arg_max(event_id, value * 1000000 - event_id / 1000000.0) AS event_id FROM events GROUP BY user_id")
-def a2_primary_election(t):
-    order = F.struct((F.col("value") * 1000000 - F.col("event_id") / 1000000.0).alias("rank"))
-    return t.events.groupBy(F.col("user_id").alias("grp")).agg(F.max_by("event_id", order).alias("event_id"))
-
-
 @query("SELECT user_id, 'group_' || sha256(string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY event_id))[1:16] AS group_id, count(*) AS members FROM events GROUP BY user_id")
 def a3_group_id(t):
     return t.events.groupBy("user_id").agg(F.concat(F.lit("group_"), F.left(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), "\n"), 256), F.lit(16))).alias("group_id"), F.count("*").alias("members"))
@@ -333,32 +287,6 @@ def d6_model_json(t):
     return t.events.select("event_id", parsed["k"].alias("k"), F.when(parsed["k"] > 50, F.col("event_type")).alias("corrected"))
 
 
-@query(f"WITH x AS (SELECT event_id, value FROM events LEFT JOIN labels ON doc_id = event_id WHERE {READY} = 'ready' ORDER BY event_id LIMIT 10) SELECT event_id, 'batch-1' AS batch, 'apply:' || event_id AS rollback_key FROM x WHERE event_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-def d8_controlled_apply(t):
-    picked = dry_run(t).where("outcome = 'ready'").orderBy("event_id").limit(10)
-    stored = t.labels.where("toxic = 1").select(F.col("doc_id").alias("event_id"))
-    return picked.join(stored, "event_id", "left_anti").select("event_id", F.lit("batch-1").alias("batch"), F.concat(F.lit("apply:"), F.col("event_id").cast("string")).alias("rollback_key"))
-
-
-@query(f"""WITH x AS (SELECT event_id FROM events LEFT JOIN labels ON doc_id = event_id WHERE {READY} = 'ready' ORDER BY event_id LIMIT 10), a AS (SELECT * FROM x WHERE event_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
-SELECT (SELECT count(*) FROM a) AS applied, (SELECT count(*) FROM a WHERE event_id IN (SELECT event_id FROM events)) AS traced, (SELECT count(*) FROM a) = (SELECT count(DISTINCT event_id) FROM a) AS all_unique""")
-def d15_apply_report(t):
-    applied = d8_controlled_apply(t)
-    known = t.events.select("event_id", F.lit(True).alias("known"))
-    return applied.join(known, "event_id", "left").agg(F.count("*").alias("applied"), F.count("known").alias("traced"), (F.count("*") == F.count_distinct("event_id")).alias("all_unique"))
-
-
-@query(f"""WITH {D_SQL}, l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY review_time DESC, CAST(decision_id AS VARCHAR) DESC, ordinal DESC) = 1)
-SELECT asset_id, CASE WHEN o_orderkey IS NOT NULL THEN 'document' ELSE 'project' END AS item, 'intake_' || sha256(asset_id || chr(10) || decision_id)[1:16] AS intake_id FROM l LEFT JOIN orders ON o_orderkey = asset_id AND o_orderstatus = 'F' WHERE decision = 'ACCEPT'""")
-def d2_intake(t):
-    from ledgerloom.functions.text import stable_id
-
-    rows = decisions(t).withColumn("id_text", F.col("decision_id").cast("string"))
-    accepted = L.latest(rows, ["asset_id"], "review_time", "id_text", "ordinal").where("decision = 'ACCEPT'")
-    related = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("asset_id"), F.lit(True).alias("related"))
-    return accepted.join(related, "asset_id", "left").select("asset_id", F.when(F.col("related"), "document").otherwise("project").alias("item"), stable_id("intake_", F.col("asset_id"), F.col("decision_id")).alias("intake_id"))
-
-
 @query("SELECT user_id, sum(CASE WHEN lag_gap > 1 OR lag_gap IS NULL THEN 1 ELSE 0 END) AS leases, count(*) FILTER (lag_gap * 86400 > 300) AS late FROM (SELECT user_id, date_diff('day', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS lag_gap FROM events) GROUP BY user_id")
 def x2_attempt_deadline(t):
     gap = F.date_diff(F.to_date("ts"), F.to_date(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))))

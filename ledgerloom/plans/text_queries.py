@@ -212,11 +212,6 @@ def f30_package_map(t):
 SCORE = "(CASE WHEN lang IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN n_chars > 500 THEN 40 WHEN n_chars > 100 THEN 20 ELSE 0 END + CASE WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 30 ELSE 0 END)"
 
 
-@query(f"SELECT d.doc_id, {SCORE} AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def f31_completeness(t):
-    return completeness(t).select("doc_id", "score")
-
-
 def completeness(t):
     joined = t.documents.join(t.labels, "doc_id", "left")
     either = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
@@ -280,11 +275,6 @@ def f41_sheet_recognition(t):
     return t.pages.select("page_id", (F.array_contains(headers, "nav") & F.array_contains(headers, "article")).alias("recognised"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END, 'created') AS updated FROM orders")
-def f42_updated_fallback(t):
-    return t.orders.select("o_orderkey", F.coalesce(F.nullif(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise(""), F.lit("")), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")), F.lit("created")).alias("updated"))
-
-
 @query(f"SELECT page_id, {HOST} AS host FROM pages WHERE ends_with('.' || {HOST}, '.example.org')")
 def p9_domain_allow_list(t):
     allowed = t.spark.createDataFrame([("example.org",)], "domain string")
@@ -297,12 +287,6 @@ def allow_list(rows, host, allowed):
     return spread.join(allowed, "domain", "left_semi").drop("domain").distinct()
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '/([^/]+)/?$', 1), ''), 'page') || '.html' AS file_name FROM pages")
-def p5_promoted_file_name(t):
-    tail = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"/([^/]+)/?$", 1)
-    return t.pages.select("page_id", F.concat(F.coalesce(F.nullif(tail, F.lit("")), F.lit("page")), F.lit(".html")).alias("file_name"))
-
-
 @query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 'blank' WHEN text LIKE 'Total%' THEN 'summary' WHEN n_chars < 50 THEN 'no identity' ELSE 'valid' END AS row_status FROM documents")
 def p12_row_classification(t):
     status = F.when(F.trim("text") == "", "blank").when(F.startswith("text", F.lit("Total")), "summary").when(F.col("n_chars") < 50, "no identity").otherwise("valid")
@@ -321,11 +305,6 @@ def p14_placeholder_rejection(t):
     return t.part.select("p_partkey", F.when(~raw.rlike(r"X{3}|20XX"), raw).alias("number"))
 
 
-@query("SELECT doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'source' END, CASE WHEN doc_id % 10 = 0 THEN 'reason' END, CASE WHEN toxic = 1 THEN 'field' END) AS errors FROM labels")
-def p15_override_validity(t):
-    return t.labels.select("doc_id", F.array_join(X.distinct_compact(F.when(F.col("quality").isNull(), "source"), F.when(F.col("doc_id") % 10 == 0, "reason"), F.when(F.col("toxic") == 1, "field")), ",").alias("errors"))
-
-
 @query("""SELECT d.doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN n_chars < 100 THEN 'text' END) AS missing, quality IS NOT NULL AND n_chars >= 100 AND coalesce(toxic, 0) = 0 AS eligible FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def p16_readiness(t):
     joined = t.documents.join(t.labels, "doc_id", "left")
@@ -376,12 +355,6 @@ def j10_duplicate_groups(t):
     return K.groups(K.similar_rows(t.part, "p_partkey", "p_name", 0.85), t.part.select("p_partkey"), "p_partkey")
 
 
-@query("WITH c AS (SELECT min(doc_id) OVER (PARTITION BY text) AS g, doc_id FROM documents), s AS (SELECT g, count(*) AS n FROM c GROUP BY g) SELECT count(*) AS groups_out, sum(n) AS rows_in, sum(n) - count(*) AS removed, count(*) FILTER (n > 1) AS duplicate_groups, count(*) FILTER (n = 1) AS unique_groups FROM s")
-def a1_dedup_summary(t):
-    sizes = t.documents.groupBy(F.sha2("text", 256).alias("k")).agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("groups_out"), F.sum("n").alias("rows_in"), (F.sum("n") - F.count("*")).alias("removed"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.count_if(F.col("n") == 1).alias("unique_groups"))
-
-
 RECORDS = "r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS customer, p_type || '-' || p_size AS number, p_partkey * 7919 % 1000 AS day FROM part)"
 
 
@@ -434,12 +407,6 @@ def j13_keywords(t):
 TARGET = "(SELECT doc_id AS override_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS want_id, CASE WHEN doc_id % 3 = 1 THEN 'src' || doc_id % 25 END AS want_source FROM labels)"
 
 
-@query(f"""WITH o AS {TARGET}, h AS (SELECT override_id, count(d.doc_id) AS hits, min(d.doc_id) AS target FROM o LEFT JOIN documents d ON (want_id IS NOT NULL AND d.doc_id = want_id) OR (want_id IS NULL AND d.source = want_source) GROUP BY 1)
-SELECT override_id, CASE WHEN hits = 0 THEN 'skipped' WHEN hits > 1 THEN 'ambiguous' ELSE 'applied' END AS status, CASE WHEN hits = 1 THEN target END AS target FROM h""")
-def j15_override_targets(t):
-    return override_targets(t)
-
-
 def override_targets(t):
     """The first matcher that is given decides alone; matchers are counted before the join, so a common one makes no pairs."""
     wanted = t.labels.select(F.col("doc_id").alias("override_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("id:"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("source:src"), (F.col("doc_id") % 25).cast("string"))).alias("key"))
@@ -449,25 +416,6 @@ def override_targets(t):
     return joined.select("override_id", F.when(F.col("hits").isNull(), "skipped").when(F.col("hits") > 1, "ambiguous").otherwise("applied").alias("status"), F.when(F.col("hits") == 1, F.col("target")).alias("target"))
 
 
-@query(f"""WITH o AS {TARGET}, h AS (SELECT override_id, count(d.doc_id) AS hits FROM o LEFT JOIN documents d ON (want_id IS NOT NULL AND d.doc_id = want_id) OR (want_id IS NULL AND d.source = want_source) GROUP BY 1)
-SELECT CASE WHEN hits = 0 THEN 'skipped' WHEN hits > 1 THEN 'ambiguous' ELSE 'applied' END AS status, count(*) AS n_rows, count(DISTINCT override_id) AS overrides FROM h GROUP BY 1""")
-def a10_diff_stats(t):
-    return override_targets(t).groupBy("status").agg(F.count("*").alias("n_rows"), F.count_distinct("override_id").alias("overrides"))
-
-
-@query("SELECT doc_id, quality, count(DISTINCT quality) OVER (PARTITION BY doc_id // 10) > 1 AS conflict FROM labels")
-def a11_override_conflicts(t):
-    w = Window.partitionBy(F.floor(F.col("doc_id") / 10))
-    return t.labels.select("doc_id", "quality", (F.min("quality").over(w) != F.max("quality").over(w)).alias("conflict"))
-
-
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND toxic = 1 THEN 'xx' ELSE lang END AS lang, CASE WHEN toxic = 1 THEN lang END AS was FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def d4_override_apply(t):
-    changes = t.labels.where("toxic = 1").select("doc_id", F.lit("xx").alias("new"))
-    joined = t.documents.join(changes, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("new", "lang").alias("lang"), F.when(F.col("new").isNotNull(), F.col("lang")).alias("was"))
-
-
 @query(f"SELECT d.doc_id, lang, {SCORE} AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def t4_completeness_queue(t):
     return completeness(t).select("doc_id", "lang", "score").orderBy(F.desc("score"), "lang", "doc_id")
@@ -629,25 +577,12 @@ def u9_document_store(t):
     return L.one_per_key(again, ["doc_id"], F.desc("version"), F.col("record_key"))
 
 
-@query("WITH g AS (SELECT min(doc_id) OVER (PARTITION BY text) AS grp, doc_id, lang FROM documents), s AS (SELECT g.*, quality FROM g LEFT JOIN labels l ON l.doc_id = g.doc_id) SELECT doc_id, doc_id = grp AS is_primary, CASE WHEN doc_id <> grp THEN 'DEDUPED' WHEN quality = 1 THEN 'PROMOTION_READY' ELSE 'DISCOVERED' END AS status FROM s")
-def d1_candidate_refresh(t):
-    grouped = K.groups(K.star_edges(t.documents, "doc_id", F.sha2("text", 256)), t.documents.select("doc_id"), "doc_id")
-    joined = grouped.join(t.labels, "doc_id", "left")
-    first = F.col("doc_id") == F.col("component")
-    return joined.select("doc_id", first.alias("is_primary"), F.when(~first, "DEDUPED").when(F.col("quality") == 1, "PROMOTION_READY").otherwise("DISCOVERED").alias("status"))
-
-
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN instr(text, lang) = 0 THEN 'quote missing' END, CASE WHEN n_chars <> len(text) THEN 'truncated' END) AS issues FROM documents WHERE instr(text, lang) = 0 OR n_chars <> len(text)""")
 def d5_integrity_audit(t):
     issues = X.distinct_compact(F.when(~F.contains("text", F.col("lang")), "quote missing"), F.when(F.col("n_chars") != F.length("text"), "truncated"))
     return t.documents.select("doc_id", issues.alias("i")).where(F.size("i") > 0).select("doc_id", F.array_join(F.slice("i", 1, 16), ",").alias("issues"))
 
 
-@query("SELECT user_id % 10 AS grp, count(*) AS candidates, count(DISTINCT event_type) AS kinds, count(*) FILTER (value >= 80) AS promoted FROM events GROUP BY 1")
-def d14_production_import(t):
-    return t.events.groupBy((F.col("user_id") % 10).alias("grp")).agg(F.count("*").alias("candidates"), F.count_distinct("event_type").alias("kinds"), F.count_if(F.col("value") >= 80).alias("promoted"))
-
-
 @query("""WITH p AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
 SELECT 'pair_' || sha256(CASE WHEN a::VARCHAR < b::VARCHAR THEN a || chr(10) || b ELSE b || chr(10) || a END)[1:16] AS pair_id, a, b FROM p WHERE b IS NOT NULL""")
 def d16_pair_candidates(t):
