@@ -23,8 +23,10 @@ def similar_names(names: DataFrame, name: str, threshold: float, within: Sequenc
     """Pairs ``(a, b)`` of different names, ``a < b``, with ``1 - edit distance / longer length >= threshold``; with ``within``, only
     inside equal keys, which are returned as well.
 
-    Blocking loses nothing: with d edits allowed on the longer name, one of its d + 1 equal parts survives and occurs in the other
-    within d places of where it was. Names meet on (keys, part, length of the longer, place), then the distance is checked.
+    Blocking loses nothing: with d edits allowed on the longer name, one of its d + 1 equal parts survives with as many edits before it, at
+    most, as there are parts before it, and no more after it than parts after it. So part i is looked for only i places to either side
+    of where it was, counted from the left, and d - i from the right. Names meet on (keys, part, length of the longer, place), then the
+    distance is checked. A name has about (d + 1)^2 / 2 rows for each longer length that is possible.
     """
     keys = list(within)
     distinct = names.select(*keys, F.col(name).alias("n")).where(F.length("n") > 0).distinct()
@@ -39,7 +41,9 @@ def similar_names(names: DataFrame, name: str, threshold: float, within: Sequenc
     wanted = wanted.select(*keys, "n", "size", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
     at = F.floor(F.col("i") * F.col("size") / (F.col("d") + 1)).cast("int")
     width = F.floor((F.col("i") + 1) * F.col("size") / (F.col("d") + 1)).cast("int") - at
-    shifts = F.transform(F.sequence(-F.col("d"), F.col("d")), lambda s: F.struct(F.col("size").alias("size"), at.alias("place"), F.when(at + s >= 0, F.substring("n", at + s + 1, width)).alias("part")))
+    drop = size - F.col("size")  # how much shorter the other name is
+    wanted = wanted.withColumns({"lo": F.greatest(-F.col("i"), drop - F.col("d") + F.col("i")), "hi": F.least(F.col("i"), drop + F.col("d") - F.col("i"))}).where("lo <= hi")
+    shifts = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda s: F.struct(F.col("size").alias("size"), at.alias("place"), F.when(at + s >= 0, F.substring("n", at + s + 1, width)).alias("part")))
     shorter = wanted.select(*keys, "n", F.inline(shifts)).where(F.length("part") > 0).distinct()
     met = longer.join(shorter, [*keys, "size", "place", "part"]).where("long <> n").select(*keys, F.least("long", "n").alias("a"), F.greatest("long", "n").alias("b")).distinct()
     return met.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)

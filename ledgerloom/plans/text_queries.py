@@ -176,7 +176,10 @@ def f25_confidence_class(t):
 
 
 REDACT = "text"
-for _p, _m in ((r"https?://[^\s]+", "[url]"), (r"[0-9A-Za-z_.+\-]+@[0-9A-Za-z_\-]+\.[0-9A-Za-z_.\-]+", "[mail]"), (r"(?i)bearer\s+[A-Za-z0-9._\-]+", "[auth]"), (r"(?i)(api[_\-]?key|token|secret|password)\s*[=:]\s*[^\s]+", "[key]"), (r"\b[A-Za-z]:\\[^\s]+", "[path]"), (r"/(?:home|usr|etc|var|tmp|opt)/[^\s]+", "[path]"), (r"[\x00-\x1f\x7f]+", " ")):
+for _p, _m in (
+    (r"[\x00-\x1f\x7f]+", " "), (r"(?i)https?://[^\s]+", "[url]"), (r"[0-9A-Za-z_.+\-]+@[0-9A-Za-z_\-]+\.[0-9A-Za-z_.\-]+", "[mail]"), (r"(?i)(?:authorization\s*:\s*(?:[a-z]+\s+)?|bearer\s+)[A-Za-z0-9._~+/=\-]+", "[auth]"),
+    (r"(?i)(api[_ \-]?key|token|secret|password)\s*[=:]\s*[^\s]+", "[key]"), (r"(?i)\bsk-[0-9A-Za-z_\-]{8,}", "[key]"), (r"\b[A-Za-z]:[\\/][^\s]+", "[path]"), (r"\\\\[^\s]+", "[path]"), (r"(^|[^0-9A-Za-z_/])/[^\s]+", r"\1[path]"),
+):
     REDACT = f"regexp_replace({REDACT}, '{_p}', '{_m}', 'g')"
 
 

@@ -218,3 +218,49 @@ def test_entry_runs_without_the_optional_part(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    ("raw", "safe"),
+    [
+        ("open /root/a/b.txt failed", "open [path] failed"),
+        ("(/mnt/x), and/or 1/2", "([path] and/or 1/2"),
+        (r"share \\host\dir\f.doc x", "share [path] x"),
+        (r"C:\Users\me d:/data", "[path] [path]"),
+        ("key sk-abcdefgh12 end", "key [key] end"),
+        ("Authorization: Basic dXNlcjpwYXNz next", "[auth] next"),
+        ("Authorization: Bearer abc.def-1", "[auth]"),
+        ("line one\nline\ttwo\x00", "line one line two "),
+    ],
+)
+def test_redaction_covers_every_root(spark, raw, safe):
+    assert one(spark, X.redacted(F.lit(raw))) == safe
+
+
+def test_name_blocking_loses_no_pair(spark):
+    import random
+
+    from ledgerloom.operators.linkage import similar_names
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    r = random.Random(7)
+    names = {"".join(r.choice("abc") for _ in range(r.randrange(1, 12))) for _ in range(90)}
+    for long in ["".join(r.choice("abcdefgh") for _ in range(30)) for _ in range(3)]:
+        for _ in range(12):
+            x = list(long)
+            for _ in range(r.randrange(7)):
+                at = r.randrange(len(x))
+                x[at : at + 1] = r.choice([[], [r.choice("abcz")], [x[at], r.choice("abcz")]])
+            names.add("".join(x))
+    names = sorted(names)
+    for threshold in (0.55, 0.8):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 1 - distance(a, b) / max(len(a), len(b)) >= threshold - 1e-12}
+        got = {(x["a"], x["b"]) for x in similar_names(spark.createDataFrame([(n,) for n in names], "n string"), "n", threshold).collect()}
+        assert got == want
