@@ -7,9 +7,11 @@
 3. A message replies to the original that its lowest quote level matches with most characters (then the latest). Following
    replies upwards by pointer doubling gives the thread (the first turn) and the depth.
 4. Within a conversation messages are ordered by thread, then turn: every reply comes after its original, and threads are contiguous.
-   Quotes and their attribution lines are left out of the text, which is set in the chat template.
+   Quotes and the attribution lines right before them are left out of the text, which is set in the chat template; ``quoted`` keeps
+   them as they were, whether their originals were found or not.
 
-Positions are counted in blocks of 1024 threads, so a conversation of any length is never one group. DataFrame functions only.
+Positions come from one sort by ranges of (conversation, thread, turn), which splits conversations and threads of any length, and from the
+counts of its parts. DataFrame functions only.
 
 **Edge cases.** A null text is empty; blank lines are no units. Messages that quote nothing known start their own thread. A null
 conv_id forms no conversation: its rows are kept, unlinked, at position 0. A null turn comes first. Rows that repeat a turn share its links. A
@@ -22,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.session import materialise
+from ledgerloom.operators.components import label_rows
+from ledgerloom.session import materialise, tasks
 
 _MARKS = r"^(?:[ \t]*>)+"
-_ATTRIBUTION = r"(?i)^\s*on\b.{1,200}\bwrote:\s*$"
-_BLOCK = 1024
+_END = r"(?:\r\n|\r|\n)"
+#: An attribution line, at any level, with a quoted line after it; blank lines may stand between.
+_ATTRIBUTION = rf"(?im)^((?:[ \t]*>)*)[ \t]*on\b.{{1,200}}\bwrote:[ \t]*{_END}(?=(?:[ \t>]*{_END})*[ \t]*>)"
+_PART_BITS = 33  # monotonically_increasing_id counts the rows of a part in so many bits
 
 
 def _level(line: Column) -> Column:
@@ -41,17 +46,27 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n")
 
 
+def _written(text: Column) -> Column:
+    """The lines without attribution lines."""
+    return _lines(F.when(F.contains(text, F.lit(">")), F.regexp_replace(text, _ATTRIBUTION, "")).otherwise(text))
+
+
 def own_text(text: Column) -> Column:
     """The text without quoted lines and without the attribution lines before them."""
-    kept = F.filter(_lines(text), lambda x: (_level(x) == 0) & ~(F.contains(text, F.lit(">")) & x.rlike(_ATTRIBUTION)))
+    kept = F.filter(_written(text), lambda x: _level(x) == 0)
     return F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+$", "")
 
 
+def quoted_text(text: Column) -> Column:
+    """The quoted lines as they stand in the text; null without any."""
+    lines = F.filter(_lines(text), lambda x: _level(x) > 0)
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+
+
 def _units(messages: DataFrame) -> DataFrame:
     """``(conv_id, turn, level, kind, hash, chars)`` of every passage and every line that is not blank."""
-    lines = messages.select("row", "conv_id", "turn", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
-    lines = lines.select("row", "conv_id", "turn", "place", _level(F.col("line")).alias("level"), _normal(F.regexp_replace("line", _MARKS, "")).alias("words"), F.col("line").rlike(_ATTRIBUTION).alias("attribution"))
-    lines = lines.where((F.col("words") != "") & ~((F.col("level") == 0) & F.col("attribution")))
+    lines = messages.select("row", "conv_id", "turn", F.posexplode(_written(F.col("text"))).alias("place", "line"))
+    lines = lines.select("row", "conv_id", "turn", "place", _level(F.col("line")).alias("level"), _normal(F.regexp_replace("line", _MARKS, "")).alias("words")).where(F.col("words") != "")
     order = Window.partitionBy("row").orderBy("place")
     island = F.sum((F.coalesce(F.lag("level").over(order), F.lit(-1)) != F.col("level")).cast("int")).over(order)
     lines = lines.withColumn("island", island)
@@ -85,21 +100,26 @@ def _threads(links: DataFrame) -> DataFrame:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, reply_to, thread, depth, position, body, formatted)``, one row per message."""
+    """``(conv_id, turn, role, reply_to, thread, depth, position, body, formatted, quoted)``, one row per message."""
     messages = materialise(conversations.select(F.monotonically_increasing_id().alias("row"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")), "messages")
     # only messages with a quote, and in their conversations, can take part in links
     quoting = messages.where(F.contains("text", F.lit(">"))).select("conv_id").distinct()
     linked = _threads(reply_links(messages.join(quoting, "conv_id", "left_semi")))
-    full = messages.join(linked, ["conv_id", "turn"], "left").withColumns({"thread": F.coalesce("thread", "turn"), "depth": F.coalesce("depth", F.lit(0)), "body": own_text(F.col("text"))})
-    full = full.withColumn("block", F.floor(F.col("thread") / _BLOCK))
-    sizes = full.where("conv_id IS NOT NULL").groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    order = Window.partitionBy("conv_id", "block").orderBy(F.col("thread").asc_nulls_first(), F.col("turn").asc_nulls_first(), "row")
-    placed = full.where("conv_id IS NOT NULL").withColumn("inside", F.row_number().over(order)).alias("m").join(before.alias("b"), F.col("m.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("m.block").eqNullSafe(F.col("b.block")))
-    columns = ["conv_id", "turn", "role", "reply_to", "thread", "depth", "body"]
-    out = placed.select(*[F.col(f"m.{c}") for c in columns], (F.col("b.before") + F.col("m.inside")).alias("position")).unionByName(full.where("conv_id IS NULL").select(*columns, F.lit(0).cast("long").alias("position")))
+    full = messages.join(linked, ["conv_id", "turn"], "left").withColumns({"thread": F.coalesce("thread", "turn"), "depth": F.coalesce("depth", F.lit(0)), "body": own_text(F.col("text")), "quoted": quoted_text(F.col("text"))})
+    order = ["conv_id", F.col("thread").asc_nulls_first(), F.col("turn").asc_nulls_first(), "row"]
+    ranged = full.where("conv_id IS NOT NULL").drop("text").repartitionByRange(tasks(messages.sparkSession), *order).sortWithinPartitions(*order)
+    ranged = materialise(ranged.withColumn("at", F.monotonically_increasing_id()), "chat-order")
+    part, inside = F.shiftright("at", _PART_BITS).cast("int"), F.col("at").bitwiseAND(F.lit((1 << _PART_BITS) - 1))
+    # one row for each part of the sort
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    counted = ranged.withColumn("part", part).join(F.broadcast(before), "part").withColumn("at", F.col("before") + inside)
+    firsts = counted.groupBy("conv_id").agg(F.min("at").alias("first"), F.count("*").alias("members"))
+    placed = label_rows(counted, firsts, ["conv_id"], "members")
+    columns = ["conv_id", "turn", "role", "reply_to", "thread", "depth", "body", "quoted"]
+    out = placed.select(*columns, (F.col("at") - F.col("first") + 1).alias("position")).unionByName(full.where("conv_id IS NULL").select(*columns, F.lit(0).cast("long").alias("position")))
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n"))
-    return out.select("conv_id", "turn", "role", "reply_to", "thread", "depth", "position", "body", formatted.alias("formatted"))
+    return out.select("conv_id", "turn", "role", "reply_to", "thread", "depth", "position", "body", formatted.alias("formatted"), "quoted")
 
 
 def chat_segments(chats: DataFrame, messages: int = 256) -> DataFrame:

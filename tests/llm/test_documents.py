@@ -427,3 +427,42 @@ def test_crowded_prefixes_link_as_all_pairs_do(spark):
         linked = {frozenset((at[a], at[b])) for a, b in pairs}
         assert all(near(*p) for p in linked)
         assert closure(len(values), lambda a, b: frozenset((a, b)) in linked) == closure(len(values), near)
+
+
+def test_language_scores_are_those_of_a_direct_kernel_and_ridge_solve(spark):
+    import math
+
+    r = random.Random(21)
+    kinds = {"aa": ["ka", "lo", "mi", "nu"], "bb": ["tre", "ou", "que", "ée"], "cc": ["sch", "ung", "der", "ä"]}
+    text = lambda lang: " ".join("".join(r.choice(kinds[lang]) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(3, 12)))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(r.choice(list(kinds)) for _ in range(150))]
+    settings = langid.Settings(per_language=25, landmarks=6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, settings)
+
+    def grams(t, n):
+        clean = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", t.lower()).strip() + " "
+        return {re.sub(" +", " ", clean)[i : i + n] for i in range(len(re.sub(" +", " ", clean)) - n + 1)}
+
+    sets = {i: [grams(t, n) for n in settings.orders] for i, t, _ in rows}
+    for i, t, _ in rows:  # the presence bits stand for these sets; from here on a gram is its slot, as grams of two texts may share one
+        slots = [set(np.flatnonzero(x).tolist()) for x in langid.presence(t, settings)]
+        assert [len(x) for x in slots] == [len(x) for x in sets[i]]
+        sets[i] = slots
+    kernel = lambda a, b: sum(len(x & y) / math.sqrt(len(x) * len(y)) for x, y in zip(sets[a], sets[b], strict=True)) / len(settings.orders)
+    order = {x["doc_id"]: x["h"] for x in docs.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    chosen = {c: sorted((i for i, _, lang in rows if lang == c and zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: (order[i], i))[: settings.per_language] for c in kinds}
+    marks, sample = [i for c in kinds for i in chosen[c][: settings.landmarks]], [(i, c) for c in kinds for i in chosen[c]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = lambda ids: np.hstack([np.array([[kernel(i, m) for m in marks] for i in ids]) @ root, np.ones((len(ids), 1))])
+    x = features([i for i, _ in sample])
+    y = np.array([[c == k for k in kinds] for _, c in sample], float)
+    weight = np.array([1 / len(chosen[c]) for _, c in sample])
+    solved = np.linalg.solve(x.T @ (x * weight[:, None]) + settings.ridge * weight.mean() * np.eye(x.shape[1]), x.T @ (y * weight[:, None]))
+    direct = features([i for i, _, _ in rows]) @ solved
+    folded = langid.scores(np.stack([langid.presence(t, settings) for _, t, _ in rows]), model)
+    assert model.languages == tuple(kinds) and np.abs(direct - folded).max() < 1e-3
+    got = {x["doc_id"]: x for x in langid.predict(docs, model).collect()}
+    assert all(got[i]["lang_pred"] == list(kinds)[d.argmax()] and abs(got[i]["score"] - min(1, max(0, d.max()))) < 1e-3 for (i, _, _), d in zip(rows, direct, strict=True))

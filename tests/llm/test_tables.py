@@ -221,3 +221,93 @@ def test_nearest_neighbours_of_repeated_rows(spark):
         for y in ann.nearest(df, lists=5, probes=probes or 5, deal=deal, ask=ask).orderBy("query_row", "rank").collect():
             got.setdefault(y["query_row"], []).append((y["query_id"], y["rank"], y["vec_id"], round(y["score"], 9)))
         assert sorted(got.values()) == sorted(want)
+
+
+def brute_replies(rows):
+    """Each message's original, by comparing every quoted unit with every earlier message."""
+    import re
+
+    level = lambda line: re.match(r"(?:[ \t]*>)*", line)[0].count(">")
+    plain = lambda line: " ".join(re.sub(r"^(?:[ \t]*>)+", "", line).lower().split())
+
+    def units(text):
+        lines = [x for x in (text or "").split("\n")]
+        kept = []
+        for i, x in enumerate(lines):
+            after = next((y for y in lines[i + 1 :] if y.replace(">", "").strip() or (">" in y and not lines[i + 1 :][lines[i + 1 :].index(y) + 1 :])), "")
+            if re.fullmatch(r"(?:[ \t]*>)*[ \t]*on\b.{1,200}\bwrote:[ \t]*", x, re.I) and level(after) > 0:
+                continue
+            kept.append((level(x), plain(x)))
+        out, run = set(), []
+        for lv, words in [k for k in kept if k[1]] + [(None, "")]:
+            if run and run[0][0] != lv:
+                if len(run) > 1:
+                    out.add((run[0][0], 1, " ".join(w for _, w in run)))
+                run = []
+            if lv is not None:
+                out.add((lv, 0, words))
+                run.append((lv, words))
+        return out
+
+    found = {}
+    own = {(c, t): units(x) for c, t, _, x in rows}
+    for (c, t), mine in own.items():
+        weight = {}
+        for lv, kind, words in mine:
+            if lv:
+                before = [t2 for (c2, t2), other in own.items() if c2 == c and t2 < t and (0, kind, words) in other]
+                if before:
+                    key = (lv, max(before))
+                    weight[key] = weight.get(key, 0) + len(words)
+        if weight:
+            lv, origin = max(weight, key=lambda k: (-k[0], weight[k], k[1]))
+            found[c, t] = origin
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_links_are_those_of_a_brute_force_linker(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    said = ["the same line", "how  are you", "fine thanks", "see below", "On time as ever", "a > b"]
+    rows = []
+    for c in range(4):
+        texts = []
+        for turn in range(40):
+            lines = []
+            if texts and r.random() < 0.7:
+                source = r.choice(texts).split("\n")
+                some = source if r.random() < 0.5 else source[r.randrange(len(source)) :][: r.randrange(1, 4)]
+                if r.random() < 0.5:
+                    lines.append("On Monday, A wrote:")
+                lines += [(">" if x.startswith(">") else "> ") + x for x in some]
+            if r.random() < 0.2:
+                lines.append("> nobody wrote this")
+            lines += [r.choice(said) if r.random() < 0.4 else f"line {r.randrange(200)}" for _ in range(r.randrange(1, 4))]
+            texts.append("\n".join(lines))
+            rows.append((c, turn, "user", texts[-1]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df).collect()
+    want = brute_replies(rows)
+    assert {(x["conv_id"], x["turn"]): x["reply_to"] for x in out if x["reply_to"] is not None} == want and len(want) > 60
+    for x in out:
+        thread, depth, at = x["turn"], 0, (x["conv_id"], x["turn"])
+        while at in want:
+            thread, depth, at = want[at], depth + 1, (at[0], want[at])
+        assert (x["thread"], x["depth"]) == (thread, depth)
+    for c in range(4):
+        own = sorted((x for x in out if x["conv_id"] == c), key=lambda x: x["position"])
+        assert [x["position"] for x in own] == list(range(1, 41))
+        assert [(x["thread"], x["turn"]) for x in own] == sorted((x["thread"], x["turn"]) for x in own)
+    texts = {(c, t): x for c, t, _, x in rows}
+    for x in out:
+        lines = texts[x["conv_id"], x["turn"]].split("\n")
+        assert (x["quoted"] or "").split("\n") == ([y for y in lines if y.startswith(">")] or [""])
+
+
+def test_chat_keeps_lines_that_only_look_like_attributions(spark):
+    rows = [(1, 0, "user", "On Monday he wrote:\nx -> y"), (1, 1, "user", "On Monday he wrote:\n\n> x -> y\nyes"), (1, 2, "user", ">>> print(1)\nhelp")]
+    got = {x["turn"]: x for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as position", "2 as `row`", "'q' as quoted")).collect()}
+    assert [got[i]["body"] for i in range(3)] == ["On Monday he wrote:\nx -> y", "yes", "help"]
+    assert got[1]["reply_to"] == 0 and got[2]["quoted"] == ">>> print(1)"
