@@ -86,9 +86,10 @@ def scan(query: np.ndarray, turned_query: np.ndarray, own: int, rows: np.ndarray
             difference = turned[alive, at:d] - turned_query[at:d]
             read += difference.size
             partial = partial + (difference * difference).sum(axis=1)
-            if d < size:
-                keep = partial <= limit * d / size * (1 + epsilon / np.sqrt(d)) ** 2 + 1e-12
-                alive, partial = alive[keep], partial[keep]
+            # the last block completes the distance itself, up to rounding
+            most = limit * d / size * (1 + epsilon / np.sqrt(d)) ** 2 if d < size else limit * (1 + 1e-9)
+            keep = partial <= most + 1e-12
+            alive, partial = alive[keep], partial[keep]
         difference = vectors[alive] - query
         read += difference.size
         exact = np.sqrt((difference * difference).sum(axis=1))
