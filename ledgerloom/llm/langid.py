@@ -102,7 +102,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~train_split(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.per_language)
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.per_language)
 
     def bits(batches):
         for batch in batches:
@@ -110,8 +110,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
             kept = [i for i, x in rows if x is not None]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int32())), batch.column(2).take(pa.array(kept, pa.int32())), batch.column(3).take(pa.array(kept, pa.int32())), pa.array([np.packbits(x).tobytes() for _, x in rows if x is not None], pa.binary())], ["doc_id", "lang", "place", "bits"])
 
-    # at most per_language rows for each language, each of a fixed size
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang", "place").mapInArrow(task(bits), "doc_id long, lang string, place int, bits binary").collect()
+    # at most per_language rows for each language, each of a fixed size: of rows that repeat a doc_id and lang one stands for all
+    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang", "place").mapInArrow(task(bits), "doc_id long, lang string, place int, bits binary").groupBy("lang", "place", "doc_id").agg(F.min("bits").alias("bits")).collect()
     sample.sort(key=lambda r: (r["place"], r["lang"], r["doc_id"], bytes(r["bits"])))
     languages = tuple(sorted({r["lang"] for r in sample}))
     slots = 1 << settings.bits
