@@ -102,7 +102,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~train_split(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.per_language)
+    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.per_language).groupBy("doc_id", "lang").agg(F.min("place").alias("place"))
 
     def bits(batches):
         for batch in batches:
