@@ -16,6 +16,12 @@ def one_per_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFra
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
 
 
+def preferred_item(items: DataFrame, key: str) -> DataFrame:
+    """One item of each filled key: completed before others, then no duplicate, then visible, then the oldest; ``ordinal`` breaks ties."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return one_per_key(items.where(blank_to_null(F.col(key)).isNotNull()), [key], ~flag("completed"), flag("duplicate"), flag("hidden"), F.coalesce("created_time", F.lit("")), F.col("ordinal"))
+
+
 def latest(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """The last row of each key by the given columns."""
     return one_per_key(rows, keys, *[F.col(c).desc_nulls_last() for c in order])

@@ -126,30 +126,6 @@ def j25_audit_row_index(t):
     return t.orders.select("o_orderkey", "o_orderpriority", F.count("*").over(run).alias("run_size"), F.row_number().over(run.orderBy("o_orderkey")).alias("row_index"))
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS gid, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 3000 END AS num FROM orders),
-g AS (SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey % 700 AS num, count(*) AS hits, min(c_custkey) AS id FROM customer GROUP BY 1)
-SELECT o_orderkey, CASE WHEN g.c_custkey IS NOT NULL THEN 'matched' WHEN n.hits = 1 THEN 'matched' WHEN n.hits > 1 THEN 'manual' ELSE 'new' END AS outcome, CASE WHEN g.c_custkey IS NOT NULL THEN g.c_custkey WHEN n.hits = 1 THEN n.id END AS project_id
-FROM c LEFT JOIN g ON g.c_custkey = gid LEFT JOIN n ON n.num = c.num""")
-def j14_resolution_cascade(t):
-    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey")).alias("gid"), F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderkey") % 3000).alias("num"))
-    by_group = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("gid"), F.col("c_custkey").alias("project"))
-    by_number = t.customer.select((F.col("c_custkey") % 700).alias("num"), F.col("c_custkey").alias("project"))
-    return resolve(rows, "o_orderkey", [("gid", by_group), ("num", by_number)])
-
-
-def resolve(rows, key, steps):
-    """A cascade of equi-joins: the first step whose key is found decides; one hit matches, several need a person, none is new."""
-    for name, index in steps:
-        hits = index.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias(f"_{name}_hits"), F.min("project").alias(f"_{name}_id"))
-        rows = rows.join(hits, name, "left")
-    outcome, found = F.lit("new"), F.lit(None).cast("long")
-    for name, _ in reversed(steps):
-        hits = F.col(f"_{name}_hits")
-        outcome = F.when(hits == 1, "matched").when(hits > 1, "manual").otherwise(outcome)
-        found = F.when(hits == 1, F.col(f"_{name}_id")).when(hits > 1, F.lit(None)).otherwise(found)
-    return rows.select(key, outcome.alias("outcome"), found.alias("project_id"))
-
-
 @query("""WITH x AS (SELECT o_custkey AS k, o_orderkey AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderpriority END AS prio, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status, 'n' || o_orderkey % 2 AS note FROM orders),
 n AS (SELECT k, string_agg(note, '; ' ORDER BY pos) AS note FROM (SELECT k, note, min(ordinal) AS pos FROM x GROUP BY ALL) GROUP BY k)
 SELECT x.k, arg_min(prio, ordinal) FILTER (trim(prio) <> '') AS prio, arg_min(status, ordinal) FILTER (status IS NOT NULL) AS status, any_value(n.note) AS note FROM x JOIN n ON n.k = x.k GROUP BY x.k""")
@@ -232,25 +208,12 @@ def d17_enrichment_records(t):
     return rows.groupBy("o_custkey").pivot("field", ["priority", "status"]).agg(F.max("value"))
 
 
-@query("SELECT l_orderkey, count(*) AS pieces, row_number() OVER (ORDER BY l_orderkey) * 0 AS zero FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey")
-def a26_import_summaries(t):
-    return t.lineitem.where("l_linenumber = 1").groupBy("l_orderkey").agg(F.count("*").alias("pieces"), F.lit(0).cast("long").alias("zero"))
-
-
 @query(f"SELECT {LINE_SQL}, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SQL}) AS place, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem")
 def w5_group_position(t):
     w = Window.partitionBy("l_orderkey")
     return t.lineitem.select(*LINE, F.row_number().over(w.orderBy(*LINE)).alias("place"), F.count("*").over(w).alias("size"))
 
 
-@query("SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey) AS spent FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 200)) WHERE spent <= 500")
-def w14_request_budget(t):
-    """Every size is at least 1, so no more than 500 targets can fit: those are ranked first."""
-    order = [F.desc("p_retailprice"), F.col("p_partkey")]
-    ranked = t.part.orderBy(*order).limit(500)
-    return ranked.withColumn("spent", F.sum("p_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where("spent <= 500").select("p_partkey")
-
-
 @query("SELECT c_name AS name, 'customer' AS source FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier UNION ALL SELECT p_name, 'part' FROM part")
 def u1_tagged_union(t):
     return T.union_tagged(customer=t.customer.select(F.col("c_name").alias("name")), supplier=t.supplier.select(F.col("s_name").alias("name")), part=t.part.select(F.col("p_name").alias("name")))
@@ -329,20 +292,6 @@ def d7_packages_to_awards(t):
     return flat.select("l_orderkey", X.stable_id("award_", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("award_id"), F.col("l_suppkey").alias("winner"))
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'), s AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0),
-n AS (SELECT o_custkey, min(o_orderkey) AS creator, count(*) AS n FROM c WHERE o_custkey NOT IN (SELECT c_custkey FROM s) GROUP BY 1)
-SELECT o_orderkey, CASE WHEN s.c_custkey IS NOT NULL THEN 'attached' WHEN o_orderkey = creator THEN 'created' ELSE 'joined' END AS outcome, coalesce(s.c_custkey, creator + 1000000) AS project_id FROM c LEFT JOIN s ON s.c_custkey = o_custkey LEFT JOIN n ON n.o_custkey = c.o_custkey""")
-def d3_batch_confirm(t):
-    """Rows attach to stored projects first; of the others, the first of each match key creates a project that the rest join."""
-    eligible = t.orders.where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey")
-    stored = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("stored"))
-    joined = eligible.join(stored, "o_custkey", "left")
-    creators = joined.where("stored IS NULL").groupBy("o_custkey").agg(F.min("o_orderkey").alias("creator"))
-    out = joined.join(creators, "o_custkey", "left")
-    outcome = F.when(F.col("stored").isNotNull(), "attached").when(F.col("o_orderkey") == F.col("creator"), "created").otherwise("joined")
-    return out.select("o_orderkey", outcome.alias("outcome"), F.coalesce("stored", F.col("creator") + 1000000).alias("project_id"))
-
-
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS winner FROM orders), d AS (SELECT o_custkey, arg_min(winner, o_orderkey) AS w FROM r WHERE winner IS NOT NULL GROUP BY 1)
 SELECT o_orderkey, coalesce(winner, w) AS winner, CASE WHEN winner IS NULL AND w IS NOT NULL THEN 'local' END AS method FROM r LEFT JOIN d ON d.o_custkey = r.o_custkey""")
 def j16_self_enrichment(t):

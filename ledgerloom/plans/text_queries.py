@@ -24,16 +24,6 @@ def f2_title_key(t):
     return t.documents.select("doc_id", X.title_key(F.col("text")).alias("key"))
 
 
-@query("SELECT p_partkey, replace(p_name, ' ', '') AS key FROM part")
-def f3_business_key(t):
-    return t.part.select("p_partkey", X.business_key(F.concat(F.lit("("), F.col("p_name"), F.lit(").")).alias("x")).alias("key"))
-
-
-@query("SELECT p_partkey, p_name AS core FROM part")
-def f4_core_name(t):
-    return t.part.select("p_partkey", X.core_name(F.concat(F.lit("[A](b) "), F.col("p_name"), F.lit(" phase two final")), ["phase two", "final"]).alias("core"))
-
-
 @query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE AS score FROM n a JOIN n b ON a.p_name < b.p_name WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE >= 0.7")
 def f5_similar_names(t):
     return K.similar_names(t.part, "p_name", 0.7)
@@ -48,34 +38,11 @@ def f5_matching_ratio(t):
     return K.similar_names(t.part, "p_name", 0.6).select("a", "b", matching_ratio("a", "b").alias("ratio"))
 
 
-@query("SELECT c_custkey, upper(regexp_replace(c_name, '#', '-')) AS ids FROM customer")
-def f6_identifiers(t):
-    return t.customer.select("c_custkey", F.array_join(X.identifiers(F.concat(F.lit("see 1999-2003 and "), F.regexp_replace("c_name", "#", "-"), F.lit(" in 2020"))), ",").alias("ids"))
-
-
-@query("SELECT p_partkey, 'PN-' || lpad(p_partkey::VARCHAR, 6, '0') AS project_no, p_brand AS package_no FROM part")
-def f7_labelled_identifiers(t):
-    text = F.concat(F.lit("Project no: PN-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("; package no: "), F.col("p_brand"))
-    return t.part.select("p_partkey", X.first_match(text, [r"Project no:\s*([A-Z0-9\-]+)"]).alias("project_no"), X.first_match(text, [r"package no:\s*(\S+)"]).alias("package_no"))
-
-
 @query("SELECT doc_id, nullif(regexp_extract(text, '\\bof ([a-z]+)', 1), '') AS value FROM documents")
 def f8_labelled_value(t):
     return t.documents.select("doc_id", X.first_match(F.col("text"), [r"\bof ([a-z]+)"]).alias("value"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS money FROM orders")
-def f9_money_near_label(t):
-    text = F.concat(F.lit("Order total for the record, amount: "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" units"))
-    return t.orders.select("o_orderkey", X.first_match(text, [r"amount[^0-9]{0,120}(\d+(?:\.\d+)?)"]).alias("money"))
-
-
-@query("SELECT doc_id, nullif(regexp_extract(text, '(?:^|[.\\n] ?)The ([^.\\n]{10,})', 1), '') IS NOT NULL AS labelled FROM documents")
-def f10_long_content(t):
-    best = X.best_of_kinds(F.col("text"), [(r"(?:^|[.\n] ?)The ([^.\n]{10,})", 200)])
-    return t.documents.select("doc_id", best.isNotNull().alias("labelled"))
-
-
 TYPE_RULES = [("ECONOMY|SMALL", "contract"), ("STANDARD", "result"), ("PROMO", "notice")]
 
 
@@ -91,11 +58,6 @@ def f12_extract_record(t):
     return t.documents.select("doc_id", kind.alias("doc_type"), F.when(kind != "other", X.first_match(F.col("text"), [r"\bof ([a-z]+)"])).alias("winner"), F.length("text").alias("text_chars"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
-def f13_date_of(t):
-    return t.orders.select("o_orderkey", F.date_format(X.date_of(F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy/M/d"))), "yyyy-MM-dd").alias("day"))
-
-
 @query("SELECT o_orderkey, rtrim(rtrim(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) / 10000 AS DECIMAL(30,6)) AS VARCHAR), '0'), '.') AS amount FROM orders")
 def f14_amount(t):
     return t.orders.select("o_orderkey", X.amounts_in_ten_thousands(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("amount"))
@@ -442,13 +404,6 @@ def a27_page_summary(t):
     return t.pages.agg(F.count("*").alias("pages"), F.count_if(F.endswith(X.host(F.col("url")), F.lit(".example.org"))).alias("confirmed"), F.count_if(F.contains("url", F.lit("utm_"))).alias("tracking"))
 
 
-@query(f"SELECT {HOST} AS source_key, min(page_id) AS page_id, count(*) AS members FROM pages GROUP BY 1")
-def w7_preferred_item(t):
-    keyed = t.pages.select("page_id", X.host(F.col("url")).alias("source_key"))
-    first = L.one_per_key(keyed, ["source_key"], F.col("page_id"))
-    return first.join(keyed.groupBy("source_key").agg(F.count("*").alias("members")), "source_key")
-
-
 @query(f"SELECT page_id, {HOST} AS source_key, page_id <> min(page_id) OVER (PARTITION BY {HOST}) AS hidden FROM pages")
 def d11_url_convergence(t):
     keyed = t.pages.select("page_id", X.host(F.col("url")).alias("source_key"))
@@ -463,19 +418,6 @@ def u4_distinct_urls(t):
     return first_of_key(t.pages, X.url_key(F.regexp_replace("url", r"[?#].*$", "")), "page_id").select("page_id")
 
 
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title FROM pages)
-SELECT page_id, count(DISTINCT lower(title)) AS tokens, CASE WHEN count(DISTINCT lower(title)) >= 6 THEN 'strong' WHEN count(DISTINCT lower(title)) >= 4 THEN 'medium' ELSE 'weak' END AS strength FROM a GROUP BY page_id""")
-def j17_match_strength(t):
-    tokens = anchors(t).groupBy("page_id").agg(F.count_distinct(F.lower("title")).alias("tokens"))
-    return tokens.withColumn("strength", F.when(F.col("tokens") >= 6, "strong").when(F.col("tokens") >= 4, "medium").otherwise("weak"))
-
-
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title FROM pages), d AS (SELECT lower(title) AS key, min(page_id) AS page_id, count(*) AS n FROM a GROUP BY 1)
-SELECT key, page_id, n FROM d""")
-def t5_candidate_order(t):
-    return anchors(t).groupBy(F.lower("title").alias("key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).orderBy(F.desc("n"), "key")
-
-
 @query("""WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations)
 SELECT conv_id, island, count(*) AS n_rows, min(turn) AS first_row, count(DISTINCT role) AS roles FROM m WHERE island > 0 GROUP BY ALL""")
 def w6_continuations(t):
@@ -512,27 +454,6 @@ def section_sizes(lines, most=2048):
     return F.aggregate(lines, empty, add, lambda s: F.array_append(s["done"], F.struct(s["section"].alias("section"), s["lines"].alias("lines"), s["used"].alias("bytes"))))
 
 
-@query(f"""WITH RECURSIVE {LINES}, k AS (SELECT doc_id, place, strlen(line) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY strlen(line) DESC, place) AS rank FROM l),
-r AS (SELECT doc_id, rank, place, CASE WHEN size <= 600 THEN size ELSE 0 END AS used, size <= 600 AS kept FROM k WHERE rank = 1 UNION ALL
- SELECT k.doc_id, k.rank, k.place, CASE WHEN used + k.size <= 600 THEN used + k.size ELSE used END, used + k.size <= 600 FROM r JOIN k ON k.doc_id = r.doc_id AND k.rank = r.rank + 1)
-SELECT doc_id, count(*) AS kept, sum(place) AS places, max(used) AS bytes FROM r WHERE kept GROUP BY doc_id""")
-def w11_budget_selection(t):
-    ranked = F.array_sort(F.transform(F.split("text", "\n"), lambda x, i: F.struct((-F.octet_length(x)).cast("long").alias("rank"), i.cast("long").alias("place"))))
-    return t.documents.select("doc_id", budget_fit(ranked, 600).alias("s")).select("doc_id", "s.kept", "s.places", F.col("s.used").alias("bytes")).where("kept > 0")
-
-
-def budget_fit(ranked, budget):
-    """Greedy selection in rank order: a section that does not fit is skipped and later ones may still fit."""
-    empty = F.expr("named_struct('used', 0L, 'kept', 0L, 'places', 0L)")
-
-    def add(state, item):
-        size = -item["rank"]
-        fits = state["used"] + size <= budget
-        return F.struct(F.when(fits, state["used"] + size).otherwise(state["used"]).alias("used"), F.when(fits, state["kept"] + 1).otherwise(state["kept"]).alias("kept"), F.when(fits, state["places"] + item["place"]).otherwise(state["places"]).alias("places"))
-
-    return F.aggregate(ranked, empty, add)
-
-
 @query(f"""WITH RECURSIVE {LINES}, k AS (SELECT doc_id, place, strlen(line) AS size, CASE WHEN place = 0 THEN -1 ELSE -len(regexp_extract_all(line, '[.]')) END AS relevance FROM l),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN place = 0 THEN 0 ELSE 1 END, relevance, place) AS rank FROM k),
 r AS (SELECT doc_id, rank, size AS used, true AS kept FROM o WHERE rank = 1 UNION ALL SELECT o.doc_id, o.rank, CASE WHEN used + o.size <= 1000 THEN used + o.size ELSE used END, used + o.size <= 1000 FROM r JOIN o ON o.doc_id = r.doc_id AND o.rank = r.rank + 1)
@@ -548,16 +469,6 @@ def w12_row_retention(t):
     return t.documents.select("doc_id", F.aggregate(rows, empty, add).alias("s")).select("doc_id", "s.kept", F.col("s.used").alias("bytes"))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT doc_id, place, strlen(line) AS size FROM l), w AS (SELECT a.doc_id, a.place, b.place AS next_place, sum(b.size) OVER (PARTITION BY a.doc_id, a.place ORDER BY b.place) AS used FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.place BETWEEN a.place + 1 AND a.place + 12)
-SELECT k.doc_id, k.place, count(next_place) FILTER (used <= 4096) AS following FROM k LEFT JOIN w ON w.doc_id = k.doc_id AND w.place = k.place GROUP BY ALL""")
-def w13_context_window(t):
-    order = Window.partitionBy("doc_id").orderBy("place")
-    sized = document_lines(t).select("doc_id", "place", F.octet_length("line").alias("size"))
-    ahead = sized.withColumn("sizes", F.collect_list("size").over(order.rowsBetween(1, 12)))
-    fits = F.aggregate("sizes", F.expr("named_struct('used', 0, 'n', 0L)"), lambda s, x: F.struct((s["used"] + x).alias("used"), F.when(s["used"] + x <= 4096, s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"])
-    return ahead.select("doc_id", F.col("place").cast("long").alias("place"), fits.alias("following"))
-
-
 @query(f"WITH {LINES} SELECT doc_id, place, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS value FROM l WHERE true QUALIFY len(line) <= 12 AND value IS NOT NULL AND len(value) > 12")
 def w16_adjacent_values(t):
     following = F.lead("line").over(Window.partitionBy("doc_id").orderBy("place"))
@@ -573,19 +484,6 @@ def w18_evidence_rank(t):
     return L.one_per_key(rated, ["doc_id", "category"], F.desc("heading"), F.desc("hits"), F.col("place")).select("doc_id", "category", F.col("place").cast("long").alias("place"), "hits")
 
 
-@query("SELECT doc_id, source || '#' || doc_id AS record_key, 1 AS version FROM documents")
-def u9_document_store(t):
-    stored = t.documents.select("doc_id", F.concat_ws("#", "source", F.col("doc_id").cast("string")).alias("record_key"))
-    again = stored.unionByName(stored).withColumn("version", F.lit(1))
-    return L.one_per_key(again, ["doc_id"], F.desc("version"), F.col("record_key"))
-
-
-@query("""SELECT doc_id, concat_ws(',', CASE WHEN instr(text, lang) = 0 THEN 'quote missing' END, CASE WHEN n_chars <> len(text) THEN 'truncated' END) AS issues FROM documents WHERE instr(text, lang) = 0 OR n_chars <> len(text)""")
-def d5_integrity_audit(t):
-    issues = X.distinct_compact(F.when(~F.contains("text", F.col("lang")), "quote missing"), F.when(F.col("n_chars") != F.length("text"), "truncated"))
-    return t.documents.select("doc_id", issues.alias("i")).where(F.size("i") > 0).select("doc_id", F.array_join(F.slice("i", 1, 16), ",").alias("issues"))
-
-
 @query("""WITH p AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
 SELECT 'pair_' || sha256(CASE WHEN a::VARCHAR < b::VARCHAR THEN a || chr(10) || b ELSE b || chr(10) || a END)[1:16] AS pair_id, a, b FROM p WHERE b IS NOT NULL""")
 def d16_pair_candidates(t):

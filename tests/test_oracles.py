@@ -5,7 +5,7 @@ import pytest
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-for name in ("job_queries", "project_queries", "review_queries", "stream_queries", "text_queries"):
+for name in ("evidence_queries", "job_queries", "project_queries", "review_queries", "stream_queries", "text_queries"):
     importlib.import_module(f"ledgerloom.plans.{name}")
 registry = importlib.import_module("ledgerloom.plans.registry")
 
