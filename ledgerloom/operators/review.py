@@ -112,3 +112,21 @@ def create_links(wanted: DataFrame, projects: DataFrame, documents: DataFrame, e
     judged = joined.withColumn("reason", reason)
     fresh = one_per_key(judged.where("reason IS NULL"), natural, F.col("created_time")).join(existing.select(*natural), natural, "left_anti")
     return fresh.select(stable_id("link_", *map(F.col, natural)).alias("link_id"), *natural, "created_time"), judged.where("reason IS NOT NULL").select(*natural, "reason")
+
+
+def verify_applied(items: DataFrame, assets: DataFrame, documents: DataFrame, project_candidates: DataFrame) -> DataFrame:
+    """Whether each applied item ``(asset_id, status, project_id, written_ids, batch, hint)`` can be found again and rolled back.
+
+    ``assets`` and ``project_candidates`` have asset_id, ``documents`` (project_id, document_id). Verified means that the asset is there, with a
+    written document in its project or a project candidate; a hint has to name the batch and every written id.
+    """
+    applied = items.where("status = 'applied'")
+    wanted = applied.select("asset_id", "project_id", F.explode("written_ids").alias("document_id"))
+    written = wanted.join(documents.select("project_id", "document_id"), ["project_id", "document_id"], "left_semi").select("asset_id").distinct().withColumn("document_found", F.lit(True))
+    known = lambda table, name: table.select("asset_id").distinct().withColumn(name, F.lit(True))
+    joined = applied.join(known(assets, "asset_found"), "asset_id", "left").join(written, "asset_id", "left").join(known(project_candidates, "candidate_found"), "asset_id", "left")
+    joined = joined.na.fill(False, ["asset_found", "document_found", "candidate_found"])
+    hinted = F.coalesce(F.contains("hint", F.col("batch")) & F.forall("written_ids", lambda x: F.contains(F.col("hint"), x)), F.lit(False))
+    out = joined.withColumn("verified", F.col("asset_found") & (F.col("document_found") | F.col("candidate_found"))).withColumn("rollback_complete", hinted)
+    issues = F.array_compact(F.array(F.when(~F.col("verified"), "not found"), F.when(~F.col("rollback_complete"), "hint incomplete")))
+    return out.select("asset_id", "asset_found", "document_found", "candidate_found", "verified", "rollback_complete", issues.alias("issues"))

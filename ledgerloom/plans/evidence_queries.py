@@ -10,6 +10,7 @@ from ledgerloom.operators import candidates as C
 from ledgerloom.operators import evidence as E
 from ledgerloom.operators import latest as L
 from ledgerloom.operators import resolution as S
+from ledgerloom.operators import review as V
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.text_queries import HOST, LINES, PAGE, document_lines
 
@@ -50,8 +51,11 @@ KINDS = [(r"License, ([^\n]+)", 300), (r"(?:^|[.\n] ?)The ([^.\n]{10,})", 200),
 KINDS_SQL = " UNION ALL ".join(f"SELECT doc_id, text, {s} AS score, unnest(regexp_extract_all(text, '{p}', 0)) AS whole, unnest(regexp_extract_all(text, '{p}', 1)) AS value FROM documents" for p, s in KINDS)
 
 
-@query(rf"""WITH f AS (SELECT doc_id, score, instr(text, whole) AS place, regexp_replace(regexp_replace(value, '[ \t]+', ' ', 'g'), '^[ :;,.]+|[ :;,.]+$', '', 'g') AS value FROM ({KINDS_SQL}))
-SELECT d.doc_id, left(f.value, 2000) AS value FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id AND length(value) >= 10 QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY f.score DESC, length(value) DESC, place, value DESC) = 1""")
+CONTENT_SQL = rf"""WITH f AS (SELECT doc_id, score, instr(text, whole) AS place, regexp_replace(regexp_replace(value, '[ \t]+', ' ', 'g'), '^[ :;,.]+|[ :;,.]+$', '', 'g') AS value FROM ({KINDS_SQL}))
+SELECT d.doc_id, left(f.value, 2000) AS value FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id AND length(value) >= 10 QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY f.score DESC, length(value) DESC, place, value DESC) = 1"""
+
+
+@query(CONTENT_SQL)
 def f10_long_content(t):
     return t.documents.select("doc_id", X.best_of_kinds(F.col("text"), KINDS).alias("value"))
 
@@ -242,3 +246,111 @@ def w14_request_budget(t):
 def a26_import_summaries(t):
     """A workbook is an order, its rows are the lines."""
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n_rows"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.count_if(F.col("l_linestatus") == "F").alias("done"), F.min("l_linenumber").alias("first_row"))
+
+
+# --- names, records and exports --------------------------------------------------------------------------------------------
+
+WEAK = ("thering", "ungen")
+TOKENS_SQL = r"list_filter(regexp_split_to_array({0}, '[\s\p{{P}}+<>]+'), lambda w: length({1}) >= 5 AND {1} NOT IN ('thering', 'ungen') AND NOT regexp_full_match({1}, '[0-9]+'))[1:8]".format
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {TOKENS_SQL('text', KEY('w'))} AS found, {KEY('text')} AS key FROM documents)
+SELECT doc_id, array_to_string(CASE WHEN len(found) > 0 THEN found WHEN length(key) >= 16 THEN [left(key, 16)] ELSE [] END, ',') AS tokens FROM t""")
+def f20_name_tokens(t):
+    return t.documents.select("doc_id", F.array_join(X.name_tokens(F.col("text"), WEAK), ",").alias("tokens"))
+
+
+#: Pages against the record they were found for: a name (its own title, a document's opening words) and a customer (a word of its address).
+PAIRS_SQL = rf"""n AS (SELECT page_id, {PAGE} AS body, CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) WHEN page_id % 3 = 1 THEN left(regexp_extract(html, '<title>([^<]*)</title>', 1), 13) || 'zzzzz' ELSE regexp_extract(text, '^([^.\n]*)', 1) END AS name, regexp_extract(html, '<a href="/([a-zA-Z]{{6,}})"', 1) AS customer FROM pages JOIN documents ON doc_id = page_id),
+k AS (SELECT page_id, body, {KEY('body')} AS whole, {KEY('name')} AS key, {KEY('customer')} AS owner, {TOKENS_SQL('name', KEY('w'))} AS found FROM n),
+w AS (SELECT *, CASE WHEN len(found) > 0 THEN found WHEN length(key) >= 16 THEN [left(key, 16)] ELSE [] END AS words FROM k), h AS (SELECT *, len(list_filter(words, lambda w: contains(whole, {KEY('w')}))) AS hits FROM w),
+hit AS (SELECT page_id, body, (length(key) >= 16 AND contains(whole, left(key, 16))) OR (hits > 0 AND hits >= least(2, len(words))) OR (length(owner) >= 6 AND contains(whole, owner) AND contains(whole, left(key, 12))) AS relevant FROM h)"""
+
+
+def page_records(t):
+    pairs = t.pages.join(t.documents.select(F.col("doc_id").alias("page_id"), "text"), "page_id")
+    title, third = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.col("page_id") % 3
+    name = F.when(third == 0, title).when(third == 1, F.concat(F.left(title, F.lit(13)), F.lit("zzzzz"))).otherwise(F.regexp_extract("text", r"^([^.\n]*)", 1))
+    customer = F.regexp_extract("html", '<a href="/([a-zA-Z]{6,})"', 1)
+    return pairs.select("page_id", X.page_text(F.col("html")).alias("body"), name.alias("name"), customer.alias("customer")).withColumn("relevant", X.relevant(F.col("body"), F.col("name"), F.col("customer"), WEAK))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT page_id, relevant FROM hit")
+def f21_relevance(t):
+    return page_records(t).select("page_id", "relevant")
+
+
+def _sane(pattern: str) -> str:
+    value = f"trim(regexp_extract(body, '{pattern}', 1))"
+    return f"CASE WHEN length({value}) BETWEEN 4 AND 90 AND NOT contains({value}, 'ing ') THEN {value} END"
+
+
+@query(f"""WITH {PAIRS_SQL}, v AS (SELECT page_id, relevant, CASE WHEN relevant THEN coalesce({_sane('The ([a-z ]+)')}, {_sane('(?:La|Die|El) ([a-z ]+)')}) END AS winner, CASE WHEN relevant THEN nullif(regexp_extract(body, '([0-9]{{2,}})', 1), '') END AS amount FROM hit)
+SELECT page_id, winner, amount, CASE WHEN NOT relevant THEN 'not relevant' WHEN winner IS NULL AND amount IS NULL THEN 'nothing found' ELSE 'matched' END AS message FROM v""")
+def f38_bounded_amount(t):
+    """An attempt to read winner and amount off each page, with its message."""
+    found = page_records(t)
+    winner = F.when(F.col("relevant"), X.bounded_match(F.col("body"), ["The ([a-z ]+)", "(?:La|Die|El) ([a-z ]+)"], without=["ing "]))
+    amount = F.when(F.col("relevant"), X.first_match(F.col("body"), ["([0-9]{2,})"]))
+    message = F.when(~F.col("relevant"), "not relevant").when(winner.isNull() & amount.isNull(), "nothing found").otherwise("matched")
+    return found.select("page_id", winner.alias("winner"), amount.alias("amount"), message.alias("message"))
+
+
+RECORD_TYPES = [(" with ", "result"), (" que ", "contract"), ("License", "notice")]
+
+
+@query(r"""SELECT d.doc_id, CASE WHEN contains(text, ' with ') THEN 'result' WHEN contains(text, ' que ') THEN 'contract' WHEN contains(text, 'License') THEN 'notice' ELSE 'other' END AS doc_type,
+nullif(trim(regexp_extract(text, '\bby ([a-z]+)', 1)), '') AS customer, nullif(trim(regexp_extract(text, '^([A-Z][a-z]+ [a-z ]+)', 1)), '')[1:120] AS project_name, f.value AS content, nullif(regexp_extract(text, '([0-9]{3,})', 1), '') AS budget,
+strftime(try_cast(nullif(regexp_extract(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), '') AS DATE), '%Y-%m-%d') AS day, CASE WHEN contains(text, ' with ') OR contains(text, ' que ') THEN nullif(regexp_extract(text, '\bof ([a-z]+)', 1), '') END AS winner,
+CASE WHEN contains(text, ' with ') OR contains(text, ' que ') THEN nullif(regexp_extract(text, 'de[^0-9]{0,120}([0-9]+)', 1), '') END AS award_amount, CASE WHEN length(text) < 200 THEN 'short text' ELSE '' END AS note, length(text) AS text_chars
+FROM documents d JOIN (""" + CONTENT_SQL + r""") f ON f.doc_id = d.doc_id""")
+def f12_extract_record(t):
+    text = F.col("text")
+    first = lambda *patterns: X.first_match(text, list(patterns))
+    kind = X.classify(text, RECORD_TYPES, "other")
+    awarded = kind.isin("result", "contract")
+    return t.documents.select(
+        "doc_id", kind.alias("doc_type"), first(r"\bby ([a-z]+)").alias("customer"), first("^([A-Z][a-z]+ [a-z ]+)").alias("project_name"), X.best_of_kinds(text, KINDS).alias("content"), first("([0-9]{3,})").alias("budget"),
+        F.date_format(X.date_of(text), "yyyy-MM-dd").alias("day"), F.when(awarded, first(r"\bof ([a-z]+)")).alias("winner"), F.when(awarded, first("de[^0-9]{0,120}([0-9]+)")).alias("award_amount"),
+        F.when(F.length(text) < 200, "short text").otherwise("").alias("note"), F.length(text).alias("text_chars"),
+    )
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 4 <> 2 THEN turn::VARCHAR ELSE '' END AS sequence, CASE WHEN role = 'user' AND turn % 4 <> 2 THEN string_split(text, ' ')[1] ELSE ' ' END AS title,
+  CASE WHEN length(text) % 3 = 0 THEN '-' WHEN length(text) % 5 < 3 THEN string_split(text, ' ')[1] END AS winner, CASE WHEN length(text) % 2 = 0 THEN (length(text) // 100)::VARCHAR END AS award_amount, CASE WHEN length(text) % 7 = 0 THEN 'http://' || conv_id ELSE '' END AS source_url FROM conversations),
+s AS (SELECT *, trim(sequence) <> '' OR trim(title) <> '' AS keyed, source_url <> '' AS linked, coalesce(winner, '') <> '' OR coalesce(award_amount, '') <> '' AS more FROM c),
+m AS (SELECT *, min(turn) FILTER (keyed OR linked) OVER (PARTITION BY conv_id) AS first_head FROM s), h AS (SELECT *, keyed OR (linked AND NOT more) OR turn = first_head AS head FROM m),
+i AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM h), k AS (SELECT * FROM i WHERE island > 0 AND (head OR more)),
+v AS (SELECT conv_id, island, string_agg(winner, '; ' ORDER BY place) AS winner FROM (SELECT conv_id, island, winner, min(turn) AS place FROM k WHERE winner <> '' AND winner <> '-' GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT conv_id, island, string_agg(award_amount, '; ' ORDER BY place) AS award_amount FROM (SELECT conv_id, island, award_amount, min(turn) AS place FROM k WHERE award_amount <> '' GROUP BY ALL) GROUP BY ALL)
+SELECT k.conv_id, min(turn) AS turn, arg_min(k.title, turn) AS title, arg_min(k.source_url, turn) AS source_url, coalesce(any_value(v.winner), '') AS winner, coalesce(any_value(a.award_amount), '') AS award_amount, count(*) - 1 AS continuations
+FROM k LEFT JOIN v ON v.conv_id = k.conv_id AND v.island = k.island LEFT JOIN a ON a.conv_id = k.conv_id AND a.island = k.island GROUP BY k.conv_id, k.island""")
+def s6_vendor_scan(t):
+    """Conversations as exports, turns as their rows; the path is named twice and read once."""
+    from ledgerloom.sources.files import read_exports
+    from ledgerloom.sources.sheets import vendor_rows
+
+    rows = read_exports(t.spark, [f"{t.folder}/conversations.parquet", f"{t.folder}/conversations.parquet/"])
+    size, word, keyed = F.length("text"), F.split("text", " ")[0], (F.col("role") == "user") & (F.col("turn") % 4 != 2)
+    cells = rows.select(
+        "conv_id", "turn", F.when(keyed, F.col("turn").cast("string")).otherwise("").alias("sequence"), F.when(keyed, word).otherwise(" ").alias("title"), F.when(size % 3 == 0, "-").when(size % 5 < 3, word).alias("winner"),
+        F.when(size % 2 == 0, F.floor(size / 100).cast("string")).alias("award_amount"), F.when(size % 7 == 0, F.concat(F.lit("http://"), F.col("conv_id").cast("string"))).otherwise("").alias("source_url"),
+    )
+    return vendor_rows(cells, "conv_id", "turn").select("conv_id", "turn", "title", "source_url", "winner", "award_amount", "continuations")
+
+
+@query("""WITH i AS (SELECT event_id AS asset_id, 'p' || event_id % 50 AS project, ['d' || event_id] || CASE WHEN event_id % 2 = 0 THEN ['d' || (event_id + 1)] ELSE [] END AS written, 'b' || user_id % 9 AS batch, 'undo ' || user_id || ': d' || event_id || ' d' || (event_id + 1) || CASE WHEN value > 20 THEN ' b' || user_id % 9 ELSE '' END AS hint FROM events WHERE event_type <> 'error'),
+d AS (SELECT 'p' || (doc_id + CASE WHEN lang = 'en' THEN 0 ELSE 1 END) % 50 AS project, 'd' || doc_id AS document FROM documents), c AS (SELECT DISTINCT page_id FROM pages WHERE contains(url, 'utm_')),
+x AS (SELECT i.*, EXISTS (SELECT 1 FROM labels WHERE doc_id = asset_id) AS asset_found, EXISTS (SELECT 1 FROM d WHERE d.project = i.project AND list_contains(i.written, d.document)) AS document_found, asset_id IN (SELECT page_id FROM c) AS candidate_found, contains(hint, batch) AND len(list_filter(written, lambda w: NOT contains(hint, w))) = 0 AS rollback_complete FROM i)
+SELECT asset_id, asset_found, document_found, candidate_found, asset_found AND (document_found OR candidate_found) AS verified, rollback_complete, concat_ws(',', CASE WHEN NOT (asset_found AND (document_found OR candidate_found)) THEN 'not found' END, CASE WHEN NOT rollback_complete THEN 'hint incomplete' END) AS issues FROM x""")
+def a25_post_apply_verification(t):
+    """Events as applied items (errors were not applied), labels as assets, documents as what the items wrote."""
+    tag = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    n, own = F.col("event_id"), tag("d", F.col("event_id"))
+    batch, after = tag("b", F.col("user_id") % 9), tag("d", F.col("event_id") + 1)
+    hint = F.concat_ws("", F.lit("undo "), F.col("user_id").cast("string"), F.lit(": "), own, F.lit(" "), after, F.when(F.col("value") > 20, F.concat(F.lit(" "), batch)))
+    items = t.events.select(n.alias("asset_id"), F.when(F.col("event_type") == "error", "failed").otherwise("applied").alias("status"), tag("p", n % 50).alias("project_id"), F.when(n % 2 == 0, F.array(own, after)).otherwise(F.array(own)).alias("written_ids"), batch.alias("batch"), hint.alias("hint"))
+    stored = t.documents.select(tag("p", (F.col("doc_id") + F.when(F.col("lang") == "en", 0).otherwise(1)) % 50).alias("project_id"), tag("d", F.col("doc_id")).alias("document_id"))
+    made = t.pages.where(F.contains("url", F.lit("utm_"))).select(F.col("page_id").alias("asset_id"))
+    found = V.verify_applied(items, t.labels.select(F.col("doc_id").alias("asset_id")), stored, made)
+    return found.withColumn("issues", F.array_join("issues", ","))

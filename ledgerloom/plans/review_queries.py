@@ -167,13 +167,6 @@ def a23_batch_outcomes(t):
     return t.orders.groupBy(F.col("o_orderstatus").alias("outcome")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
-@query("""SELECT e.event_id, quality IS NOT NULL AS found, quality IS NOT NULL AND toxic = 0 AS verified, CASE WHEN quality IS NULL THEN 'missing' WHEN toxic = 1 THEN 'mismatch' END AS issue FROM events e LEFT JOIN labels ON doc_id = event_id WHERE event_type = 'purchase'""")
-def a25_post_apply_verification(t):
-    joined = t.events.where("event_type = 'purchase'").join(t.labels, F.col("doc_id") == F.col("event_id"), "left")
-    found = F.col("quality").isNotNull()
-    return joined.select("event_id", found.alias("found"), (found & (F.col("toxic") == 0)).alias("verified"), F.when(~found, "missing").when(F.col("toxic") == 1, "mismatch").alias("issue"))
-
-
 @query("SELECT event_id FROM events WHERE NOT (event_type = 'error' AND value > 100) AND user_id % 10 <> 0")
 def p10_visible(t):
     hidden = ((F.col("event_type") == "error") & (F.col("value") > 100)) | (F.col("user_id") % 10 == 0)

@@ -51,13 +51,6 @@ def f11_document_type(t):
     return t.part.select("p_partkey", X.classify(F.col("p_type"), TYPE_RULES, "other").alias("doc_type"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(text, ' with ') THEN 'result' WHEN contains(text, ' que ') THEN 'contract' ELSE 'other' END AS doc_type,
-CASE WHEN contains(text, ' with ') OR contains(text, ' que ') THEN nullif(regexp_extract(text, '\\bof ([a-z]+)', 1), '') END AS winner, len(text) AS text_chars FROM documents""")
-def f12_extract_record(t):
-    kind = X.classify(F.col("text"), [(" with ", "result"), (" que ", "contract")], "other")
-    return t.documents.select("doc_id", kind.alias("doc_type"), F.when(kind != "other", X.first_match(F.col("text"), [r"\bof ([a-z]+)"])).alias("winner"), F.length("text").alias("text_chars"))
-
-
 @query("SELECT o_orderkey, rtrim(rtrim(CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) / 10000 AS DECIMAL(30,6)) AS VARCHAR), '0'), '.') AS amount FROM orders")
 def f14_amount(t):
     return t.orders.select("o_orderkey", X.amounts_in_ten_thousands(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("amount"))
@@ -104,17 +97,6 @@ def f19_site_class(t):
     return t.pages.select("page_id", X.classify(X.host(F.col("url")), [(r"\.example\.org$", "public"), (r"\.example\.net$", "trade")], "other").alias("class"))
 
 
-@query(f"SELECT p_partkey, array_to_string(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: len(x) >= 5)), ',') = '' AS is_short FROM part")
-def f20_name_tokens(t):
-    tokens = X.name_tokens(F.col("p_name"))
-    return t.part.select("p_partkey", F.array_contains(tokens, F.col("p_name")).alias("is_short"))
-
-
-@query("SELECT doc_id, contains(lower(text), 'thering') OR contains(lower(text), 'nation') AS hit FROM documents")
-def f21_relevance(t):
-    return t.documents.select("doc_id", (X.relevant(F.col("text"), F.lit("thering"), F.array(F.lit("thering"))) | X.relevant(F.col("text"), F.lit("nation"), F.array(F.lit("nation")))).alias("hit"))
-
-
 @query("SELECT c_custkey, unnest(['\"' || c_name || '\"', c_name || ' award', c_mktsegment || ' ' || c_name]) AS q FROM customer")
 def f22_search_queries(t):
     made = F.array(F.concat(F.lit('"'), F.col("c_name"), F.lit('"')), F.concat(F.col("c_name"), F.lit(" award")), F.concat_ws(" ", "c_mktsegment", "c_name"))
@@ -215,13 +197,6 @@ def f37_routing(t):
     return t.customer.select("c_custkey", F.explode(F.slice(F.array_distinct(F.coalesce(routed, F.array(*map(F.lit, ("a.example.net", "b.example.net", "c.example.net"))))), 1, 3)).alias("site"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 400000 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount, CASE WHEN o_totalprice BETWEEN 1000 AND 400000 THEN 'found' ELSE 'out of bounds' END AS message FROM orders")
-def f38_bounded_amount(t):
-    found = X.first_match(F.concat(F.lit("winner X, price "), F.col("o_totalprice").cast("decimal(18,2)").cast("string")), [r"price (\d+(?:\.\d+)?)"]).cast("decimal(18,2)")
-    good = found.between(1000, 400000)
-    return t.orders.select("o_orderkey", F.when(good, found.cast("string")).alias("amount"), F.when(good, "found").otherwise("out of bounds").alias("message"))
-
-
 @query("SELECT c_custkey, c_name AS project FROM customer")
 def f39_file_project(t):
     file = F.concat(F.lit("tender_"), F.regexp_replace("c_name", " ", "+"), F.lit(".pdf"))
@@ -548,13 +523,6 @@ def s5_header_rows(t):
     return header_rows(cells, ["doc_id"], aliases).select("doc_id", F.col("row").cast("long").alias("header_row"))
 
 
-@query("SELECT conv_id, turn, role FROM conversations")
-def s6_vendor_scan(t):
-    from ledgerloom.sources.files import read_exports
-
-    return read_exports(t.spark, [f"{t.folder}/conversations.parquet", f"{t.folder}/conversations.parquet"]).select("conv_id", "turn", "role")
-
-
 @query("SELECT doc_id, quality FROM labels")
 def s8_snapshot(t):
     from ledgerloom.session import materialise

@@ -131,3 +131,45 @@ def test_content_strength_items_and_order(spark):
     found = [(1, "f", "A b", "u", "low", [], 0), (1, "f", "ab", "u", "high", [], 1), (2, "f", "x", "u", "high", ["y"], 2), (2, "e", "x", "u", "high", None, 3), (3, "f", "x", "u", None, None, 4)]
     table = spark.createDataFrame(found, "record_id int, field string, value string, url string, confidence string, flags array<string>, ordinal int")
     assert [r.ordinal for r in C.ordered_candidates(table).collect()] == [3, 2, 0, 4]
+
+
+def test_vendor_rows(spark):
+    from ledgerloom.sources.sheets import vendor_rows
+
+    rows = [
+        ("a", 1, "", " ", "Lost", "1", "", "r0"),  # nothing to continue, no link
+        ("a", 2, "", "", "Kept", "", "http://x", "r1"),  # nothing to continue, but a link
+        ("a", 3, "", None, "Kept", "7", "", "r2"),  # repeats the winner
+        ("a", 4, "", "", "", "", "http://y", "r3"),  # only a link
+        ("a", 5, "", "", "-", "8", "http://z", "r4"),  # continues, whatever its link
+        ("a", 6, "", "", "", "", "", "r5"),  # nothing
+        ("a", 7, "2", "Oak", "-", None, "", "r6"),
+        ("a", 8, None, "", "One", "5", "", "r7"),
+        ("a", 9, "", "", "Two", "5", "", "r8"),
+        ("b", 1, "1", "", "W", "", "", "r9"),
+    ]
+    table = spark.createDataFrame(rows, "file string, row int, sequence string, title string, winner string, award_amount string, source_url string, `a.b` string")
+    found = {(r.file, r.row): (r["a.b"], r.winner, r.award_amount, r.continuations) for r in vendor_rows(table, "file", "row").collect()}
+    assert found == {("a", 2): ("r1", "Kept", "7", 1), ("a", 4): ("r3", "", "8", 1), ("a", 7): ("r6", "One; Two", "5", 2), ("b", 1): ("r9", "W", "", 0)}
+    assert vendor_rows(table.limit(0), "file", "row").count() == 0
+
+
+def test_applied_items_are_verified(spark):
+    from ledgerloom.operators.review import verify_applied
+
+    items = [("x", "applied", "p", ["d1", "d2"], "b1", "b1 d1 d2"), ("y", "applied", "p", ["d3"], "b1", "d3"), ("z", "applied", None, [], "b1", None), ("w", "failed", "p", ["d1"], "b1", ""), ("v", "applied", "q", ["d1"], "b1", "b1 d1")]
+    table = spark.createDataFrame(items, "asset_id string, status string, project_id string, written_ids array<string>, batch string, hint string")
+    assets, made = (spark.createDataFrame([(i,) for i in ids], "asset_id string") for ids in (["x", "x", "y", "v"], ["y", "z"]))
+    documents = spark.createDataFrame([("p", "d2"), ("p", "d2"), ("p", "d9")], "project_id string, document_id string")
+    found = {r.asset_id: (r.verified, r.rollback_complete, r.issues) for r in verify_applied(table, assets, documents, made).collect()}
+    assert found == {"x": (True, True, []), "y": (True, False, ["hint incomplete"]), "z": (False, False, ["not found", "hint incomplete"]), "v": (False, True, ["not found"])}
+
+
+def test_names_and_winners(spark):
+    cases = [("new north harbour bridge", "North Harbour", "", True), ("harbour", "North Harbour", "", False), ("harbour", "Harbour", None, True), ("the citycouncil and the pier", "pier", "City Council", True), ("the citycouncil", "pier", "City Council", False), ("any", "12345", "", False), ("any", None, None, False), (None, "North Harbour", "City Council", False), ("any", "", "", False)]
+    table = spark.createDataFrame(cases, "text string, name string, customer string, want boolean")
+    assert all(r.want == r.got for r in table.select("want", X.relevant(F.col("text"), F.col("name"), F.col("customer")).alias("got")).collect())
+    names = spark.createDataFrame([("North-Harbour 12345 (weakly) pier",), ("a b c d e f g h i j k l m n o p q",), ("ab",), (None,)], "n string").select(X.name_tokens(F.col("n"), ["weakly"]).alias("t")).collect()
+    assert [r.t for r in names] == [["North", "Harbour"], ["abcdefghijklmnop"], [], []]
+    winners = spark.createDataFrame([("winner: Bo. bidder: Acme Ltd",), ("winner: fee notice. bidder: x",), ("winner: " + "y" * 91,), (None,)], "t string")
+    assert [r.w for r in winners.select(X.bounded_match(F.col("t"), [r"winner: ([^.]+)", r"bidder: ([^.]+)"], without=["notice"]).alias("w")).collect()] == ["Acme Ltd", None, None, None]
