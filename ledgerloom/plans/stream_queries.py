@@ -34,7 +34,14 @@ def x3_last_states(t):
     return t.spark.read.option("basePath", out).parquet(out).groupBy("user_id").agg(F.max_by("event_type", F.struct("batch", "event_id")).alias("event_type"))
 
 
-@query()
+ATTEMPTS_SQL = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_type = 'click' AS claim, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click') AS rn FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, min(rn) FILTER (NOT claim) OVER w AS finish, min(rn) FILTER (claim) OVER w AS claim_after, min(rn) FILTER (claim) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 300000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS claim_past FROM e WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+s AS (SELECT n.user_id, n.rn, n.us, f.us <= n.us + 300000000 AS committed, CASE WHEN f.us <= n.us + 300000000 THEN f.claim_after ELSE n.claim_past END AS following FROM n LEFT JOIN n f ON f.user_id = n.user_id AND f.rn = n.finish WHERE n.claim),
+r AS (SELECT * FROM s QUALIFY rn = min(rn) OVER (PARTITION BY user_id) UNION ALL SELECT s.* FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.following)
+SELECT user_id::VARCHAR AS user_id, us / 1e6 AS opened, CASE WHEN committed THEN 'committed' ELSE 'expired' END AS outcome FROM r WHERE committed OR us + 300000000 < (SELECT max(epoch_us(ts)) FROM events)"""
+
+
+@query(ATTEMPTS_SQL)
 def x2_stream_attempts(t):
     ship(t.spark)
     out, state, end = scratch_path(t.spark, "attempts"), scratch_path(t.spark, "stream"), scratch_path(t.spark, "end")
