@@ -31,7 +31,7 @@ def x1_first_sightings(t):
 def x3_last_states(t):
     out, state = scratch_path(t.spark, "states"), scratch_path(t.spark, "stream")
     intake.write_last_states(_stream(t, "events"), "user_id", "event_type", "event_id", out, state).awaitTermination()
-    return t.spark.read.option("basePath", out).parquet(out).groupBy("user_id").agg(F.max_by("event_type", F.struct("batch", "event_id")).alias("event_type"))
+    return intake.last_states(t.spark, "user_id", "event_type", "event_id", out).select("user_id", "event_type")
 
 
 ATTEMPTS_SQL = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_type = 'click' AS claim, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click') AS rn FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),

@@ -9,12 +9,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import url_key
+from ledgerloom.operators.latest import one_per_key
 
 LEASE_SECONDS, LATE_SECONDS = 300, 600
 
@@ -25,18 +25,28 @@ def first_sightings(pages: DataFrame, url: str, time: str, horizon: str = "7 day
     return keyed.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["source_key"])
 
 
-def write_first_sightings(pages: DataFrame, url: str, ordinal: str, path: str, checkpoint: str):
-    """Exact for ever: each micro-batch keeps the keys that the target does not have. Returns the started query."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_first_sightings(pages: DataFrame, url: str, ordinal: str, path: str, checkpoint: str, buckets: int = 64):
+    """Exact for ever: each micro-batch keeps the keys that the target does not have. Returns the started query.
+
+    The target is partitioned by a hash of the key (``key_bucket``), so a micro-batch reads only the buckets that its keys fall in. A missing URL
+    is one key of its own.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        order = Window.partitionBy("source_key").orderBy(ordinal)
-        fresh = batch.withColumn("source_key", url_key(F.col(url))).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        keyed = batch.withColumn("source_key", url_key(F.col(url)))
+        first = one_per_key(keyed, ["source_key"], F.col(ordinal)).withColumn("key_bucket", F.pmod(F.xxhash64("source_key"), F.lit(buckets)).cast("int"))
+        if _exists(spark, path):
+            touched = [r["key_bucket"] for r in first.select("key_bucket").distinct().collect()]  # at most ``buckets``
+            known = spark.read.parquet(path).where(F.col("key_bucket").isin(touched)).select(F.col("source_key").alias("_known"))
             # a batch that is run again finds its own rows and adds nothing
-            fresh = fresh.join(spark.read.parquet(path).select("source_key"), "source_key", "left_anti")
-        fresh.write.mode("append").parquet(path)
+            first = first.join(known, F.col("source_key").eqNullSafe(F.col("_known")), "left_anti")
+        first.repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(path)
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -103,16 +113,19 @@ def closing_row(attempts: DataFrame, key: str, time: str, kind: str) -> DataFram
 
 
 def write_last_states(events: DataFrame, key: str, status: str, ordinal: str, path: str, checkpoint: str):
-    """Last status of each key, kept as one Parquet snapshot per micro-batch; the newest snapshot is the state. Returns the started query."""
+    """Last status of each key: a micro-batch adds the last rows of its own keys, and nothing is read or rewritten. Returns the started query.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(key, status, ordinal)
-        before = f"{path}/batch={batch_id - 1}"
-        target = spark._jvm.org.apache.hadoop.fs.Path(before)
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-            rows = rows.unionByName(spark.read.parquet(before))
-        last = rows.groupBy(key).agg(F.max_by(status, ordinal).alias(status), F.max(ordinal).alias(ordinal))
+    ``last_states`` reads the result; a batch that is run again replaces its own rows.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy(key).agg(F.max_by(status, ordinal).alias(status), F.max(ordinal).alias(ordinal))
         last.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_states(spark: SparkSession, key: str, status: str, ordinal: str, path: str) -> DataFrame:
+    """The last status of each key over all that ``write_last_states`` has added, by ordinal, whatever the batches."""
+    added = spark.read.option("basePath", path).parquet(path)
+    return added.groupBy(key).agg(F.max_by(status, F.struct(ordinal, "batch")).alias(status), F.max(ordinal).alias(ordinal))

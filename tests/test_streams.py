@@ -72,3 +72,28 @@ def test_query_replays_the_table(spark):
     want = [(k, round(s - base, 6), o) for k, s, o in replay([tuple(r) for r in events.collect()])]
     got = sorted((r["user_id"], round(r["opened"] - base, 6), r["outcome"]) for r in QUERIES["x2_stream_attempts"](spark, folder).collect())
     assert got == want and any(o == "expired" for _, _, o in got)
+
+
+def arriving(spark, folder, schema, batches):
+    """A stream that takes one of the batches at a time, in order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/n={i}")
+        for name in os.listdir(f"{folder}/n={i}"):
+            os.utime(f"{folder}/n={i}/{name}", (1_700_000_000 + 10 * i,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_first_sightings_over_batches(spark, tmp_path):
+    ship(spark)
+    batches = [[(1, "http://A/x/"), (2, "http://a/x"), (3, None)], [(4, " http://a/X"), (5, "http://b"), (6, None)], [(7, "http://B/"), (8, "http://c"), (9, "")]]
+    pages = arriving(spark, f"{tmp_path}/in", "page_id long, url string", batches)
+    intake.write_first_sightings(pages, "url", "page_id", f"{tmp_path}/out", f"{tmp_path}/state", 4).awaitTermination()
+    assert sorted(r.page_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3, 5, 8, 9]
+
+
+def test_last_states_over_batches(spark, tmp_path):
+    ship(spark)
+    batches = [[(1, "a", "new"), (5, "a", "late"), (2, "b", "new")], [(3, "a", "early"), (4, "b", "done")], [(6, "c", "new"), (7, None, "lost")]]
+    events = arriving(spark, f"{tmp_path}/in", "n long, k string, s string", batches)
+    intake.write_last_states(events, "k", "s", "n", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert {r.k: (r.s, r.n) for r in intake.last_states(spark, "k", "s", "n", f"{tmp_path}/out").collect()} == {"a": ("late", 5), "b": ("done", 4), "c": ("new", 6), None: ("lost", 7)}
