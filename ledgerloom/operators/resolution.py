@@ -70,3 +70,16 @@ def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     out = found.join(made, "record_id", "left")
     outcome = F.when(F.col("status") == "matched", "attached").when(F.col("status") == "manual", "manual").when(F.col("creator") == F.col("record_id"), "created").otherwise("joined")
     return out.select("record_id", outcome.alias("outcome"), "project_id", "creator")
+
+
+def by_first_key(rows: DataFrame, key: str, steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """A plain cascade of equi-joins ``(column, index with project)``: the first step whose key is found decides; one hit matches, several need a person, none is new."""
+    for name, index in steps:
+        hits = index.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias(f"_{name}_hits"), F.min("project").alias(f"_{name}_id"))
+        rows = rows.join(hits, name, "left")
+    outcome, found = F.lit("new"), F.lit(None).cast("long")
+    for name, _ in reversed(steps):
+        hits = F.col(f"_{name}_hits")
+        outcome = F.when(hits == 1, "matched").when(hits > 1, "manual").otherwise(outcome)
+        found = F.when(hits == 1, F.col(f"_{name}_id")).when(hits > 1, F.lit(None)).otherwise(found)
+    return rows.select(key, outcome.alias("outcome"), found.alias("project_id"))

@@ -236,16 +236,18 @@ def u8_fill_blanks(t):
     return T.fill_blanks(target, source, "k", ["label"]).select("o_orderkey", "label", F.array_join("filled", ",").alias("filled"))
 
 
-@query("SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS old, 'F' AS new FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'F'")
+@query("SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS old, CASE o_orderpriority WHEN '1-URGENT' THEN 'F' WHEN '5-LOW' THEN 'O' END AS new FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus <> CASE o_orderpriority WHEN '1-URGENT' THEN 'F' ELSE 'O' END")
 def d10_targeted_correction(t):
-    changes = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("F").alias("new"))
+    """Every order has a status that is right for its priority; those of other priorities keep theirs."""
+    priority = F.col("o_orderpriority")
+    changes = t.orders.select("o_orderkey", F.when(priority == "1-URGENT", "F").when(priority == "5-LOW", "O").otherwise(F.col("o_orderstatus")).alias("new"))
     return T.patch(t.orders, changes, "o_orderkey", "o_orderstatus")[1]
 
 
-@query("SELECT o_orderkey, o_orderstatus AS old, 'F' AS new FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'F'")
+@query("SELECT o_orderkey, o_orderstatus AS old, 'F' AS new FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'")
 def d23_nested_overlay(t):
-    nested = t.orders.select("o_orderkey", F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("fields")).alias("trace"))
-    target = F.when(F.col("o_orderkey") % 10 == 0, F.lit("F")).otherwise(F.col("trace.fields.status"))
+    nested = t.orders.select("o_orderkey", "o_orderpriority", F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("fields")).alias("trace"))
+    target = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("F")).otherwise(F.col("trace.fields.status"))
     fixed = nested.withColumn("after", F.col("trace").withField("fields.status", target))
     return fixed.where("trace.fields.status <> after.fields.status").select("o_orderkey", F.col("trace.fields.status").alias("old"), F.col("after.fields.status").alias("new"))
 

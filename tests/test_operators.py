@@ -8,7 +8,7 @@ from ledgerloom.operators import latest as L
 from ledgerloom.operators import linkage as K
 from ledgerloom.operators import tables as T
 from ledgerloom.operators.components import connected_components
-from ledgerloom.plans.project_queries import resolve
+from ledgerloom.operators.resolution import by_first_key
 from ledgerloom.plans.text_queries import allow_list, j12_containment
 
 
@@ -100,7 +100,7 @@ def test_patch_logs_only_differences(spark):
 def test_resolution_gives_each_row_one_outcome(spark):
     rows = spark.createDataFrame([(1, "g", None), (2, "z", "n"), (3, "z", "m"), (4, None, None)], "id int, gid string, num string")
     index = lambda c, *v: spark.createDataFrame(list(v), f"{c} string, project long")
-    out = resolve(rows, "id", [("gid", index("gid", ("g", 10))), ("num", index("num", ("n", 20), ("m", 30), ("m", 31)))])
+    out = by_first_key(rows, "id", [("gid", index("gid", ("g", 10))), ("num", index("num", ("n", 20), ("m", 30), ("m", 31)))])
     assert values(out) == [(1, "matched", 10), (2, "matched", 20), (3, "manual", None), (4, "new", None)]
 
 
