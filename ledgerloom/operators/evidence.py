@@ -66,8 +66,6 @@ def budgeted_sections(sections: Column, categories: Sequence[str], target: int =
         tier = F.when(x["tabular"] | (x["anchors"] > 0), 0).when((x["place"] == 0) | (x["place"] == last), 1).otherwise(2)
         return F.struct(tier.alias("tier"), (~x["tabular"]).alias("plain"), (-x["anchors"]).alias("anchors"), x["place"].cast("long").alias("place"), x["size"].cast("long").alias("size"), x["strong"].alias("strong"), x["weak"].alias("weak"))
 
-    order = F.array_sort(F.transform(sections, ranked))
-
     def take(state: Column, x: Column, fits: Column, rescue: Column | None = None) -> Column:
         fits = F.coalesce(fits, F.lit(False))
         return F.struct(
@@ -77,25 +75,32 @@ def budgeted_sections(sections: Column, categories: Sequence[str], target: int =
             (state["rescued"] | (fits if rescue is not None else F.lit(False))).alias("rescued"),
         )
 
-    def reserve(limit: int, rescue: bool):
+    def reserve(order: Column, limit: int, rescue: bool):
         def one(state: Column, category: Column) -> Column:
             bears = lambda x: F.array_contains(x["strong"], category) | (F.lit(not rescue) & F.array_contains(x["weak"], category))
             open_now = F.filter(order, lambda x: bears(x) & ~F.array_contains(state["places"], x["place"]) & (state["used"] + x["size"] <= limit))
             more = lambda x: F.lit(0) if rescue else -F.size(F.array_except(x["strong"], state["covered"]))
             best = F.array_min(F.transform(open_now, lambda x: F.struct((~F.array_contains(x["strong"], category)).alias("weakly"), more(x).alias("more"), x.alias("section"))))
-            return take(state, best["section"], best.isNotNull() & ~F.array_contains(state["covered"], category), F.lit(True) if rescue else None)
+            needed = ~F.array_contains(state["covered"], category)
+            # one evaluation of the search serves all fields of the new state
+            return F.when(needed, F.get(F.transform(F.array(best), lambda b: take(state, b["section"], b.isNotNull(), F.lit(True) if rescue else None)), F.lit(0))).otherwise(state)
 
         return one
 
     wanted = F.array(*map(F.lit, categories))
-    state = F.expr("named_struct('used', 0L, 'places', cast(array() as array<bigint>), 'covered', cast(array() as array<string>), 'rescued', false)")
-    state = F.aggregate(F.filter(order, lambda x: x["place"] == 0), state, lambda s, x: take(s, x, s["used"] + x["size"] <= target))
-    state = F.aggregate(wanted, state, reserve(target, False))
-    state = F.aggregate(order, state, lambda s, x: take(s, x, ~F.array_contains(s["places"], x["place"]) & (s["used"] + x["size"] <= target)))
-    state = F.aggregate(wanted, state, reserve(most, True))
-    borne = F.flatten(F.transform(sections, lambda x: x["strong"]))
-    result = F.transform(F.array(state), lambda s: F.struct(F.array_sort(s["places"]).alias("places"), s["used"].alias("used"), F.array_except(F.array_intersect(wanted, borne), s["covered"]).alias("missing"), s["rescued"].alias("rescued")))
-    return F.get(result, F.lit(0))
+
+    def choose(order: Column) -> Column:
+        state = F.expr("named_struct('used', 0L, 'places', cast(array() as array<bigint>), 'covered', cast(array() as array<string>), 'rescued', false)")
+        state = F.aggregate(F.filter(order, lambda x: x["place"] == 0), state, lambda s, x: take(s, x, s["used"] + x["size"] <= target))
+        state = F.aggregate(wanted, state, reserve(order, target, False))
+        state = F.aggregate(order, state, lambda s, x: take(s, x, ~F.array_contains(s["places"], x["place"]) & (s["used"] + x["size"] <= target)))
+        state = F.aggregate(wanted, state, reserve(order, most, True))
+        borne = F.flatten(F.transform(order, lambda x: x["strong"]))
+        report = lambda s: F.struct(F.array_sort(s["places"]).alias("places"), s["used"].alias("used"), F.array_except(F.array_intersect(wanted, borne), s["covered"]).alias("missing"), s["rescued"].alias("rescued"))
+        return F.get(F.transform(F.array(state), report), F.lit(0))
+
+    # the ranked sections are bound to a variable, so that they are sorted once
+    return F.get(F.transform(F.array(F.array_sort(F.transform(sections, lambda x: ranked(x)))), lambda o: choose(o)), F.lit(0))
 
 
 def audit_fields(fields: DataFrame, sections: DataFrame, most: int = 16) -> DataFrame:

@@ -32,6 +32,10 @@ def resolve(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     need a person; without a hit, a project of the same name and customer that has other numbers does. Then name and customer
     together. Nothing found is new. Ids are unique; blanks count as missing.
     """
+    return _resolved(records, projects, suffixes).select("record_id", "status", "project_id")
+
+
+def _resolved(records: DataFrame, projects: DataFrame, suffixes: Sequence[str]) -> DataFrame:
     left, right = _identities(records, "record_id", suffixes), _identities(projects, "project_id", suffixes)
     by_group = right.where("group_id IS NOT NULL").groupBy("group_id").agg(*_span("g"))
     by_number = right.select("project_id", "customer", F.explode("numbers").alias("number")).groupBy("number").agg(*_span("n"), F.min("customer").alias("c_low"), F.max("customer").alias("c_high"))
@@ -51,7 +55,8 @@ def resolve(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     by_number_status = F.when(F.col("n_low").isNull(), F.when(F.coalesce("m_numbered", F.lit(False)), "manual").otherwise("new")).when((F.col("n_low") != F.col("n_high")) | other_customer, "manual").otherwise("matched")
     by_name_status = F.when(F.col("m_low").isNull(), "new").when(F.col("m_low") != F.col("m_high"), "manual").otherwise("matched")
     status = F.when(F.col("g_low").isNotNull(), by_group_status).when(some, by_number_status).otherwise(by_name_status)
-    return rows.select("record_id", status.alias("status"), F.coalesce("g_low", low).alias("project_id")).withColumn("project_id", F.when(F.col("status") == "matched", F.col("project_id")))
+    found = rows.select(*left.columns, status.alias("status"), F.coalesce("g_low", low).alias("project_id"))
+    return found.withColumn("project_id", F.when(F.col("status") == "matched", F.col("project_id")))
 
 
 def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (r"phase \w+",)) -> DataFrame:
@@ -60,14 +65,12 @@ def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     Of the new records that share a match key (the smallest number, or name with customer, or the group id), the one with the smallest id
     creates a project, and the others join it; without a key each creates its own.
     """
-    found = resolve(records, projects, suffixes)
-    key = F.coalesce(F.concat(F.lit("number "), F.array_min("numbers")), F.concat_ws("\n", F.when(F.col("customer").isNotNull(), F.concat(F.lit("name "), F.col("name"))), F.when(F.col("name").isNotNull(), F.col("customer"))))
-    key = F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("group "), F.col("group_id")))
-    keyed = _identities(records, "record_id", suffixes).select("record_id", key.alias("_key"))
-    new = found.where("status = 'new'").join(keyed, "record_id")
-    creators = new.where("_key IS NOT NULL").groupBy("_key").agg(F.min("record_id").alias("creator"))
-    made = new.join(creators, "_key", "left").select("record_id", F.coalesce("creator", "record_id").alias("creator"))
-    out = found.join(made, "record_id", "left")
+    found = _resolved(records, projects, suffixes)
+    named = F.concat(F.lit("name "), F.col("name"), F.lit("\n"), F.col("customer"))  # null unless both are there
+    key = F.coalesce(F.concat(F.lit("number "), F.array_min("numbers")), named, F.concat(F.lit("group "), F.col("group_id")))
+    found = found.select("record_id", "status", "project_id", F.when(F.col("status") == "new", key).alias("_key"))
+    creators = found.where("_key IS NOT NULL").groupBy("_key").agg(F.min("record_id").alias("_first"))
+    out = found.join(creators, "_key", "left").withColumn("creator", F.when(F.col("status") == "new", F.coalesce("_first", "record_id")))
     outcome = F.when(F.col("status") == "matched", "attached").when(F.col("status") == "manual", "manual").when(F.col("creator") == F.col("record_id"), "created").otherwise("joined")
     return out.select("record_id", outcome.alias("outcome"), "project_id", "creator")
 
