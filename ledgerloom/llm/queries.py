@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, chat, embedding_dedup, langid, oracles, packing, pieces, simhash, suffix_dedup, token_store, url_filter
+from ledgerloom.llm import ann, byte_bpe, chat, embedding_dedup, langid, oracles, packing, pieces, simhash, suffix_dedup, token_store, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_table(_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_url_filter,
             op9_sentencepiece,
             op10_language_id,
+            op13_byte_bpe,
         )
     }
 
