@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import url_filter
+from ledgerloom.llm import phrases, spelling, url_filter
 
 #: Cosines of all pairs of a label in double precision, and components by closure of the links.
 EMBEDDINGS = """
@@ -31,4 +31,4 @@ FROM b LEFT JOIN n USING (doc_id) LEFT JOIN kept ON kept.doc_id = b.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": EMBEDDINGS, "op3_suffix_array_dedup": REPEATS, "op8_url_filter": url_filter.oracle()}
+    return {"op1_embedding_near_dedup": EMBEDDINGS, "op3_suffix_array_dedup": REPEATS, "op8_url_filter": url_filter.oracle(), "op11_spelling_variants": spelling.oracle(), "op12_phrase_collocations": phrases.oracle()}
