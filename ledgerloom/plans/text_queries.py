@@ -119,15 +119,37 @@ def f25_confidence_class(t):
     return t.events.select("event_id", F.when((F.col("value") >= 100) & (F.col("event_type") != "error"), "high").when(F.col("value") >= 40, "medium").otherwise("low").alias("class"))
 
 
-REDACT = "text"
-for _p, _m in (
-    (r"[\x00-\x1f\x7f]+", " "), (r"(?i)https?://[^\s]+", "[url]"), (r"[0-9A-Za-z_.+\-]+@[0-9A-Za-z_\-]+\.[0-9A-Za-z_.\-]+", "[mail]"), (r"(?i)(?:authorization\s*:\s*(?:[a-z]+\s+)?|bearer\s+)[A-Za-z0-9._~+/=\-]+", "[auth]"),
-    (r"(?i)(api[_ \-]?key|token|secret|password)\s*[=:]\s*[^\s]+", "[key]"), (r"(?i)\bsk-[0-9A-Za-z_\-]{8,}", "[key]"), (r"\b[A-Za-z]:[\\/][^\s]+", "[path]"), (r"\\\\[^\s]+", "[path]"), (r"(^|[^0-9A-Za-z_/])/[^\s]+", r"\1[path]"),
-):
-    REDACT = f"regexp_replace({REDACT}, '{_p}', '{_m}', 'g')"
+_SECRET = "('api_key', 'api-key', 'apikey', 'token', 'secret', 'password')"
+_SCHEME = "('basic', 'bearer', 'digest', 'negotiate', 'token')"
 
 
-@query(f"SELECT doc_id, {REDACT}[1:240] AS safe FROM documents")
+def _secret(word: str, left: str) -> str:
+    name = f"regexp_extract({word}, '^([a-z_-]+)[=:]', 1)"
+    return f"({name} IN {_SECRET} OR ({name} = 'key' AND coalesce({left} = 'api', false)))"
+
+
+def _label(word: str, left: str) -> str:
+    return f"coalesce({_secret(word, left)} AND regexp_matches({word}, '^[a-z_-]+[=:]$'), false)"
+
+
+#: Each word as a struct with its neighbours, then its mark; words that are gone are null.
+REDACTED = rf"""
+WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g'), ' ') AS w FROM documents),
+s AS (SELECT doc_id, list_transform(w, lambda x, i: {{'x': x, 'low': lower(x), 'bare': ltrim(lower(x), '([{{<"' || chr(39)), 'before': lower(w[i - 1]), 'earlier': CASE WHEN i > 2 THEN lower(w[i - 2]) END, 'followed': coalesce(len(w[i + 1]) > 0, false)}}) AS w FROM w),
+v AS (SELECT doc_id, list_transform(w, lambda s: {{'s': s, 'value': CASE WHEN contains(s.bare, '=') THEN regexp_replace(s.bare, '^[^=]*=["'']?', '') ELSE s.bare END, 'told': coalesce(s.before = 'authorization:', false)}}) AS w FROM s),
+m AS (SELECT doc_id, list_transform(w, lambda v: CASE
+  WHEN (v.s.low = 'authorization:' OR v.s.low = 'bearer' OR (v.told AND v.s.low IN {_SCHEME}) OR {_label('v.s.bare', 'v.s.before')}) AND v.s.followed THEN NULL
+  WHEN v.told OR coalesce(v.s.before IN {_SCHEME} AND v.s.earlier = 'authorization:', false) OR coalesce(v.s.before = 'bearer', false) THEN '[auth]'
+  WHEN {_label('v.s.before', 'v.s.earlier')} OR (coalesce(v.s.before IN ('=', ':'), false) AND coalesce(v.s.earlier IN {_SECRET}, false)) THEN '[key]'
+  WHEN contains(v.s.bare, '://') THEN left(v.s.x, len(v.s.x) - len(v.s.bare)) || '[url]'
+  WHEN {_secret('v.s.bare', 'v.s.before')} OR (starts_with(v.value, 'sk-') AND len(v.value) >= 11) THEN left(v.s.x, len(v.s.x) - len(v.s.bare)) || '[key]'
+  WHEN v.s.bare LIKE '_%@_%._%' THEN left(v.s.x, len(v.s.x) - len(v.s.bare)) || '[mail]'
+  WHEN regexp_matches(v.value, '^(?:/.|\\\\.|[a-z]:[\\/])') THEN left(v.s.x, len(v.s.x) - len(v.value)) || '[path]'
+  ELSE v.s.x END) AS w FROM v)
+SELECT doc_id, array_to_string(list_filter(w, lambda x: x IS NOT NULL), ' ')[1:240] AS safe FROM m"""
+
+
+@query(REDACTED)
 def f26_redacted(t):
     return t.documents.select("doc_id", X.redacted(F.col("text")).alias("safe"))
 

@@ -264,3 +264,30 @@ def test_name_blocking_loses_no_pair(spark):
         want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 1 - distance(a, b) / max(len(a), len(b)) >= threshold - 1e-12}
         got = {(x["a"], x["b"]) for x in similar_names(spark.createDataFrame([(n,) for n in names], "n string"), "n", threshold).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "safe"),
+    [
+        (None, None),
+        ("", ""),
+        ("password: hunter2, then", "[key] then"),
+        ("API key: abc PASSWORD = x1 y", "API [key] PASSWORD = [key] y"),
+        ("(token=abc) secret=", "([key] [key]"),
+        ("bearer", "bearer"),
+        ("Bearer abc left", "[auth] left"),
+        ("file=/etc/passwd a/b c:/x", "file=[path] a/b [path]"),
+        ("<me@x.org> ftp://h/x @x a@b", "<[mail] [url] @x a@b"),
+        ("x " * 200, ("x " * 200)[:240]),
+    ],
+)
+def test_redaction_reads_words_with_their_neighbours(spark, raw, safe):
+    assert one(spark, X.redacted(F.lit(raw).cast("string"))) == safe
+
+
+def test_long_runs_do_not_break_patterns(spark):
+    assert one(spark, X.core_name(F.lit("[a] " * 100_000 + "Road works" + " final" * 100_000), ["phase two", "final"])) == "Road works"
+    assert one(spark, X.core_name(F.lit("final final"), ["final"])) == ""
+    assert one(spark, X.core_name(F.lit("final cut"), ["final"])) == "final cut"
+    assert one(spark, X.clean_cell(F.lit("a" + " \n" * 1_000_000 + "b"))) == "a\nb"
+    assert one(spark, X.redacted(F.lit("x\n" * 200_000))) == ("x " * 200)[:240]
