@@ -27,10 +27,10 @@ from pyspark.sql.window import Window
 from ledgerloom.operators.components import label_rows
 from ledgerloom.session import materialise, tasks
 
-_MARKS = r"^(?:[ \t]*>)+"
-_END = r"(?:\r\n|\r|\n)"
-#: An attribution line, at any level, with a quoted line after it; blank lines may stand between.
-_ATTRIBUTION = rf"(?im)^((?:[ \t]*>)*)[ \t]*on\b.{{1,200}}\bwrote:[ \t]*{_END}(?=(?:[ \t>]*{_END})*[ \t]*>)"
+# No pattern repeats a group, so very long runs of marks or blank lines need no stack.
+_MARKS = r"^[ \t>]*>"
+#: A line, at any level, that may introduce a quote; it does if the next line that is not blank is quoted.
+_ATTRIBUTION = r"(?i)^[ \t>]*on\b.{1,200}\bwrote:[ \t]*$"
 _PART_BITS = 33  # monotonically_increasing_id counts the rows of a part in so many bits
 
 
@@ -48,7 +48,13 @@ def _lines(text: Column) -> Column:
 
 def _written(text: Column) -> Column:
     """The lines without attribution lines."""
-    return _lines(F.when(F.contains(text, F.lit(">")), F.regexp_replace(text, _ATTRIBUTION, "")).otherwise(text))
+    kind = lambda x: F.when(F.trim(F.translate(x, "\t", " ")) == "", "b").when(x.rlike(_MARKS), F.when(x.rlike(_ATTRIBUTION), "A").otherwise("q")).when(x.rlike(_ATTRIBUTION), "a").otherwise("t")
+    # one letter for each line; an attribution line before blank lines and a quoted one becomes x
+    kinds = lambda lines: F.regexp_extract_all(F.regexp_replace(F.array_join(F.transform(lines, kind), ""), "[aA](?=b*[qA])", "x"), F.lit("(.)"), F.lit(1))
+    kept = lambda lines: F.transform(F.filter(F.arrays_zip(lines.alias("line"), kinds(lines).alias("kind")), lambda z: z["kind"] != "x"), lambda z: z["line"])
+    # the lines are bound to a variable, so that they are split once
+    marked = F.get(F.transform(F.array(_lines(text)), lambda lines: kept(lines)), F.lit(0))
+    return F.when(F.contains(text, F.lit(">")), marked).otherwise(_lines(text))
 
 
 def own_text(text: Column) -> Column:

@@ -311,3 +311,30 @@ def test_chat_keeps_lines_that_only_look_like_attributions(spark):
     got = {x["turn"]: x for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as position", "2 as `row`", "'q' as quoted")).collect()}
     assert [got[i]["body"] for i in range(3)] == ["On Monday he wrote:\nx -> y", "yes", "help"]
     assert got[1]["reply_to"] == 0 and got[2]["quoted"] == ">>> print(1)"
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_survives_very_long_runs(spark):
+    rows = [(1, 1, "a", "hello there"), (1, 2, "b", "On Monday x wrote:\n" + "\n" * 1_000_000 + "> hello there\nyes"), (1, 3, "c", ">" * 300_000 + " hello there\nno"), (1, 4, "d", "On Monday x wrote:\n" * 20_000 + "> hello there")]
+    got = {r["turn"]: r for r in chat.format_chats(spark.createDataFrame(rows, CHAT)).collect()}
+    assert [got[t]["reply_to"] for t in (1, 2, 3, 4)] == [None, 1, 1, 1]
+    assert [got[t]["body"].strip() for t in (2, 3)] == ["yes", "no"]
+    assert got[4]["body"].count("wrote:") == 19_999  # only the line right before the quote introduces it
+
+
+def test_chat_query_links_on_a_table_with_quotes(spark, tmp_path):
+    """The registered query, over a table whose even turns quote an earlier turn."""
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(1, 9):
+            own = f"message {conv} {turn}\nsecond line of {turn}"
+            rows.append((conv, turn, "user", f"On day {turn} you wrote:\n\n> message {conv} {turn - 1}\n> second line of {turn - 1}\n{own}" if turn % 2 == 0 else own))
+            said.append(own)
+    spark.createDataFrame(rows, CHAT).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.queries()["op7_chat_quotes"](spark, str(tmp_path)).collect()
+    assert {(r["conv_id"], r["turn"]): r["reply_to"] for r in got} == {(c, t): t - 1 if t % 2 == 0 else None for c in range(30) for t in range(1, 9)}
+    assert all(">" not in r["body"] and "wrote:" not in r["body"] for r in got)
+    assert all((r["quoted"] is None) == (r["turn"] % 2 == 1) for r in got)
