@@ -15,8 +15,8 @@ and ``body`` holds the ids in blocks of 128::
 The last block is filled up with its last id. Files are Parquet, so any store that Spark writes to will do, task commit makes lost
 executors harmless, and a block can be read on its own through its segment's index.
 
-**Order.** Documents are range-partitioned and sorted by doc_id (nulls first, repeated ids in any order), and parts are numbered in that
-order, so the ids before a document are those of earlier parts, earlier segments of its part, and earlier documents of its segment.
+**Order.** Documents are range-partitioned and sorted by doc_id (nulls first), then by a hash of the text and the place in the read, so that a
+doc_id that very many rows share is spread over parts. Parts are numbered in that order, so the ids before a document are those of earlier parts, earlier segments of its part, and earlier documents of its segment.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | N
     """Encode every whole text, append ``end_id`` to each document, and write all ids in ascending doc_id order."""
     spark = docs.sparkSession
     ship(spark)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"_text": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(tasks(spark), "doc_id", "_text", "_place").sortWithinPartitions("doc_id", "_text", "_place").drop("_text", "_place")
 
     def run(batches):
         encoder, part = word_encoder(tokenizer), TaskContext.get().partitionId()

@@ -3,8 +3,9 @@
 The given vocabulary's rules never join across white space, nor a letter or digit with the ASCII sign after it (apostrophes
 apart), so the ids of a text are those of its parts in order. A slice of texts is lower-cased (A-Z, which the vocabulary's own
 normaliser does as well) and cut as one byte array, its distinct parts are found by Arrow, and only parts that the worker has not
-met are sent to the tokenizer. Texts that hold the opening of a special token (``<|``) are encoded whole, and so is every text
-with a tokenizer file of other rules.
+met are sent to the tokenizer. Texts that hold the opening of a special token (``<|``) are encoded whole, and so are those with combining
+marks and a capital A-Z right before what may be one (the vocabulary's normaliser composes before it lower-cases), and every text with a
+tokenizer file of other rules.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class WordEncoder:
         if not self.by_part:
             pieces = self._whole(texts.to_pylist())
             return np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
-        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) | _composing(texts))
         whole = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist()), strict=True)) if len(odd) else {}
         if whole:
             mask = np.zeros(len(texts), bool)
@@ -137,6 +138,21 @@ def buffers(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)), offsets - offsets[0]
 
 
+def _composing(texts: pa.LargeStringArray) -> np.ndarray:
+    """Whether a text has combining marks that a letter A-Z may be composed with: some of U+0300 to U+037F, and a character from there on
+    right after such a letter."""
+    data, offsets = buffers(texts)
+    out = np.zeros(len(texts), bool)
+    marks = (data == 0xCC) | (data == 0xCD)
+    if marks.any():
+        capital = np.flatnonzero(((data[:-1] - np.uint8(65)) < 26) & (data[1:] >= 0xCC))
+        out[np.searchsorted(offsets, capital, "right") - 1] = True
+        marked = np.zeros(len(texts), bool)
+        marked[np.searchsorted(offsets, np.flatnonzero(marks), "right") - 1] = True
+        out &= marked
+    return out
+
+
 def cut(texts: pa.LargeStringArray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """The lower-cased bytes that are no white space, the offsets of the parts in them, and how many parts come before each text."""
     data, offsets = buffers(texts)

@@ -172,6 +172,30 @@ def test_sliced_columns_encode_alike(begin):
     assert [x.tolist() for x in found] == [pieces.piece_codec(None).model.encode(t) if t else [] for t in TEXTS[begin : begin + 6]]
 
 
+def test_ids_of_decomposed_letters_are_the_librarys():
+    """Capitals before combining marks, which the tokenizer composes before it lower-cases."""
+    import pyarrow as pa
+
+    r, encoder = random.Random(8), tokens.word_encoder(None)
+    parts = ["I", "A", "a", "i", "E", "s", " ", "1", ".", "'", "\u0338", "\u0307", "\u0300", "\u0301", "\u0345", "\u0591", "\u20d0", "é", "İ", "\u212a", "が", "\u0483", "ΐ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(9))) for _ in range(100_000)]
+    want = [x.ids for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for first, ids, counts in encoder.batches(pa.array(texts)):
+        ends = np.cumsum(counts)
+        for k, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
+            assert ids[a:b].tolist() == want[first + k], ascii(texts[first + k])
+
+
+def test_store_spreads_one_id_over_parts(spark):
+    rows = [(7, f"text {i} " * 3) for i in range(400)] + [(1, "first"), (9, "last")]
+    got = token_store.token_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["start"] for r in got)[1] == next(r["n_tokens"] for r in got if r["doc_id"] == 1)
+    path = token_store.scratch_path(spark, "spread")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert spark.read.parquet(path).select("part").distinct().count() == 4
+    assert sum(r["n_tokens"] for r in got) == max(r["start"] + r["n_tokens"] for r in got)
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 def test_token_blocks_round_trip(n):
     r = np.random.default_rng(n)
