@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.memory import keep, task
 from ledgerloom.llm.tokens import buffers, gather
-from ledgerloom.session import scratch_path, ship
+from ledgerloom.session import scratch_path, ship, tasks
 
 _SLICE_BYTES = 8 << 20
 _BUCKET_WORDS = 200_000
@@ -164,6 +164,7 @@ def _row(schema: str, *values) -> pa.RecordBatch:
 
 
 _SLICE = "slice long, n_words int, doc_ids array<long>, counts binary, numbers binary, letters binary, lengths binary"
+#: In packets ``numbers`` are differences, since they ascend.
 _PACKET = "bucket int, slice long, numbers binary, letters binary, lengths binary"
 _IDS = "slice long, numbers binary, ids binary, lengths binary"
 
@@ -226,7 +227,7 @@ def _packets(slices: DataFrame, buckets: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 for part in np.split(order, cuts) if len(order) else []:
                     own = words.take(pa.array(part))
-                    yield _row(_PACKET, int(bucket[part[0]]), row["slice"], _packed(part), zstandard.compress(buffers(own)[0].tobytes(), 3), _packed(pc.binary_length(own).to_numpy()))
+                    yield _row(_PACKET, int(bucket[part[0]]), row["slice"], _packed(np.diff(part, prepend=0)), zstandard.compress(buffers(own)[0].tobytes(), 3), _packed(pc.binary_length(own).to_numpy()))
 
     return slices.select("slice", "letters", "lengths").mapInArrow(task(run, rows=1), _PACKET)
 
@@ -250,13 +251,22 @@ def _encode_packets(packets: DataFrame, tokenizer: str | None) -> DataFrame:
     return packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task(run, "bytes", 16), _IDS)
 
 
+def _stored(slices: DataFrame) -> DataFrame:
+    """The slices as files in buckets by slice, so that the joins that follow do not move them again."""
+    spark = slices.sparkSession
+    path = scratch_path(spark, "bpe-slices")
+    name = f"slices_{path.rpartition('-')[2]}"
+    slices.write.bucketBy(tasks(spark), "slice").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return table
+
+
 def _encoded(docs: DataFrame, tokenizer: str | None, schema: str, value) -> DataFrame:
     """``value(ids, counts)`` gives the columns after doc_id for a slice's documents."""
     spark = docs.sparkSession
     ship(spark)
-    path = scratch_path(spark, "bpe-slices")
-    _cut_slices(docs, tokenizer).write.parquet(path)
-    slices = spark.read.schema(_SLICE).parquet(path)
+    slices = _stored(_cut_slices(docs, tokenizer))
     total = slices.agg(F.sum("n_words")).first()[0] or 0
     encoded = _encode_packets(_packets(slices, -(-total // _BUCKET_WORDS) or 1), tokenizer)
     # a slice has at most one packet per bucket, and all of them together are its own distinct words
@@ -272,7 +282,7 @@ def _encoded(docs: DataFrame, tokenizer: str | None, schema: str, value) -> Data
                     ids, lengths = _unpacked(packet["ids"]), _unpacked(packet["lengths"])
                     ends = (4 * np.cumsum(lengths.astype(np.int64))).tolist()
                     raw = ids.tobytes()
-                    for number, a, b in zip(_unpacked(packet["numbers"]).tolist(), [0, *ends[:-1]], ends, strict=True):
+                    for number, a, b in zip(np.cumsum(_unpacked(packet["numbers"]).astype(np.int64)).tolist(), [0, *ends[:-1]], ends, strict=True):
                         kinds[number] = raw[a:b]
                 counts = _unpacked(row["counts"]).astype(np.int64)
                 ids, ends = gather(kinds, _unpacked(row["numbers"]).astype(np.int64), 4)
