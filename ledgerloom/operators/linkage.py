@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.grams import bitmap, gram_hashes, on_map
+from ledgerloom.functions.ratio import matching_ratio
 from ledgerloom.functions.text import similarity
 from ledgerloom.operators.components import connected_components
+from ledgerloom.session import materialise, ship
 
 
 def star_edges(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
@@ -19,14 +24,59 @@ def star_edges(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
     return keyed.join(centre, "_key").where("src <> dst").select("src", "dst")
 
 
-def similar_names(names: DataFrame, name: str, threshold: float, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs ``(a, b)`` of different names, ``a < b``, with ``1 - edit distance / longer length >= threshold``; with ``within``, only
-    inside equal keys, which are returned as well.
+def similar_names(names: DataFrame, name: str, threshold: float, within: Sequence[str] = (), metric: str = "edits") -> DataFrame:
+    """Pairs ``(a, b)`` of different names, ``a < b``, that are ``threshold`` alike; with ``within``, only inside equal keys, which are
+    returned as well. Both blockings lose nothing.
 
-    Blocking loses nothing: with d edits allowed on the longer name, one of its d + 1 equal parts survives with as many edits before it, at
+    With ``edits``, ``score`` is ``1 - edit distance / longer length``. With ``blocks``, ``score`` is the matching-blocks ratio ``2 M / T`` of a with
+    b and ``back`` that of b with a, which may differ; a pair counts if either reaches the threshold. ``M`` characters in common order
+    leave ``T - 2 M`` to insert or delete, so the edit distance is at most ``(1 - threshold) T``: from 0.75 on, names meet by parts as with
+    edits, below by characters.
+    """
+    if metric == "edits":
+        met = _meet_by_parts(names, name, threshold, within)
+        return met.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
+    ship(names.sparkSession)
+    met = _meet_by_parts(names, name, 2 * threshold - 1, within) if threshold >= 0.75 else _meet_by_characters(names, name, threshold, within)
+    total = F.length("a") + F.length("b")
+    edits = F.floor((1 - threshold) * total + 1e-9).cast("int")
+    # an edit distance is cheap and rules most pairs out before the ratio is computed; the bound differs by pair, so it is not a cutoff
+    close = met.where((F.abs(F.length("a") - F.length("b")) <= edits) & (F.levenshtein("a", "b") <= edits))
+    return close.withColumns({"score": matching_ratio("a", "b"), "back": matching_ratio("b", "a")}).where(F.greatest("score", "back") >= threshold)
+
+
+def _meet_by_characters(names: DataFrame, name: str, threshold: float, within: Sequence[str]) -> DataFrame:
+    """Pairs ``(a, b)`` that may reach a ratio of ``threshold``, by their characters.
+
+    ``M`` is at most the overlap of the two bags of characters, numbered as (character, how often so far). A name of length n needs
+    ``n threshold / (2 - threshold)`` of them in common with any partner, so of its elements, rarest first, the others and one more must hold
+    a common one. Elements are ordered by how many names have them; then lengths and full overlaps are checked.
+    """
+    keys = list(within)
+    distinct = names.select(*keys, F.col(name).alias("n")).where(F.length("n") > 0).distinct()
+    letters = F.array_sort(F.regexp_extract_all("n", F.lit("(?s)(.)"), F.lit(1)))
+    numbered = F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c)).cast("string")))  # equal characters are neighbours
+    bags = materialise(distinct.withColumn("bag", numbered), "name-bags")
+    single = bags.select(*keys, "n", F.explode("bag").alias("element"))
+    uses = single.groupBy("element").agg(F.count("*").alias("uses"))
+    ordered = single.join(uses, "element").groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("uses", "element"))).alias("rare"))
+    size = F.length("n")
+    needed = F.ceil(size * (threshold / (2 - threshold)) - 1e-9).cast("int")
+    prefix = ordered.select(*keys, "n", F.explode(F.slice("rare", F.lit(1), size - needed + 1)).alias("e")).select(*keys, "n", F.col("e.element").alias("element"))
+    left, right = prefix.withColumnRenamed("n", "a"), prefix.withColumnRenamed("n", "b")
+    la, lb = F.length("a"), F.length("b")
+    met = left.join(right, [*keys, "element"]).where((F.col("a") < F.col("b")) & (2 * F.least(la, lb) >= threshold * (la + lb) - 1e-9)).select(*keys, "a", "b").distinct()
+    bag = lambda n, x: bags.select(F.col("n").alias(n), F.col("bag").alias(x)).distinct()
+    return met.join(bag("a", "_x"), "a").join(bag("b", "_y"), "b").where(2 * F.size(F.array_intersect("_x", "_y")) >= threshold * (la + lb) - 1e-9).select(*keys, "a", "b")
+
+
+def _meet_by_parts(names: DataFrame, name: str, threshold: float, within: Sequence[str]) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, that hold all with ``1 - edit distance / longer length >= threshold``.
+
+    With d edits allowed on the longer name, one of its d + 1 equal parts survives with as many edits before it, at
     most, as there are parts before it, and no more after it than parts after it. So part i is looked for only i places to either side
-    of where it was, counted from the left, and d - i from the right. Names meet on (keys, part, length of the longer, place), then the
-    distance is checked. A name has about (d + 1)^2 / 2 rows for each longer length that is possible.
+    of where it was, counted from the left, and d - i from the right. Names meet on (keys, part, length of the longer, place).
+    A name has about (d + 1)^2 / 2 rows for each longer length that is possible.
     """
     keys = list(within)
     distinct = names.select(*keys, F.col(name).alias("n")).where(F.length("n") > 0).distinct()
@@ -46,16 +96,29 @@ def similar_names(names: DataFrame, name: str, threshold: float, within: Sequenc
     shifts = F.transform(F.sequence(F.col("lo"), F.col("hi")), lambda s: F.struct(F.col("size").alias("size"), at.alias("place"), F.when(at + s >= 0, F.substring("n", at + s + 1, width)).alias("part")))
     shorter = wanted.select(*keys, "n", F.inline(shifts)).where(F.length("part") > 0).distinct()
     met = longer.join(shorter, [*keys, "size", "place", "part"]).where("long <> n").select(*keys, F.least("long", "n").alias("a"), F.greatest("long", "n").alias("b")).distinct()
-    return met.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
+    return met
+
 
+def ratio_of(metric: str, rows: DataFrame):
+    """How alike two columns are, by a metric's name."""
+    if metric == "edits":
+        return similarity
+    ship(rows.sparkSession)
+    return matching_ratio
 
-def similar_rows(rows: DataFrame, id_col: str, name: str, threshold: float) -> DataFrame:
-    """Edges ``(src, dst)`` between the smallest ids of equal names and of similar names: enough for components."""
-    same = star_edges(rows, id_col, F.col(name))
-    first = rows.groupBy(name).agg(F.min(id_col).alias("id"))
-    pairs = similar_names(rows, name, threshold)
-    near = pairs.join(first.select(F.col(name).alias("a"), F.col("id").alias("src")), "a").join(first.select(F.col(name).alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
-    return same.unionByName(near)
+
+def similar_rows(rows: DataFrame, id_col: str, name: str, threshold: float, metric: str = "edits") -> DataFrame:
+    """Edges ``(src, dst)`` between the smallest ids of equal names and of similar names: enough for components.
+
+    The matching-blocks ratio is that of the row with the smaller id with the other, so two names are linked if such a pair of rows reaches the threshold.
+    """
+    same = star_edges(rows.where(F.length(name) > 0), id_col, F.col(name))
+    ends = rows.groupBy(name).agg(F.min(id_col).alias("id"), F.max(id_col).alias("last"))
+    side = lambda n, i, z: ends.select(F.col(name).alias(n), F.col("id").alias(i), F.col("last").alias(z))
+    pairs = similar_names(rows, name, threshold, metric=metric).join(side("a", "src", "_last_a"), "a").join(side("b", "dst", "_last_b"), "b")
+    if metric == "blocks":
+        pairs = pairs.where(((F.col("score") >= threshold) & (F.col("src") < F.col("_last_b"))) | ((F.col("back") >= threshold) & (F.col("dst") < F.col("_last_a"))))
+    return same.unionByName(pairs.select("src", "dst"))
 
 
 def groups(edges: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -71,12 +134,12 @@ def link_score(number: Column, name_similarity: Column, customer: Column, date:
     return F.least(F.lit(1.0), weigh(number, 0.45) + name + weigh(customer, 0.20) + weigh(date, 0.05))
 
 
-def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90) -> DataFrame:
+def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90, metric: str = "blocks") -> DataFrame:
     """Pairs ``(a, b, score)``, ``a < b``, of records (id, name, customer, numbers, day) that score ``threshold`` or more.
 
     At the default weights and threshold a pair needs a shared number, or an equal customer and names at least 0.78 alike, or names at
     least 0.92 alike with a contained customer (0.12 instead of 0.20) and near dates; each is a block with an equi-join, so nothing is lost.
-    Blank names are alike to nothing. A lower threshold than 0.61 would need other blocks and is refused.
+    Names are compared by ``metric`` (see ``similar_names``), the record with the smaller id first; blank names are alike to nothing. A lower threshold than 0.61 would need other blocks and is refused.
     """
     if threshold < 0.61:
         raise ValueError("below 0.61 the blocks no longer hold every match")
@@ -84,12 +147,13 @@ def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90) -
     numbered = records.select("id", F.explode(F.array_distinct("numbers")).alias("k"))
     by_number = numbered.select("k", F.col("id").alias("a")).join(numbered.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b")
     slack = 1e-6
-    inside = similar_names(records, "name", (threshold - 0.25) / 0.55 - slack, ["customer"]).select("customer", "a", "b")
+    alike_by = ratio_of(metric, records)
+    inside = similar_names(records, "name", (threshold - 0.25) / 0.55 - slack, ["customer"], metric).select("customer", "a", "b")
     same = records.where(F.length("name") > 0).select("customer", F.col("name").alias("a"), F.col("name").alias("b")).distinct()
     ids = lambda n, i: records.select("customer", F.col("name").alias(n), F.col("id").alias(i))
     ordered = lambda df: df.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     by_customer = ordered(inside.unionByName(same).join(ids("a", "x"), ["customer", "a"]).join(ids("b", "y"), ["customer", "b"]))
-    alike = similar_names(records, "name", (threshold - 0.17) / 0.55 - slack).select("a", "b").unionByName(same.select("a", "b").distinct())
+    alike = similar_names(records, "name", (threshold - 0.17) / 0.55 - slack, (), metric).select("a", "b").unionByName(same.select("a", "b").distinct())
     owner = lambda n, i, c: records.select(F.col("name").alias(n), F.col("id").alias(i), F.col("customer").alias(c))
     contains = (F.contains("c", F.col("d")) | F.contains("d", F.col("c"))) & (F.col("c") != F.col("d"))
     by_name = ordered(alike.join(owner("a", "x", "c"), "a").join(owner("b", "y", "d"), "b").where(contains))
@@ -99,7 +163,7 @@ def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90) -
     customer = F.when(F.col("l_customer") == F.col("r_customer"), 0.20).when(F.contains("l_customer", F.col("r_customer")) | F.contains("r_customer", F.col("l_customer")), 0.12).otherwise(0.0)
     near = F.coalesce(F.abs(F.date_diff("l_day", "r_day")) <= days, F.lit(False))
     named = (F.length("l_name") > 0) & (F.length("r_name") > 0)
-    score = link_score(number, F.when(named, similarity(F.col("l_name"), F.col("r_name"))).otherwise(0.0), F.lit(False), near)
+    score = link_score(number, F.when(named, alike_by(F.col("l_name"), F.col("r_name"))).otherwise(0.0), F.lit(False), near)
     return joined.select("a", "b", F.least(F.lit(1.0), score + customer).alias("score")).where(F.col("score") >= threshold)
 
 
@@ -108,16 +172,65 @@ def top_k(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)
 
 
-def contained(texts: DataFrame, id_col: str, text: str, contexts: DataFrame, context_id: str, context: str, least: int = 12) -> DataFrame:
+def contained(texts: DataFrame, id_col: str, text: str, contexts: DataFrame, context_id: str, context: str, least: int = 12, probes: int = 4) -> DataFrame:
     """Pairs in which a context's text (``least`` characters or more) occurs in a text.
 
-    A context is looked up by its first ``least`` characters among the texts' substrings of that length, then compared in full.
+    Contexts of 12 characters or more are found by grams of 12 bytes, shorter ones by grams of 4, and those below 4 by single bytes.
+    """
+    size, out = F.length(context), None
+    for low, high in ((12, None), (4, 12), (1, 4)):
+        if high is None or least < high:
+            some = contexts.where(size >= max(low, least))
+            some = some if high is None else some.where(size < high)
+            if high is None or some.limit(1).count():
+                found = _contained(texts, id_col, text, some, context_id, context, low, probes)
+                out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _contained(texts: DataFrame, id_col: str, text: str, contexts: DataFrame, context_id: str, context: str, size: int, probes: int) -> DataFrame:
+    """Pairs in which a context's text, of ``size`` bytes or more, occurs in a text.
+
+    Each context offers ``probes`` grams of its bytes, drawn by hash from all of it. One pass over the texts finds where such grams occur (a
+    bitmap of fixed size drops the others inside the task) and counts them. A context is looked up by its rarest gram alone, and not at
+    all if one of its grams occurs nowhere; so contexts with one opening, and openings that many texts share, make no crowd. Every hit is
+    compared in full.
     """
-    anchors = contexts.where(F.length(context) >= least).select(F.col(context_id), F.col(context).alias("_context"), F.xxhash64(F.left(F.col(context), F.lit(least))).alias("_anchor"))
-    wanted = anchors.select("_anchor").distinct()
-    grams = texts.select(id_col, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1)), lambda g: F.xxhash64(g)))).alias("_anchor"))
-    met = grams.join(wanted, "_anchor", "left_semi").join(anchors, "_anchor").select(id_col, context_id, "_context")
-    return met.join(texts.select(id_col, F.col(text).alias("_text")), id_col).where(F.contains("_text", F.col("_context"))).select(id_col, context_id).distinct()
+    spark = texts.sparkSession
+    ship(spark)
+    long = contexts.select(F.col(context_id), F.col(context).cast("string").alias("_context"))
+
+    def offer(batches):
+        for batch in batches:
+            hashes, owner = gram_hashes(batch.column(1), size)
+            order = np.lexsort((hashes, owner))
+            hashes, owner = hashes[order], owner[order]
+            fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(hashes)]
+            hashes, owner = hashes[fresh], owner[fresh]
+            first = np.searchsorted(owner, owner)
+            few = np.arange(len(owner)) - first < probes
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[few])), pa.array(hashes[few].view(np.int64))], [context_id, "_gram"])
+
+    kind = dict(contexts.dtypes)[context_id]
+    offered = materialise(long.select(context_id, "_context").mapInArrow(offer, f"`{context_id}` {kind}, _gram long"), "context-grams")
+    shared = spark.sparkContext.broadcast(bitmap(offered, "_gram"))
+
+    def find(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                hashes, owner = gram_hashes(part.column(1), size)
+                hit = on_map(shared.value, hashes)
+                both = np.unique(np.stack((owner[hit], hashes[hit].view(np.int64))), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(both[0])), pa.array(both[1])], [id_col, "_gram"])
+
+    hits = texts.select(id_col, F.col(text).cast("string").alias("_text")).mapInArrow(find, f"`{id_col}` {dict(texts.dtypes)[id_col]}, _gram long")
+    hits = materialise(hits.join(offered.select("_gram").distinct(), "_gram", "left_semi"), "gram-hits")
+    counts = hits.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = offered.join(counts, "_gram", "left").groupBy(context_id).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("m")).where("m.n > 0")
+    met = hits.join(rarest.select(context_id, F.col("m._gram").alias("_gram")), "_gram").select(id_col, context_id)
+    both = met.join(long, context_id).join(texts.select(id_col, F.col(text).alias("_text")), id_col)
+    return both.where(F.contains("_text", F.col("_context"))).select(id_col, context_id).distinct()
 
 
 def existing_matches(texts: DataFrame, id_col: str, text: str, contexts: DataFrame, context_id: str, context: str, least: int = 12) -> DataFrame:

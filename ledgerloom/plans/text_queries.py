@@ -24,18 +24,30 @@ def f2_title_key(t):
     return t.documents.select("doc_id", X.title_key(F.col("text")).alias("key"))
 
 
+def matching_blocks(pairs: str) -> str:
+    """CTEs that end in ``ratio(a, b, score)``, the matching-blocks ratio of all pairs ``(a, b)``: the longest common run, the first among
+    equals, splits an area of both strings into two, until no area has one."""
+    longest = "SELECT area.*, i, j, least(k, ahi - i, bhi - j) AS k FROM area JOIN run USING (a, b) WHERE i >= alo AND i < ahi AND j >= blo AND j < bhi QUALIFY row_number() OVER (PARTITION BY a, b, alo, blo ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) = 1"
+    return f"""pair AS (SELECT DISTINCT a, b FROM ({pairs})),
+cell AS (SELECT a, b, i, unnest(range(len(b))) AS j FROM (SELECT a, b, unnest(range(len(a))) AS i FROM pair)),
+met AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM cell WHERE a[i + 1] = b[j + 1]),
+run AS (SELECT a, b, i, j, count(*) OVER (PARTITION BY a, b, i - j, g ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM met),
+area AS (SELECT a, b, 0::BIGINT AS alo, len(a) AS ahi, 0::BIGINT AS blo, len(b) AS bhi FROM pair
+  UNION ALL SELECT a, b, p.alo, p.ahi, p.blo, p.bhi FROM (SELECT a, b, unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j}}, {{'alo': i + k, 'ahi': ahi, 'blo': j + k, 'bhi': bhi}}]) AS p FROM ({longest})) WHERE p.alo < p.ahi AND p.blo < p.bhi),
+ratio AS (SELECT a, b, 2.0::DOUBLE * coalesce(sum(k), 0) / (len(a) + len(b)) AS score FROM pair LEFT JOIN ({longest}) USING (a, b) GROUP BY a, b)"""
+
+
+_NAMES = "SELECT x.p_name AS a, y.p_name AS b FROM part x, part y WHERE x.p_name <> y.p_name"
+
+
 @query("WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE AS score FROM n a JOIN n b ON a.p_name < b.p_name WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE >= 0.7")
 def f5_similar_names(t):
     return K.similar_names(t.part, "p_name", 0.7)
 
 
-@query()
+@query(f"WITH RECURSIVE {matching_blocks(_NAMES)} SELECT r.a, r.b, r.score AS ratio, z.score AS back FROM ratio r JOIN ratio z ON z.a = r.b AND z.b = r.a WHERE r.a < r.b AND greatest(r.score, z.score) >= 0.6")
 def f5_matching_ratio(t):
-    from ledgerloom.functions.ratio import matching_ratio
-    from ledgerloom.session import ship
-
-    ship(t.spark)
-    return K.similar_names(t.part, "p_name", 0.6).select("a", "b", matching_ratio("a", "b").alias("ratio"))
+    return K.similar_names(t.part, "p_name", 0.6, metric="blocks").select("a", "b", F.col("score").alias("ratio"), "back")
 
 
 @query("SELECT doc_id, nullif(regexp_extract(text, '\\bof ([a-z]+)', 1), '') AS value FROM documents")
@@ -299,10 +311,9 @@ def p27_attachments(t):
     return listed.withColumn("status", F.when(F.col("href").rlike(r"\.(zip|rar)$"), "archive").when(F.col("href").rlike(r"\.[0-9A-Za-z_]+$"), "downloadable").otherwise("pending"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), e AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_name < b.p_name WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE >= 0.85)
-SELECT a, b FROM e""")
+@query(f"WITH RECURSIVE {matching_blocks(_NAMES)} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM ratio WHERE score >= 0.85")
 def j9_title_edges(t):
-    return K.similar_names(t.part, "p_name", 0.85).select("a", "b")
+    return K.similar_names(t.part, "p_name", 0.85, metric="blocks").select("a", "b")
 
 
 @query("SELECT min(doc_id) OVER (PARTITION BY text) AS src, doc_id AS dst FROM documents QUALIFY src <> dst")
@@ -310,17 +321,20 @@ def j9_exact_edges(t):
     return K.star_edges(t.documents, "doc_id", F.sha2("text", 256))
 
 
-@query("""WITH RECURSIVE n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), e AS (SELECT a.id AS x, b.id AS y FROM n a JOIN n b ON 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE >= 0.85),
-r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y), g AS (SELECT x, min(y) AS component FROM r GROUP BY x)
+@query(f"""WITH RECURSIVE {matching_blocks(_NAMES)}, n AS (SELECT p_name, min(p_partkey) AS id, max(p_partkey) AS last FROM part GROUP BY 1),
+e AS (SELECT x.id AS x, y.id AS y FROM ratio JOIN n x ON x.p_name = a JOIN n y ON y.p_name = b WHERE score >= 0.85 AND x.id < y.last),
+both_ways AS (SELECT id AS x, id AS y FROM n UNION SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM r JOIN both_ways e ON e.x = r.y), g AS (SELECT x, min(y) AS component FROM r GROUP BY x)
 SELECT p_partkey, component FROM part JOIN n USING (p_name) JOIN g ON g.x = n.id""")
 def j10_duplicate_groups(t):
-    return K.groups(K.similar_rows(t.part, "p_partkey", "p_name", 0.85), t.part.select("p_partkey"), "p_partkey")
+    return K.groups(K.similar_rows(t.part, "p_partkey", "p_name", 0.85, metric="blocks"), t.part.select("p_partkey"), "p_partkey")
 
 
 RECORDS = "r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS customer, p_type || '-' || p_size AS number, p_partkey * 7919 % 1000 AS day FROM part)"
 
 
-@query(f"""WITH {RECORDS}, p AS (SELECT a.id AS a, b.id AS b, a.number = b.number AS num, 1 - levenshtein(a.name, b.name) / greatest(len(a.name), len(b.name))::DOUBLE AS sim, a.customer AS ca, b.customer AS cb, abs(a.day - b.day) <= 90 AS near FROM r a JOIN r b ON a.id < b.id),
+@query(f"""WITH RECURSIVE {matching_blocks("SELECT x.p_name AS a, y.p_name AS b FROM part x, part y")}, {RECORDS},
+p AS (SELECT a.id AS a, b.id AS b, a.number = b.number AS num, ratio.score AS sim, a.customer AS ca, b.customer AS cb, abs(a.day - b.day) <= 90 AS near FROM r a JOIN r b ON a.id < b.id JOIN ratio ON ratio.a = a.name AND ratio.b = b.name),
 s AS (SELECT a, b, least(1.0, least(1.0, (CASE WHEN num THEN 0.45 ELSE 0 END) + (CASE WHEN sim >= 0.55 THEN 0.55 * sim ELSE 0 END) + 0 + (CASE WHEN near THEN 0.05 ELSE 0 END)) + CASE WHEN ca = cb THEN 0.20 WHEN contains(ca, cb) OR contains(cb, ca) THEN 0.12 ELSE 0 END) AS score FROM p)
 SELECT a, b, score FROM s WHERE score >= 0.68""")
 def j7_record_linkage(t):
@@ -330,29 +344,52 @@ def j7_record_linkage(t):
     return K.match_records(records)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), e AS (SELECT a.p_name AS a, b.p_name AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE AS score FROM n a JOIN n b ON a.p_name <> b.p_name)
-SELECT a, b, score FROM e WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1""")
+_KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+#: Parts as candidates; suppliers, each with the part of its number, as projects whose names, customers, numbers and days differ more or less.
+PROJECTS = f"""cand AS (SELECT p_partkey AS id, {_KEY.format('p_name')} AS name, {_KEY.format('p_brand')} AS customer, upper(p_type || '-' || p_size) AS number, p_partkey * 7919 % 1000 AS day FROM part),
+proj AS (SELECT s_suppkey AS id, {_KEY.format("CASE s_suppkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' works' WHEN 2 THEN 'new ' || p_name ELSE 'lot ' || p_size || ' ' || p_name END")} AS name,
+  {_KEY.format("p_brand || CASE WHEN s_suppkey % 3 = 0 THEN ' group' ELSE '' END")} AS customer, CASE WHEN s_nationkey % 2 = 0 THEN upper(p_type || '-' || p_size) END AS number, s_suppkey * 31 % 1000 AS day FROM supplier JOIN part ON p_partkey = s_suppkey)"""
+_PAIRS = "SELECT cand.name AS a, proj.name AS b FROM cand, proj"
+BEST = f"""WITH RECURSIVE {PROJECTS}, {matching_blocks(_PAIRS)},
+s AS (SELECT c.id AS candidate_id, p.id, least(1.0, (CASE WHEN c.number = p.number THEN 0.45::DOUBLE ELSE 0 END) + (CASE WHEN score >= 0.55 THEN score * 0.55 ELSE 0 END)
+  + (CASE WHEN c.customer = p.customer THEN 0.20::DOUBLE WHEN contains(c.customer, p.customer) OR contains(p.customer, c.customer) THEN 0.12::DOUBLE ELSE 0 END) + (CASE WHEN abs(c.day - p.day) <= 90 THEN 0.05::DOUBLE ELSE 0 END)) AS score
+  FROM cand c, proj p, ratio WHERE ratio.a = c.name AND ratio.b = p.name),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, id) = 1)
+SELECT candidate_id, CASE WHEN score >= 0.68 THEN id END AS matched_project_id, score FROM best"""
+
+
+def _day(key, step: int):
+    return F.date_add(F.lit("2020-01-01").cast("date"), (key * step % 1000).cast("int"))
+
+
+def part_candidates(t):
+    number = F.array(F.concat_ws("-", "p_type", F.col("p_size").cast("string")))
+    return t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("customer"), number.alias("numbers"), _day(F.col("p_partkey"), 7919).alias("day"))
+
+
+def supplier_projects(t):
+    joined, key, name = t.supplier.join(t.part, F.col("p_partkey") == F.col("s_suppkey")), F.col("s_suppkey"), F.col("p_name")
+    named = F.when(key % 4 == 0, name).when(key % 4 == 1, F.concat(name, F.lit(" works"))).when(key % 4 == 2, F.concat(F.lit("new "), name)).otherwise(F.concat_ws(" ", F.lit("lot"), F.col("p_size").cast("string"), name))
+    customer = F.when(key % 3 == 0, F.concat("p_brand", F.lit(" group"))).otherwise(F.col("p_brand"))
+    number = F.when(F.col("s_nationkey") % 2 == 0, F.array(F.concat_ws("-", "p_type", F.col("p_size").cast("string"))))
+    return joined.select(key.alias("project_id"), named.alias("project_name"), customer.alias("customer"), number.alias("numbers"), _day(key, 31).alias("day"), key.alias("ordinal"))
+
+
+@query(f"SELECT candidate_id, matched_project_id, score FROM ({BEST}) WHERE matched_project_id IS NOT NULL")
 def j8_best_match(t):
-    pairs = K.similar_names(t.part, "p_name", 0.7)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    return L.one_per_key(both, ["a"], F.desc("score"), F.col("b"))
+    return C.best_project_match(part_candidates(t), supplier_projects(t)).where("matched_project_id IS NOT NULL")
 
 
-@query(r"""WITH c AS (SELECT p_partkey AS candidate_id, regexp_replace(lower(p_name), '[^\p{L}\p{N}_]+', '', 'g') AS a FROM part), s AS (SELECT s_suppkey, regexp_replace(lower(s_name), '[^\p{L}\p{N}_]+', '', 'g') AS b FROM supplier),
-e AS (SELECT a, s_suppkey, 1 - levenshtein(a, b) / greatest(len(a), len(b))::DOUBLE AS score FROM (SELECT DISTINCT a FROM c), s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, s_suppkey) = 1)
-SELECT candidate_id, CASE WHEN score >= 0.68 THEN s_suppkey END AS matched_project_id, score FROM c JOIN e USING (a)""")
+@query(BEST)
 def j8_best_scores(t):
     """Every candidate with its best score, weak ones too; ``j8_best_match`` has the matches only."""
-    candidates = t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_name").alias("title"))
-    return C.best_project_scores(candidates, t.supplier.select(F.col("s_suppkey").alias("project_id"), F.col("s_name").alias("project_name"), F.col("s_suppkey").alias("ordinal")))
+    return C.best_project_match(part_candidates(t), supplier_projects(t))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), e AS (SELECT a.p_name AS a, b.p_name AS b, 1 - levenshtein(a.p_name, b.p_name) / greatest(len(a.p_name), len(b.p_name))::DOUBLE AS score FROM n a JOIN n b ON a.p_name <> b.p_name)
-SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM e WHERE score >= 0.6 QUALIFY place <= 5""")
+@query(f"""WITH RECURSIVE {PROJECTS}, {matching_blocks(_PAIRS)}
+SELECT c.id AS candidate_id, p.id AS project_id, score, row_number() OVER (PARTITION BY c.id ORDER BY score DESC, p.id) AS place FROM cand c, proj p, ratio WHERE ratio.a = c.name AND ratio.b = p.name AND score >= 0.6 QUALIFY place <= 5""")
 def j11_similar_hint(t):
-    pairs = K.similar_names(t.part, "p_name", 0.6)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    return K.top_k(both, "a", 5, F.desc("score"), F.col("b")).select("a", "b", "place")
+    return C.similar_projects(part_candidates(t), supplier_projects(t))
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(b.text) >= 12")

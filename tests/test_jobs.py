@@ -1,5 +1,9 @@
 """Candidate, review and override jobs on hand-written edge cases."""
 
+import datetime
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,25 +57,58 @@ def test_dedup_of_nothing(candidates):
     assert C.deduplicate(candidates.where("false")).count() == 0
 
 
-def test_project_match(spark, candidates):
+def brute_best(candidates, projects, threshold=0.68, days=90):
+    """Every candidate against every project, one after the other; the first of the highest score stays."""
+    from difflib import SequenceMatcher
+
+    key = lambda x: re.sub(r"[^\w]+", "", (x or "").lower())
+    out = {}
+    for cid, title, customer, numbers, day in candidates:
+        best, top = None, 0.0
+        for pid, name, owner, theirs, when, _ in sorted(projects, key=lambda p: p[5]):
+            score = 0.45 if {n.strip().upper() for n in numbers or []} & {n.strip().upper() for n in theirs or []} - {""} else 0.0
+            a, b, x, y = key(title), key(name), key(customer), key(owner)
+            like = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+            score += like * 0.55 if like >= 0.55 else 0.0
+            score += 0.0 if not x or not y else 0.20 if x == y else 0.12 if x in y or y in x else 0.0
+            score = min(1.0, score + (0.05 if day and when and abs((day - when).days) <= days else 0.0))
+            if score > top:
+                best, top = pid, score
+        out[cid] = (best if top >= threshold else None, round(top, 9))
+    return out
+
+
+CANDIDATES = "candidate_id string, title string, customer string, numbers array<string>, day date"
+PROJECTS = "project_id string, project_name string, customer string, numbers array<string>, day date, ordinal long"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_match_is_that_of_all_pairs(spark, seed):
+    """Ties, contained customers, shared numbers, missing parts, scores above 1, weak and no matches."""
+    r = random.Random(seed)
+    words = ["road", "works", "north", "south", "bridge", "school", "roof", "rd", "wrks", "x"]
+    name = lambda: r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randrange(1, 5)))])
+    owner = lambda: r.choice([None, "", "City", "City of Ames", "Ames", "County", "C"])
+    many = lambda: r.choice([None, [], [" a-1 "], ["A-1", "B-2"], ["c-3"], ["", "d-4"]])
+    when = lambda: r.choice([None, datetime.date(2020, 1, 1) + datetime.timedelta(days=r.randrange(700))])
+    candidates = [(f"c{i}", name(), owner(), many(), when()) for i in range(60)]
+    projects = [(f"p{i}", name(), owner(), many(), when(), (i * 37) % 101) for i in range(40)]
+    got = C.best_project_match(spark.createDataFrame(candidates, CANDIDATES), spark.createDataFrame(projects, PROJECTS))
+    assert {x["candidate_id"]: (x["matched_project_id"], round(x["score"], 9)) for x in got.collect()} == brute_best(candidates, projects)
+
+
+def test_best_match_of_nothing(spark):
+    one, none = spark.createDataFrame([("c", "a b", None, None, None)], CANDIDATES), spark.createDataFrame([], PROJECTS)
+    assert [tuple(x) for x in C.best_project_match(one, none).collect()] == [("c", None, 0.0)]
+    assert C.best_project_match(one.where("false"), none).count() == 0
+
+
+def test_project_hints(spark, candidates):
     projects = spark.createDataFrame([("P1", "road works north", 2), ("P0", "Road Works North", 1), ("P2", "road works south", 3)], "project_id string, project_name string, ordinal long")
-    got = by(C.best_project_match(candidates, projects), "candidate_id", "matched_project_id", "score")
-    assert got["a"] == got["e"] == ("P0", 1.0) and got["b"] == (None, 0.0) and got["h"] == (None, 0.0)
     hints = [(r["project_id"], r["place"]) for r in C.similar_projects(candidates.where("candidate_id = 'a'"), projects).orderBy("place").collect()]
     assert hints == [("P0", 1), ("P1", 2), ("P2", 3)]
 
 
-def test_weak_matches_keep_their_score(spark, candidates):
-    names = {"P1": "road works north", "P0": "Road Works North", "P2": "road works south", "P3": "", "P4": "fourteen"}
-    projects = spark.createDataFrame([(p, n, i) for i, (p, n) in enumerate(names.items())], "project_id string, project_name string, ordinal long")
-    got = by(C.best_project_scores(candidates, projects), "candidate_id", "matched_project_id", "score")
-    assert got["a"] == got["e"] == ("P1", 1.0) and got["g"] == got["h"] == (None, 0.0)
-    # fourth -> fourteen: h to e, and two letters more, of eight
-    assert got["d"] == (None, pytest.approx(0.625)) and 0 < got["b"][1] < 0.68 and got["b"][0] is None and got["c"][1] > 0
-    assert set(got) == set(by(candidates, "candidate_id", "title"))
-    assert {r["score"] for r in C.best_project_scores(candidates, projects.where("false")).collect()} == {0.0}
-
-
 def test_promotion_gate(deduped):
     promoted = C.promote(deduped)
     assert by(promoted, "candidate_id", "promotion_type")["h"] == C.DOCUMENT

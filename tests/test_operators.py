@@ -291,3 +291,31 @@ def test_long_runs_do_not_break_patterns(spark):
     assert one(spark, X.core_name(F.lit("final cut"), ["final"])) == "final cut"
     assert one(spark, X.clean_cell(F.lit("a" + " \n" * 1_000_000 + "b"))) == "a\nb"
     assert one(spark, X.redacted(F.lit("x\n" * 200_000))) == ("x " * 200)[:240]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.68, 0.78, 0.88])
+def test_ratio_join_loses_nothing(spark, threshold):
+    from difflib import SequenceMatcher
+
+    r = random.Random(int(threshold * 100))
+    words = ["road", "works", "ngo", "北京市", "bridge", "roof", "a", "works works", "é"]
+    names = {" ".join(r.choice(words) for _ in range(r.randrange(1, 5))) for _ in range(120)}
+    for n in sorted(names)[:60]:
+        i = r.randrange(len(n) + 1)
+        names |= {n[:i] + r.choice("xyab ") + n[i:], n[i:] + n[:i]}
+    names = sorted(n for n in names if n)
+    like = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = {(a, b): (like(a, b), like(b, a)) for a in names for b in names if a < b and max(like(a, b), like(b, a)) >= threshold}
+    df = spark.createDataFrame([(n, 1) for n in [*names, names[0]]] + [(None, 1), ("", 1)], "n string, score int")
+    assert {(x["a"], x["b"]): (x["score"], x["back"]) for x in K.similar_names(df, "n", threshold, metric="blocks").collect()} == want
+
+
+def test_containment_at_one_opening(spark):
+    """Contexts that share their opening, texts that are full of it, and short contexts."""
+    opening = "all rights reserved by the authority of the city; "
+    texts = spark.createDataFrame([(i, opening * 3 + f"text {i} é") for i in range(300)], "id long, t string")
+    contexts = spark.createDataFrame([(i, opening + f"text {i} ") for i in range(300)] + [(900, opening + "nothing"), (901, "text 299 é"), (902, "é"), (903, "299")], "cid long, c string")
+    want = sorted([(i, j) for i in range(300) for j in range(300) if f"text {i} é".startswith(f"text {j} ")])
+    assert values(K.contained(texts, "id", "t", contexts, "cid", "c")) == want
+    short = K.contained(texts, "id", "t", contexts.where("cid > 900"), "cid", "c", 1)
+    assert values(short) == sorted([(299, 901), (299, 903)] + [(i, 902) for i in range(300)])
