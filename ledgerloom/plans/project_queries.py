@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators import enrichment as E
 from ledgerloom.operators import latest as L
 from ledgerloom.operators import tables as T
 from ledgerloom.plans.registry import query
@@ -294,9 +295,36 @@ def d7_packages_to_awards(t):
     return flat.select("l_orderkey", X.stable_id("award_", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("award_id"), F.col("l_suppkey").alias("winner"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS winner FROM orders), d AS (SELECT o_custkey, arg_min(winner, o_orderkey) AS w FROM r WHERE winner IS NOT NULL GROUP BY 1)
-SELECT o_orderkey, coalesce(winner, w) AS winner, CASE WHEN winner IS NULL AND w IS NOT NULL THEN 'local' END AS method FROM r LEFT JOIN d ON d.o_custkey = r.o_custkey""")
+_FOLD = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+_TOKENS = rf"list_filter(list_transform(regexp_split_to_array(name, '[\s\p{{P}}+<>]+'), lambda w: {_FOLD.format('w')}), lambda k: len(k) >= 5 AND NOT regexp_full_match(k, '\d+'))[:8]"
+
+
+def _about(text: str, name: str, words: str, customer: str) -> str:
+    """SQL: whether a folded text is about a folded name with these words and this folded customer."""
+    hits = f"len(list_filter({words}, lambda k: contains({text}, k)))"
+    return f"""((len({name}) >= 16 AND contains({text}, left({name}, 16))) OR ({hits} > 0 AND {hits} >= least(2, len({words}))) OR (len({customer}) >= 6 AND contains({text}, {customer}) AND contains({text}, left({name}, 12))))"""
+
+
+#: Suppliers' projects ask; parts of some types are results, whose brand won for their price.
+ENRICH_SQL = rf"""r AS (SELECT s_suppkey AS id, s_suppkey AS ordinal, CASE s_suppkey % 3 WHEN 0 THEN p_name || ' lot ' || p_size WHEN 1 THEN 'supply of ' || p_name ELSE p_brand END AS name, p_brand AS customer, '' AS text, 'notice' AS doc_type, CASE WHEN s_nationkey = 3 THEN s_name END AS winner, NULL::DOUBLE AS amount FROM supplier JOIN part ON p_partkey = s_suppkey
+UNION ALL SELECT 1000000000 + p_partkey, 1000000000 + p_partkey, p_name, p_brand, p_type || ' ' || p_size, CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 'result' ELSE 'notice' END, CASE WHEN p_size > 10 THEN p_brand END, CASE WHEN p_size % 3 > 0 THEN p_retailprice END FROM part),
+k AS (SELECT *, {_FOLD.format("concat_ws(' ', name, customer, text)")} AS whole, {_FOLD.format('name')} AS own, {_FOLD.format('customer')} AS owner, {_TOKENS} AS found FROM r),
+w AS (SELECT * EXCLUDE (found), CASE WHEN len(found) > 0 THEN found WHEN len(own) >= 16 THEN [left(own, 16)] ELSE [] END AS words FROM k),
+d AS (SELECT * FROM w WHERE doc_type = 'result' AND (winner IS NOT NULL OR amount IS NOT NULL)),
+z AS (SELECT DISTINCT whole, own, words FROM d), y AS (SELECT DISTINCT own, owner, words FROM w WHERE winner IS NULL OR amount IS NULL),
+met AS (SELECT y.own, y.owner, y.words, z.whole, z.own AS other FROM y, z WHERE {_about('z.whole', 'y.own', 'y.words', 'y.owner')} OR {_about('y.own', 'z.own', 'z.words', "''")}),
+g AS (SELECT w.id, arg_min(d.id, d.ordinal) AS donor FROM w JOIN met ON met.own = w.own AND met.owner = w.owner JOIN d ON d.whole = met.whole AND d.own = met.other AND d.id <> w.id WHERE w.winner IS NULL OR w.amount IS NULL GROUP BY w.id)"""
+
+
+def enrichable(t):
+    key, name = F.col("s_suppkey"), F.col("p_name")
+    named = F.when(key % 3 == 0, F.concat_ws(" ", name, F.lit("lot"), F.col("p_size").cast("string"))).when(key % 3 == 1, F.concat(F.lit("supply of "), name)).otherwise(F.col("p_brand"))
+    asking = t.supplier.join(t.part, F.col("p_partkey") == key).select(key.alias("record_id"), named.alias("name"), F.col("p_brand").alias("customer"), F.lit("").alias("text"), F.lit("notice").alias("doc_type"), F.when(F.col("s_nationkey") == 3, F.col("s_name")).alias("winner"), F.lit(None).cast("double").alias("amount"))
+    kind = F.when(F.col("p_type").isin("PROMO", "LARGE"), "result").otherwise("notice")
+    parts = t.part.select((F.col("p_partkey") + 1_000_000_000).alias("record_id"), name.alias("name"), F.col("p_brand").alias("customer"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("text"), kind.alias("doc_type"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("winner"), F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice").cast("double")).alias("amount"))
+    return asking.unionByName(parts).withColumn("ordinal", F.col("record_id"))
+
+
+@query(f"WITH {ENRICH_SQL} SELECT w.id AS record_id, g.donor AS donor_id, coalesce(w.winner, d.winner) AS winner, coalesce(w.amount, d.amount) AS amount, CASE WHEN g.donor IS NOT NULL THEN 'local' END AS method FROM w LEFT JOIN g ON g.id = w.id LEFT JOIN d ON d.id = g.donor")
 def j16_self_enrichment(t):
-    rows = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("winner"))
-    donors = rows.where("winner IS NOT NULL").groupBy("o_custkey").agg(F.min_by("winner", "o_orderkey").alias("w"))
-    return rows.join(donors, "o_custkey", "left").select("o_orderkey", F.coalesce("winner", "w").alias("winner"), F.when(F.col("winner").isNull() & F.col("w").isNotNull(), "local").alias("method"))
+    return E.enrich_from_results(enrichable(t), ["result"])

@@ -27,7 +27,7 @@ def f2_title_key(t):
 def matching_blocks(pairs: str) -> str:
     """CTEs that end in ``ratio(a, b, score)``, the matching-blocks ratio of all pairs ``(a, b)``: the longest common run, the first among
     equals, splits an area of both strings into two, until no area has one."""
-    longest = "SELECT area.*, i, j, least(k, ahi - i, bhi - j) AS k FROM area JOIN run USING (a, b) WHERE i >= alo AND i < ahi AND j >= blo AND j < bhi QUALIFY row_number() OVER (PARTITION BY a, b, alo, blo ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) = 1"
+    longest = "SELECT area.*, i, j, least(k, ahi - i, bhi - j) AS k FROM area JOIN run USING (a, b) WHERE i >= alo AND i < ahi AND j >= blo AND j < bhi QUALIFY row_number() OVER (PARTITION BY a, b, alo, blo, ahi, bhi ORDER BY least(k, ahi - i, bhi - j) DESC, i, j) = 1"
     return f"""pair AS (SELECT DISTINCT a, b FROM ({pairs})),
 cell AS (SELECT a, b, i, unnest(range(len(b))) AS j FROM (SELECT a, b, unnest(range(len(a))) AS i FROM pair)),
 met AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM cell WHERE a[i + 1] = b[j + 1]),
