@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators.batches import first_creators
+from ledgerloom.session import Scratch
 
 
 def _identities(rows: DataFrame, key: str, suffixes: Sequence[str]) -> DataFrame:
@@ -35,15 +37,36 @@ def resolve(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     return _resolved(records, projects, suffixes).select("record_id", "status", "project_id")
 
 
-def _resolved(records: DataFrame, projects: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+def _resolved(records: DataFrame, projects: DataFrame, suffixes: Sequence[str], created: DataFrame | None = None) -> DataFrame:
+    """The identity columns with ``status``, ``project_id`` and ``creator``.
+
+    With ``created`` (records that create a project, by ``record_id``) a record also meets the projects of those with a smaller id. No two creators
+    share a group, a number, or a name and customer (unless only the later has numbers), so each key has one at most.
+    """
     left, right = _identities(records, "record_id", suffixes), _identities(projects, "project_id", suffixes)
-    by_group = right.where("group_id IS NOT NULL").groupBy("group_id").agg(*_span("g"))
-    by_number = right.select("project_id", "customer", F.explode("numbers").alias("number")).groupBy("number").agg(*_span("n"), F.min("customer").alias("c_low"), F.max("customer").alias("c_high"))
-    by_name = right.where("name IS NOT NULL AND customer IS NOT NULL").groupBy("name", "customer").agg(*_span("m"), F.max(F.size("numbers") > 0).alias("m_numbered"))
-    numbered = left.select("record_id", F.explode("numbers").alias("number")).join(by_number, "number").groupBy("record_id")
-    numbered = numbered.agg(F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"))
-    grouped = right.select(F.col("project_id").alias("g_low"), F.col("numbers").alias("g_numbers"), F.col("name").alias("g_name"), F.col("customer").alias("g_customer"))
-    rows = left.join(by_group, "group_id", "left").join(by_name, ["name", "customer"], "left").join(numbered, "record_id", "left").join(grouped, "g_low", "left")
+    if created is None:
+        created = records.limit(0)
+    fresh = _identities(created, "record_id", suffixes).withColumnRenamed("record_id", "_new")
+    named = "name IS NOT NULL AND customer IS NOT NULL"
+    by_group = right.where("group_id IS NOT NULL").groupBy("group_id").agg(*_span("g")).join(fresh.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min("_new").alias("g_new")), "group_id", "full")
+    new_numbers = fresh.select("_new", F.col("customer").alias("c_new"), F.explode("numbers").alias("number")).groupBy("number").agg(F.min("_new").alias("n_new"), F.min_by("c_new", "_new").alias("c_new"))
+    by_number = right.select("project_id", "customer", F.explode("numbers").alias("number")).groupBy("number").agg(*_span("n"), F.min("customer").alias("c_low"), F.max("customer").alias("c_high")).join(new_numbers, "number", "full")
+    numbered_new = F.when(F.size("numbers") > 0, F.col("_new"))
+    new_names = fresh.where(named).groupBy("name", "customer").agg(F.min(numbered_new).alias("m_new"), F.min(F.when(numbered_new.isNull(), F.col("_new"))).alias("m_plain"))
+    by_name = right.where(named).groupBy("name", "customer").agg(*_span("m"), F.max(F.size("numbers") > 0).alias("m_numbered")).join(new_names, ["name", "customer"], "full")
+
+    target = lambda created, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(created).alias("created"), F.col(c).cast("long").alias("id")))
+    seen = lambda c: F.when(F.col(c) < F.col("record_id"), F.struct(F.lit(True).alias("created"), F.col(c).cast("long").alias("id")))
+    ends = lambda p, *new: {f"{p}_low": F.coalesce(target(False, f"{p}_low"), *map(seen, new)), f"{p}_high": F.coalesce(*map(seen, reversed(new)), target(False, f"{p}_high"))}
+    numbered = left.select("record_id", F.explode("numbers").alias("number")).join(by_number, "number")
+    heard = F.when(F.col("n_new") < F.col("record_id"), F.col("c_new"))
+    numbered = numbered.withColumns({"c_low": F.least("c_low", heard), "c_high": F.greatest("c_high", heard)}).withColumns(ends("n", "n_new"))
+    numbered = numbered.groupBy("record_id").agg(F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"), F.min("c_low").alias("c_low"), F.max("c_high").alias("c_high"))
+    grouped = right.select(F.struct(F.lit(False).alias("created"), F.col("project_id").cast("long").alias("id")).alias("g_low"), "numbers", "name", "customer").unionByName(fresh.select(F.struct(F.lit(True).alias("created"), F.col("_new").cast("long").alias("id")).alias("g_low"), "numbers", "name", "customer"))
+    grouped = grouped.select("g_low", F.col("numbers").alias("g_numbers"), F.col("name").alias("g_name"), F.col("customer").alias("g_customer"))
+    rows = left.join(by_group, "group_id", "left").withColumns(ends("g", "g_new")).join(by_name, ["name", "customer"], "left")
+    rows = rows.withColumn("m_numbered", F.coalesce("m_numbered", F.lit(False)) | F.coalesce(F.col("m_new") < F.col("record_id"), F.lit(False)))
+    rows = rows.withColumns(ends("m", "m_new", "m_plain")).join(numbered, "record_id", "left").join(grouped, "g_low", "left")
 
     some = F.size("numbers") > 0
     low, high = (F.when(some, F.col(f"n_{end}")).otherwise(F.col(f"m_{end}")) for end in ("low", "high"))
@@ -52,27 +75,38 @@ def _resolved(records: DataFrame, projects: DataFrame, suffixes: Sequence[str])
     elsewhere = F.coalesce((low != F.col("g_low")) | (high != F.col("g_low")), F.lit(False))
     by_group_status = F.when((F.col("g_low") != F.col("g_high")) | contradicts | elsewhere, "manual").otherwise("matched")
     other_customer = differs("customer", "c_low") | differs("customer", "c_high")
-    by_number_status = F.when(F.col("n_low").isNull(), F.when(F.coalesce("m_numbered", F.lit(False)), "manual").otherwise("new")).when((F.col("n_low") != F.col("n_high")) | other_customer, "manual").otherwise("matched")
+    by_number_status = F.when(F.col("n_low").isNull(), F.when(F.col("m_numbered"), "manual").otherwise("new")).when((F.col("n_low") != F.col("n_high")) | other_customer, "manual").otherwise("matched")
     by_name_status = F.when(F.col("m_low").isNull(), "new").when(F.col("m_low") != F.col("m_high"), "manual").otherwise("matched")
     status = F.when(F.col("g_low").isNotNull(), by_group_status).when(some, by_number_status).otherwise(by_name_status)
-    found = rows.select(*left.columns, status.alias("status"), F.coalesce("g_low", low).alias("project_id"))
-    return found.withColumn("project_id", F.when(F.col("status") == "matched", F.col("project_id")))
+    found = rows.select(*left.columns, status.alias("status"), F.coalesce("g_low", low).alias("_found"))
+    hit = lambda created: F.when((F.col("status") == "matched") & (F.col("_found.created") == created), F.col("_found.id"))
+    return found.withColumns({"project_id": hit(False), "creator": hit(True)}).drop("_found")
 
 
 def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (r"phase \w+",)) -> DataFrame:
-    """``(record_id, outcome, project_id, creator)``: attached to a stored project, manual, or new.
+    """``(record_id, outcome, project_id, creator)``: records taken by ascending id, each against the stored projects and those created before it.
 
-    Of the new records that share a match key (the smallest number, or name with customer, or the group id), the one with the smallest id
-    creates a project, and the others join it; without a key each creates its own.
+    A record that is new creates a project; it is attached to a stored one, or joined to a created one (``creator``), or a person must
+    decide. Of a record, all numbers, the group id, and name with customer count. Who creates is decided by ``first_creators``: an earlier creator
+    stops a record if they share a group or a number, or name and customer while the record has no numbers or the creator has. Then
+    every record is resolved once, against stored projects and earlier creators. Ids are integers.
     """
-    found = _resolved(records, projects, suffixes)
-    named = F.concat(F.lit("name "), F.col("name"), F.lit("\n"), F.col("customer"))  # null unless both are there
-    key = F.coalesce(F.concat(F.lit("number "), F.array_min("numbers")), named, F.concat(F.lit("group "), F.col("group_id")))
-    found = found.select("record_id", "status", "project_id", F.when(F.col("status") == "new", key).alias("_key"))
-    creators = found.where("_key IS NOT NULL").groupBy("_key").agg(F.min("record_id").alias("_first"))
-    out = found.join(creators, "_key", "left").withColumn("creator", F.when(F.col("status") == "new", F.coalesce("_first", "record_id")))
-    outcome = F.when(F.col("status") == "matched", "attached").when(F.col("status") == "manual", "manual").when(F.col("creator") == F.col("record_id"), "created").otherwise("joined")
-    return out.select("record_id", outcome.alias("outcome"), "project_id", "creator")
+    scratch = Scratch(records.sparkSession)
+    stored = scratch.materialise(_resolved(records, projects, suffixes), "resolved")
+    new = stored.where("status = 'new'")
+    some = F.size("numbers") > 0
+    own = [F.concat(F.lit("group "), F.col("group_id")), F.transform("numbers", lambda n: F.concat(F.lit("number "), n))]
+    named = lambda kind: F.concat(F.lit(f"{kind} "), F.col("name"), F.lit("\n"), F.col("customer"))  # noqa: E731  null unless both are there
+    keys = lambda *more: new.select(F.col("record_id").alias("id"), F.explode(F.array_compact(F.concat(F.array(own[0]), own[1], F.array(*more)))).alias("key"))
+    offers = keys(F.when(some, named("numbered")).otherwise(named("plain")))
+    listens = keys(named("numbered"), F.when(~some, named("plain")))
+    creating = first_creators(offers, listens, scratch)
+    keyless = new.join(offers.select(F.col("id").alias("record_id")).distinct(), "record_id", "left_anti").select("record_id")
+    creators = scratch.materialise(creating.select(F.col("id").alias("record_id")).unionByName(keyless), "batch-creators")
+    final = _resolved(records, projects, suffixes, records.join(creators, "record_id", "left_semi"))
+    out = final.join(creators.withColumn("_creates", F.lit(True)), "record_id", "left")
+    outcome = F.when(F.col("_creates"), "created").when(F.col("project_id").isNotNull(), "attached").when(F.col("creator").isNotNull(), "joined").otherwise("manual")
+    return out.select("record_id", outcome.alias("outcome"), F.when(outcome == "attached", F.col("project_id")).alias("project_id"), F.when(outcome == "created", F.col("record_id")).when(outcome == "joined", F.col("creator")).alias("creator"))
 
 
 def by_first_key(rows: DataFrame, key: str, steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:

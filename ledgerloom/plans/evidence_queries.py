@@ -225,9 +225,33 @@ def j14_resolution_cascade(t):
     return S.resolve(*records_and_projects(t))
 
 
-@query(f"""WITH {RESOLVE_SQL}, w AS (SELECT * FROM o WHERE kind <> 'F'), k AS (SELECT id, coalesce('number ' || list_min(numbers), CASE WHEN name IS NOT NULL AND customer IS NOT NULL THEN 'name ' || name || chr(10) || customer END, 'group ' || gid, 'own ' || id) AS key FROM w WHERE status = 'new')
-SELECT w.id AS record_id, CASE status WHEN 'matched' THEN 'attached' WHEN 'manual' THEN 'manual' ELSE CASE WHEN w.id = min(w.id) OVER (PARTITION BY status, key) THEN 'created' ELSE 'joined' END END AS outcome, CASE WHEN status = 'matched' THEN found END AS project_id, CASE WHEN status = 'new' THEN min(w.id) OVER (PARTITION BY status, key) END AS creator
-FROM w LEFT JOIN k ON k.id = w.id""")
+#: Rounds over pairs of new records: one that no undecided earlier record stops creates, and stops those that hear it. Then the cascade
+#: once more, where a record also sees what was created before it (ids from 10^12 on).
+CONFIRM_SQL = f"""{RESOLVE_SQL}, w AS (SELECT * FROM o WHERE kind <> 'F'), nw AS (SELECT * FROM w WHERE status = 'new'),
+offer AS (SELECT id, 'g ' || gid AS k FROM nw WHERE gid IS NOT NULL UNION SELECT id, 'n ' || unnest(numbers) FROM nw UNION SELECT id, CASE WHEN len(numbers) > 0 THEN 'm1 ' ELSE 'm0 ' END || name || chr(10) || customer FROM nw WHERE customer IS NOT NULL),
+hear AS (SELECT id, k FROM offer UNION SELECT id, 'm1 ' || name || chr(10) || customer FROM nw WHERE customer IS NOT NULL),
+stops AS (SELECT DISTINCT a.id AS i, b.id AS j FROM offer a JOIN hear b ON a.k = b.k AND a.id < b.id),
+rounds AS (SELECT 0 AS n, id, 0 AS state FROM nw UNION ALL
+  SELECT n + 1, id, CASE WHEN state > 0 THEN state WHEN NOT waits THEN 1 WHEN hears THEN 2 ELSE 0 END
+  FROM (SELECT r.n, r.id, r.state, coalesce(bool_or(b.state = 0), false) AS waits, coalesce(bool_or(b.state = 0 AND b.free), false) AS hears
+    FROM rounds r LEFT JOIN stops ON stops.j = r.id LEFT JOIN (SELECT x.id, any_value(x.state) AS state, NOT coalesce(bool_or(y.state = 0), false) AS free FROM rounds x LEFT JOIN stops s ON s.j = x.id LEFT JOIN rounds y ON y.id = s.i GROUP BY x.id) b ON b.id = stops.i
+    WHERE EXISTS (FROM rounds WHERE state = 0) GROUP BY r.n, r.id, r.state)),
+made AS (SELECT id FROM rounds WHERE state = 1 AND n = (SELECT max(n) FROM rounds)),
+p2 AS (SELECT id, gid, numbers, name, customer, -1 AS since FROM p UNION ALL SELECT id + 1000000000000, gid, numbers, name, customer, id FROM nw WHERE id IN (FROM made)),
+gm2 AS (SELECT r.id, list_sort(list(p.id)) AS ids FROM w r JOIN p2 p ON p.gid = r.gid AND since < r.id GROUP BY 1),
+nm2 AS (SELECT r.id, list_sort(list(DISTINCT p.id)) AS ids, bool_or(p.customer <> r.customer) AS other FROM (SELECT id, customer, unnest(numbers) AS n FROM w) r JOIN (SELECT id, since, customer, unnest(numbers) AS n FROM p2) p ON p.n = r.n AND since < r.id GROUP BY 1),
+mm2 AS (SELECT r.id, list_sort(list(p.id)) AS ids, bool_or(len(p.numbers) > 0) AS numbered FROM w r JOIN p2 p ON p.name = r.name AND p.customer = r.customer AND since < r.id GROUP BY 1),
+z2 AS (SELECT r.* EXCLUDE (status, found), gm2.ids AS g, CASE WHEN len(r.numbers) > 0 THEN nm2.ids ELSE mm2.ids END AS named, nm2.ids AS n, nm2.other, mm2.ids AS m, mm2.numbered, q.name AS qname, q.customer AS qcustomer, q.numbers AS qnumbers
+  FROM w r LEFT JOIN gm2 ON gm2.id = r.id LEFT JOIN nm2 ON nm2.id = r.id LEFT JOIN mm2 ON mm2.id = r.id LEFT JOIN p2 q ON q.id = gm2.ids[1]),
+o2 AS (SELECT id, CASE
+  WHEN g IS NOT NULL THEN CASE WHEN len(g) > 1 OR qname <> name OR qcustomer <> customer OR (len(numbers) > 0 AND len(qnumbers) > 0 AND NOT list_has_any(numbers, qnumbers)) OR (named IS NOT NULL AND named <> g) THEN 'manual' ELSE 'matched' END
+  WHEN len(numbers) > 0 THEN CASE WHEN n IS NULL THEN CASE WHEN numbered THEN 'manual' ELSE 'new' END WHEN len(n) > 1 OR other THEN 'manual' ELSE 'matched' END
+  WHEN m IS NULL THEN 'new' WHEN len(m) > 1 THEN 'manual' ELSE 'matched' END AS status, coalesce(g[1], named[1]) AS found FROM z2)"""
+
+
+@query(f"""WITH RECURSIVE {CONFIRM_SQL}
+SELECT id AS record_id, CASE WHEN id IN (FROM made) THEN 'created' WHEN status = 'manual' THEN 'manual' WHEN found >= 1000000000000 THEN 'joined' ELSE 'attached' END AS outcome,
+  CASE WHEN status = 'matched' AND found < 1000000000000 THEN found END AS project_id, CASE WHEN id IN (FROM made) THEN id WHEN status = 'matched' AND found >= 1000000000000 THEN found - 1000000000000 END AS creator FROM o2""")
 def d3_batch_confirm(t):
     """Orders that are not finished are eligible."""
     records, projects = records_and_projects(t)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -173,3 +174,49 @@ def test_names_and_winners(spark):
     assert [r.t for r in names] == [["North", "Harbour"], ["abcdefghijklmnop"], [], []]
     winners = spark.createDataFrame([("winner: Bo. bidder: Acme Ltd",), ("winner: fee notice. bidder: x",), ("winner: " + "y" * 91,), (None,)], "t string")
     assert [r.w for r in winners.select(X.bounded_match(F.col("t"), [r"winner: ([^.]+)", r"bidder: ([^.]+)"], without=["notice"]).alias("w")).collect()] == ["Acme Ltd", None, None, None]
+
+
+def brute_confirm(records, projects):
+    """Records one after the other; what is created is seen by those that follow."""
+    norm = lambda x: (x or "").strip().lower() or None
+    stock = [("stored", pid, norm(g), {n.strip().upper() for n in ns or []} - {""}, norm(name), norm(c)) for pid, g, ns, name, c in projects]
+    out = {}
+    for rid, g, ns, name, c in sorted(records):
+        g, ns, name, c = norm(g), {n.strip().upper() for n in ns or []} - {""}, norm(name), norm(c)
+        by_group = [p for p in stock if g and p[2] == g]
+        by_number = [p for p in stock if ns & p[3]]
+        by_name = [p for p in stock if name and c and (p[4], p[5]) == (name, c)]
+        named = by_number if ns else by_name
+        ids = lambda ps: {p[:2] for p in ps}
+        differ = lambda a, b: bool(a and b and a != b)
+        if by_group:
+            p = by_group[0]
+            bad = len(ids(by_group)) > 1 or (ns and p[3] and not ns & p[3]) or differ(name, p[4]) or differ(c, p[5]) or (named and ids(named) != ids(by_group))
+            status, hit = ("manual", None) if bad else ("matched", p)
+        elif ns and not by_number:
+            status, hit = ("manual" if any(p[3] for p in by_name) else "new"), None
+        elif ns:
+            bad = len(ids(by_number)) > 1 or any(differ(c, p[5]) for p in by_number)
+            status, hit = ("manual", None) if bad else ("matched", by_number[0])
+        else:
+            status, hit = ("new", None) if not by_name else ("manual", None) if len(ids(by_name)) > 1 else ("matched", by_name[0])
+        if status == "new":
+            stock.append(("created", rid, g, ns, name, c))
+            out[rid] = ("created", None, rid)
+        elif status == "manual":
+            out[rid] = ("manual", None, None)
+        else:
+            out[rid] = ("attached", hit[1], None) if hit[0] == "stored" else ("joined", None, hit[1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batch_confirm_is_the_sequential_replay(spark, seed):
+    """Records with up to three numbers, groups and names that bridge what earlier records created; long chains of shared numbers."""
+    r = random.Random(seed)
+    some = lambda n: [f"N-{r.randrange(1, 40)}" for _ in range(r.randrange(n + 1))]
+    make = lambda i: (i, r.choice([None, "", "g%d" % r.randrange(8)]), some(3), r.choice([None, "oak", "elm", "ash", "fir", "yew"]), r.choice([None, "acme", "bolt", "crow"]))
+    records = [make(i) for i in r.sample(range(1000), 60)] + [(2000 + i, None, [f"C-{i}", f"C-{i + 1}"], None, None) for i in range(12)]
+    projects = [(i, r.choice([None, "g%d" % r.randrange(8)]), some(2), r.choice([None, "oak", "elm"]), r.choice([None, "acme", "bolt"])) for i in range(6)]
+    out = S.confirm(spark.createDataFrame(records, f"record_id long, {RECORD}"), spark.createDataFrame(projects, f"project_id long, {RECORD}"), suffixes=("phase",))
+    assert {x.record_id: (x.outcome, x.project_id, x.creator) for x in out.collect()} == brute_confirm(records, projects)
