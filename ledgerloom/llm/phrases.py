@@ -1,7 +1,7 @@
 """Phrase collocations by sampling and negative borders (Toivonen's method), per language.
 
 1. **Sample.** One document in ``share`` (by a hash of the row) proposes phrases: those that occur there ``min_count / share`` times less a
-   margin. Only the proposals of each length below the longest are kept, as a filter of ``2 ** filter_bits`` bits that is broadcast.
+   margin. Only the proposals of each length below the longest are kept, as a filter of eight bits each, ``2 ** filter_bits`` bits at most, that is broadcast.
 2. **Full pass.** Every word is counted, and every longer phrase whose two parts (without its last and without its first word) are
    proposed. That is the proposals together with their negative border, counted exactly in one pass. A filter has no false negatives, and a
    false positive only counts a phrase more; when the proposals outgrow the filter, it prunes less and the counts stay exact.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +35,7 @@ from ledgerloom.llm.tokens import buffers
 from ledgerloom.operators.components import label_rows
 from ledgerloom.session import Scratch, ship
 
-_SLICE_BYTES = 16 << 20
+_SLICE_BYTES = 6 << 20
 _SALTS = 64
 _BREAK = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
 _BLANK = np.isin(np.arange(256), list(b" \t"))
@@ -63,6 +64,13 @@ class _Filter:
     def __init__(self, levels: int, bits: int):
         self.bits, self.sets = bits, [np.zeros(1 << (bits - 6), np.uint64) for _ in range(levels)]
 
+    def __getstate__(self):
+        return self.bits, [zstandard.compress(x.tobytes(), 1) for x in self.sets]
+
+    def __setstate__(self, state):
+        self.bits, sets = state
+        self.sets = [np.frombuffer(zstandard.decompress(x), np.uint64) for x in sets]
+
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mask = np.uint64((1 << self.bits) - 1)
         return hashes & mask, (hashes >> np.uint64(32)) & mask
@@ -181,9 +189,10 @@ def _counted(texts: pa.LargeStringArray, langs: pa.Array, longest: int, old: _Fi
                 ok_old = was & old.has(k, present)[number] if old is not None else np.zeros(len(at), bool)
 
 
-def _count(docs: DataFrame, longest: int, old: _Filter | None, new: _Filter | None, least: int) -> DataFrame:
+def _count(docs: DataFrame, longest: int, old: _Filter | None, new: _Filter | None, least: int, held: list) -> DataFrame:
     """``(lang, words, phrase, n)`` of the phrases that occur at least ``least`` times; no words: all words of the language."""
     shared = docs.sparkSession.sparkContext.broadcast((old, new))
+    held.append(shared)
 
     def run(batches):
         old, new = shared.value
@@ -212,9 +221,10 @@ def _count(docs: DataFrame, longest: int, old: _Filter | None, new: _Filter | No
     return found.select(lang.alias("lang"), words.cast("int").alias("words"), phrase.alias("phrase"), "n")
 
 
-def _missing(phrases: DataFrame, known: _Filter, longest: int) -> DataFrame:
+def _missing(phrases: DataFrame, known: _Filter, longest: int, held: list) -> DataFrame:
     """The phrases shorter than the longest that the filter does not have: failures of the border."""
     shared = phrases.sparkSession.sparkContext.broadcast(known)
+    held.append(shared)
 
     def run(batches):
         known = shared.value
@@ -231,15 +241,24 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, min_count: int = 10, lon
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(*key, "lang", "text").alias("chance"))
     sample = texts.where(F.pmod("chance", F.lit(share)) == 0).select("lang", "text")
     texts = texts.select("lang", "text")
-    proposed = _count(sample, longest - 1, None, None, max(1, int(0.8 * min_count / share))).where("words > 0")
-    known = _Filter(longest - 1, filter_bits).with_phrases(proposed)
-    found = fresh = scratch.materialise(_count(texts, longest, None, known, min_count), "phrases")
+    held: list = []  # broadcasts, dropped as soon as the table that needs them is written
+
+    def written(table: DataFrame, name: str) -> DataFrame:
+        out = scratch.materialise(table, name)
+        while held:
+            held.pop().destroy()
+        return out
+
+    proposed = written(_count(sample, longest - 1, None, None, max(1, int(0.8 * min_count / share)), held).where("words > 0").select("lang", "words", "phrase"), "proposed")
+    # eight bits for each proposal, as far as the bound allows
+    known = _Filter(longest - 1, min(filter_bits, max(16, (8 * proposed.count()).bit_length()))).with_phrases(proposed)
+    found = fresh = written(_count(texts, longest, None, known, min_count, held), "phrases")
     while longest > 1:
-        failed = scratch.materialise(_missing(fresh, known, longest), "border-failures")
+        failed = written(_missing(fresh, known, longest, held), "border-failures")
         if not failed.limit(1).count():
             break
         wider = known.with_phrases(failed)
-        fresh = scratch.materialise(_count(texts, longest, known, wider, min_count), "phrases")
+        fresh = written(_count(texts, longest, known, wider, min_count, held), "phrases")
         found, known = found.unionByName(fresh), wider
     return found
 

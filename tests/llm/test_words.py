@@ -146,7 +146,7 @@ def test_phrases_edges(spark):
 def test_failures_of_the_border_are_found(spark):
     table = spark.createDataFrame([("en", 1, "a"), ("en", 2, "a b"), ("fr", 2, "a b"), ("fr", 1, "é"), ("en", 3, "a b c")], "lang string, words int, phrase string")
     known = phrases._Filter(2, 20).with_phrases(table.where("lang = 'en' AND words < 3"))
-    assert sorted(map(tuple, phrases._missing(table, known, 3).collect())) == [("fr", 1, "é"), ("fr", 2, "a b")]
+    assert sorted(map(tuple, phrases._missing(table, known, 3, []).collect())) == [("fr", 1, "é"), ("fr", 2, "a b")]
     assert sum(int(np.bitwise_count(x).sum()) for x in known.sets) == 4
 
 
