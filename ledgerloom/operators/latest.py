@@ -22,6 +22,18 @@ def preferred_item(items: DataFrame, key: str) -> DataFrame:
     return one_per_key(items.where(blank_to_null(F.col(key)).isNotNull()), [key], ~flag("completed"), flag("duplicate"), flag("hidden"), F.coalesce("created_time", F.lit("")), F.col("ordinal"))
 
 
+def converge(items: DataFrame, key: str, item_id: str) -> DataFrame:
+    """``(item_id, key, hidden, duplicate_of, attempts)``: of the items of one key the preferred one stays, the others are hidden duplicates of it.
+
+    ``attempts`` counts the key's items. Items without a key stay as they are, alone.
+    """
+    kept = preferred_item(items, key).select(key, F.col(item_id).alias("_primary"))
+    counted = items.groupBy(key).agg(F.count("*").alias("attempts"))
+    joined = items.join(kept, key, "left").join(counted, key, "left")
+    other = F.coalesce(F.col(item_id) != F.col("_primary"), F.lit(False))
+    return joined.select(item_id, key, other.alias("hidden"), F.when(other, F.col("_primary")).alias("duplicate_of"), F.coalesce("attempts", F.lit(1)).cast("long").alias("attempts"))
+
+
 def latest(rows: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """The last row of each key by the given columns."""
     return one_per_key(rows, keys, *[F.col(c).desc_nulls_last() for c in order])

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.operators.latest import one_per_key
+from ledgerloom.session import materialise, tasks
 
 
 def append_unique(existing: DataFrame, new: DataFrame, key: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
@@ -81,3 +83,19 @@ def patch(target: DataFrame, changes: DataFrame, key: str, column: str) -> tuple
     joined = target.join(changes.select(key, F.col("new").alias("_new")), key, "left")
     log = joined.where(F.col("_new").isNotNull() & ~F.col(column).eqNullSafe(F.col("_new"))).select(key, F.lit(column).alias("field"), F.col(column).alias("old"), F.col("_new").alias("new"))
     return joined.withColumn(column, F.coalesce("_new", column)).drop("_new"), log
+
+
+def within_budget(rows: DataFrame, order: Sequence[Column], size: str, budget: int) -> DataFrame:
+    """The rows in a total order while their sizes so far (``spent``, this one's included) fit the budget; sizes are not negative.
+
+    Rows are sorted by ranges; a part's rows are summed up within it, after the sums of the parts before, and parts that begin beyond the budget are not read.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialise(ranged.withColumn("_part", F.shiftright("_at", 33)), "budget")
+    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"))
+    # one row for each part
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
+    own = F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    spent = ranged.join(F.broadcast(before), "_part").withColumn("spent", F.col("_before") + own)
+    return spent.where(F.col("spent") <= budget).drop("_at", "_part", "_before")

@@ -11,8 +11,9 @@ from ledgerloom.operators import evidence as E
 from ledgerloom.operators import latest as L
 from ledgerloom.operators import resolution as S
 from ledgerloom.operators import review as V
+from ledgerloom.operators import tables as T
 from ledgerloom.plans.registry import query
-from ledgerloom.plans.text_queries import HOST, LINES, PAGE, document_lines
+from ledgerloom.plans.text_queries import HOST, IDENTITY, LINES, PAGE, document_lines
 
 # --- keys and values -------------------------------------------------------------------------------------------------------
 
@@ -80,13 +81,13 @@ def u9_document_store(t):
 
 # --- items and candidates --------------------------------------------------------------------------------------------------
 
-ITEMS = f"SELECT page_id, {HOST} AS source_key, contains(html, 'lang=\"en\"') AS completed, contains(url, 'utm_') AS duplicate, contains(url, '#') AS hidden, regexp_extract(url, '/([0-9]+)', 1) AS created_time FROM pages"
+ITEMS = f"SELECT page_id, {IDENTITY} AS source_key, contains(html, 'lang=\"en\"') AS completed, contains(url, 'utm_') AS duplicate, contains(url, '#') AS hidden, regexp_extract(url, '/([0-9]+)', 1) AS created_time FROM pages"
 
 
 @query(f"SELECT source_key, page_id, completed, duplicate, hidden FROM ({ITEMS}) WHERE source_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY completed DESC, duplicate, hidden, created_time, page_id) = 1")
 def w7_preferred_item(t):
     has = lambda column, part: F.contains(F.col(column), F.lit(part))
-    items = t.pages.select("page_id", X.host(F.col("url")).alias("source_key"), has("html", 'lang="en"').alias("completed"), has("url", "utm_").alias("duplicate"), has("url", "#").alias("hidden"), F.regexp_extract("url", "/([0-9]+)", 1).alias("created_time"), F.col("page_id").alias("ordinal"))
+    items = t.pages.select("page_id", X.url_identity(F.col("url")).alias("source_key"), has("html", 'lang="en"').alias("completed"), has("url", "utm_").alias("duplicate"), has("url", "#").alias("hidden"), F.regexp_extract("url", "/([0-9]+)", 1).alias("created_time"), F.col("page_id").alias("ordinal"))
     return L.preferred_item(items, "source_key").select("source_key", "page_id", "completed", "duplicate", "hidden")
 
 
@@ -260,10 +261,8 @@ def d3_batch_confirm(t):
 
 @query("SELECT p_partkey, spent FROM (SELECT p_partkey, sum(p_size) OVER (ORDER BY p_retailprice DESC, p_partkey) AS spent FROM part) WHERE spent <= 500")
 def w14_request_budget(t):
-    """Targets by price while their sizes fit; a size is at least 1, so only the first 500 can."""
-    order = [F.desc("p_retailprice"), F.col("p_partkey")]
-    ranked = t.part.orderBy(*order).limit(500)
-    return ranked.withColumn("spent", F.sum("p_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where("spent <= 500").select("p_partkey", "spent")
+    """Targets by price while the sizes so far fit the budget, whatever the sizes are."""
+    return T.within_budget(t.part.select("p_partkey", "p_size", "p_retailprice"), [F.desc("p_retailprice"), F.col("p_partkey")], "p_size", 500).select("p_partkey", "spent")
 
 
 @query("SELECT l_orderkey, count(*) AS n_rows, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_linestatus = 'F') AS done, min(l_linenumber) AS first_row FROM lineitem GROUP BY l_orderkey")

@@ -9,6 +9,7 @@ from ledgerloom.functions import text as X
 from ledgerloom.operators import candidates as C
 from ledgerloom.operators import latest as L
 from ledgerloom.operators import linkage as K
+from ledgerloom.operators import sections as S
 from ledgerloom.plans.registry import query
 
 PUNCT = "[^a-zA-Z0-9]+"
@@ -79,10 +80,13 @@ def f15_page_text(t):
     return t.pages.select("page_id", X.page_text(F.col("html")).alias("text"))
 
 
-@query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS u, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS n FROM pages)
-SELECT page_id, unnest(u) AS href, unnest(n) AS title FROM a""")
+@query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2), 1) AS place FROM pages),
+u AS (SELECT page_id, title, place, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || href ELSE regexp_extract(url, '^([^:]*://[^?#]*/)', 1) || href END AS href FROM a WHERE len(trim(title)) >= 3)
+SELECT page_id, href, trim(title) AS title, row_number() OVER (PARTITION BY page_id ORDER BY place) AS place FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY place) = 1) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) <= 20""")
 def f16_anchors(t):
-    return anchors(t).select("page_id", "href", "title")
+    """The first 20 links of a page with titles of three characters or more, each absolute URL once."""
+    found = t.pages.select("page_id", X.links_of(F.col("html"), F.col("url"), least=3, most=20).alias("links"))
+    return found.select("page_id", F.posexplode("links").alias("place", "link")).select("page_id", "link.href", "link.title", (F.col("place") + 1).cast("long").alias("place"))
 
 
 def anchors(t):
@@ -438,11 +442,19 @@ def a27_page_summary(t):
     return t.pages.agg(F.count("*").alias("pages"), F.count_if(F.endswith(X.host(F.col("url")), F.lit(".example.org"))).alias("confirmed"), F.count_if(F.contains("url", F.lit("utm_"))).alias("tracking"))
 
 
-@query(f"SELECT page_id, {HOST} AS source_key, page_id <> min(page_id) OVER (PARTITION BY {HOST}) AS hidden FROM pages")
+#: Scheme and host in lower case, no default port, no fragment.
+IDENTITY = r"lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), CASE WHEN lower(url) LIKE 'https%' THEN ':443$' ELSE ':80$' END, '') || regexp_extract(url, '://[^/?#]*([^#]*)', 1)"
+
+
+@query(f"""WITH i AS (SELECT page_id, {IDENTITY} AS source_key, contains(html, 'lang="en"') AS completed, contains(url, '#') AS hidden FROM (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000000, replace(url, 'http://', 'HTTP://') || '#again', html FROM pages)),
+f AS (SELECT page_id, source_key, first_value(page_id) OVER (PARTITION BY source_key ORDER BY completed DESC, hidden, page_id) AS primary_id FROM i)
+SELECT page_id, source_key, page_id <> primary_id AS hidden, CASE WHEN page_id <> primary_id THEN primary_id END AS duplicate_of, count(*) OVER (PARTITION BY source_key) AS attempts FROM f""")
 def d11_url_convergence(t):
-    keyed = t.pages.select("page_id", X.host(F.col("url")).alias("source_key"))
-    kept = keyed.groupBy("source_key").agg(F.min("page_id").alias("primary"))
-    return keyed.join(kept, "source_key").select("page_id", "source_key", (F.col("page_id") != F.col("primary")).alias("hidden"))
+    """Pages and a second visit of each, whose URL is written in another way."""
+    again = t.pages.select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat(F.replace(F.col("url"), F.lit("http://"), F.lit("HTTP://")), F.lit("#again")).alias("url"), "html")
+    items = t.pages.select("page_id", "url", "html").unionByName(again)
+    items = items.select("page_id", X.url_identity(F.col("url")).alias("source_key"), F.contains("html", F.lit('lang="en"')).alias("completed"), F.lit(False).alias("duplicate"), F.contains("url", F.lit("#")).alias("hidden"), F.lit("").alias("created_time"), F.col("page_id").alias("ordinal"))
+    return L.converge(items, "source_key", "page_id")
 
 
 @query("SELECT min(page_id) AS page_id FROM pages GROUP BY lower(rtrim(trim(regexp_replace(url, '[?#].*$', '')), '/'))")
@@ -467,25 +479,31 @@ def document_lines(t):
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS place FROM documents)"
 
 
-@query(f"""WITH RECURSIVE {LINES}, z AS (SELECT doc_id, place, strlen(line) AS size FROM l),
-r AS (SELECT doc_id, place, size AS used, 0 AS section FROM z WHERE place = 0 UNION ALL
- SELECT z.doc_id, z.place, CASE WHEN used + z.size > 2048 THEN z.size ELSE used + z.size END, CASE WHEN used + z.size > 2048 THEN section + 1 ELSE section END FROM r JOIN z ON z.doc_id = r.doc_id AND z.place = r.place + 1)
-SELECT doc_id, section, count(*) AS lines, sum(size) AS bytes FROM (SELECT r.doc_id, r.section, z.size FROM r JOIN z ON z.doc_id = r.doc_id AND z.place = r.place) GROUP BY ALL""")
-def w10_sections(t):
-    return t.documents.select("doc_id", F.explode(section_sizes(F.split("text", "\n"))).alias("s")).select("doc_id", "s.section", F.col("s.lines").alias("lines"), F.col("s.bytes").alias("bytes"))
+#: Lines as elements: short lines of few words that end without a full stop are titles, lines with a bar are table rows.
+_KIND = "CASE WHEN strlen(line) < 60 AND NOT regexp_matches(line, '[.!?]\\s*$') THEN 'Title' WHEN contains(line, '|') THEN 'Table' ELSE 'NarrativeText' END"
+#: Sections by recursion over the pieces of a document. Pieces are cut where the bytes of their code points reach the bound.
+SECTIONS_SQL = f"""{LINES}, el AS (SELECT doc_id, place, {_KIND} AS kind, trim(line) AS text FROM l WHERE trim(line) <> ''),
+long AS (SELECT doc_id, place, 0 AS piece, text, '' AS head FROM el WHERE strlen(text) > 2048 UNION ALL
+  SELECT doc_id, place, piece + 1, text[len(head) + 1:], (SELECT max_by(left(text[len(head) + 1:], n), n) FROM (SELECT unnest(range(512, 2049)) AS n) WHERE strlen(left(text[len(head) + 1:], n)) <= 2048) FROM long WHERE len(text) > len(head)),
+pc AS (SELECT doc_id, place, 0 AS piece, kind, text FROM el WHERE strlen(text) <= 2048 UNION ALL SELECT doc_id, place, piece - 1, kind, head FROM long JOIN (SELECT doc_id, place, kind FROM el) USING (doc_id, place) WHERE piece > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, piece) AS nth FROM pc),
+r AS (SELECT doc_id, nth, strlen(text) AS used, 0 AS section FROM o WHERE nth = 1 UNION ALL
+  SELECT o.doc_id, o.nth, CASE WHEN (kind = 'Title' AND piece = 0) OR used + strlen(text) > 2048 THEN strlen(text) ELSE used + strlen(text) END, CASE WHEN (kind = 'Title' AND piece = 0) OR used + strlen(text) > 2048 THEN section + 1 ELSE section END FROM r JOIN o ON o.doc_id = r.doc_id AND o.nth = r.nth + 1),
+sec AS (SELECT o.doc_id, o.place, o.piece, o.kind, o.text, r.section FROM r JOIN o ON o.doc_id = r.doc_id AND o.nth = r.nth QUALIFY row_number() OVER (PARTITION BY o.doc_id, r.section, o.kind, trim(o.text) ORDER BY o.place, o.piece) = 1)"""
 
 
-def section_sizes(lines, most=2048):
-    """Sections of a document's lines, none with more than ``most`` bytes unless one line has: a fold over the document."""
-    empty = F.expr("named_struct('section', 0L, 'used', 0L, 'lines', 0L, 'done', cast(array() as array<struct<section:bigint,lines:bigint,bytes:bigint>>))")
+def line_elements(t):
+    line = F.col("line")
+    kind = F.when((F.octet_length(line) < 60) & ~line.rlike(r"[.!?]\s*$"), "Title").when(F.contains(line, F.lit("|")), "Table").otherwise("NarrativeText")
+    return document_lines(t).select("doc_id", "place", kind.alias("kind"), line.alias("text"))
 
-    def add(state, line):
-        size = F.octet_length(line).cast("long")
-        close = (state["lines"] > 0) & (state["used"] + size > most)
-        closed = F.struct(state["section"].alias("section"), state["lines"].alias("lines"), state["used"].alias("bytes"))
-        return F.struct(F.when(close, state["section"] + 1).otherwise(state["section"]).alias("section"), F.when(close, size).otherwise(state["used"] + size).alias("used"), F.when(close, F.lit(1).cast("long")).otherwise(state["lines"] + 1).alias("lines"), F.when(close, F.array_append(state["done"], closed)).otherwise(state["done"]).alias("done"))
 
-    return F.aggregate(lines, empty, add, lambda s: F.array_append(s["done"], F.struct(s["section"].alias("section"), s["lines"].alias("lines"), s["used"].alias("bytes"))))
+@query(f"WITH RECURSIVE {SECTIONS_SQL} SELECT doc_id, section::BIGINT AS section, count(*) AS n_rows, sum(strlen(text))::BIGINT AS bytes, bool_or(kind = 'Title') AS titled, sha256(string_agg(text, chr(10) ORDER BY place, piece)) AS digest FROM sec GROUP BY doc_id, section")
+def w10_sections(t):
+    """Whole sections as digests of their rows."""
+    rows = S.build_sections(line_elements(t))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece", "text"))), lambda x: x["text"]), "\n")  # a section is bounded in bytes
+    return rows.groupBy("doc_id", "section").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.bool_or(F.col("kind") == "Title").alias("titled"), F.sha2(text, 256).alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {LINES}, k AS (SELECT doc_id, place, strlen(line) AS size, CASE WHEN place = 0 THEN -1 ELSE -len(regexp_extract_all(line, '[.]')) END AS relevance FROM l),
@@ -503,19 +521,36 @@ def w12_row_retention(t):
     return t.documents.select("doc_id", F.aggregate(rows, empty, add).alias("s")).select("doc_id", "s.kept", F.col("s.used").alias("bytes"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, place, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS value FROM l WHERE true QUALIFY len(line) <= 12 AND value IS NOT NULL AND len(value) > 12")
+_LABELS = {"article": "the|le|la|der|die|el", "link": "of|de|von|und|and"}
+_FOLLOWS = {"article": r"\p{L}{4}"}
+_AVOIDS = {"link": r"\d"}
+#: The words of the first line are cells of one row, the others are lines of two words each, so that labels have neighbours of both sorts.
+_CELLS = "cells AS (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS text, generate_subscripts(string_split(split_part(text, chr(10), 1), ' '), 1) - 1 AS col FROM documents)"
+
+
+@query(rf"""WITH {_CELLS}, w AS (SELECT doc_id, col AS place, text AS label, trim(lead(text) OVER (PARTITION BY doc_id ORDER BY col)) AS value FROM cells),
+b AS (SELECT doc_id, place, 'cell' AS source, trim(label) AS label, value FROM w UNION ALL SELECT doc_id, place, 'line', regexp_replace(trim(label), '^([(]?[0-9]{{1,3}}[.)]|[ivxIVX]{{1,5}}[.)])\s*', ''), value FROM w),
+k AS (SELECT b.*, f.field FROM b JOIN (VALUES ('article', '(?i)^({_LABELS["article"]})$'), ('link', '(?i)^({_LABELS["link"]})$')) f(field, p) ON regexp_matches(label, p) WHERE len(value) > 0 AND NOT regexp_matches(value, '(?i)^({_LABELS["article"]}|{_LABELS["link"]})$'))
+SELECT doc_id, field, CASE source WHEN 'cell' THEN 0 ELSE place END AS place, source, label, value FROM k WHERE (field <> 'article' OR regexp_matches(value, '\p{{L}}{{4}}')) AND (field <> 'link' OR NOT regexp_matches(value, '\d'))""")
 def w16_adjacent_values(t):
-    following = F.lead("line").over(Window.partitionBy("doc_id").orderBy("place"))
-    paired = document_lines(t).withColumn("value", following)
-    return paired.where((F.length("line") <= 12) & (F.length("value") > 12)).select("doc_id", F.col("place").cast("long").alias("place"), "value")
+    """The words of each first line, once as lines and once as the cells of one row."""
+    words = t.documents.select("doc_id", F.posexplode(F.split(F.split("text", "\n")[0], " ")).alias("place", "text"))
+    cells = words.select("doc_id", F.lit(0).alias("table_index"), F.lit(0).alias("row"), F.col("place").alias("col"), "text")
+    return S.adjacent_values(words, cells, _LABELS, _FOLLOWS, _AVOIDS)
+
+
+_CATEGORIES = {"the": (r"\b[Tt]he\b", r"ing\b"), "of": (r"\bof\b", r"tion\b"), "and": (r"\band\b", r"[0-9]")}
 
 
-@query(f"""WITH {LINES}, c AS (SELECT doc_id, place, line, unnest(['the', 'of', 'and']) AS category FROM l), h AS (SELECT doc_id, category, place, len(regexp_extract_all(line, '\\b' || category || '\\b')) AS hits, len(line) < 80 AS heading FROM c)
-SELECT doc_id, category, place, hits FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, category ORDER BY heading DESC, hits DESC, place) = 1""")
+@query(rf"""WITH RECURSIVE {SECTIONS_SQL}, nx AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY section, place) AS next FROM (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY place, piece) AS place, kind, text FROM sec)),
+c AS (SELECT doc_id, section, category, regexp_matches(text, label) AS hit, regexp_matches(text, label) AND (regexp_matches(text, val) OR coalesce(regexp_matches(next, val) AND NOT regexp_matches(next, label), false)) AS valued, lower(kind) IN ('title', 'header') AS head, lower(kind) = 'table' AS tab FROM nx, (VALUES {", ".join(f"('{c}', '{a}', '{v}')" for c, (a, v) in _CATEGORIES.items())}) f(category, label, val)),
+p AS (SELECT doc_id, section, category, count(*) FILTER (hit) AS hits, bool_or(valued) AS valued, bool_or(hit AND head) AS heading, bool_or(tab) AS tab FROM c GROUP BY ALL HAVING count(*) FILTER (hit) > 0),
+d AS (SELECT *, count(*) OVER (PARTITION BY doc_id, section) = 1 AS dedicated, CASE WHEN valued THEN 0 WHEN heading THEN 1 ELSE 2 END AS strength FROM p)
+SELECT doc_id, category, section::BIGINT AS section, strength, heading, dedicated, hits, row_number() OVER (PARTITION BY doc_id, category ORDER BY strength, heading DESC, dedicated DESC, hits DESC, tab, section) AS rank FROM d""")
 def w18_evidence_rank(t):
-    lines = document_lines(t)
-    rated = lines.select("doc_id", "place", (F.length("line") < 80).alias("heading"), F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.regexp_count("line", F.lit(rf"\b{c}\b")).alias("hits")) for c in ("the", "of", "and")]))).where("hits > 0")
-    return L.one_per_key(rated, ["doc_id", "category"], F.desc("heading"), F.desc("hits"), F.col("place")).select("doc_id", "category", F.col("place").cast("long").alias("place"), "hits")
+    rows = S.build_sections(line_elements(t))
+    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "piece")))
+    return S.evidence_ranks(numbered, _CATEGORIES)
 
 
 @query("""WITH p AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders)
