@@ -13,6 +13,7 @@ from ledgerloom.operators import overrides as O
 from ledgerloom.operators import repository as R
 from ledgerloom.operators import review as V
 from ledgerloom.plans.registry import query
+from ledgerloom.plans.text_queries import matching_blocks
 
 
 def _id(prefix: str, *parts: str) -> str:
@@ -71,10 +72,12 @@ def j6_review_queue(t):
 
 # Duplicates: parts whose titles, URLs or numbers agree.
 
-PARTS_SQL = r"""c AS (SELECT p_partkey AS ordinal, 'c' || p_partkey AS candidate_id, p_retailprice::DOUBLE AS confidence, regexp_replace(lower(p_name || ' ' || p_partkey // 2), '[^\p{L}\p{N}_]+', '', 'g') AS title,
-  CASE WHEN p_partkey % 10 = 0 THEN 'http://shop/' || p_partkey // 20 END AS url, CASE WHEN p_partkey % 7 = 0 THEN 'n' || p_partkey // 21 END AS number FROM part),
+#: Titles whose edit distance is beyond what a ratio of 0.88 leaves to insert and delete are not compared.
+_TITLES = "SELECT a.title AS a, b.title AS b FROM c a JOIN c b ON a.ordinal < b.ordinal AND a.title <> b.title AND levenshtein(a.title, b.title) <= floor(0.12 * (len(a.title) + len(b.title)) + 1e-9)"
+PARTS_SQL = rf"""c AS (SELECT p_partkey AS ordinal, 'c' || p_partkey AS candidate_id, p_retailprice::DOUBLE AS confidence, regexp_replace(lower(p_name || ' ' || p_partkey // 2), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS title,
+  CASE WHEN p_partkey % 10 = 0 THEN 'http://shop/' || p_partkey // 20 END AS url, CASE WHEN p_partkey % 7 = 0 THEN 'n' || p_partkey // 21 END AS number FROM part), {matching_blocks(_TITLES)},
 e AS (SELECT ordinal AS x, min(ordinal) OVER (PARTITION BY url) AS y, 'url' AS reason FROM c WHERE url IS NOT NULL UNION ALL SELECT ordinal, min(ordinal) OVER (PARTITION BY number), 'number' FROM c WHERE number IS NOT NULL
-  UNION ALL SELECT a.ordinal, b.ordinal, 'title' FROM c a JOIN c b ON a.ordinal > b.ordinal AND abs(len(a.title) - len(b.title)) <= 6 WHERE 1 - levenshtein(a.title, b.title) / greatest(len(a.title), len(b.title))::DOUBLE >= 0.88),
+  UNION ALL SELECT b.ordinal, a.ordinal, 'title' FROM c a JOIN c b ON a.ordinal < b.ordinal LEFT JOIN ratio ON ratio.a = a.title AND ratio.b = b.title WHERE a.title = b.title OR ratio.score >= 0.88),
 b AS (SELECT x, y FROM e WHERE x <> y UNION SELECT y, x FROM e WHERE x <> y), rr AS (SELECT x, y FROM b UNION SELECT rr.x, b.y FROM rr JOIN b ON b.x = rr.y), g AS (SELECT x, least(x, min(y)) AS component FROM rr GROUP BY x),
 m AS (SELECT c.*, coalesce(component, ordinal) AS component FROM c LEFT JOIN g ON x = ordinal), w AS (SELECT component, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM e JOIN g ON g.x = e.x WHERE e.x <> e.y GROUP BY 1),
 d AS (SELECT m.*, coalesce(reasons, 'unique') AS reasons, count(*) OVER (PARTITION BY m.component) AS group_size, row_number() OVER (PARTITION BY m.component ORDER BY confidence DESC, ordinal) = 1 AS is_primary FROM m LEFT JOIN w ON w.component = m.component)"""
