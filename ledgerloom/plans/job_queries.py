@@ -57,11 +57,6 @@ def p6_apply_gate(t):
     return C.apply_promotions(C.promote(page_candidates(t))).select("candidate_id", "outcome", "reason")
 
 
-@query(f"WITH {PAGES_SQL} SELECT asset_id, status, place, place = max(place) OVER (PARTITION BY asset_id) AS is_final FROM life")
-def d1_candidate_refresh(t):
-    return page_lifecycles(t)[2]
-
-
 @query(f"""WITH {PAGES_SQL}, f AS (SELECT asset_id, arg_max(status, place) AS lifecycle_status FROM life GROUP BY 1)
 SELECT asset_id, coalesce(nullif(trim(c.source_type), ''), pro.source_type) AS source_type, coalesce(nullif(trim(c.title), ''), pro.title) AS title, lifecycle_status, c.confidence,
   CASE WHEN lifecycle_status IN ('PROMOTION_READY', 'PROMOTED') AND c.confidence >= 0.8 THEN 'P1' WHEN lifecycle_status IN ('PROMOTION_READY', 'PROMOTED') OR c.confidence >= 0.6 THEN 'P2' ELSE 'P3' END AS priority
@@ -84,11 +79,15 @@ d AS (SELECT m.*, coalesce(reasons, 'unique') AS reasons, count(*) OVER (PARTITI
 
 
 def part_duplicates(t):
+    return C.deduplicate(part_candidates(t))
+
+
+def part_candidates(t):
     n = F.col("p_partkey")
     half = lambda k: F.floor(n / k).cast("string")
     url = F.when(n % 20 == 0, F.concat(F.lit("HTTP://Shop/"), half(20), F.lit("/"))).when(n % 10 == 0, F.concat(F.lit("http://shop/"), half(20))).otherwise("")
     numbers = F.when(n % 7 == 0, F.array(F.concat(F.lit("n"), half(21))))
-    return C.deduplicate(t.part.select(n.alias("ordinal"), F.concat(F.lit("c"), n.cast("string")).alias("candidate_id"), F.lit("shop").alias("source_type"), F.concat_ws(" ", "p_name", half(2)).alias("title"), url.alias("url"), numbers.alias("numbers"), F.col("p_retailprice").cast("double").alias("confidence")))
+    return t.part.select(n.alias("ordinal"), F.concat(F.lit("c"), n.cast("string")).alias("candidate_id"), F.lit("shop").alias("source_type"), F.concat_ws(" ", "p_name", half(2)).alias("title"), url.alias("url"), numbers.alias("numbers"), F.col("p_retailprice").cast("double").alias("confidence"))
 
 
 @query(f"WITH RECURSIVE {PARTS_SQL} SELECT candidate_id, is_primary, reasons, group_size, {_id('dup_', 'min(candidate_id) OVER (PARTITION BY component)', 'component')} AS duplicate_group_id FROM d")
@@ -110,6 +109,28 @@ def d14_production_import(t):
     return C.apply_promotions(C.promote(found), 1000.0).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+REFRESH_SQL = f"""WITH RECURSIVE {PARTS_SQL}, pr AS (SELECT *, ordinal % 2 = 0 AS matched FROM d WHERE is_primary), st AS (SELECT candidate_id, 1 AS place, 'DISCOVERED' AS status FROM d UNION ALL SELECT candidate_id, 2, 'DEDUPED' FROM d
+  UNION ALL SELECT candidate_id, 3, 'PROMOTION_READY' FROM pr UNION ALL SELECT candidate_id, 4, 'PROMOTED' FROM pr UNION ALL SELECT candidate_id, 5, 'APPLIED' FROM pr WHERE NOT matched OR confidence >= 1000)"""
+
+
+def refreshed(t):
+    """Stored candidates (all but every fifth part) and a batch (every fifth, and every tenth once more with a new confidence)."""
+    matched = F.col("ordinal") % 2 == 0
+    found = part_candidates(t).withColumns({"status": F.when(matched, "MATCHED").otherwise("NEW"), "matched_project_id": F.when(matched, F.col("ordinal").cast("string"))})
+    stored = found.where("ordinal % 5 <> 0").unionByName(found.where("ordinal % 10 = 0").withColumn("confidence", F.lit(0.0)))
+    return C.refresh(stored, found.where("ordinal % 5 = 0"), least=1000.0)
+
+
+@query(f"{REFRESH_SQL} SELECT candidate_id AS asset_id, status, place, place = max(place) OVER (PARTITION BY candidate_id) AS is_final FROM st")
+def d1_candidate_refresh(t):
+    return refreshed(t)[0]
+
+
+@query(f"{REFRESH_SQL} SELECT 'candidates' AS stage, count(*) AS n FROM d UNION ALL SELECT 'duplicate groups', count(*) FILTER (is_primary) FROM d UNION ALL SELECT 'promoted', count(*) FROM pr UNION ALL SELECT 'applied', count(*) FROM st WHERE place = 5 UNION ALL SELECT 'queue', count(*) FROM d")
+def d1_stage_counts(t):
+    return refreshed(t)[2]
+
+
 # Decisions: events, about customers.
 
 EVENTS_SQL = """d AS (SELECT event_id AS decision_id, user_id AS asset_id, CASE event_type WHEN 'purchase' THEN 'ACCEPT' WHEN 'signup' THEN 'ACCEPT' WHEN 'error' THEN 'REJECT' WHEN 'view' THEN 'DEFER' ELSE 'LATER' END AS decision,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.operators import latest as L
+from ledgerloom.operators import remediation as M
 from ledgerloom.operators import tables as T
 from ledgerloom.plans.registry import query
 
@@ -228,17 +229,28 @@ def a3_group_id(t):
     return t.events.groupBy("user_id").agg(F.concat(F.lit("group_"), F.left(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), "\n"), 256), F.lit(16))).alias("group_id"), F.count("*").alias("members"))
 
 
-@query("""WITH h AS (SELECT user_id, event_type AS attempt, arg_max(value, event_id) AS value, min(event_id) AS first_id FROM events GROUP BY ALL)
-SELECT user_id, count(*) AS attempts, string_agg(attempt, ',' ORDER BY first_id) AS attempt_order FROM h GROUP BY user_id""")
+#: The first half of the month is stored, the second comes in; a view has no value of its own.
+_NESTED = "(SELECT user_id, event_type AS attempt, event_id, CASE WHEN event_type <> 'view' OR ts < TIMESTAMP '2024-01-16' THEN value END AS value, props, (ts >= TIMESTAMP '2024-01-16')::INT AS late FROM events)"
+
+
+def histories(t):
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    rows = t.events.select("user_id", F.col("event_type").alias("attempt"), "event_id", F.when((F.col("event_type") != "view") | ~late, F.col("value")).alias("value"), "props", late.alias("_late"))
+    return rows.where("NOT _late").drop("_late"), rows.where("_late").drop("_late")
+
+
+@query(f"""WITH e AS {_NESTED}, h AS (SELECT user_id, attempt, arg_max(value, (late, event_id)) FILTER (value IS NOT NULL) AS value, arg_max(props, (late, event_id)) AS props, max((late, event_id)) AS last, min((late, event_id)) AS first FROM e GROUP BY ALL)
+SELECT user_id, attempt, value, props, last[2] AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place FROM h""".replace("last[2]", "struct_extract_at(last, 2)"))
 def u7_nested_history_merge(t):
-    merged = t.events.groupBy("user_id", F.col("event_type").alias("attempt")).agg(F.max_by("value", "event_id").alias("value"), F.min("event_id").alias("first_id"))
-    return merged.groupBy("user_id").agg(F.count("*").alias("attempts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "attempt"))), lambda x: x["attempt"]), ",").alias("attempt_order"))
+    return M.merge_histories(*histories(t), "user_id", "attempt", "event_id")
 
 
-@query("SELECT user_id, count(DISTINCT event_type || '|' || floor(value / 100)::INT) AS snapshots FROM events GROUP BY user_id")
+@query(f"""WITH e AS (SELECT user_id, attempt, event_id, late, floor(value / 100) AS step FROM {_NESTED}), old AS (SELECT * FROM e WHERE late = 0),
+new AS (SELECT * FROM e WHERE late = 1 QUALIFY row_number() OVER (PARTITION BY user_id, attempt, coalesce(step::VARCHAR, '') ORDER BY event_id) = 1)
+SELECT user_id, attempt, event_id, step FROM old UNION ALL SELECT user_id, attempt, event_id, step FROM new WHERE NOT EXISTS (FROM old WHERE old.user_id = new.user_id AND old.attempt = new.attempt AND coalesce(old.step::VARCHAR, '') = coalesce(new.step::VARCHAR, ''))""")
 def u5_snapshot_append(t):
-    identity = F.concat_ws("|", "event_type", F.floor(F.col("value") / 100).cast("string"))
-    return t.events.select("user_id", identity.alias("identity")).dropDuplicates(["user_id", "identity"]).groupBy("user_id").agg(F.count("*").alias("snapshots"))
+    old, new = (x.select("user_id", "attempt", "event_id", F.floor(F.col("value") / 100).cast("double").alias("step")) for x in histories(t))
+    return M.append_snapshots(old, new, ["user_id", "attempt", "step"], "event_id")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS last_outcome, count(*) AS attempts FROM events GROUP BY user_id")
@@ -246,13 +258,40 @@ def d18_attachment_merge(t):
     return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_outcome"), F.count("*").alias("attempts"))
 
 
-@query("""WITH a AS (SELECT user_id, event_type AS field, event_id AS action, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS revision FROM events),
-v AS (SELECT *, round(value) % 3 AS claimed FROM a), ok AS (SELECT * FROM v WHERE claimed <= revision)
-SELECT user_id, field, arg_max(action, revision) AS effective_action, count(*) AS accepted FROM ok GROUP BY ALL""")
+#: Events as corrections: two neighbours of a user share an action id (a retry), and who acts saw the revision of some actions ago; the first retries guess the next one.
+ACTIONS = """a AS (SELECT user_id AS item, event_id AS ordinal, event_type AS field, CASE WHEN value < 20 THEN 'verify_current_value' ELSE 'correct_effective_value' END AS kind, CASE WHEN value >= 30 THEN round(value)::BIGINT::VARCHAR ELSE '' END AS value,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth, user_id || '-' || ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2) AS action_id FROM events),
+x AS (SELECT *, (nth // 4 + CASE WHEN nth < 8 THEN nth % 2 ELSE 0 END) AS expected, CASE WHEN kind = 'verify_current_value' THEN (CASE WHEN field <> 'error' THEN 'old ' || field END) ELSE nullif(value, '') END AS eff FROM a WHERE field <> 'view'),
+o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ordinal) AS rn FROM x WHERE eff IS NOT NULL),
+r AS (SELECT item, rn, ordinal, expected = 0 AS applied, (expected = 0)::BIGINT AS rev, CASE WHEN expected = 0 THEN [action_id] ELSE [] END AS ids FROM o WHERE rn = 1
+  UNION ALL SELECT o.item, o.rn, o.ordinal, o.expected = r.rev AND NOT list_contains(r.ids, o.action_id), r.rev + (o.expected = r.rev AND NOT list_contains(r.ids, o.action_id))::BIGINT, CASE WHEN o.expected = r.rev AND NOT list_contains(r.ids, o.action_id) THEN list_append(r.ids, o.action_id) ELSE r.ids END FROM r JOIN o ON o.item = r.item AND o.rn = r.rn + 1),
+done AS (SELECT o.*, r.rev FROM r JOIN o ON o.item = r.item AND o.rn = r.rn WHERE applied)"""
+
+
+def correction_log(t):
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    kind = F.when(F.col("value") < 20, M.VERIFY).otherwise(M.CORRECT)
+    value = F.when(F.col("value") >= 30, F.round("value").cast("long").cast("string")).otherwise("")
+    actions = t.events.select(F.col("user_id").alias("item"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("field"), kind.alias("kind"), value.alias("value"), F.lit("op").alias("operator"), (F.floor(nth / 4) + F.when(nth < 8, nth % 2).otherwise(0)).cast("long").alias("expected"), F.concat_ws("-", F.col("user_id").cast("string"), F.floor(nth / 2).cast("string")).alias("action_id"))
+    originals = t.events.select(F.col("user_id").alias("item"), F.col("event_type").alias("field")).distinct().withColumn("value", F.when(F.col("field") != "error", F.concat(F.lit("old "), "field")))
+    return actions, originals
+
+
+@query(f"""WITH RECURSIVE {ACTIONS} SELECT a.item, a.ordinal, a.field, CASE WHEN done.ordinal IS NOT NULL THEN 'applied' WHEN a.field = 'view' THEN 'invalid'
+  WHEN EXISTS (FROM done d WHERE d.action_id = a.action_id AND d.ordinal < a.ordinal) THEN 'replayed' WHEN x.eff IS NULL THEN 'invalid' ELSE 'stale' END AS status, done.rev AS revision, done.eff AS effective FROM a LEFT JOIN x ON x.ordinal = a.ordinal LEFT JOIN done ON done.ordinal = a.ordinal""")
 def d9_remediation(t):
-    order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    log = t.events.withColumn("revision", F.row_number().over(order)).withColumn("claimed", F.round("value") % 3)
-    return log.where("claimed <= revision").groupBy("user_id", F.col("event_type").alias("field")).agg(F.max_by("event_id", "revision").alias("effective_action"), F.count("*").alias("accepted"))
+    actions, originals = correction_log(t)
+    return M.replay_actions(actions, originals, ["click", "purchase", "error", "signup"]).select("item", "ordinal", "field", "status", "revision", "effective")
+
+
+@query(f"""WITH RECURSIVE {ACTIONS}, l AS (SELECT item, field, arg_max(eff, rev) AS v, max(rev) AS rev FROM done GROUP BY ALL), f AS (SELECT DISTINCT user_id AS item, event_type AS field FROM events),
+e AS (SELECT f.item, f.field, coalesce(v, CASE WHEN f.field <> 'error' THEN 'old ' || f.field END) AS effective FROM f LEFT JOIN l ON l.item = f.item AND l.field = f.field)
+SELECT item, concat_ws(',', CASE WHEN NOT coalesce(bool_or(field = 'error' AND effective IS NOT NULL), false) THEN 'error' END, CASE WHEN NOT coalesce(bool_or(field = 'purchase' AND effective IS NOT NULL), false) THEN 'purchase' END) AS missing FROM e GROUP BY item HAVING missing <> ''""")
+def d9_open_issues(t):
+    """Items that still miss a required value once all corrections are applied."""
+    actions, originals = correction_log(t)
+    effective = M.effective_values(M.replay_actions(actions, originals, ["click", "purchase", "error", "signup"]), originals)
+    return M.open_issues(effective, ["error", "purchase"]).select("item", F.array_join("missing", ",").alias("missing"))
 
 
 @query("""WITH s AS (SELECT unnest(['signup', 'view', 'click', 'purchase', 'error', 'refund']) AS stage, generate_subscripts(['signup', 'view', 'click', 'purchase', 'error', 'refund'], 1) AS place),
@@ -280,11 +319,18 @@ def d6_model_json(t):
     return t.events.select("event_id", parsed["k"].alias("k"), F.when(parsed["k"] > 50, F.col("event_type")).alias("corrected"))
 
 
-@query("SELECT user_id, sum(CASE WHEN lag_gap > 1 OR lag_gap IS NULL THEN 1 ELSE 0 END) AS leases, count(*) FILTER (lag_gap * 86400 > 300) AS late FROM (SELECT user_id, date_diff('day', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS lag_gap FROM events) GROUP BY user_id")
+@query("""WITH e AS (SELECT *, epoch_us(ts) AS us, max(epoch_us(ts)) FILTER (event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS claimed FROM events),
+f AS (SELECT user_id, event_id, claimed, us, row_number() OVER (PARTITION BY user_id, claimed ORDER BY us, event_id) AS nth FROM e WHERE event_type <> 'click' AND claimed IS NOT NULL)
+SELECT user_id, event_id, (us - claimed) / 1e6 AS seconds, CASE WHEN us - claimed <= 300000000 THEN 'committed' ELSE 'late' END AS outcome FROM f WHERE nth = 1""")
 def x2_attempt_deadline(t):
-    gap = F.date_diff(F.to_date("ts"), F.to_date(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))))
-    gaps = t.events.select("user_id", gap.alias("gap"))
-    return gaps.groupBy("user_id").agg(F.sum(F.when((F.col("gap") > 1) | F.col("gap").isNull(), 1).otherwise(0)).alias("leases"), F.count_if(F.col("gap") * 86400 > 300).alias("late"))
+    """Clicks claim, the first other event after the last claim finishes it: within 300 seconds it is committed, later it has lost its lease."""
+    order = ["ts", "event_id"]
+    before = Window.partitionBy("user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    marked = t.events.withColumn("us", micros).withColumn("claimed", F.max(F.when(F.col("event_type") == "click", F.col("us"))).over(before))
+    finishes = marked.where("event_type <> 'click' AND claimed IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "claimed").orderBy("us", "event_id"))).where("nth = 1")
+    waited = F.col("us") - F.col("claimed")
+    return finishes.select("user_id", "event_id", (waited / 1e6).alias("seconds"), F.when(waited <= 300_000_000, "committed").otherwise("late").alias("outcome"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
