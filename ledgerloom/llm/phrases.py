@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.memory import task
+from ledgerloom.llm.memory import release, task
 from ledgerloom.llm.tokens import buffers
 from ledgerloom.operators.components import label_rows
 from ledgerloom.session import Scratch, ship
 
-_SLICE_BYTES = 6 << 20
+_SLICE_BYTES = 3 << 20
 _SALTS = 64
 _BREAK = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
 _BLANK = np.isin(np.arange(256), list(b" \t"))
@@ -126,7 +126,7 @@ def _cut(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, n
     first = first[:-1]
     begins |= inside & (first > 0)
     places = np.flatnonzero(begins)
-    piece = np.cumsum(breaks.astype(np.int64) + first)[places] if len(data) else np.zeros(0, np.int64)
+    piece = np.cumsum(breaks + first, dtype=np.int32)[places] if len(data) else np.zeros(0, np.int32)
     letters = data[inside]
     edges = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(edges), pa.py_buffer(letters)), np.diff(np.searchsorted(places, offsets)), piece
@@ -147,6 +147,7 @@ def _counted(texts: pa.LargeStringArray, langs: pa.Array, longest: int, old: _Fi
     coded = words.dictionary_encode()
     # one number for each word of each language
     key, item = np.unique(lang.astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
+    item = item.astype(np.int32)
     spoken, letters = key // len(coded.dictionary), coded.dictionary.take(pa.array(key % len(coded.dictionary)))
     full = pc.binary_join_element_wise(pa.array(names, pa.large_string()).take(pa.array(spoken)), letters, pa.scalar("\t", pa.large_string()))
     hashes, tied = None, letters.to_pylist()
@@ -161,7 +162,7 @@ def _counted(texts: pa.LargeStringArray, langs: pa.Array, longest: int, old: _Fi
     size = len(key)
     # at every place: the number of the phrase of the present length that begins there, and whether each filter has it
     number, texts_of = item, full
-    at = np.arange(len(item))
+    at = np.arange(len(item), dtype=np.int32)
     ok_new = np.ones(len(item), bool) if new is None else new.has(1, hashes)[item]
     ok_old = np.zeros(len(item), bool) if old is None else old.has(1, hashes)[item]
     present = hashes
@@ -170,8 +171,8 @@ def _counted(texts: pa.LargeStringArray, langs: pa.Array, longest: int, old: _Fi
         nearby = np.flatnonzero(np.diff(at) == 1)
         nearby = nearby[(piece[at[nearby]] == piece[at[nearby] + k - 1]) & ok_new[nearby] & ok_new[nearby + 1]]
         was = ok_old[nearby] & ok_old[nearby + 1]
-        last = item[at[nearby] + k - 1]
-        kinds, where, number, each = np.unique(number[nearby] * size + last, return_index=True, return_inverse=True, return_counts=True)
+        kinds, where, number, each = np.unique(number[nearby].astype(np.int64) * size + item[at[nearby] + k - 1], return_index=True, return_inverse=True, return_counts=True)
+        number = number.astype(np.int32)
         if not len(kinds):
             return
         before = texts_of.take(pa.array(kinds // size))
@@ -203,6 +204,7 @@ def _count(docs: DataFrame, longest: int, old: _Filter | None, new: _Filter | No
             for phrases, n in _counted(texts, langs, longest, old, new):
                 for begin in range(0, len(n), 1 << 15):
                     yield pa.RecordBatch.from_arrays([phrases.slice(begin, 1 << 15).cast(pa.string()), pa.array(n[begin : begin + (1 << 15)].astype(np.int64))], ["key", "n"])
+            release()
 
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
