@@ -34,19 +34,18 @@ def resolve(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     need a person; without a hit, a project of the same name and customer that has other numbers does. Then name and customer
     together. Nothing found is new. Ids are unique; blanks count as missing.
     """
-    return _resolved(records, projects, suffixes).select("record_id", "status", "project_id")
+    scratch = Scratch(records.sparkSession)
+    left, right = (scratch.materialise(_identities(rows, key, suffixes), "identities") for rows, key in ((records, "record_id"), (projects, "project_id")))
+    return _resolved(left, right).select("record_id", "status", "project_id")
 
 
-def _resolved(records: DataFrame, projects: DataFrame, suffixes: Sequence[str], created: DataFrame | None = None) -> DataFrame:
-    """The identity columns with ``status``, ``project_id`` and ``creator``.
+def _resolved(left: DataFrame, right: DataFrame, created: DataFrame | None = None) -> DataFrame:
+    """The identities of records (``left``, against those of projects) with ``status``, ``project_id`` and ``creator``.
 
-    With ``created`` (records that create a project, by ``record_id``) a record also meets the projects of those with a smaller id. No two creators
+    With ``created`` (those of the records that create a project) a record also meets the projects of those with a smaller id. No two creators
     share a group, a number, or a name and customer (unless only the later has numbers), so each key has one at most.
     """
-    left, right = _identities(records, "record_id", suffixes), _identities(projects, "project_id", suffixes)
-    if created is None:
-        created = records.limit(0)
-    fresh = _identities(created, "record_id", suffixes).withColumnRenamed("record_id", "_new")
+    fresh = (left.where("false") if created is None else created).withColumnRenamed("record_id", "_new")
     named = "name IS NOT NULL AND customer IS NOT NULL"
     by_group = right.where("group_id IS NOT NULL").groupBy("group_id").agg(*_span("g")).join(fresh.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min("_new").alias("g_new")), "group_id", "full")
     new_numbers = fresh.select("_new", F.col("customer").alias("c_new"), F.explode("numbers").alias("number")).groupBy("number").agg(F.min("_new").alias("n_new"), F.min_by("c_new", "_new").alias("c_new"))
@@ -83,7 +82,7 @@ def _resolved(records: DataFrame, projects: DataFrame, suffixes: Sequence[str],
     return found.withColumns({"project_id": hit(False), "creator": hit(True)}).drop("_found")
 
 
-def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (r"phase \w+",)) -> DataFrame:
+def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (r"phase \w+",), few: int = 200_000) -> DataFrame:
     """``(record_id, outcome, project_id, creator)``: records taken by ascending id, each against the stored projects and those created before it.
 
     A record that is new creates a project; it is attached to a stored one, or joined to a created one (``creator``), or a person must
@@ -92,7 +91,8 @@ def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     every record is resolved once, against stored projects and earlier creators. Ids are integers.
     """
     scratch = Scratch(records.sparkSession)
-    stored = scratch.materialise(_resolved(records, projects, suffixes), "resolved")
+    left, right = (scratch.materialise(_identities(rows, key, suffixes), "identities") for rows, key in ((records, "record_id"), (projects, "project_id")))
+    stored = scratch.materialise(_resolved(left, right), "resolved")
     new = stored.where("status = 'new'")
     some = F.size("numbers") > 0
     own = [F.concat(F.lit("group "), F.col("group_id")), F.transform("numbers", lambda n: F.concat(F.lit("number "), n))]
@@ -100,10 +100,10 @@ def confirm(records: DataFrame, projects: DataFrame, suffixes: Sequence[str] = (
     keys = lambda *more: new.select(F.col("record_id").alias("id"), F.explode(F.array_compact(F.concat(F.array(own[0]), own[1], F.array(*more)))).alias("key"))
     offers = keys(F.when(some, named("numbered")).otherwise(named("plain")))
     listens = keys(named("numbered"), F.when(~some, named("plain")))
-    creating = first_creators(offers, listens, scratch)
+    creating = first_creators(offers, listens, scratch, few)
     keyless = new.join(offers.select(F.col("id").alias("record_id")).distinct(), "record_id", "left_anti").select("record_id")
     creators = scratch.materialise(creating.select(F.col("id").alias("record_id")).unionByName(keyless), "batch-creators")
-    final = _resolved(records, projects, suffixes, records.join(creators, "record_id", "left_semi"))
+    final = _resolved(left, right, left.join(creators, "record_id", "left_semi"))
     out = final.join(creators.withColumn("_creates", F.lit(True)), "record_id", "left")
     outcome = F.when(F.col("_creates"), "created").when(F.col("project_id").isNotNull(), "attached").when(F.col("creator").isNotNull(), "joined").otherwise("manual")
     return out.select("record_id", outcome.alias("outcome"), F.when(outcome == "attached", F.col("project_id")).alias("project_id"), F.when(outcome == "created", F.col("record_id")).when(outcome == "joined", F.col("creator")).alias("creator"))
