@@ -15,8 +15,6 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import blank_to_null
 
-BLOCK = 1_000_000
-
 
 def match(records: DataFrame, ledger: DataFrame) -> DataFrame:
     """``(record_id, method, row_id, hits)``: explicit row, else record key, else the note that names the source file, else the project of a

@@ -12,8 +12,6 @@ from ledgerloom.operators import linkage as K
 from ledgerloom.operators import sections as S
 from ledgerloom.plans.registry import query
 
-PUNCT = "[^a-zA-Z0-9]+"
-
 
 @query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents")
 def f1_search_text(t):
@@ -407,18 +405,6 @@ def j13_keywords(t):
     return t.documents.select("doc_id", K.keyword_matches(text, ["with", "pour"]).alias("any_match"), (K.keyword_matches(text, ["with", "this"], "all") & ~K.keyword_matches(text, ["license"])).alias("all_match"))
 
 
-TARGET = "(SELECT doc_id AS override_id, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS want_id, CASE WHEN doc_id % 3 = 1 THEN 'src' || doc_id % 25 END AS want_source FROM labels)"
-
-
-def override_targets(t):
-    """The first matcher that is given decides alone; matchers are counted before the join, so a common one makes no pairs."""
-    wanted = t.labels.select(F.col("doc_id").alias("override_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("id:"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("source:src"), (F.col("doc_id") % 25).cast("string"))).alias("key"))
-    keys = F.explode(F.array(F.concat(F.lit("id:"), F.col("doc_id").cast("string")), F.concat(F.lit("source:"), F.col("source"))))
-    index = t.documents.select("doc_id", keys.alias("key")).groupBy("key").agg(F.count("*").alias("hits"), F.min("doc_id").alias("target"))
-    joined = wanted.join(index, "key", "left")
-    return joined.select("override_id", F.when(F.col("hits").isNull(), "skipped").when(F.col("hits") > 1, "ambiguous").otherwise("applied").alias("status"), F.when(F.col("hits") == 1, F.col("target")).alias("target"))
-
-
 @query(f"SELECT d.doc_id, lang, {SCORE} AS score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def t4_completeness_queue(t):
     return completeness(t).select("doc_id", "lang", "score").orderBy(F.desc("score"), "lang", "doc_id")
