@@ -285,6 +285,55 @@ def test_redaction_reads_words_with_their_neighbours(spark, raw, safe):
     assert one(spark, X.redacted(F.lit(raw).cast("string"))) == safe
 
 
+HIDDEN = [
+    ("access_token=abc1 x", "access_[key] x"),
+    ("--client-secret: abc1 x", "--client-[key] x"),
+    ("(password:  abc1) x", "([key] x"),
+    ("api key = abc1 x", "api key = [key] x"),
+    ("token =abc1 PASSWORD :abc2", "token =[key] PASSWORD :[key]"),
+    ("secret := abc1 x", "secret := [key] x"),
+    ("use:sk-abcdefgh12 x", "use:[key] x"),
+    ("sk-abcdefgh12=x", "[key]"),
+    ("Authorization:Bearer abc1 x", "[auth] x"),
+    ("Authorization : Basic abc1 x", "Authorization : [auth] x"),
+    ("Authorization: Custom abc1 x", "[auth] x"),
+    ('{"h": "Bearer abc1"} x', '{"h": "[auth] x'),
+    ("bearer  abc1 x", "[auth] x"),
+    ("log:/etc/abc1 x", "log:[path] x"),
+    ("/srv/abc1?a=b x", "[path] x"),
+    (r"C:\abc1=/x in,D:\abc2 x", "[path] in,[path] x"),
+    (r"(at)\\host\abc1 x", "(at)[path] x"),
+    ("me@x.org;password: abc1 x", "[mail] [key] x"),
+    ("to\u212aen=abc1 pa\u017fsword=abc2 token\u0130/abc3", "[key] [key] token\u0130[path]"),
+    ("  a  b ", "  a  b "),
+    ("token", "token"),
+]
+
+
+@pytest.mark.parametrize(("raw", "safe"), HIDDEN)
+def test_redaction_hides_every_form(spark, raw, safe):
+    assert one(spark, X.redacted(F.lit(raw))) == safe
+
+
+def test_redaction_equals_its_sql(spark):
+    import duckdb
+
+    from ledgerloom.plans.text_queries import REDACTED
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    texts = [raw for raw, _ in HIDDEN] + [None, "", " ", "\x00", " ".join(raw for raw, _ in HIDDEN[:8]), "-".join(raw for raw, _ in HIDDEN[8:14])]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", X.redacted(F.col("text")))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(REDACTED).fetchall())
+
+
+def test_redaction_of_very_long_words(spark):
+    assert one(spark, X.redacted(F.lit("@" * 200_000 + " token" + ":" * 200_000 + "x"))) == "@" * 240
+    assert one(spark, X.redacted(F.lit("token:" * 50_000 + " x"))) == "[key]"
+    assert one(spark, X.redacted(F.lit("authorization:" * 50_000 + "= x"))) == "[auth] x"
+
+
 def test_long_runs_do_not_break_patterns(spark):
     assert one(spark, X.core_name(F.lit("[a] " * 100_000 + "Road works" + " final" * 100_000), ["phase two", "final"])) == "Road works"
     assert one(spark, X.core_name(F.lit("final final"), ["final"])) == ""
