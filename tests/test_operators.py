@@ -359,6 +359,35 @@ def test_ratio_join_loses_nothing(spark, threshold):
     assert {(x["a"], x["b"]): (x["score"], x["back"]) for x in K.similar_names(df, "n", threshold, metric="blocks").collect()} == want
 
 
+def test_ratio_join_makes_no_crowd_of_one_opening(spark):
+    """Names that begin alike meet only if they have enough characters in common order."""
+    from difflib import SequenceMatcher
+
+    r = random.Random(5)
+    names = sorted({f"largewidget{r.randrange(100_000)}" for _ in range(400)})
+    df = spark.createDataFrame([(n, n[-1]) for n in names], "n string, k string")
+    want = {(a, b) for a in names for b in names if a < b and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.88}
+    met = K._meet_by_deletions(df, "n", 0.88, ())
+    assert 0 < met.count() < 4 * len(want) < len(names) ** 2 / 20
+    assert want <= {(x["a"], x["b"]) for x in met.collect()}
+    assert {(x["a"], x["b"]) for x in K.similar_names(df, "n", 0.88, metric="blocks").collect()} == want
+    inside = K.similar_names(df, "n", 0.88, ["k"], "blocks").collect()
+    assert {(x["k"], x["a"], x["b"]) for x in inside} == {(a[-1], a, b) for a, b in want if a[-1] == b[-1]}
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "é😀a", "a"])
+def test_ratios_of_whole_arrays(letters):
+    from difflib import SequenceMatcher
+
+    from ledgerloom.functions.ratio import ratios
+
+    r = random.Random(len(letters))
+    text = lambda: "".join(r.choice(letters) for _ in range(r.choice([0, 3, 9, 17, 48, 49, 250])))
+    a, b = [text() for _ in range(700)], [text() for _ in range(700)]
+    assert ratios(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert [x != x for x in ratios([None, "a", None], ["a", None, None])] == [True] * 3
+
+
 def test_containment_at_one_opening(spark):
     """Contexts that share their opening, texts that are full of it, and short contexts."""
     opening = "all rights reserved by the authority of the city; "
