@@ -375,6 +375,23 @@ def test_ratio_join_makes_no_crowd_of_one_opening(spark):
     assert {(x["k"], x["a"], x["b"]) for x in inside} == {(a[-1], a, b) for a, b in want if a[-1] == b[-1]}
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.88])
+def test_two_tables_of_names_are_compared_with_each_other_only(spark, threshold):
+    from difflib import SequenceMatcher
+
+    r = random.Random(9)
+    base = [f"{r.choice(['red', 'cold', 'old'])}{r.choice(['bolt', 'ring', 'rod'])}" for _ in range(30)]
+    asked, stock = {x + str(r.randrange(30)) for x in base}, {r.choice(["lot", "", "new"]) + x + str(r.randrange(30)) for x in base * 5} | {"n" * 60, "n" * 57 + "m"}
+    asked |= {sorted(stock)[3], "n" * 58}
+    like = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    rows = lambda names: spark.createDataFrame([(n,) for n in names], "n string")
+    want = sorted((a, b, like(a, b)) for a in asked for b in stock if like(a, b) >= threshold)
+    assert values(K.related_names(rows(asked), rows(stock), "n", threshold)) == want
+    sided = spark.createDataFrame([(n, 1 * (n in asked) + 2 * (n in stock)) for n in asked | stock], "n string, s int")
+    pairs = K.similar_names(sided, "n", threshold, metric="blocks", side="s").collect()
+    assert pairs and all((x["a"] in asked and x["b"] in stock) or (x["b"] in asked and x["a"] in stock) for x in pairs)
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "é😀a", "a"])
 def test_ratios_of_whole_arrays(letters):
     from difflib import SequenceMatcher
