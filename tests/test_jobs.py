@@ -97,6 +97,24 @@ def test_best_match_is_that_of_all_pairs(spark, seed):
     assert {x["candidate_id"]: (x["matched_project_id"], round(x["score"], 9)) for x in got.collect()} == brute_best(candidates, projects)
 
 
+def test_best_match_in_two_steps(spark, monkeypatch):
+    """Many different names are compared down to the weak ones only for candidates that a sure name does not settle."""
+    monkeypatch.setattr(C, "_FEW_PAIRS", 0)
+    test_best_match_is_that_of_all_pairs(spark, 7)
+
+
+def test_a_crowd_of_like_projects_meets_a_candidate_once_for_each_set(spark):
+    day = datetime.date(2020, 1, 1)
+    asked = spark.createDataFrame([("c", "n1", "redbolt", "city", day)], "candidate_id string, number string, name string, customer string, day date")
+    rows = [(f"p{i}", i, f"redbolt{i}", "city" if i % 2 else "citygroup", day, "n1") for i in range(300)]
+    stock = spark.createDataFrame(rows, "project_id string, ordinal long, name string, customer string, day date, number string")
+    names = stock.selectExpr("'redbolt' AS name", "name AS other", "0.4D AS points").distinct()
+    customers = spark.createDataFrame([("city", "city", 0.20), ("city", "citygroup", 0.12)], "customer string, other string, points double")
+    found = C._feature_scores(asked, stock, names, customers, 90).collect()
+    assert len(found) <= 8
+    assert max((x["m"]["score"], x["m"]["o"]) for x in found) == (1.0, 0)
+
+
 def test_best_match_of_nothing(spark):
     one, none = spark.createDataFrame([("c", "a b", None, None, None)], CANDIDATES), spark.createDataFrame([], PROJECTS)
     assert [tuple(x) for x in C.best_project_match(one, none).collect()] == [("c", None, 0.0)]
