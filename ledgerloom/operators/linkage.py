@@ -223,32 +223,80 @@ def match_records(records: DataFrame, threshold: float = 0.68, days: int = 90, m
 
     At the default weights and threshold a pair needs a shared number, or an equal customer and names at least 0.78 alike, or names at
     least 0.92 alike with a contained customer (0.12 instead of 0.20) and near dates; each is a block with an equi-join, so nothing is lost.
+    The blocks have no pair in common: a pair that shares a number is made at the smallest it shares, and only there. Within a number, names
+    that are not alike need an equal customer too, unless the threshold is very low. Names are compared once for each two different ones,
+    never for each pair of records.
+
     Names are compared by ``metric`` (see ``similar_names``), the record with the smaller id first; blank names are alike to nothing. A lower threshold than 0.61 would need other blocks and is refused.
     """
     if threshold < 0.61:
         raise ValueError("below 0.61 the blocks no longer hold every match")
-    side = lambda s: records.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "name", "customer", "numbers", "day")])
-    numbered = records.select("id", F.explode(F.array_distinct("numbers")).alias("k"))
-    by_number = numbered.select("k", F.col("id").alias("a")).join(numbered.select("k", F.col("id").alias("b")), "k").where("a < b").select("a", "b")
     slack = 1e-6
-    alike_by = ratio_of(metric, records)
-    inside = similar_names(records, "name", (threshold - 0.25) / 0.55 - slack, ["customer"], metric).select("customer", "a", "b")
-    same = records.where(F.length("name") > 0).select("customer", F.col("name").alias("a"), F.col("name").alias("b")).distinct()
-    ids = lambda n, i: records.select("customer", F.col("name").alias(n), F.col("id").alias(i))
-    ordered = lambda df: df.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    by_customer = ordered(inside.unionByName(same).join(ids("a", "x"), ["customer", "a"]).join(ids("b", "y"), ["customer", "b"]))
-    alike = similar_names(records, "name", (threshold - 0.17) / 0.55 - slack, (), metric).select("a", "b").unionByName(same.select("a", "b").distinct())
-    owner = lambda n, i, c: records.select(F.col("name").alias(n), F.col("id").alias(i), F.col("customer").alias(c))
-    contains = (F.contains("c", F.col("d")) | F.contains("d", F.col("c"))) & (F.col("c") != F.col("d"))
-    by_name = ordered(alike.join(owner("a", "x", "c"), "a").join(owner("b", "y", "d"), "b").where(contains))
-    pairs = by_number.unionByName(by_customer).unionByName(by_name).distinct()
-    joined = pairs.join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), F.col("b") == F.col("r_id"))
-    number = F.coalesce(F.arrays_overlap("l_numbers", "r_numbers"), F.lit(False))
-    customer = F.when(F.col("l_customer") == F.col("r_customer"), 0.20).when(F.contains("l_customer", F.col("r_customer")) | F.contains("r_customer", F.col("l_customer")), 0.12).otherwise(0.0)
-    near = F.coalesce(F.abs(F.date_diff("l_day", "r_day")) <= days, F.lit(False))
-    named = (F.length("l_name") > 0) & (F.length("r_name") > 0)
-    score = link_score(number, F.when(named, alike_by(F.col("l_name"), F.col("r_name"))).otherwise(0.0), F.lit(False), near)
-    return joined.select("a", "b", F.least(F.lit(1.0), score + customer).alias("score")).where(F.col("score") >= threshold)
+    records = records.select("id", "name", "customer", F.array_distinct("numbers").alias("numbers"), "day")
+    # only records with several numbers can share more than one
+    brief = [F.col("id"), F.col("name"), F.col("customer"), F.col("day"), F.when(F.size("numbers") > 1, F.col("numbers")).alias("more")]
+    side = lambda rows, s, keys: rows.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in keys])
+
+    def scored(pairs: DataFrame, shared: bool) -> DataFrame:
+        """Pairs of rows l and r, ``forth`` and ``back`` their names' likeness in either order."""
+        forward = F.col("l_id") < F.col("r_id")
+        sim = F.when(forward, F.col("forth")).otherwise(F.col("back"))
+        customer = F.when(F.col("l_customer") == F.col("r_customer"), 0.20).when(F.contains("l_customer", F.col("r_customer")) | F.contains("r_customer", F.col("l_customer")), 0.12).otherwise(0.0)
+        near = F.coalesce(F.abs(F.date_diff("l_day", "r_day")) <= days, F.lit(False))
+        score = F.least(F.lit(1.0), link_score(F.lit(shared), sim, F.lit(False), near) + customer)
+        return pairs.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), score.alias("score"), *[c for c in ("l_name", "r_name") if c in pairs.columns]).where(F.col("score") >= threshold)
+
+    once = (F.col("l_name") < F.col("r_name")) | (F.col("l_id") < F.col("r_id"))  # either two names, in order, or two records of one
+    # records with a number in common
+    numbered = records.select(F.explode("numbers").alias("k"), *brief)
+    named = records.where(F.length("name") > 0)
+    together = numbered.where(F.length("name") > 0).select("k", "name").distinct()
+    met = together.withColumnRenamed("name", "l_name").join(together.withColumnRenamed("name", "r_name"), "k").where("l_name < r_name").select("l_name", "r_name").distinct()
+    if metric == "blocks":
+        ship(records.sparkSession)
+        alike = met.select("l_name", "r_name", matching_ratio("l_name", "r_name").alias("forth"), matching_ratio("r_name", "l_name").alias("back"))
+    else:
+        alike = met.select("l_name", "r_name", similarity(F.col("l_name"), F.col("r_name")).alias("forth")).withColumn("back", F.col("forth"))
+    same = named.select(F.col("name").alias("l_name"), F.col("name").alias("r_name"), F.lit(1.0).alias("forth"), F.lit(1.0).alias("back")).distinct()
+    alike = materialise(alike.where(F.greatest("forth", "back") >= 0.55).unionByName(same), "alike-names")
+    first = F.col("l_more").isNull() | F.col("r_more").isNull() | (F.array_min(F.array_intersect("l_more", "r_more")) == F.col("k"))
+    one, two = side(numbered, "l", ["k"]), side(numbered, "r", ["k"])
+    by_name = scored(one.join(alike, "l_name").join(two, ["k", "r_name"]).where(once & first), True).select("a", "b", "score")
+    keys = ["k", "customer"] if threshold > 0.45 + 0.12 + 0.05 + slack else ["k"]
+    plain = side(numbered, "l", keys).join(side(numbered, "r", keys), keys).where("l_id < r_id").withColumns({"forth": F.lit(0.0), "back": F.lit(0.0)})
+    if "customer" in keys:
+        plain = plain.withColumns({"l_customer": F.col("customer"), "r_customer": F.col("customer")})
+    known = alike.select("l_name", "r_name").unionByName(alike.where("l_name < r_name").select(F.col("r_name").alias("l_name"), F.col("l_name").alias("r_name")))
+    plain = scored(plain.where(first), True).join(known, ["l_name", "r_name"], "left_anti").select("a", "b", "score")
+
+    # records of one customer without one
+    others = records.select(*brief, F.get("numbers", F.lit(0)).alias("number"))
+    apart = F.when(F.col("l_more").isNull() & F.col("r_more").isNull(), ~F.coalesce(F.col("l_number") == F.col("r_number"), F.lit(False)))
+    several = lambda s: F.coalesce(f"{s}_more", F.array(f"{s}_number"))
+    apart = apart.otherwise(~F.coalesce(F.arrays_overlap(several("l"), several("r")), F.lit(False)))
+    pairs = lambda df, *more: df.select(*more, F.col("a").alias("l_name"), F.col("b").alias("r_name"), F.col("score").alias("forth"), F.col("back" if metric == "blocks" else "score").alias("back"))
+    equal = named.where("customer IS NOT NULL").select("customer", F.col("name").alias("l_name"), F.col("name").alias("r_name"), F.lit(1.0).alias("forth"), F.lit(1.0).alias("back")).distinct()
+    inside = materialise(pairs(similar_names(records, "name", (threshold - 0.25) / 0.55 - slack, ["customer"], metric), "customer").unionByName(equal), "names-of-customers")
+    one, two = side(others, "l", ["customer"]), side(others, "r", ["customer"])
+    joined = one.join(inside, ["customer", "l_name"]).join(two, ["customer", "r_name"]).where(once & apart)
+    by_customer = scored(joined.withColumns({"l_customer": F.col("customer"), "r_customer": F.col("customer")}), False).select("a", "b", "score")
+
+    # records of customers of which one holds the other's name
+    owners = materialise(records.where("customer IS NOT NULL").select("customer").distinct(), "customers")
+    holds = contained(owners.select(F.col("customer").alias("l_customer")), "l_customer", "l_customer", owners.select(F.col("customer").alias("r_customer")), "r_customer", "r_customer", 1)
+    blank = owners.where("customer <> ''").crossJoin(owners.where("customer = ''").withColumnRenamed("customer", "r_customer")).withColumnRenamed("customer", "l_customer")
+    holds = holds.where("l_customer <> r_customer").unionByName(blank)
+    holds = materialise(holds.unionByName(holds.select(F.col("r_customer").alias("l_customer"), F.col("l_customer").alias("r_customer"))), "related-customers")
+    near_names = materialise(pairs(similar_names(records, "name", (threshold - 0.17) / 0.55 - slack, (), metric)).unionByName(same), "near-names")
+    one, two = side(others, "l", []), side(others, "r", [])
+    keys = ["r_name", "r_customer"]
+    if threshold > 0.12 + 0.55 + slack:  # only near days reach it, so records meet in spans of days or in neighbouring ones
+        span = lambda day: F.floor(F.unix_date(day) / (days + 1))
+        one = one.withColumn("span", F.explode(F.array(*[span("l_day") + i for i in (-1, 0, 1)])))
+        two, keys = two.withColumn("span", span("r_day")), [*keys, "span"]
+    joined = one.join(holds, "l_customer").join(near_names, "l_name").join(two, keys).where(once & apart)
+    by_owner = scored(joined, False).select("a", "b", "score")
+    return by_name.unionByName(plain).unionByName(by_customer).unionByName(by_owner)
 
 
 def top_k(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:

@@ -375,6 +375,34 @@ def test_ratio_join_makes_no_crowd_of_one_opening(spark):
     assert {(x["k"], x["a"], x["b"]) for x in inside} == {(a[-1], a, b) for a, b in want if a[-1] == b[-1]}
 
 
+@pytest.mark.parametrize("threshold", [0.61, 0.68])
+def test_linkage_is_that_of_all_pairs(spark, threshold):
+    """Several shared numbers, missing and blank parts, contained and blank customers; names are not compared for each pair of records."""
+    import datetime
+    from difflib import SequenceMatcher
+
+    r = random.Random(11)
+    name = lambda: r.choice([None, "", " ".join(r.choice(["road", "works", "north", "roof", "rd"]) for _ in range(r.randrange(1, 4)))])
+    many = lambda: r.choice([None, [], ["a"], ["a", "b"], ["b", "a", "a"], ["c", None], ["d"], ["e", "b", "a"], [None]])
+    when = lambda: r.choice([None, datetime.date(2020, 1, 1) + datetime.timedelta(days=r.randrange(400))])
+    rows = [(i, name(), r.choice([None, "", "city", "city of ames", "ames", "county"]), many(), when()) for i in range(150)]
+    want = {}
+    for a, x, c, m, d in rows:
+        for b, y, e, n, f in rows:
+            if a < b:
+                like = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+                score = 0.45 if {*(m or [])} & {*(n or [])} - {None} else 0.0
+                score = min(1.0, score + (0.55 * like if like >= 0.55 else 0.0) + (0.05 if d and f and abs((d - f).days) <= 90 else 0.0))
+                score = min(1.0, score + (0.0 if c is None or e is None else 0.20 if c == e else 0.12 if c in e or e in c else 0.0))
+                if score >= threshold:
+                    want[a, b] = round(score, 9)
+    records = spark.createDataFrame(rows, "id long, name string, customer string, numbers array<string>, day date")
+    matches = K.match_records(records, threshold)
+    found = matches.collect()
+    assert len(found) == len(want) and {(x["a"], x["b"]): round(x["score"], 9) for x in found} == want
+    assert "EvalPython" not in matches._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.88])
 def test_two_tables_of_names_are_compared_with_each_other_only(spark, threshold):
     from difflib import SequenceMatcher
