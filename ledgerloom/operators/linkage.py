@@ -40,13 +40,18 @@ def similar_names(names: DataFrame, name: str, threshold: float, within: Sequenc
     if metric == "edits":
         met = _meet_by_parts(names, name, threshold, within)
         return met.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
+    close = _close_names(names, name, threshold, within, side)
+    return close.withColumns({"score": matching_ratio("a", "b"), "back": matching_ratio("b", "a")}).where(F.greatest("score", "back") >= threshold)
+
+
+def _close_names(names: DataFrame, name: str, threshold: float, within: Sequence[str], side: str | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` that may reach a ratio of ``threshold``, by characters or deletions and edit distance."""
     ship(names.sparkSession)
     met = _meet_by_deletions(names, name, threshold, within, side) if threshold >= 0.75 else _meet_by_characters(names, name, threshold, within, side)
     total = F.length("a") + F.length("b")
     edits = F.floor((1 - threshold) * total + 1e-9).cast("int")
     # an edit distance is cheap and rules most pairs out before the ratio is computed; the bound differs by pair, so it is not a cutoff
-    close = met.where((F.abs(F.length("a") - F.length("b")) <= edits) & (F.levenshtein("a", "b") <= edits))
-    return close.withColumns({"score": matching_ratio("a", "b"), "back": matching_ratio("b", "a")}).where(F.greatest("score", "back") >= threshold)
+    return met.where((F.abs(F.length("a") - F.length("b")) <= edits) & (F.levenshtein("a", "b") <= edits))
 
 
 def _meet_by_deletions(names: DataFrame, name: str, threshold: float, within: Sequence[str], side: str | None = None) -> DataFrame:
@@ -199,9 +204,13 @@ def similar_rows(rows: DataFrame, id_col: str, name: str, threshold: float, metr
     same = star_edges(rows.where(F.length(name) > 0), id_col, F.col(name))
     ends = rows.groupBy(name).agg(F.min(id_col).alias("id"), F.max(id_col).alias("last"))
     side = lambda n, i, z: ends.select(F.col(name).alias(n), F.col("id").alias(i), F.col("last").alias(z))
-    pairs = similar_names(rows, name, threshold, metric=metric).join(side("a", "src", "_last_a"), "a").join(side("b", "dst", "_last_b"), "b")
-    if metric == "blocks":
-        pairs = pairs.where(((F.col("score") >= threshold) & (F.col("src") < F.col("_last_b"))) | ((F.col("back") >= threshold) & (F.col("dst") < F.col("_last_a"))))
+    met = _close_names(rows, name, threshold, ()) if metric == "blocks" else similar_names(rows, name, threshold, metric=metric)
+    pairs = met.join(side("a", "src", "_last_a"), "a").join(side("b", "dst", "_last_b"), "b")
+    if metric == "blocks":  # a ratio is computed only in the order that some two rows have, the second only if the first does not do
+        pairs = pairs.withColumn("score", matching_ratio(F.when(F.col("src") < F.col("_last_b"), F.col("a")), F.col("b")))
+        linked = F.coalesce(F.col("score") >= threshold, F.lit(False))
+        pairs = pairs.withColumn("back", matching_ratio(F.when((F.col("dst") < F.col("_last_a")) & ~linked, F.col("b")), F.col("a")))
+        pairs = pairs.where(linked | (F.col("back") >= threshold))
     return same.unionByName(pairs.select("src", "dst"))
 
 

@@ -220,3 +220,17 @@ def test_completeness(spark):
     records = spark.createDataFrame([("r1", "notice", "x", " "), ("r2", "odd", "x", "y")], "record_id string, doc_type string, a string, b string")
     weights = spark.createDataFrame([("notice", "a", 60), ("notice", "b", 40)], "doc_type string, field string, weight int")
     assert by(O.completeness(records, weights, ["a", "b"]), "record_id", "score", "missing") == {"r1": (60.0, ["b"]), "r2": (0.0, [])}
+
+
+@pytest.mark.parametrize("name", ["a2_primary_election"])
+def test_titles_do_not_meet_by_parts_that_many_share(spark, monkeypatch, name):
+    from ledgerloom.operators import linkage
+    from ledgerloom.plans import job_queries, registry  # noqa: F401  the first registers them
+    from tests.oracle import compare, connect
+
+    def parts(names, *_):
+        assert not names.count()
+
+    monkeypatch.setattr(linkage, "_meet_by_parts", parts)
+    folder = "/root/testdata/sf0.001"
+    compare(spark, folder, registry.QUERIES[name], registry.ORACLES[name], connect(folder))
