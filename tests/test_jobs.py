@@ -222,7 +222,7 @@ def test_completeness(spark):
     assert by(O.completeness(records, weights, ["a", "b"]), "record_id", "score", "missing") == {"r1": (60.0, ["b"]), "r2": (0.0, [])}
 
 
-@pytest.mark.parametrize("name", ["a2_primary_election", "d14_production_import", "d1_candidate_refresh"])
+@pytest.mark.parametrize("name", ["a2_primary_election", "d14_production_import", "d1_candidate_refresh", "d1_stage_counts"])
 def test_titles_do_not_meet_by_parts_that_many_share(spark, monkeypatch, name):
     from ledgerloom.operators import linkage
     from ledgerloom.plans import job_queries, registry  # noqa: F401  the first registers them
