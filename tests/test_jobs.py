@@ -115,6 +115,24 @@ def test_a_crowd_of_like_projects_meets_a_candidate_once_for_each_set(spark):
     assert max((x["m"]["score"], x["m"]["o"]) for x in found) == (1.0, 0)
 
 
+def test_rows_of_a_match_do_not_grow_with_its_projects(spark):
+    """Candidates of two numbers have a row or two for each set of features, whether 20 or 400 alike projects fit them."""
+    day = datetime.date(2020, 1, 1)
+    columns = "string, number string, name string, customer string, day date"
+    asked = spark.createDataFrame([(f"c{i}", f"n{k}", "redbolt", "city", day) for i in range(5) for k in (1, 2)], f"candidate_id {columns}")
+    customers = spark.createDataFrame([("city", "city", 0.20)], "customer string, other string, points double")
+    found = []
+    for size in (20, 400):
+        stock = spark.createDataFrame([(f"p{i}", f"n{i % 2 + 1}", f"redbolt{i}", "city", day + datetime.timedelta(days=i % 50), i) for i in range(size)], f"project_id {columns}, ordinal long")
+        names = stock.selectExpr("'redbolt' AS name", "name AS other", "0.5D + ordinal / 10000.0D AS points").distinct()
+        rows = C._feature_scores(asked, stock, names, customers, 90).collect()
+        assert len(rows) <= 5 * 2 * 8
+        best = max((x["m"]["score"], x["m"]["o"]) for x in rows)
+        assert best == (1.0, 0)
+        found.append(len(rows))
+    assert found[0] == found[1]
+
+
 def test_best_match_of_nothing(spark):
     one, none = spark.createDataFrame([("c", "a b", None, None, None)], CANDIDATES), spark.createDataFrame([], PROJECTS)
     assert [tuple(x) for x in C.best_project_match(one, none).collect()] == [("c", None, 0.0)]
